@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 16_000_000):
     """Zero-copy slices of a batch whose texts have about `limit` bytes at most, so that Python memory stays bounded."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
