@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses
+from . import bpe, chat, licenses, packing, pii, quality, urls
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -22,9 +22,33 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.read_vocabulary(public_tokenizers.path(tokenizer)), public_tokenizers.PATTERN)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.probe(table(spark, sf_dir, "conversations"))))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.with_score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+_ALL = [op1_license_scan, op3_byte_bpe, op4_chat_format, op7_quality, op8_url_filter, op9_pii, op10_best_fit_packing]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op3_byte_bpe": op3_byte_bpe}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op4_chat_format": chat.oracle(), "op8_url_filter": urls.oracle()}
