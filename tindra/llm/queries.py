@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, packing, pii, quality, rpforest, urls, vamana
+from . import bpe, chat, licenses, packing, pii, quality, rpforest, sigtree, urls, vamana
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -34,6 +34,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.search(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.join(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.with_score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -51,7 +55,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_license_scan, op2_embedding_near_dedup, op3_byte_bpe, op4_chat_format, op5_nearest_neighbours, op7_quality, op8_url_filter, op9_pii, op10_best_fit_packing]
+_ALL = [op1_license_scan, op2_embedding_near_dedup, op3_byte_bpe, op4_chat_format, op5_nearest_neighbours, op6_jaccard_join, op7_quality, op8_url_filter, op9_pii, op10_best_fit_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
