@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..streaming import logs
 from .ledger import read
 from .registry import query
 
@@ -79,3 +80,8 @@ def value_counts(spark, sf_dir):
 @query("SELECT source AS id, count(*)::BIGINT AS files FROM documents GROUP BY 1")
 def source_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_windowed(spark, sf_dir):
+    return logs.windowed(read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))

@@ -73,10 +73,10 @@ def dense_topk(spark, sf_dir):
 d AS (SELECT uh.id AS q, hv.id, sum(hv.weight * uh.n / norm) AS score FROM uh JOIN un USING (id) JOIN hv USING (bucket) GROUP BY 1, 2), dr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM d),
 v AS (SELECT q, id, sum(1 / (60 + rank)) AS rrf FROM (SELECT q, id, rank FROM dr WHERE rank < 200 UNION ALL SELECT q, id, rank FROM sparse WHERE rank < 200) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, id) - 1 AS rank FROM v)
-SELECT q, r.id, r.rank::INT AS rank, round(rrf, 6) AS rrf, round(coalesce(d.score, 0), 3) AS score FROM r LEFT JOIN d USING (q, id) WHERE r.rank < 5""")
+SELECT q, r.id, r.rank::INT AS rank, round(rrf, 6) AS rrf, round(coalesce(d.score, 0), 4) AS score FROM r LEFT JOIN d USING (q, id) WHERE r.rank < 5""")
 def rrf_hybrid(spark, sf_dir):
     docs, questions = _corpus(spark, sf_dir)
-    return R.hybrid(docs, questions).select("q", "id", "rank", F.round("rrf", 6).alias("rrf"), F.round("score", 3).alias("score"))
+    return R.hybrid(docs, questions).select("q", "id", "rank", F.round("rrf", 6).alias("rrf"), "score")
 
 
 @query()
