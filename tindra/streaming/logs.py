@@ -10,24 +10,23 @@ from ..sources.tables import FLAGS
 EVENTS = "event_id bigint,ts timestamp,user_id bigint,event_type string,value double,props string"
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, late: str = "10 minutes") -> DataFrame:
+    """Events with a watermark, which is set here once: all operators behind it share it."""
+    return spark.readStream.schema(EVENTS).parquet(folder).withWatermark("ts", late)
 
 
 def flag_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(FLAGS).json(folder)
 
 
-def windowed(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts and sums per type and event-time window; state of a window goes once it is `late` past."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", late)
+def windowed(events: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Counts and sums per type and event-time window; on a stream a window's state goes once the watermark has passed."""
     return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
 
 
-def once_each(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def once_each(events: DataFrame) -> DataFrame:
     """Each event id once, with bounded state on a stream."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    return events.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
 def write(df: DataFrame, folder: str, checkpoint: str):
