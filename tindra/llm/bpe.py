@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, small_batches
 
 CACHE = 450_000
 LONG = 256
@@ -247,7 +247,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id",
                 ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else []))], [key, "ids"])
 
-    return df.select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return small_batches(df).select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -277,4 +277,4 @@ def digests(df: DataFrame, vocabulary: bytes, pattern: str, key: str = "doc_id",
                     [key, "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(df).select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

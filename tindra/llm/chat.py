@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 START = "<s>"
 # The template's control strings.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "[ROLE]", "[:]", "[/ROLE]"]
@@ -104,7 +106,7 @@ def format_turns(df: DataFrame) -> DataFrame:
             spans = [next(((s, e) for r, _, s, e in parse(c) if r == "assistant"), (None, None)) for c in chunks]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chunks, pa.string()), pa.array([s for s, _ in spans], pa.int64()), pa.array([e for _, e in spans], pa.int64())], ["conv_id", "turn", "chunk", "loss_start", "loss_end"])
 
-    return df.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, chunk string, loss_start long, loss_end long")
+    return small_batches(df).select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, chunk string, loss_start long, loss_end long")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

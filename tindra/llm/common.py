@@ -56,13 +56,37 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+BITS = 1 << 23
+
+
+def maybe_among(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+    """df with a boolean column: false where df's key surely isn't among ids(key), true where it may be.
+
+    A bitmap of hashes of fixed size (1 MB, so broadcast): with many more ids than bits all rows are true, and callers, who
+    join the true rows on the key in any case, are right at every size.
+    """
+    pos = F.pmod(F.xxhash64(key), F.lit(BITS)) + 1
+    bucket, bits, at = f"{flag}_bucket", f"{flag}_bits", f"{flag}_at"
+    bitmap = ids.select(pos.alias(at)).groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    rows = df.withColumn(at, pos).withColumn(bucket, F.bitmap_bucket_number(at)).withColumn(at, F.bitmap_bit_position(at).cast("int"))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.col(at) % 8) == 1
+    return rows.join(F.broadcast(bitmap), bucket, "left").withColumn(flag, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop(bucket, bits, at)
+
+
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete materialized tables that no result reads any more."""
     for df in frames:
         _remove(spark, df._tindra_path)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 16_000_000):
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python in batches of at most 8 MB: buffers on both sides stay small whatever the texts' length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 4_000_000):
     """Zero-copy slices of a batch whose texts have about `limit` bytes at most, so that Python memory stays bounded."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, total = 0, 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 LABELERS = ["grammar", "check", "gazetteer", "context", "shape"]
@@ -197,7 +197,7 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 rows = [[dict(zip(("kind", "start", "end", "base", "votes"), x, strict=True)) for x in c] for c in found]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in n], pa.int64()) for k in range(4)), pa.array(sha), pa.array(rows, span)], [key, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found"])
 
-    return df.select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_SPANS}")
+    return small_batches(df).select(key, df[text].alias("text")).mapInArrow(run, f"`{key}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_SPANS}")
 
 
 def report(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
                 seen.update(pattern(k, v) for k, _, _, _, v in candidates(t))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    good = frozenset(accepted(df.select(text).mapInArrow(tally, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()))
+    good = frozenset(accepted(small_batches(df).select(text).mapInArrow(tally, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()))
     place = df.columns.index(text)
 
     def run(batches):

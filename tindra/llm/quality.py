@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 #: Labelled rows to learn from, at most; trees, their depth, bins a statistic, step and penalty.
 SAMPLE, TREES, DEPTH, BINS, STEP, PENALTY = 20_000, 40, 4, 64, 0.25, 1.0
@@ -114,7 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
             for b in slices(batch):
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(matrix(b.column(0).to_pylist())), pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(run, "y int, x array<double>")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(run, "y int, x array<double>")
     got = rows.limit(2 * sample).toArrow()  # a repeated id may match twice
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
     order = np.lexsort((*x.T, y := got.column("y").to_numpy()))  # the rows arrive in any order
@@ -134,5 +134,5 @@ def with_score(docs: DataFrame, trees: Trees, keep: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     if keep:
-        return docs.mapInArrow(run, docs.schema)
-    return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+        return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
