@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, slices
+from .common import drop, materialize, slices, small_batches
 from .components import connected_components
 
 WORDS, KEYS, HOT, CAP, LEAF, FAN = 5, 20, 128, 2048, 8, 4
@@ -143,28 +143,31 @@ def _alive(x, y, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def dual(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Document pairs (rows of x, rows of y) that survive; once each if x is y."""
+    """Document pairs (rows of x, rows of y) that survive; once each if x is y. Depth first, a bounded number of node pairs
+    at a time, so memory doesn't follow the number of pairs."""
     same = x is y
     top = max(len(x.levels), len(y.levels)) - 1
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for k in range(top, -1, -1):
-        if k < top:
-            (fi, ni), (fj, nj) = x.children(k, i), y.children(k, j)
+    todo, out = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))], []
+    while todo:
+        k, i, j = todo.pop()
+        ok = _alive(x.level(k), y.level(k), i, j)
+        i, j = i[ok], j[ok]
+        if k == 0:
+            if same:
+                i, j = i[i < j], j[i < j]
+            ok = possible(x.bits, x.n, y.bits, y.n, i, j)
+            out.append((i[ok], j[ok]))
+            continue
+        for a in range(0, len(i), 1024):
+            (fi, ni), (fj, nj) = x.children(k - 1, i[a : a + 1024]), y.children(k - 1, j[a : a + 1024])
             m = ni * nj
             at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
             wide = np.repeat(nj, m)
-            i, j = np.repeat(fi, m) + at // wide, np.repeat(fj, m) + at % wide
-            if same:
-                ok = i < j if k == 0 else i <= j
-                i, j = i[ok], j[ok]
-        ok = np.concatenate([_alive(x.level(k), y.level(k), i[a : a + 20_000], j[a : a + 20_000]) for a in range(0, len(i), 20_000)] or [np.zeros(0, bool)])
-        i, j = i[ok], j[ok]
-        if not len(i):
-            break
-    if same and len(x.levels) == 1:
-        i, j = i[:0], j[:0]
-    ok = possible(x.bits, x.n, y.bits, y.n, i, j)
-    return i[ok], j[ok]
+            p, q = np.repeat(fi, m) + at // wide, np.repeat(fj, m) + at % wide
+            ok = p <= q if same else slice(None)
+            p, q = p[ok], q[ok]
+            todo += [(k - 1, p[c : c + 16_384], q[c : c + 16_384]) for c in range(0, len(p), 16_384)]
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def possible(xb, xn, yb, yn, i, j) -> np.ndarray:
@@ -182,8 +185,9 @@ def _bits(sigs: list[bytes], words: int) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), words)
 
 
-def block_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sigs: list[bytes], part: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Candidate pairs of one block. part: keep only pairs across parts (of a block that is split)."""
+def block_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sigs: list[bytes], part: np.ndarray | None = None, earlier: np.ndarray | None = None) -> np.ndarray:
+    """Candidate pairs of one block, one a row. part: keep only pairs across parts (of a block that is split). earlier: each row's keys
+    of the bands before this one; a pair that shares one of them has met there already."""
     words = np.array([len(s) // 8 for s in sigs])
     order = np.lexsort((ids, n, comp))
     by = {w: order[words[order] == w] for w in np.unique(words).tolist()}
@@ -199,15 +203,18 @@ def block_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sigs: list[byt
             ok = comp[i] != comp[j]
             if part is not None:
                 ok &= part[i] != part[j]
-            out += list(zip(np.minimum(ids[i], ids[j])[ok].tolist(), np.maximum(ids[i], ids[j])[ok].tolist(), strict=True))
-    return out
+            if earlier is not None:
+                for at in range(0, len(i), 20_000):
+                    ok[at : at + 20_000] &= ~(earlier[i[at : at + 20_000]] == earlier[j[at : at + 20_000]]).any(axis=1)
+            out.append(np.stack([np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 # ---- stages
 def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for b in slices(batch, limit=2_000_000):
+            for b in slices(batch, limit=1_000_000):
                 sets = shingles(b.column("text").to_pylist())
                 d1 = [int(mix(s, 1).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 d2 = [int(mix(s, 2).sum(dtype=np.uint64).view(np.int64)) for s in sets]
@@ -216,7 +223,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n", "d1", "d2", "keys", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, sig binary")
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
@@ -233,10 +240,10 @@ def _of_ids(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
         flags = np.unpackbits(packed).astype(bool)
         for batch in batches:
             batch = batch.filter(pa.array(flags[batch.column("p").to_numpy()]))
-            for b in slices(batch, limit=2_000_000):
+            for b in slices(batch, limit=1_000_000):
                 yield from make(b.column("doc_id"), shingles(b.column("text").to_pylist()))
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text", pos.alias("p")).mapInArrow(run, schema)
+    return small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text", pos.alias("p")).mapInArrow(run, schema)
 
 
 def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -273,20 +280,24 @@ def _pruned(batches):
 
 def _trees(batches):
     """Blocks arrive sorted by key; one block is held at a time (2 * CAP rows at most)."""
-    names = ["key", "i", "j", "rep", "n", "comp", "part", "sig"]
+    names = ["key", "i", "j", "rep", "n", "comp", "part", "sig", "bands"]
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table):
         key = np.stack([rows.column(c).to_numpy() for c in names[:3]], axis=1)
         ids, n, comp, part = (rows.column(c).to_numpy() for c in names[3:7])
-        sigs = rows.column("sig").to_pylist()
+        sigs, bands = rows.column("sig").to_pylist(), rows.column("bands")
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
         out = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if b - a > 1:
                 split = part[a:b] if key[a, 1] != key[a, 2] else None
-                out += block_pairs(ids[a:b], n[a:b], comp[a:b], sigs[a:b], split)
-        x = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+                earlier = None
+                if bands[a].is_valid:
+                    every = np.frombuffer(b"".join(bands[a:b].to_pylist()), np.int64).reshape(b - a, BANDS)
+                    earlier = every[:, : int(np.flatnonzero(every[0] == key[a, 0])[0])]
+                out.append(block_pairs(ids[a:b], n[a:b], comp[a:b], sigs[a:b], split, earlier))
+        x = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
     for b in batches:
@@ -308,12 +319,12 @@ def _trees(batches):
 
 
 def _candidates(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """blocks(key, rep, comp, c): the pairs that the trees of all blocks leave over."""
+    """blocks(key, rep, comp, c): the pairs that the trees of all blocks leave over. nodes: rep, n, sig, bands."""
     parts = F.ceil(F.col("c") / CAP).cast("int")
     rows = blocks.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     rows = rows.select("key", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
     rows = rows.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "rep", "comp", "part")
-    full = rows.join(nodes.select("rep", "n", "sig"), "rep").select("key", "i", "j", "rep", "n", "comp", "part", "sig")
+    full = rows.join(nodes, "rep").select("key", "i", "j", "rep", "n", "comp", "part", "sig", "bands")
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees, "a long, b long").distinct()
 
 
@@ -344,18 +355,24 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # what is left: blocks with more than one component
     open_ = materialize(spark, _mixed(blocks.select("key", "rep", "c"), comps), "open")
     hot = open_.filter(F.col("c") > HOT).select(F.col("rep").alias("doc_id")).distinct()
-    left = _candidates(open_.filter(F.col("c") <= HOT), nodes)
+    plain = nodes.select("rep", "n", "sig", F.lit(None).cast("binary").alias("bands"))
+    left = _candidates(open_.filter(F.col("c") <= HOT), plain)
 
     def make(doc, sets):
-        keys = [band_keys(s) for s in sets if len(s)]
-        kept = [d for d, s in zip(doc.to_pylist(), sets, strict=True) if len(s)]
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(kept, BANDS), pa.int64()), pa.array(np.concatenate(keys).view(np.int64))], ["doc_id", "key"])
-
-    bands = _of_ids(docs, hot, make, "doc_id long, key long").join(hot, "doc_id", "left_semi").distinct().select(F.col("doc_id").alias("rep"), "key")
-    bands = materialize(spark, bands, "bands")
-    again = bands.join(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key").select("key", "rep", "c")
-    left = materialize(spark, left.unionByName(_candidates(_mixed(again, comps), nodes)).distinct().join(star, ["a", "b"], "left_anti"), "left")
+        kept = [(d, band_keys(s).tobytes()) for d, s in zip(doc.to_pylist(), sets, strict=True) if len(s)]
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array([k for _, k in kept], pa.binary())], ["doc_id", "bands"])
+
+    def keys(batches):
+        for b in batches:
+            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(flat)], ["rep", "key"])
+
+    # a repeated doc_id with two texts has two rows of bands; its node is the row whose set the class has
+    banded = _of_ids(docs, hot, make, "doc_id long, bands binary").join(hot, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("bands").alias("bands"))
+    bands = materialize(spark, banded.join(nodes.select(F.col("rep").alias("doc_id"), "n", "sig"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "bands")
+    spread = bands.select("rep", "bands").mapInArrow(keys, "rep long, key long")
+    again = spread.join(spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key").select("key", "rep", "c")
+    left = materialize(spark, left.unionByName(_candidates(_mixed(again, comps), bands)).distinct().join(star, ["a", "b"], "left_anti"), "left")
     second = verified(spark, docs, left, "edges")
     final = connected_components(spark, first.unionByName(second))
     member = rows.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
