@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindra.llm import packing, pii, quality, sigtree
-from tindra.llm.common import materialize, table
+from tindra.llm.common import materialize, maybe_among, table
 
 #: No SQL: boosted trees, similarity components and best fit are beyond it. tests/llm holds it against plain versions.
 ORACLE_SQL = None
@@ -25,13 +25,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group that the Jaccard join links."""
     joined = sigtree.join(spark, docs)
-    heads = joined.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id")
-    heads = materialize(spark, heads, "heads")
-    same = docs["doc_id"].cast("long") == F.col("_id")
-    out = docs.join(heads.filter("_rows = 1"), same, "left_semi").unionByName(docs.filter("doc_id is null"))
-    repeated = heads.filter("_rows > 1")
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    id_, head, flag = (f"{'_' * max(map(len, docs.columns))}_{x}" for x in ("id", "head", "flag"))  # longer than any column's name
+    # ids that need care: those that go, and those that several rows share
+    care = joined.filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.count(F.lit(1)).alias(flag), F.max(F.col("doc_id") == F.col("component_id")).alias(head))
+    care = materialize(spark, care.filter((F.col(flag) > 1) | ~F.col(head)).drop(flag), "care")
+    # most rows need none, which a bitmap of fixed size tells; only the rest is shuffled to be joined by id
+    marked = maybe_among(docs.withColumn(id_, F.col("doc_id").cast("long")), care, id_, flag)
+    sure = marked.filter(~F.col(flag)).select(*docs.columns)
+    asked = marked.filter(flag).join(care, id_, "left")
+    out = sure.unionByName(asked.filter(F.col(head).isNull()).select(*docs.columns))
+    if not care.filter(head).isEmpty():
+        out = out.unionByName(asked.filter(head).dropDuplicates([id_]).select(*docs.columns))
     return out
 
 
