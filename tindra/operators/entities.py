@@ -113,6 +113,15 @@ def pick_unused(candidates: DataFrame) -> DataFrame:
     return best.withColumn("b", F.row_number().over(theirs)).select("id", "other", F.when(F.col("b") == 1, "linked").otherwise("review").alias("status"))
 
 
+def by_name(entities: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, works, members): one entity a distinct name, its id the smallest of its rows and its works all of theirs;
+    members(id, entity) holds every row, so copies of a name need no pairs. Rows without a name are no entities."""
+    named = entities.filter("name_fold != ''")
+    first = named.groupBy("name_fold").agg(F.min("id").alias("entity"))
+    members = named.join(first, "name_fold").select("id", "entity")
+    return first.select(F.col("entity").alias("id"), "name_fold"), works.join(members, "id").select(F.col("entity").alias("id"), "work").distinct(), members
+
+
 def block(entities: DataFrame, works: DataFrame, most_works: int = 2) -> DataFrame:
     """Candidate pairs (a < b): the same first four folded characters, or two common works or more."""
     e = entities.select(F.col("id"), F.substring("name_fold", 1, 4).alias("p"))
