@@ -40,3 +40,20 @@ def test_by_name(spark):
     w = spark.createDataFrame([(3, 7), (1, 7), (1, 8), (2, 9), (4, 9)], "id int, work int")
     one, works, members = entities.by_name(e, w)
     assert rows(one) == [(1, "anna"), (2, "karl")] and rows(works) == [(1, 7), (1, 8), (2, 9)] and rows(members) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_all_titles_are_matched(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").collect()
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    names = {r.p_name for r in part}
+    awards = [(f"{n} {r.n_name.lower()}", 1995 + r.n_nationkey, r.n_nationkey * 100.0) for n in names for r in nations] + [(n, 1999, 50.5) for n in names]
+    want = []
+    for r in part:
+        year = 1990 + r.p_size
+        hits = [x for x in awards if (x[0] == r.p_name or (len(r.p_name) >= 5 and len(x[0]) >= 5 and (r.p_name in x[0] or x[0] in r.p_name))) and year - 9 <= x[1] <= year + 1]
+        confidence = "none" if not hits else "high" if any(x[0] == r.p_name for x in hits) else "medium"
+        status = "matched" if hits else "no_record_in_window" if year >= 2021 else "before_window"
+        want.append((r.p_partkey, len(hits), sum(x[2] for x in hits) if hits else None, confidence, status))
+    got = rows(run(spark, sf_dir, "title_match_containment_all"), "l", "matches", "total", "confidence", "status")
+    assert got == sorted(want, key=str) and len(got) == len(part)
+    assert {"matched", "no_record_in_window"} <= {x[-1] for x in got}
