@@ -4,10 +4,11 @@ from collections import Counter
 from itertools import combinations
 
 from tindra.functions.python import jaro_winkler
-from tindra.operators import entities
+from tindra.operators import entities, spine
 from tindra.plans import registry
+from tindra.sources import tables
 
-from .test_operators import rows
+from .test_operators import base, rows  # noqa: F401
 
 
 def run(spark, sf_dir, name):
@@ -57,3 +58,42 @@ def test_all_titles_are_matched(spark, sf_dir):
     got = rows(run(spark, sf_dir, "title_match_containment_all"), "l", "matches", "total", "confidence", "status")
     assert got == sorted(want, key=str) and len(got) == len(part)
     assert {"matched", "no_record_in_window"} <= {x[-1] for x in got}
+
+
+def test_link_titles(spark):
+    t = spark.createDataFrame([(1, "fúsi", 2015, None), (2, "fúsi", 2016, ""), (3, "fúsi", None, None), (4, "fúsi", 2015, "tt9"), (5, "x", 2015, None), (6, "y", None, None)], "id int, norm string, year int, imdb string")
+    links = spark.createDataFrame([("fúsi", 2014, "tt1", 1), ("fúsi", 2015, "tt2", 2), ("fúsi", 2015, "tt3", 3), ("x", 2015, None, 4), ("y", 2000, "tt4", 5), ("y", None, "tt5", 6)], "norm string, year int, tconst string, ord int")
+    assert rows(spine.link_titles(t, links), "id", "tconst") == [(1, "tt3"), (2, "tt1"), (3, "tt1"), (4, "tt9"), (5, None), (6, "tt5")]
+
+
+def test_accept_titles(spark):
+    ours = spark.createDataFrame([(1, "a", 2010, "film"), (2, "a", 2011, None), (3, "s", 2010, "series"), (4, "k", 2010, "short"), (5, "", 2010, "film")], "id long, norm string, year int, kind string")
+    found = spark.createDataFrame([
+        (1, 0, "tt1", "a", 2011, "movie"), (1, 1, "tt2", "a", 1999, "movie"), (1, 2, "tt3", "a", 2010, "video"), (1, 3, "tt4", "a", 1990, "movie"),
+        (2, 0, "tt1", "a", 2011, "movie"), (3, 0, "tt5", "s", 2012, "tvSeries"), (4, 0, "tt6", "k", 2010, "movie"), (4, 1, "tt7", "k2", 2010, "short"),
+        (4, 2, "tt8", "k", 2010, "short"), (4, 3, "nm1", "k", 2010, "short"), (5, 0, "tt9", "", 2010, "movie"),
+    ], "id long, pos int, tconst string, norm string, year int, kind string")
+    used = spark.createDataFrame([("tt8",)], "tconst string")
+    want = [(1, "tt2", "review", "year_mismatch"), (1, "tt3", "linked", None), (2, "tt1", "linked", None), (3, "tt5", "linked", None), (4, "tt6", "review", "kind_mismatch")]
+    assert rows(spine.accept_titles(ours, found, used), "id", "tconst", "status", "why") == sorted(want, key=str)
+
+
+def test_manual_merges_and_links_in_the_spine(spark, base):
+    _, led = base
+    prods = spark.createDataFrame([(1, "Fúsi", 2015, "film", "Anna B", "s1")], "row long, title string, year int, kind string, director string, source string")
+    firms = spark.createDataFrame([(1, "Hrossabrestur ehf.", "production")], "row long, name string, type string")
+    none = spark.createDataFrame([], "src string, dst string")
+    closed = {"title": none, "company": spark.createDataFrame([("old firm", "hrossabrestur", "Old Firm ehf."), ("z", "nobody", "Z")], "src string, dst string, name string"), "person": spark.createDataFrame([("anna", "anna b")], "src string, dst string")}
+    links = spark.createDataFrame([("fúsi", 2014, "tt1", 1)], "norm string, year int, tconst string, ord int")
+    t = spine.build(prods, firms, led, closed, links)
+    assert rows(t["company_alias"].filter("method = 'manual_merge'"), "name", "company_id", "status") == [("Old Firm ehf.", 1, "resolved")]
+    assert rows(t["person_alias"]) == [("anna", 1, "manual_merge", "resolved")]
+    assert rows(t["title"].filter("tconst is not null"), "norm", "tconst") == [("fúsi", "tt1")]
+
+
+def test_career_starts(spark):
+    people = spark.createDataFrame([(1, "nm1"), (2, "nm2"), (3, None), (4, "nm4")], "id int, nconst string")
+    careers = spark.createDataFrame([("nm1", "A", {"director": (2005, None, None, 2, 3), "writer": (2001, None, None, 1, 1), "cast": (None, None, None, 0, 4), "editor": (0, None, None, 0, 1)}), ("nm2", "B", {"cast": (None, None, None, 0, 1)}), ("nm4", "C", {})], tables.CAREERS)
+    got = spine.career_starts(people, careers)
+    assert rows(got, "id", "career_first_feature_year") == [(1, 2001), (2, None), (3, None), (4, None)]
+    assert {r.id for r in got.filter("career_json is not null").collect()} == {1, 2}

@@ -16,6 +16,8 @@ from . import entities as E
 # Fixed values.
 KINDS = {"leikin_kvikmynd": "film", "leikid_sjonvarp": "series", "heimildamynd": "documentary", "stuttmynd": "short"}
 ROLES = ("director", "writer", "producer")
+FITTING = {"film": "movie,tvMovie,video", "documentary": "movie,tvMovie,video", "short": "short,tvShort", "series": "tvSeries,tvMiniSeries"}
+NEAR = {"film": 1, "documentary": 1, "short": 1, "series": 2}
 
 
 def with_ids(df: DataFrame, *order: str) -> DataFrame:
@@ -36,6 +38,56 @@ def clean_ledger(ledger: DataFrame) -> DataFrame:
     return out.withColumn("title", F.col("t.title")).withColumn("former", F.col("t.former")).drop("t").withColumn("norm", X.name_norm("title"))
 
 
+def manual_merges(closed: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name, id, method, status): the dropped name of each closed redirect (src, dst, and name where it is known) whose end
+    is an entity(id, norm); the norm stands for a name that isn't known."""
+    name = F.coalesce("name", "src") if "name" in closed.columns else F.col("src")
+    r = closed.select(name.alias("name"), F.col("dst").alias("norm"))
+    return r.join(entities.select("id", "norm"), "norm").select("name", "id", F.lit("manual_merge").alias("method"), F.lit("resolved").alias("status")).distinct()
+
+
+def link_titles(titles: DataFrame, links: DataFrame) -> DataFrame:
+    """titles(norm, year, imdb) with tconst: their own, else that of the last link(norm, year, tconst, ord) of the same norm
+    and year, else that of the first link of the norm."""
+    known = links.filter("tconst != ''")
+    near = known.groupBy(F.col("norm").alias("_n"), F.col("year").alias("_y")).agg(F.max_by("tconst", "ord").alias("_near"))
+    far = known.groupBy("norm").agg(F.min_by("tconst", "ord").alias("_far"))
+    out = titles.join(near, (F.col("norm") == F.col("_n")) & F.col("year").eqNullSafe(F.col("_y")), "left").join(far, "norm", "left")
+    return out.withColumn("tconst", F.coalesce(F.nullif("imdb", F.lit("")), "_near", "_far")).drop("_n", "_y", "_near", "_far")
+
+
+def accept_titles(ours: DataFrame, candidates: DataFrame, used: DataFrame) -> DataFrame:
+    """(id, tconst, status, why) for ours(id, norm, year, kind) and what a search found for them, candidates(id, pos, tconst,
+    norm, year, kind): the first of equal norm, fitting kind and near year that nobody has, used(tconst) included, is linked;
+    those of equal norm before it are for review, with why they don't fit.
+
+    Titles take turns, later years first, then by id. A candidate has one norm, so turns matter within a norm only, and a
+    fold over a norm's candidates is the whole sequence.
+    """
+    c = candidates.filter("tconst like 'tt%'").join(used.select("tconst").distinct(), "tconst", "left_anti")
+    c = c.select("id", "pos", "tconst", "norm", F.col("year").alias("cyear"), F.col("kind").alias("ckind"))
+    kind = F.when(F.col("kind").isin(*FITTING), F.col("kind")).otherwise("film")
+    kinds, years = (F.create_map(*[F.lit(v) for kv in m.items() for v in kv])[kind] for m in (FITTING, NEAR))
+    kind_ok = F.coalesce(F.array_contains(F.split(kinds, ","), F.col("ckind")), F.lit(False))
+    year_ok = F.coalesce((F.col("cyear") != 0) & (F.col("year") != 0) & (F.abs(F.col("cyear") - F.col("year")) <= years), F.lit(False))
+    why = F.when(kind_ok, "year_mismatch").otherwise("kind_mismatch")
+    x = F.struct((-F.coalesce("year", F.lit(0))).alias("turn"), F.col("id").cast("long").alias("id"), F.col("pos").cast("long").alias("pos"), "tconst", (kind_ok & year_ok).alias("ok"), why.alias("why"))
+    norms = ours.filter("norm != ''").join(c, ["id", "norm"]).groupBy("norm").agg(F.sort_array(F.collect_list(x)).alias("xs"))
+    fold = """aggregate(xs, cast(struct(array() AS taken, array() AS done, array() AS out) AS struct<taken:array<string>,done:array<bigint>,out:array<struct<id:bigint,tconst:string,status:string,why:string>>>),
+        (a, x) -> CASE WHEN array_contains(a.taken, x.tconst) OR array_contains(a.done, x.id) THEN a
+            WHEN x.ok THEN struct(concat(a.taken, array(x.tconst)) AS taken, concat(a.done, array(x.id)) AS done, concat(a.out, array(struct(x.id AS id, x.tconst AS tconst, 'linked' AS status, cast(null AS string) AS why))) AS out)
+            ELSE struct(a.taken AS taken, a.done AS done, concat(a.out, array(struct(x.id AS id, x.tconst AS tconst, 'review' AS status, x.why AS why))) AS out) END,
+        a -> a.out)"""
+    return norms.select(F.inline(F.expr(fold)))
+
+
+def career_starts(people: DataFrame, careers: DataFrame) -> DataFrame:
+    """people(nconst) with the least first feature year over the roles of their career, and those roles as JSON."""
+    year = F.array_min(F.transform(F.map_values("roles"), lambda r: F.nullif(r["first_feature_year"], F.lit(0))))
+    c = careers.filter("size(roles) > 0").groupBy("nconst").agg(F.min(year).alias("career_first_feature_year"), F.max(F.to_json("roles")).alias("career_json"))
+    return people.join(c, "nconst", "left")
+
+
 def company_entities(registry: DataFrame, ledger: DataFrame, closed: DataFrame) -> dict[str, DataFrame]:
     """Companies: the registry first, then names of the ledger; and an alias row per ledger name, resolved by equal norm or
     left unresolved beside the registry firm it contains or is contained in."""
@@ -49,16 +101,20 @@ def company_entities(registry: DataFrame, ledger: DataFrame, closed: DataFrame)
     regs = firms.filter("member = 1 and length(norm) >= 4")
     loose = E.containment(names.filter("length(norm) >= 4").select(F.col("name").alias("l"), F.col("norm").alias("ln")), regs.select(F.col("id").alias("r"), F.col("norm").alias("rn")), least=4).filter("not exact")
     fuzzy = loose.groupBy("l").agg(F.min("r").alias("company_id")).select(F.col("l").alias("name"), "company_id", F.lit("fuzzy_contains").alias("method"), F.lit("unresolved").alias("status"))
-    return {"company": firms, "alias": exact.unionByName(fuzzy)}
+    merged = manual_merges(closed, firms).withColumnRenamed("id", "company_id")
+    return {"company": firms, "alias": exact.unionByName(fuzzy).unionByName(merged)}
 
 
-def title_entities(productions: DataFrame, ledger: DataFrame, closed: DataFrame) -> dict[str, DataFrame]:
-    """Titles: the catalog first (with its funding), then ledger projects that name no known title. Long descriptions of
+def title_entities(productions: DataFrame, ledger: DataFrame, closed: DataFrame, links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Titles: the catalog first (with its funding, and its tconst from imdb or links), then ledger projects that name no known title. Long descriptions of
     support in the family annad are no titles."""
     prods = E.apply_redirects(productions.withColumn("norm", X.name_norm("title")), "norm", closed)
+    if "imdb" not in prods.columns:
+        prods = prods.withColumn("imdb", F.lit(None).cast("string"))
+    prods = link_titles(prods, links) if links is not None else prods.withColumn("tconst", F.nullif("imdb", F.lit("")))
     led = E.apply_redirects(ledger, "norm", closed)
-    cat = prods.select(F.lit(0).alias("src"), "row", "title", "norm", "year", "kind", F.col("source"))
-    own = led.filter((F.col("norm") != "") & ~((F.coalesce("family", F.lit("")) == "annad") & X.is_support("project_title"))).select(F.lit(1).alias("src"), "row", "title", "norm", F.col("year"), X.relabel("format_track", KINDS).alias("kind"), F.col("source_id").alias("source"))
+    cat = prods.select(F.lit(0).alias("src"), "row", "title", "norm", "year", "kind", F.col("source"), "tconst")
+    own = led.filter((F.col("norm") != "") & ~((F.coalesce("family", F.lit("")) == "annad") & X.is_support("project_title"))).select(F.lit(1).alias("src"), "row", "title", "norm", F.col("year"), X.relabel("format_track", KINDS).alias("kind"), F.col("source_id").alias("source"), F.lit(None).cast("string").alias("tconst"))
     first = cat.unionByName(own).filter("norm != ''").withColumn("n", F.row_number().over(Window.partitionBy("norm").orderBy("src", "row"))).filter("n = 1").drop("n")
     titles = with_ids(first, "src", "row")
     funded = E.funding_matches(titles.filter("src = 0").select(F.col("id").alias("l"), F.col("norm").alias("ln"), "year"), led.filter("length(norm) >= 3").select(F.col("row").alias("r"), F.col("norm").alias("rn"), F.col("year").alias("ryear"), X.truthy("amount_isk", "commitment_isk").alias("amount")))
@@ -83,7 +139,8 @@ def credit_edges(productions: DataFrame, ledger: DataFrame, titles: DataFrame, c
     edges = edges.withColumn("n", F.row_number().over(Window.partitionBy("title_id", "person_id", "role").orderBy("src", "row", "pos"))).filter("n = 1")
     roll = edges.groupBy("person_id").agg(F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.count(F.lit(1)).alias("credit_count"))
     people = people.join(roll.withColumnRenamed("person_id", "id"), "id", "left")
-    return {"person": people, "title_credit": edges.select("title_id", "person_id", "role", "src")}
+    merged = manual_merges(closed, people).withColumnRenamed("id", "person_id")
+    return {"person": people, "title_credit": edges.select("title_id", "person_id", "role", "src"), "person_alias": merged}
 
 
 def company_edges(ledger: DataFrame, titles: DataFrame, firms: DataFrame, closed: DataFrame) -> DataFrame:
@@ -91,11 +148,12 @@ def company_edges(ledger: DataFrame, titles: DataFrame, firms: DataFrame, closed
     return rows.join(titles.select(F.col("id").alias("title_id"), "norm"), "norm").join(firms.select(F.col("id").alias("company_id"), F.col("norm").alias("cnorm")), "cnorm").select("title_id", "company_id").distinct()
 
 
-def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All spine tables. Inputs carry `row`, their arrival order; closed has redirects for company, person and title."""
+def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All spine tables. Inputs carry `row`, their arrival order; closed has redirects for company, person and title; links
+    are imdb links."""
     led = clean_ledger(ledger)
     firms = company_entities(registry, led, closed["company"])
-    titles = title_entities(productions, led, closed["title"])
+    titles = title_entities(productions, led, closed["title"], links)
     people = credit_edges(productions, led, titles["title"], closed["person"])
     money = led.filter("company is not null").withColumn("norm", X.company_norm("company")).groupBy("norm").agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
     company = firms["company"].join(money, "norm", "left").withColumn("awards", F.coalesce("awards", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
