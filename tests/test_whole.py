@@ -4,7 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 from tindra.functions.python import jaro_winkler
-from tindra.operators import entities, spine
+from tindra.operators import entities, ledger, spine
 from tindra.plans import registry
 from tindra.sources import tables
 
@@ -97,3 +97,12 @@ def test_career_starts(spark):
     got = spine.career_starts(people, careers)
     assert rows(got, "id", "career_first_feature_year") == [(1, 2001), (2, None), (3, None), (4, None)]
     assert {r.id for r in got.filter("career_json is not null").collect()} == {1, 2}
+
+
+def test_allocation_summary(spark):
+    a = spark.createDataFrame([("f", "A", 10.0), ("f", "B", 20.0), ("g", "B", 60.0), (None, None, 5.0), ("g", "C", None)], "family string, company string, amount double")
+    s = ledger.allocation_summary(a, companies=1)
+    assert rows(s["totals"]) == [(95.0, 23.75, 15.0)]
+    assert rows(s["by_category"]) == [("f", 30.0), ("g", 60.0)] and rows(s["top_companies"]) == [("B", 80.0)]
+    s = ledger.allocation_summary(a.limit(0))
+    assert rows(s["totals"]) == [(0.0, 0.0, 0.0)] and s["by_category"].isEmpty() and s["top_companies"].isEmpty()

@@ -109,6 +109,12 @@ def summary(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(money_sum("amount"), F.lit(0.0)).alias("total"), F.coalesce(F.bround(F.avg("amount"), 2), F.lit(0.0)).alias("average"), F.coalesce(F.median("amount"), F.lit(0.0)).alias("median"))
 
 
+def allocation_summary(df: DataFrame, companies: int = 5) -> dict[str, DataFrame]:
+    """Total, average and median; totals by family; and the companies of the largest totals. Rows without a family or a
+    company count in the first only."""
+    return {"totals": summary(df), "by_category": by(df.filter("family is not null"), "family").drop("awards"), "top_companies": top(df.filter("company is not null"), companies).drop("awards")}
+
+
 def readiness(requirements: DataFrame, done: DataFrame) -> DataFrame:
     """Weighted share of finished requirements per project, and what is missing. requirements(project, item, weight)."""
     ok = F.coalesce(F.lower("status").isin("done", "complete", "completed"), F.lit(False))

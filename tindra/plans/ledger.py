@@ -88,6 +88,14 @@ def summary_of_nothing(spark, sf_dir):
     return L.summary(awards(spark, sf_dir).filter("year < 1900"))
 
 
+@query(f"{AWARDS}, s AS (SELECT coalesce({SUM}, 0) AS total, coalesce(round_even({SUM} / count(amount), 2), 0) AS average, coalesce(median(amount), 0) AS median FROM a) SELECT 'total' AS kind, '' AS label, total AS value FROM s UNION ALL SELECT 'average', '', average FROM s UNION ALL SELECT 'median', '', median FROM s UNION ALL SELECT 'category', family, {SUM} FROM a WHERE family IS NOT NULL GROUP BY 2 UNION ALL SELECT 'company', company, value FROM (SELECT company, {SUM} AS value FROM a WHERE company IS NOT NULL GROUP BY 1 ORDER BY value DESC, company LIMIT 5)")
+def summary_of_awards(spark, sf_dir):
+    s = L.allocation_summary(awards(spark, sf_dir))
+    one = s["totals"].unpivot([], ["total", "average", "median"], "kind", "value").select("kind", F.lit("").alias("label"), "value")
+    families = s["by_category"].select(F.lit("category").alias("kind"), F.col("family").alias("label"), F.col("total").alias("value"))
+    return one.unionByName(families).unionByName(s["top_companies"].select(F.lit("company").alias("kind"), F.col("company").alias("label"), F.col("total").alias("value")))
+
+
 @query("SELECT o_custkey AS title, min(src)::INT AS src, arg_min(o_orderkey, o_orderkey) FILTER (WHERE src = m) AS first_order FROM (SELECT *, min(src) OVER (PARTITION BY o_custkey) AS m FROM (SELECT *, CASE WHEN year(o_orderdate) < 1998 THEN 1 ELSE 0 END AS src FROM orders)) GROUP BY 1")
 def first_source_wins(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("title"), F.when(F.year("o_orderdate") < 1998, 1).otherwise(0).alias("src"), F.col("o_orderkey").alias("first_order"))
