@@ -9,7 +9,9 @@ Hits are verified by exact cosine in double precision. A pair is counted in the
 no pair leaves its task: what comes out is a count and a forest of links a node. Shards over CAP nodes are split by hash
 into blocks that every query of the shard visits, so a third of all rows in one group stays in bounded tasks.
 
-Recall is audited by brute force for AUDIT nodes over all rows; below GOAL the overlap grows and the search runs again.
+Recall is audited by brute force over all rows: the mean, over sampled nodes that have links, of the share of a node's links
+that were found. The sample grows from AUDIT nodes to MOST until LINKED of them have links; if none has, recall isn't measured
+(null). Below GOAL the overlap grows and the search runs again.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have an uncommon length link with
 nothing and are their own component; a repeated vec_id counts as several vectors (and comes back as often); an empty table
@@ -29,7 +31,7 @@ from .vectors import cosine, matrix, sample, unit, usable
 
 SAMPLE, SHARD, MOST_SHARDS, CAP = 8192, 1500, 1024, 4096
 DEGREE, POOL, FAR, ALPHA, BEAM, SLACK = 20, 40, 6, 1.2, 12, 0.06
-AUDIT, GOAL = 128, 0.98
+AUDIT, LINKED, MOST, GOAL = 128, 16, 8192, 0.98
 
 
 def centres(points: np.ndarray, k: int, seed: int = 11, rounds: int = 6) -> np.ndarray:
@@ -161,7 +163,7 @@ def _search(spark, reps: DataFrame, kind: str, centre: np.ndarray, overlap: int,
     rows = materialize(spark, placed.select("*", F.explode("shards").alias("shard")), "shards")
     sizes = rows.groupBy("shard").count().collect()  # one row a shard, MOST_SHARDS at most
     blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r.shard, -(-r["count"] // CAP))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    nodes = rows.withColumn("blocks", blocks[F.col("shard")]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    nodes = rows.withColumn("blocks", blocks[F.col("shard")]).withColumn("block", F.pmod(F.xxhash64("rep", "shard"), F.col("blocks")).cast("int"))  # other blocks in each shard
 
     def graph(t: pa.Table) -> pa.Table:
         ids = t.column("rep").to_numpy()
@@ -217,24 +219,36 @@ def _search(spark, reps: DataFrame, kind: str, centre: np.ndarray, overlap: int,
     return materialize(spark, got, "links")
 
 
-def audit(reps: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the links that brute force over all rows finds for AUDIT nodes which the search has found too."""
-    ids, raw = sample(reps.withColumnRenamed("rep", "vec_id"), AUDIT)
-    if not len(ids):
-        return 1.0
+def truth(reps: DataFrame, threshold: float) -> dict[int, int]:
+    """Links, by brute force over all rows, of the sampled nodes that have any: MOST nodes at most."""
+    most = AUDIT
+    while True:
+        ids, raw = sample(reps.withColumnRenamed("rep", "vec_id"), most)
+        x = unit(raw) if len(ids) else raw
+
+        def exact(batches, ids=ids, x=x):
+            seen = np.zeros(len(ids), np.int64)
+            for b in batches:
+                v, w, y = b.column(0).to_numpy(), b.column(1).to_numpy(), unit(matrix(b.column(2))).T
+                for i in range(0, len(ids), 128):
+                    hit = (x[i : i + 128] @ y >= threshold) & (ids[i : i + 128, None] != v[None, :])
+                    seen[i : i + 128] += (hit * w[None, :]).sum(axis=1)
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(seen[at])], ["rep", "n"])
+
+        true = reps.select("rep", "weight", "embedding").mapInArrow(exact, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+        found = {r.rep: r.n for r in true.collect()} if len(ids) else {}
+        if len(found) >= LINKED or len(ids) < most or most >= MOST:
+            return found
+        most *= 8
 
-    def exact(batches):
-        seen = np.zeros(len(ids), np.int64)
-        for b in batches:
-            v, w, x = b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2))
-            hit = (unit(raw) @ unit(x).T >= threshold) & (ids[:, None] != v[None, :])
-            seen += (hit * w[None, :]).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen)], ["rep", "n"])
 
-    true = reps.select("rep", "weight", "embedding").mapInArrow(exact, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    got = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
-    a, b = true.join(got, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("linked", F.lit(0))))).first()
-    return b / a if a else 1.0
+def audit(links: DataFrame, true: dict[int, int]) -> float | None:
+    """Mean share of a node's true links that the search has found too; None if there are none to look for."""
+    if not true:
+        return None
+    got = {r.rep: r.n for r in links.filter(F.col("rep").isin(*true)).groupBy("rep").agg(F.sum("linked").alias("n")).collect()}
+    return sum(min(n, got.get(i, 0)) / n for i, n in true.items()) / len(true)
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95, overlap: int = 4) -> DataFrame:
@@ -244,13 +258,14 @@ def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95,
     reps = materialize(spark, vecs.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "reps")
     total = reps.count()
     _, points = sample(reps.withColumnRenamed("rep", "vec_id"), SAMPLE)
-    recall, links = 1.0, None
+    recall, links = None, None
     if total:
         centre = centres(unit(points), min(MOST_SHARDS, -(-total // SHARD)))
+        true = truth(reps, threshold)
         while True:
             links = _search(spark, reps, kind, centre, overlap, threshold)
-            recall = audit(reps, links, threshold)
-            if recall >= GOAL or overlap >= len(centre):
+            recall = audit(links, true)
+            if recall is None or recall >= GOAL or overlap >= len(centre):
                 break
             drop(spark, links)
             overlap *= 2
@@ -263,4 +278,4 @@ def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95,
     rows = df.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding")).join(known, "embedding", "left")
     n = F.coalesce(F.col("linked") + F.col("weight") - 1, F.lit(0)).cast("long")
     comp = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", n.alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall"))
+    return rows.select("vec_id", n.alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"))
