@@ -24,3 +24,25 @@ def test_audit_samples_on_to_linked_nodes(spark, monkeypatch):
     assert vamana.truth(reps, 0.95) == {7: 1, 8: 1}
     alone = vamana.near_duplicates(spark, vector_frame(spark, x[:5], [])).collect()
     assert len(alone) == 5 and all(r.audit_recall is None for r in alone)
+
+
+def test_every_length_is_searched(spark):
+    """Most vectors have 16 components; those of 8 have copies and neighbours too."""
+    x, y = vectors(6, 320), np.random.default_rng(7).normal(size=(60, 8)).astype(np.float32)
+    y[1], y[3] = y[0], 3 * y[2]
+    extra = [(1000 + i, v) for i, v in enumerate(y.tolist())]
+    df = vector_frame(spark, x, extra)
+    got = {r.vec_id: r for r in vamana.near_duplicates(spark, df).collect()}
+    u = y.astype(float) / np.linalg.norm(y.astype(float), axis=1)[:, None]
+    link = (u @ u.T >= 0.95) & ~np.eye(len(y), dtype=bool)
+    comp = roots(zip(*(a.tolist() for a in np.nonzero(link)), strict=True), range(len(y)))
+    assert len(got) == len(x) + len(y) and link[0, 1] and link[2, 3]
+    assert all((got[1000 + i].n_links, got[1000 + i].component_id) == (link[i].sum(), 1000 + comp[i]) for i in range(len(y)))
+    near = rpforest.search(spark, df).collect()
+    assert {r.query_id for r in near} == {*range(0, len(x), 50), 1000, 1050}
+    assert all((r.query_id >= 1000) == (r.vec_id >= 1000) for r in near)
+    for q in (0, 50):
+        s = u @ u[q]
+        s[q] = -9
+        own = [r.vec_id - 1000 for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == 1000 + q]
+        assert own == np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5].tolist()

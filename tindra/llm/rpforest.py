@@ -10,7 +10,8 @@ There all candidates are scored in double precision; a query's best few of each
 The budget is measured, not guessed: for AUDIT queries the exact neighbours are found by brute force over all rows, and the
 budget is what brings RECALL of them into the leaves reached. Vectors without structure need most leaves; clustered ones few.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have an uncommon length take no part;
+Defined results: vectors that are null, zero, or hold null or non-finite components take no part; each length of vectors has
+a search of its own;
 equal scores go to the smaller vec_id; a repeated vec_id is one candidate with its best score; fewer candidates than k: all
 of them; empty table: no rows. Extra columns are not read.
 """
@@ -18,6 +19,7 @@ of them; empty table: no rows. Extra columns are not read.
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .vectors import cosine, matrix, sample, unit, usable
+from .vectors import cosine, lengths, matrix, of_length, sample, unit, usable
 
 TREES, SAMPLE, LEAF, PART, AUDIT, RECALL, GROUP = 8, 16_384, 100, 4096, 64, 0.97, 16_384
 
@@ -120,10 +122,16 @@ def _top(q, v, s, k):
 def search(spark: SparkSession, df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose vec_id is divisible by `every`."""
     vecs = usable(df)
+    asked = lengths(vecs.filter(F.col("vec_id") % every == 0))
+    if not asked:
+        return vecs.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    return reduce(DataFrame.unionByName, [_search(spark, of_length(vecs, n), every, k) for n in asked])
+
+
+def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int) -> DataFrame:
+    """The same over usable vectors of one length."""
     total = vecs.count()
     ids, points = sample(vecs, SAMPLE)
-    if not len(ids):
-        return vecs.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     forest = Forest(unit(points), TREES, max(8, LEAF * len(ids) // max(total, 1)))
     names = ["leaf", "n"]
 
@@ -171,7 +179,7 @@ def search(spark: SparkSession, df: DataFrame, every: int = 50, k: int = 5) -> D
     parts = np.maximum(1, -(-sizes // PART))
     first = np.concatenate([[0], np.cumsum(parts)])
     groups = max(1, -(-total * TREES // GROUP))
-    kind = df.schema["embedding"].dataType.simpleString()
+    kind = vecs.schema["embedding"].dataType.simpleString()
 
     def index(batches):
         for b in batches:

@@ -13,13 +13,15 @@ Recall is audited by brute force over all rows: the mean, over sampled nodes tha
 that were found. The sample grows from AUDIT nodes to MOST until LINKED of them have links; if none has, recall isn't measured
 (null). Below GOAL the overlap grows and the search runs again.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have an uncommon length link with
-nothing and are their own component; a repeated vec_id counts as several vectors (and comes back as often); an empty table
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are their own
+component; vectors of one length are searched together, and the least recall of all lengths is told; a repeated vec_id counts as several vectors (and comes back as often); an empty table
 gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialize
 from .components import connected_components, union_find
-from .vectors import cosine, matrix, sample, unit, usable
+from .vectors import cosine, lengths, matrix, of_length, sample, unit, usable
 
 SAMPLE, SHARD, MOST_SHARDS, CAP = 8192, 1500, 1024, 4096
 DEGREE, POOL, FAR, ALPHA, BEAM, SLACK = 20, 40, 6, 1.2, 12, 0.06
@@ -251,26 +253,28 @@ def audit(links: DataFrame, true: dict[int, int]) -> float | None:
     return sum(min(n, got.get(i, 0)) / n for i, n in true.items()) / len(true)
 
 
+def _links(spark: SparkSession, reps: DataFrame, kind: str, threshold: float, overlap: int) -> tuple[DataFrame, float | None]:
+    """Links of nodes of one length, and the audited recall."""
+    _, points = sample(reps.withColumnRenamed("rep", "vec_id"), SAMPLE)
+    centre = centres(unit(points), min(MOST_SHARDS, -(-reps.count() // SHARD)))
+    true = truth(reps, threshold)
+    while True:
+        links = _search(spark, reps, kind, centre, overlap, threshold)
+        recall = audit(links, true)
+        if recall is None or recall >= GOAL or overlap >= len(centre):
+            return links, recall
+        drop(spark, links)
+        overlap *= 2
+
+
 def near_duplicates(spark: SparkSession, df: DataFrame, threshold: float = 0.95, overlap: int = 4) -> DataFrame:
     """vec_id, n_links, component_id, kept and the audited recall, one row a vector."""
     kind = df.schema["embedding"].dataType.simpleString()
     vecs = usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
     reps = materialize(spark, vecs.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "reps")
-    total = reps.count()
-    _, points = sample(reps.withColumnRenamed("rep", "vec_id"), SAMPLE)
-    recall, links = None, None
-    if total:
-        centre = centres(unit(points), min(MOST_SHARDS, -(-total // SHARD)))
-        true = truth(reps, threshold)
-        while True:
-            links = _search(spark, reps, kind, centre, overlap, threshold)
-            recall = audit(links, true)
-            if recall is None or recall >= GOAL or overlap >= len(centre):
-                break
-            drop(spark, links)
-            overlap *= 2
-    else:
-        links = spark.createDataFrame([], "rep long, linked long, root long")
+    parts = [_links(spark, of_length(reps, n), kind, threshold, overlap) for n in lengths(reps)]
+    links = reduce(DataFrame.unionByName, [x for x, _ in parts]) if parts else spark.createDataFrame([], "rep long, linked long, root long")
+    recall = min((r for _, r in parts if r is not None), default=None)
     counts = links.groupBy("rep").agg(F.sum("linked").alias("linked"))
     comps = connected_components(spark, links.filter("rep != root").select("rep", "root"))
     by_rep = counts.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "linked", F.coalesce("component", "rep").alias("component_id"))

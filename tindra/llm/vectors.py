@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame) -> DataFrame:
-    """(vec_id, embedding): rows with an id and a finite vector that isn't zero, of the commonest length."""
+    """(vec_id, embedding): rows with an id and a finite vector that isn't zero, of any length."""
     ok = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x != 0)"
-    rows = df.select("vec_id", "embedding").filter(ok)
-    top = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("embedding") == F.lit(top.n if top else 0))
+    return df.select("vec_id", "embedding").filter(ok)
+
+
+def lengths(vecs: DataFrame) -> list[int]:
+    """The vectors' lengths, the commonest first; only vectors of one length can be compared."""
+    return [r.n for r in vecs.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").collect()]
+
+
+def of_length(df: DataFrame, n: int) -> DataFrame:
+    return df.filter(F.size("embedding") == n)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
