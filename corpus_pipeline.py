@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of
 documents, so their order could be changed. Rows with a null doc_id are kept by the near-duplicate stage, which can't tell
-them apart; rows that repeat a doc_id are one document there, and one of them stays.
+them apart; rows that repeat a doc_id are one document there, and where it stays each of its texts stays once.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     asked = marked.filter(flag).join(care, id_, "left")
     out = sure.unionByName(asked.filter(F.col(head).isNull()).select(*docs.columns))
     if not care.filter(head).isEmpty():
-        out = out.unionByName(asked.filter(head).dropDuplicates([id_]).select(*docs.columns))
+        out = out.unionByName(asked.filter(head).dropDuplicates([id_, "text"]).select(*docs.columns))
     return out
 
 

@@ -46,3 +46,24 @@ def test_every_length_is_searched(spark):
         s[q] = -9
         own = [r.vec_id - 1000 for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == 1000 + q]
         assert own == np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5].tolist()
+
+
+@pytest.mark.parametrize("hot", [128, 2])
+def test_repeated_ids_with_two_texts(spark, frame, monkeypatch, hot):
+    """Links that meet in hot blocks only, of both texts of one doc_id; and the classes of its texts are one component."""
+    import random
+
+    monkeypatch.setattr(sigtree, "HOT", hot)
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} {t}" for _ in range(8) for t in near_copies(rng, 4, 100, 4)]
+    rows = [(i // 2 if i % 8 == 1 else 100 + i, t) for i, t in enumerate(texts)]
+    rows += [(rows[1][0], texts[9] + " more"), (rows[9][0], texts[20]), (1, "a b c d e f"), (90, "a b c d e f"), (90, "x y z u v w"), (91, "x y z u v w")]
+    got = sigtree.join(spark, frame(rows).repartition(4)).collect()
+    assert sorted(map(tuple, got), key=str) == plain_join(rows)
+
+
+def test_pipeline_keeps_each_text_of_a_repeated_id(spark, sf_dir):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (1, "one two three four five six"), (2, "other words that stand here alone")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(map(tuple, out.collect())) == sorted({*rows})

@@ -93,6 +93,11 @@ def signature(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two numbers that, with its size, stand for the set."""
+    return tuple(int(mix(s, k).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2))
+
+
 def band_keys(s: np.ndarray) -> np.ndarray:
     low = np.concatenate([((s[None, :] ^ _BAND_B[i : i + 40, None]) * _BAND_A[i : i + 40, None]).min(axis=1) for i in range(0, BANDS * ROWS, 40)])
     low = mix(low.reshape(BANDS, ROWS), 3)
@@ -216,8 +221,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for b in slices(batch, limit=1_000_000):
                 sets = shingles(b.column("text").to_pylist())
-                d1 = [int(mix(s, 1).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                d2 = [int(mix(s, 2).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                d1, d2 = zip(*map(digests, sets), strict=True) if sets else ((), ())
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([s[:KEYS].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())],
                     ["doc_id", "n", "d1", "d2", "keys", "sig"],
@@ -319,18 +323,20 @@ def _trees(batches):
 
 
 def _candidates(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """blocks(key, rep, comp, c): the pairs that the trees of all blocks leave over. nodes: rep, n, sig, bands."""
+    """blocks(key, rep, comp, c): the pairs that the trees of all blocks leave over. nodes: rep, n, sig, bands; both may have
+    the digests d1 and d2, which tell apart the texts of a repeated doc_id."""
+    same = ["rep", *[x for x in ("d1", "d2") if x in blocks.columns]]
     parts = F.ceil(F.col("c") / CAP).cast("int")
     rows = blocks.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.select("key", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    rows = rows.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "rep", "comp", "part")
-    full = rows.join(nodes, "rep").select("key", "i", "j", "rep", "n", "comp", "part", "sig", "bands")
+    rows = rows.select("key", *same, "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    rows = rows.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), *same, "comp", "part")
+    full = rows.join(nodes, same).select("key", "i", "j", "rep", "n", "comp", "part", "sig", "bands")
     return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees, "a long, b long").distinct()
 
 
 def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
     """Blocks (key, rep, c) with more than one component in them, and their nodes' components."""
-    rows = blocks.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "c", F.coalesce("component", "rep").alias("comp"))
+    rows = blocks.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*blocks.columns, F.coalesce("component", "rep").alias("comp"))
     spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     return rows.join(spread, "key")
 
@@ -341,7 +347,7 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = materialize(spark, sketch(docs), "sketch")
     usable = rows.filter("n > 0 and doc_id is not null")
     classes = materialize(spark, usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = materialize(spark, usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys", "sig"), "nodes")
+    nodes = materialize(spark, usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "keys", "sig"), "nodes")
     keyed = nodes.select("rep", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).filter("c > 1")
     blocks = materialize(spark, keyed.join(sizes, "key"), "blocks")
@@ -359,24 +365,30 @@ def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     left = _candidates(open_.filter(F.col("c") <= HOT), plain)
 
     def make(doc, sets):
-        kept = [(d, band_keys(s).tobytes()) for d, s in zip(doc.to_pylist(), sets, strict=True) if len(s)]
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array([k for _, k in kept], pa.binary())], ["doc_id", "bands"])
+        kept = [(d, *digests(s), len(s), band_keys(s).tobytes()) for d, s in zip(doc.to_pylist(), sets, strict=True) if len(s)]
+        cols = list(zip(*kept, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], ["doc_id", "d1", "d2", "n", "bands"])
 
     def keys(batches):
         for b in batches:
-            flat = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(flat)], ["rep", "key"])
-
-    # a repeated doc_id with two texts has two rows of bands; its node is the row whose set the class has
-    banded = _of_ids(docs, hot, make, "doc_id long, bands binary").join(hot, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("bands").alias("bands"))
-    bands = materialize(spark, banded.join(nodes.select(F.col("rep").alias("doc_id"), "n", "sig"), "doc_id").select(F.col("doc_id").alias("rep"), "n", "sig", "bands"), "bands")
-    spread = bands.select("rep", "bands").mapInArrow(keys, "rep long, key long")
-    again = spread.join(spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key").select("key", "rep", "c")
+            flat = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(b.column(i).to_numpy(), BANDS)) for i in range(3)], pa.array(flat)], ["rep", "d1", "d2", "key"])
+
+    # a repeated doc_id with two texts may be two nodes: each has the bands of its own set
+    of = ["doc_id", "d1", "d2", "n"]
+    banded = _of_ids(docs, hot, make, "doc_id long, d1 long, d2 long, n long, bands binary").join(hot, "doc_id", "left_semi").groupBy(*of).agg(F.min("bands").alias("bands"))
+    bands = materialize(spark, banded.join(nodes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n", "sig").distinct(), of).select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "sig", "bands"), "bands")
+    spread = bands.select("rep", "d1", "d2", "bands").mapInArrow(keys, "rep long, d1 long, d2 long, key long")
+    again = spread.join(spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key").select("key", "rep", "d1", "d2", "c")
     left = materialize(spark, left.unionByName(_candidates(_mixed(again, comps), bands)).distinct().join(star, ["a", "b"], "left_anti"), "left")
     second = verified(spark, docs, left, "edges")
-    final = connected_components(spark, first.unionByName(second))
+    # a repeated doc_id is one document: the classes of its texts are one component
+    reps = usable.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep")
+    ends = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
+    several = materialize(spark, reps.join(ends, "doc_id").filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), "several")
+    final = connected_components(spark, first.unionByName(second).unionByName(several))
     member = rows.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
     out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
     out = materialize(spark, out, "joined")
-    drop(spark, rows, classes, nodes, blocks, star, first, comps, open_, bands, left, second)
+    drop(spark, rows, classes, nodes, blocks, star, first, comps, open_, bands, left, second, several)
     return out
