@@ -75,14 +75,40 @@ def documents(seed):
     return texts
 
 
-@pytest.mark.parametrize(("hot", "cap"), [(128, 2048), (6, 2048), (6, 16)])
-def test_jaccard_join(spark, frame, odd, monkeypatch, hot, cap):
-    monkeypatch.setattr(sigtree, "HOT", hot)
+@pytest.mark.parametrize(("cap", "piece"), [(2048, 1 << 15), (16, 20)])
+def test_jaccard_join(spark, frame, odd, monkeypatch, cap, piece):
+    """Components equal brute force, with split branches and sets in pieces too; all links come from the trees' traversal."""
     monkeypatch.setattr(sigtree, "CAP", cap)
-    rows = odd + [(100 + i, t) for i, t in enumerate(documents(hot + cap))]
+    monkeypatch.setattr(sigtree, "PIECE", piece)
+    rows = odd + [(100 + i, t) for i, t in enumerate(documents(cap))]
     random.Random(4).shuffle(rows)
-    got = sigtree.join(spark, frame(rows).repartition(5)).collect()
+    trace = {}
+    got = sigtree.join(spark, frame(rows).repartition(5), trace).collect()
     assert sorted(map(tuple, got), key=str) == plain_join(rows)
+    assert sum(links for _, links in trace["rounds"]) > 50 and len(trace["rounds"]) == (2 if cap > 1000 else 3)
+
+
+def test_long_text_in_chunks(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "B", "é", " ", "\n", "xyz"]) for _ in range(n)) for n in (50, 200, 999, 3000)] + [" " * 100, "Word" * 60, "a " * 80 + "b" * 70]
+    whole = sigtree.shingles(texts)
+    for chunk in (1, 7, 16, 64):
+        monkeypatch.setattr(sigtree, "CHUNK", chunk)
+        assert all(np.array_equal(a, b) for a, b in zip(sigtree.shingles(texts), whole, strict=True))
+
+
+def test_branches_are_a_prefix_of_one_order():
+    """Sets that link share a branch, whatever is frequent; frequent shingles come last, the rarer first."""
+    rng = np.random.default_rng(2)
+    often = np.unique(rng.integers(0, 2**63, 40, dtype=np.uint64))
+    place = rng.permutation(len(often))
+    for _ in range(200):
+        base = np.concatenate([rng.choice(often, 20, replace=False), rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)])
+        a, b = (np.unique(base[rng.random(len(base)) < 0.9]) for _ in range(2))
+        x, y = sigtree.branches([a, b], often, place)
+        m = len(np.intersect1d(a, b))
+        assert len(x) == len(a) - -(-3 * len(a) // 4) + 1 and (100 * m < 75 * (len(a) + len(b) - m) or len(np.intersect1d(x, y)))
+        assert (np.diff(np.isin(x, often).astype(int)) >= 0).all()
 
 
 def test_jaccard_join_empty(spark, frame):
@@ -96,11 +122,15 @@ def test_signature_tree_loses_nothing():
     for _ in range(150):
         s = base[rng.random(300) < rng.choice([0.5, 0.9, 0.97])]
         sets.append(np.unique(np.concatenate([s, rng.integers(0, 2**63, rng.integers(1, 120), dtype=np.uint64)])))
-    ids, n = np.arange(len(sets)), np.array([len(s) for s in sets])
-    found = set(map(tuple, sigtree.block_pairs(ids, n, ids, [sigtree.signature(s) for s in sets]).tolist()))
+    ids, n, low, sigs = np.arange(len(sets)), np.array([len(s) for s in sets]), np.array([int(s[0]) for s in sets]), [sigtree.signature(s) for s in sets]
+    found = set(map(tuple, sigtree.block_pairs(ids, n, ids, low, sigs).tolist()))
     true = {(i, j) for i in ids for j in ids[i + 1 :] if 100 * (m := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (n[i] + n[j] - m)}
     assert true and true <= found and len(found) < len(ids) * (len(ids) - 1) / 2
-    assert not len(sigtree.block_pairs(ids, n, np.zeros(len(ids), int), [sigtree.signature(s) for s in sets]))
+    assert not len(sigtree.block_pairs(ids, n, np.zeros(len(ids), int), low, sigs))
+    few = sigtree.block_pairs(ids, n, ids, low, sigs, sparse=True)  # ties what the bounds tie, with few pairs
+    assert roots(few.tolist(), ids.tolist()) == roots(found, ids.tolist()) and len(few) < 3 * len(ids)
+    side = ids % 2
+    assert set(map(tuple, sigtree.block_pairs(ids, n, ids, low, sigs, side).tolist())) == {(i, j) for i, j in found if side[i] != side[j]}
 
 
 # ---- vectors

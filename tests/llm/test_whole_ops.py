@@ -48,12 +48,12 @@ def test_every_length_is_searched(spark):
         assert own == np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5].tolist()
 
 
-@pytest.mark.parametrize("hot", [128, 2])
-def test_repeated_ids_with_two_texts(spark, frame, monkeypatch, hot):
+@pytest.mark.parametrize("cap", [2048, 2])
+def test_repeated_ids_with_two_texts(spark, frame, monkeypatch, cap):
     """Links that meet in hot blocks only, of both texts of one doc_id; and the classes of its texts are one component."""
     import random
 
-    monkeypatch.setattr(sigtree, "HOT", hot)
+    monkeypatch.setattr(sigtree, "CAP", cap)
     rng = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(60))
     texts = [f"{passage} {t}" for _ in range(8) for t in near_copies(rng, 4, 100, 4)]

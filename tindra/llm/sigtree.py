@@ -1,27 +1,29 @@
 """N-gram Jaccard join on signature trees.
 
-One pass over the texts makes, per document, its number of distinct 5-word shingles (64-bit hashes), a digest of the set, its
-KEYS smallest shingles and a bitmap of its shingles (two to four bits a shingle). Then:
-
-1. Equal sets become one node (a partial aggregate, so thousands of copies cost one row a partition).
-2. Nodes that share one of their smallest shingles share a block. Of two sets with a Jaccard of 0.75 the smallest shingle of
-   the union lies in both with probability 0.75, and so does the next, ...: they miss each other in all KEYS places with
-   probability 0.25 ** KEYS (1e-12) at most, and never if they have fewer than 4 * KEYS shingles.
-3. Each node is paired with its blocks' smallest node and verified; verified pairs make first components. A block with
-   thousands of near copies costs one pair a member here.
-4. Blocks that still hold more than one component go through signature trees: nodes are sorted and stacked into a tree whose
-   inner nodes hold OR-combined bitmaps and size ranges; a dual traversal drops pairs of tree nodes whose largest possible
-   overlap, sizes or single component rule out a new link. Surviving pairs are verified.
-5. Blocks over HOT nodes come from passages that very many documents share. Their documents are blocked again by BANDS
-   bands of ROWS minima (a link misses all of them with probability 1e-9), and those blocks go through the same trees. A
-   block over CAP nodes is split into pairs of parts, so no group meets in one task and no pair is left out.
-
-Verification compares the exact sets: 100 * intersection >= 75 * union. Pairs whose link can't change the components
-(both ends in one already) are not made: the result is the components, and no link between components is lost.
+A pass over the texts counts shingles (five words, 64-bit hashes) inside windows of each task; the FREQUENT most frequent ones
+are put last in the order of all shingles. A second pass makes, per document, its number of distinct shingles, a digest of the
+set, a bitmap of it (two to four bits a shingle) and the branches of the tree that it hangs on. Then:
+
+1. Equal sets are one node (a partial aggregate, so thousands of copies cost one row a partition).
+2. The root of the index branches by shingle. A node hangs on the first n - ceil(3n/4) + 1 shingles of its set in the common
+   order: two sets with a Jaccard of 0.75 share one of those, so node pairs that share no branch have too small an overlap, by
+   construction. That is exact: it is the largest possible overlap without a common branch. Which shingles come last is a matter
+   of speed only, any fixed order gives the same links. Branches with the same nodes below them are one.
+3. Below a branch, nodes are sorted and stacked into a tree whose inner nodes hold OR-combined bitmaps, size ranges and ranges
+   of components. A dual traversal drops pairs of tree nodes whose largest possible overlap, sizes or single component rule out
+   a new link. A branch over CAP nodes is split by size class and hash into parts with a tree each; pairs of parts whose size
+   or component ranges rule out a new link are dropped before their rows are sent.
+4. The traversal runs up to three times, on components known so far. The first is sparse: it takes siblings in the leaves
+   first and keeps one pair for two groups that it has tied already, over all small branches and a quarter of the others. The
+   second is sparse too and goes across the parts of large branches. The last makes every pair that is left between two components.
+   Each round's pairs are verified on the whole sets, 100 * intersection >= 75 * union, in pieces of PIECE shingles at most.
+
+Pairs whose link can't change the components are not made: the result is the components, and no link between components is
+lost. Shingles and sets are told apart by 64-bit hashes.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; texts under 5 words are one shingle; a
 null doc_id has a null component; a repeated doc_id is one document that links by any of its rows; empty table: no rows.
-Extra columns are not read. Ties: the smaller doc_id leads.
+Extra columns are not read. Ties: the smaller doc_id leads. A long text is hashed CHUNK bytes at a time: 20 bytes a word are held.
 """
 
 from __future__ import annotations
@@ -32,17 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, materialize, slices, small_batches
-from .components import connected_components
+from .components import connected_components, union_find
 
-WORDS, KEYS, HOT, CAP, LEAF, FAN = 5, 20, 128, 2048, 8, 4
-BANDS, ROWS = 80, 5
+WORDS, CAP, LEAF, FAN = 5, 2048, 8, 4
+FREQUENT, WINDOW, OFTEN = 1 << 17, 2_000_000, 4
+CHUNK, PIECE, MOST_BITS, SMALL, SHARE = 1 << 20, 1 << 15, 1 << 17, 16, 4
 BITMAP = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 2**64))
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
 _PLACE = np.random.default_rng(6).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
-_BAND_A = np.random.default_rng(8).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_BAND_B = np.random.default_rng(9).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -53,55 +55,110 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(texts: list[str | None]) -> list[np.ndarray]:
-    """Each text's distinct shingles as sorted 64-bit hashes, by one rolling hash over all bytes together."""
-    raw = [(t or "").encode().lower() for t in texts]  # bytes: A-Z only
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and polynomial sum of each word, by one rolling hash over all bytes together."""
     if len(data) > len(_powers.get("up", ())):
         n = max(len(data), 1 << 16)
         _powers["up"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _P)]))
         _powers["down"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]))
     gap = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~gap
-    start = np.flatnonzero(word & np.r_[True, gap[:-1]]) if len(data) else np.zeros(0, np.int64)
-    stop = np.flatnonzero(word & np.r_[gap[1:], True]) + 1 if len(data) else start
+    start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    stop = np.flatnonzero(~gap & np.r_[gap[1:], True]) + 1
     total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * _powers["up"][: len(data)])])
-    w = mix((total[stop] - total[start]) * _powers["down"][start] + (stop - start).astype(np.uint64))
-    cut = np.searchsorted(start, ends)
+    return start, (stop - start).astype(np.uint64), (total[stop] - total[start]) * _powers["down"][start]
+
+
+def _set(w: np.ndarray) -> np.ndarray:
+    """Distinct shingles of a text's word hashes, sorted."""
     n = len(w)
-    if n >= WORDS:
-        s = sum((w[i : n - WORDS + 1 + i] * _PLACE[i] for i in range(WORDS)), np.zeros(n - WORDS + 1, np.uint64))
-        s = mix(s)
-    out, a = [], 0
-    for b in cut.tolist():
-        if b - a >= WORDS:
-            out.append(np.unique(s[a : b - WORDS + 1]))
-        elif b > a:
-            out.append(mix((w[a:b] * _PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64), b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
-        a = b
+    if n < WORDS:
+        return mix((w * _PLACE[:n]).sum(keepdims=True, dtype=np.uint64), n) if n else np.zeros(0, np.uint64)
+    s = np.zeros(n - WORDS + 1, np.uint64)
+    for i in range(WORDS):
+        s += w[i : n - WORDS + 1 + i] * _PLACE[i]
+    return np.unique(mix(s))
+
+
+def _long(raw) -> np.ndarray:
+    """The shingles of one long text, CHUNK bytes at a time; a word that chunks cut is put together from its parts."""
+    words, part = [], None
+    for a in range(0, len(raw), CHUNK):
+        data = _LOWER[np.frombuffer(raw, np.uint8, min(CHUNK, len(raw) - a), a)]
+        start, size, total = _words(data)
+        if part is not None:
+            if len(start) and start[0] == 0:
+                total[0] = (part[0] + int(total[0]) * pow(int(_P), part[1], 2**64)) % 2**64
+                size[0] += np.uint64(part[1])
+            else:
+                words.append(mix(np.array([(part[0] + part[1]) % 2**64], np.uint64)))
+            part = None
+        if a + CHUNK < len(raw) and not (data[-1] == 32 or 9 <= data[-1] <= 13):
+            part = (int(total[-1]), int(size[-1]))
+            total, size = total[:-1], size[:-1]
+        words.append(mix(total + size))
+    if part is not None:
+        words.append(mix(np.array([(part[0] + part[1]) % 2**64], np.uint64)))
+    return _set(np.concatenate(words)) if words else np.zeros(0, np.uint64)
+
+
+def shingles(texts: list) -> list[np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes. Texts: strings, bytes or buffers; null counts as empty."""
+    raw = [t.encode() if isinstance(t, str) else b"" if t is None else memoryview(t) for t in texts]
+    out: list = [None] * len(raw)
+    few = [i for i, r in enumerate(raw) if len(r) <= CHUNK]
+    for i, r in enumerate(raw):
+        if len(r) > CHUNK:
+            out[i] = _long(r)
+    if few:
+        ends = np.cumsum([len(raw[i]) + 1 for i in few])
+        start, size, total = _words(_LOWER[np.frombuffer(b"\n".join([*[raw[i] for i in few], b""]), np.uint8)])
+        w = mix(total + size)
+        cut = np.searchsorted(start, ends)
+        s = np.zeros(max(len(w) - WORDS + 1, 0), np.uint64)
+        for k in range(WORDS):
+            s += w[k : k + len(s)] * _PLACE[k]
+        s, a = mix(s), 0
+        for i, b in zip(few, cut.tolist(), strict=True):
+            out[i] = np.unique(s[a : b - WORDS + 1]) if b - a >= WORDS else _set(w[a:b])
+            a = b
     return out
 
 
+def _texts(b: pa.RecordBatch) -> list:
+    """The texts' bytes, in place."""
+    return [x.as_buffer() for x in b.column("text")]
+
+
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of the set, 64 bits or the power of two that is at least twice its size; halves fold onto each other."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """A bitmap of the set: the power of two that is at least twice its size, from 64 to MOST_BITS; halves fold onto each other."""
+    bits = min(MOST_BITS, max(64, 1 << int(2 * len(s) - 1).bit_length()))
     out = np.zeros(bits, bool)
     out[(s * _P >> np.uint64(13)) & np.uint64(bits - 1)] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def digests(s: np.ndarray) -> tuple[int, int]:
-    """Two numbers that, with its size, stand for the set."""
-    return tuple(int(mix(s, k).sum(dtype=np.uint64).view(np.int64)) for k in (1, 2))
+def digest(s: np.ndarray) -> int:
+    """A number that stands for the set."""
+    return int(mix(mix(s, 1).sum(keepdims=True, dtype=np.uint64) ^ mix(s, 2).sum(keepdims=True, dtype=np.uint64) * _P, len(s)).view(np.int64)[0])
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    low = np.concatenate([((s[None, :] ^ _BAND_B[i : i + 40, None]) * _BAND_A[i : i + 40, None]).min(axis=1) for i in range(0, BANDS * ROWS, 40)])
-    low = mix(low.reshape(BANDS, ROWS), 3)
-    return mix((low * _PLACE[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64), 4)
+def branches(sets: list[np.ndarray], often: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Of each set the first n - ceil(3n/4) + 1 shingles: those not in often (sorted) by hash, then those in it by place."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = np.minimum(np.searchsorted(often, flat), max(len(often) - 1, 0))
+    known = often[at] == flat if len(often) else np.zeros(len(flat), bool)
+    out, a = [], 0
+    for s in sets:
+        n = len(s)
+        m, need = known[a : a + n], n - (3 * n + 3) // 4 + 1 if n else 0
+        first = s[~m][:need]
+        if len(first) < need:
+            rest = np.flatnonzero(m)
+            rest = rest[np.argsort(place[at[a : a + n][rest]])][: need - len(first)]
+            first = np.concatenate([first, s[rest]])
+        out.append(first)
+        a += n
+    return out
 
 
 # ---- signature trees
@@ -113,7 +170,7 @@ def _fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 class Tree:
-    """Levels from the documents (0) up; each holds OR-combined bitmaps, size ranges, hash collisions and component ranges."""
+    """Levels from the nodes of sets (0) up; each holds OR-combined bitmaps, size ranges, hash collisions and component ranges."""
 
     def __init__(self, bits: np.ndarray, n: np.ndarray, comp: np.ndarray) -> None:
         self.bits, self.n = bits, n
@@ -147,12 +204,12 @@ def _alive(x, y, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (7 * most >= 3 * (lx + ly)) & (4 * hx >= 3 * ly) & (4 * hy >= 3 * lx) & ~one
 
 
-def dual(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """Document pairs (rows of x, rows of y) that survive; once each if x is y. Depth first, a bounded number of node pairs
+def dual(x: Tree, y: Tree):
+    """Arrays of pairs (rows of x, rows of y) that survive; once each if x is y. Depth first, a bounded number of node pairs
     at a time, so memory doesn't follow the number of pairs."""
     same = x is y
     top = max(len(x.levels), len(y.levels)) - 1
-    todo, out = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))], []
+    todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while todo:
         k, i, j = todo.pop()
         ok = _alive(x.level(k), y.level(k), i, j)
@@ -161,7 +218,8 @@ def dual(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
             if same:
                 i, j = i[i < j], j[i < j]
             ok = possible(x.bits, x.n, y.bits, y.n, i, j)
-            out.append((i[ok], j[ok]))
+            if ok.any():
+                yield i[ok], j[ok]
             continue
         for a in range(0, len(i), 1024):
             (fi, ni), (fj, nj) = x.children(k - 1, i[a : a + 1024]), y.children(k - 1, j[a : a + 1024])
@@ -172,7 +230,6 @@ def dual(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
             ok = p <= q if same else slice(None)
             p, q = p[ok], q[ok]
             todo += [(k - 1, p[c : c + 16_384], q[c : c + 16_384]) for c in range(0, len(p), 16_384)]
-    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def possible(xb, xn, yb, yn, i, j) -> np.ndarray:
@@ -190,205 +247,293 @@ def _bits(sigs: list[bytes], words: int) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), words)
 
 
-def block_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sigs: list[bytes], part: np.ndarray | None = None, earlier: np.ndarray | None = None) -> np.ndarray:
-    """Candidate pairs of one block, one a row. part: keep only pairs across parts (of a block that is split). earlier: each row's keys
-    of the bands before this one; a pair that shares one of them has met there already."""
+def _tie(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the rows i and j are tied."""
+    if not len(i):
+        return label
+    nodes, root = union_find(label[i], label[j])
+    new = np.arange(label.max() + 1)
+    new[nodes] = root
+    return new[label]
+
+
+def block_pairs(ids, n, comp, low, sigs, side=None, sparse: bool = False) -> np.ndarray:
+    """Candidate pairs of one branch, one a row. side: keep only pairs across sides (two parts of one branch). sparse: one pair
+    is enough for two groups of rows that the bounds tie."""
     words = np.array([len(s) // 8 for s in sigs])
-    order = np.lexsort((ids, n, comp))
-    by = {w: order[words[order] == w] for w in np.unique(words).tolist()}
+    label = np.unique(comp, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, n, low, label))
     out = []
-    for w, rows in by.items():
-        x = Tree(_bits([sigs[r] for r in rows], w), n[rows], comp[rows])
-        jobs = [(x, rows, x, rows)]
-        if (more := by.get(2 * w)) is not None:
-            jobs.append((x, rows, Tree(_fold(_bits([sigs[r] for r in more], 2 * w), w), n[more], comp[more]), more))
-        for s, a, t, b in jobs:
-            i, j = dual(s, t)
-            i, j = a[i], b[j]
-            ok = comp[i] != comp[j]
-            if part is not None:
-                ok &= part[i] != part[j]
-            if earlier is not None:
-                for at in range(0, len(i), 20_000):
-                    ok[at : at + 20_000] &= ~(earlier[i[at : at + 20_000]] == earlier[j[at : at + 20_000]]).any(axis=1)
-            out.append(np.stack([np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    if sparse and side is None:  # siblings in the leaves
+        for w in np.unique(words).tolist():
+            rows = order[words[order] == w]
+            bits = _bits([sigs[r] for r in rows], w)
+            for step in range(1, 4):
+                i, j = rows[:-step], rows[step:]
+                at = np.flatnonzero(label[i] != label[j])
+                at = at[possible(bits, n[rows], bits, n[rows], at, at + step)]
+                out.append((i[at], j[at]))
+                label = _tie(label, i[at], j[at])
+        order = np.lexsort((ids, n, low, label))
+    trees: dict = {}
+
+    def tree(rows: np.ndarray, width: int):
+        return Tree(np.concatenate([_fold(_bits([sigs[r]], int(words[r])), width) for r in rows]) if (words[rows] != width).any() else _bits([sigs[r] for r in rows], width), n[rows], label[rows])
+
+    sides = [np.ones(len(ids), bool)] if side is None else [side == 0, side == 1]
+    groups = [{w: order[(words[order] == w) & s[order]] for w in np.unique(words[s]).tolist()} for s in sides]
+    for w in sorted(set().union(*groups)):
+        for a, b in [(w, w), (w, 2 * w)] + ([(2 * w, w)] if side is not None else []):
+            x, y = groups[0].get(a), groups[-1].get(b)
+            if x is None or y is None:
+                continue
+            for key, rows in (((0, a, w), x), ((len(sides) - 1, b, w), y)):
+                if key not in trees:
+                    trees[key] = tree(rows, w)
+            tied = set()
+            for i, j in dual(trees[0, a, w], trees[len(sides) - 1, b, w]):
+                i, j = x[i], y[j]
+                ok = label[i] != label[j]
+                i, j = i[ok], j[ok]
+                if sparse and len(i):
+                    lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                    _, first = np.unique(lo * (label.max() + 1) + hi, return_index=True)
+                    first = [f for f in first.tolist() if (lo[f], hi[f]) not in tied]
+                    tied |= {(lo[f], hi[f]) for f in first}
+                    i, j = i[first], j[first]
+                out.append((i, j))
+        trees = {k: v for k, v in trees.items() if k[2] > w}
+    i, j = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+    return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
 
 
 # ---- stages
-def sketch(docs: DataFrame) -> DataFrame:
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT most frequent shingles, sorted, and the place of each from the rarest on. Counts come from windows of WINDOW
+    shingles, where a shingle counts from OFTEN on, so rows follow what repeats and not the corpus. They only set an order."""
+
+    def run(batches):
+        def counts(held):
+            v, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(v[c >= OFTEN].view(np.int64)), pa.array(c[c >= OFTEN])], ["s", "c"])
+
+        held, size = [], 0
+        for batch in batches:
+            for b in slices(batch, limit=CHUNK):
+                for s in shingles(_texts(b)):
+                    held.append(s)
+                    size += len(s)
+                if size > WINDOW:
+                    yield counts(held)
+                    held, size = [], 0
+        if size:
+            yield counts(held)
+
+    top = small_batches(docs).select("text").mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
+    s = top.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(s)
+    return s[order], (len(s) - np.arange(len(s)))[order]
+
+
+def sketch(docs: DataFrame, often: np.ndarray, place: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for b in slices(batch, limit=1_000_000):
-                sets = shingles(b.column("text").to_pylist())
-                d1, d2 = zip(*map(digests, sets), strict=True) if sets else ((), ())
+            for b in slices(batch, limit=CHUNK):
+                sets = shingles(_texts(b))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array([s[:KEYS].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())],
-                    ["doc_id", "n", "d1", "d2", "keys", "sig"],
+                    [b.column("doc_id"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(s[:1].view(np.int64).sum()) for s in sets], pa.int64())]
+                    + [pa.array([k.view(np.int64) for k in branches(sets, often, place)], pa.list_(pa.int64())), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())],
+                    ["doc_id", "node", "n", "low", "keys", "sig"],
                 )
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>, sig binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n long, low long, keys array<long>, sig binary")
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame, make, schema: str) -> DataFrame:
-    """make(doc_id array, sets) for the documents of ids and some more. The ids go out as a bitmap of hashes of fixed size
-    (1 MB), whatever their number: it saves work on most other documents, and a join on the ids follows."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, k, p, set): the sets of the documents of ids and some more, in the pieces of each level that a partner may ask for.
+    The ids go out as a bitmap of hashes of fixed size (1 MB), whatever their number: it saves work on most other documents,
+    and a join follows."""
     pos = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(BITMAP)) + 1
     rows = ids.select(pos.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
     want = np.zeros(BITMAP + 1, bool)
     for r in rows:  # bucket k holds positions (k - 1) * 32768 + 1 .. k * 32768
         want[(r.bucket - 1) * 32768 + 1 : r.bucket * 32768 + 1] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little").astype(bool)
-    packed = np.packbits(want)
+    packed, piece = np.packbits(want), PIECE
 
     def run(batches):
         flags = np.unpackbits(packed).astype(bool)
+        names = ["node", "k", "p", "set"]
         for batch in batches:
             batch = batch.filter(pa.array(flags[batch.column("p").to_numpy()]))
-            for b in slices(batch, limit=1_000_000):
-                yield from make(b.column("doc_id"), shingles(b.column("text").to_pylist()))
-
-    return small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text", pos.alias("p")).mapInArrow(run, schema)
-
-
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) whose exact sets link."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def make(doc, sets):
-        yield pa.RecordBatch.from_arrays([doc, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set"])
-
-    sets = _of_ids(docs, ids, make, "doc_id long, set array<long>")
-    half = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    both = half.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return materialize(spark, both.filter(100 * F.col("i") >= 75 * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct(), name)
-
-
-def _pruned(batches):
-    for b in batches:
-        na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
-        sa, sb = b.column("sa").to_pylist(), b.column("sb").to_pylist()
-        wa = np.array([len(s) // 8 for s in sa])
-        wb = np.array([len(s) // 8 for s in sb])
-        ok = np.zeros(len(na), bool)
-        w = np.minimum(wa, wb)
-        for k in np.unique(w).tolist():
-            rows = np.flatnonzero((w == k) & (np.maximum(wa, wb) <= 2 * k))
-            for i in range(0, len(rows), 4096):
-                r = rows[i : i + 4096]
-                x, y = (np.vstack([_fold(np.frombuffer(s[j], np.uint64)[None, :], k) for j in r.tolist()]) for s in (sa, sb))
-                at = np.arange(len(r))
-                ok[r] = possible(x, na[r], y, nb[r], at, at)
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+            for b in slices(batch, limit=CHUNK):
+                small = []
+                for s in shingles(_texts(b)):
+                    node = digest(s)
+                    for k in range(level(len(s), piece), level(-(-4 * len(s) // 3), piece) + 1):
+                        if k == 0:
+                            small.append((node, s.view(np.int64)))
+                            continue
+                        cut = [0, *np.searchsorted(s, np.arange(1, 1 << k, dtype=np.uint64) << np.uint64(64 - k)).tolist(), len(s)]
+                        for p in range(1 << k):
+                            yield pa.RecordBatch.from_arrays([pa.array([node]), pa.array([k], pa.int32()), pa.array([p], pa.int32()), pa.array([s[cut[p] : cut[p + 1]].view(np.int64)], pa.list_(pa.int64()))], names)
+                zero = pa.array(np.zeros(len(small), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in small], pa.int64()), zero, zero, pa.array([x for _, x in small], pa.list_(pa.int64()))], names)
+
+    return small_batches(docs).filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text", pos.alias("p")).mapInArrow(run, "node long, k int, p int, set array<long>")
+
+
+def level(n: int, piece: int) -> int:
+    """How often a set of n is halved by hash, so that pieces hold about `piece` shingles."""
+    return (max(n - 1, 0) // piece).bit_length()
+
+
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b) of nodes whose whole sets link. Long sets meet piece by piece, by ranges of the hash."""
+    of = [nodes.select(F.col("node").alias(x), F.col("doc").alias(f"d{x}"), F.col("n").alias(f"n{x}")) for x in "ab"]
+    asked = materialize(spark, pairs.join(of[0], "a").join(of[1], "b").distinct(), f"{name}-asked")
+    sets = _sets(docs, asked.select(F.explode(F.array("da", "db")).alias("doc_id")).distinct())
+    rows = asked.withColumn("k", F.expr(f"CASE WHEN greatest(na, nb) <= {PIECE} THEN 0 ELSE length(bin((greatest(na, nb) - 1) div {PIECE})) END"))
+    rows = rows.withColumn("p", F.explode(F.expr("sequence(0, shiftleft(1, k) - 1)"))).select("a", "b", "na", "nb", "k", "p")
+    both = rows.join(sets.select(F.col("node").alias("a"), "k", "p", F.col("set").alias("sa")), ["a", "k", "p"]).join(sets.select(F.col("node").alias("b"), "k", "p", F.col("set").alias("sb")), ["b", "k", "p"])
+    part = both.select("a", "b", "na", "nb", "p", F.size(F.array_intersect("sa", "sb")).alias("i")).groupBy("a", "b", "na", "nb", "p").agg(F.max("i").alias("i"))  # a repeated row is one
+    total = part.groupBy("a", "b", "na", "nb").agg(F.sum("i").alias("i")).filter(100 * F.col("i") >= 75 * (F.col("na") + F.col("nb") - F.col("i")))
+    out = materialize(spark, total.select("a", "b"), name)
+    drop(spark, asked)
+    return out
 
 
-def _trees(batches):
-    """Blocks arrive sorted by key; one block is held at a time (2 * CAP rows at most)."""
-    names = ["key", "i", "j", "rep", "n", "comp", "part", "sig", "bands"]
-    held: list[pa.RecordBatch] = []
+def _trees(sparse: bool):
+    """Branches arrive sorted by key; one at a time is held (2 * CAP rows at most)."""
+    names = ["key", "i", "j", "node", "n", "comp", "low", "side", "sig"]
 
     def done(rows: pa.Table):
         key = np.stack([rows.column(c).to_numpy() for c in names[:3]], axis=1)
-        ids, n, comp, part = (rows.column(c).to_numpy() for c in names[3:7])
-        sigs, bands = rows.column("sig").to_pylist(), rows.column("bands")
+        ids, n, comp, low, side = (rows.column(c).to_numpy() for c in names[3:8])
+        sigs = rows.column("sig").to_pylist()
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
         out = []
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if b - a > 1:
-                split = part[a:b] if key[a, 1] != key[a, 2] else None
-                earlier = None
-                if bands[a].is_valid:
-                    every = np.frombuffer(b"".join(bands[a:b].to_pylist()), np.int64).reshape(b - a, BANDS)
-                    earlier = every[:, : int(np.flatnonzero(every[0] == key[a, 0])[0])]
-                out.append(block_pairs(ids[a:b], n[a:b], comp[a:b], sigs[a:b], split, earlier))
+                out.append(block_pairs(ids[a:b], n[a:b], comp[a:b], low[a:b], sigs[a:b], side[a:b] if key[a, 1] != key[a, 2] else None, sparse))
         x = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        x = x[x[:, 0] < x[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        last = tuple(b.column(c)[b.num_rows - 1].as_py() for c in names[:3])
-        cols = [b.column(c).to_numpy() for c in names[:3]]
-        tail = np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]) | (cols[2] != last[2]))
-        at = int(tail[-1]) + 1 if len(tail) else 0
-        if at:
-            yield done(pa.Table.from_batches([*held, b.slice(0, at)]))
-            held = []
-        elif held and tuple(held[-1].column(c)[0].as_py() for c in names[:3]) != last:
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = tuple(b.column(c)[b.num_rows - 1].as_py() for c in names[:3])
+            cols = [b.column(c).to_numpy() for c in names[:3]]
+            tail = np.flatnonzero((cols[0] != last[0]) | (cols[1] != last[1]) | (cols[2] != last[2]))
+            at = int(tail[-1]) + 1 if len(tail) else 0
+            if at:
+                yield done(pa.Table.from_batches([*held, b.slice(0, at)]))
+                held = []
+            elif held and tuple(held[-1].column(c)[0].as_py() for c in names[:3]) != last:
+                yield done(pa.Table.from_batches(held))
+                held = []
+            held.append(b.slice(at))
+        if held:
             yield done(pa.Table.from_batches(held))
-            held = []
-        held.append(b.slice(at))
-    if held:
-        yield done(pa.Table.from_batches(held))
-
 
-def _candidates(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """blocks(key, rep, comp, c): the pairs that the trees of all blocks leave over. nodes: rep, n, sig, bands; both may have
-    the digests d1 and d2, which tell apart the texts of a repeated doc_id."""
-    same = ["rep", *[x for x in ("d1", "d2") if x in blocks.columns]]
-    parts = F.ceil(F.col("c") / CAP).cast("int")
-    rows = blocks.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    rows = rows.select("key", *same, "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    rows = rows.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), *same, "comp", "part")
-    full = rows.join(nodes, same).select("key", "i", "j", "rep", "n", "comp", "part", "sig", "bands")
-    return full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees, "a long, b long").distinct()
+    return run
+
+
+def _candidates(spark: SparkSession, blocks: DataFrame, nodes: DataFrame, sparse: bool, across: bool) -> DataFrame:
+    """blocks(key, node, comp, c): the pairs that the trees of all branches leave over; across: those between two parts of a
+    large branch too (else each part by itself)."""
+    rows = blocks.join(nodes.select("node", "n", "low", "sig"), "node")
+    none = F.lit(0).cast("long")
+    parted = rows.filter(F.col("c") <= CAP).select("key", none.alias("i"), none.alias("j"), "node", "n", "comp", "low", none.alias("side"), "sig")
+    large = blocks.filter(F.col("c") > CAP)
+    if not large.isEmpty():
+        kind = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9)  # sizes that link are at most one class apart
+        plain = large.join(nodes.select("node", "n"), "node").withColumn("kind", kind)
+        plain = plain.join(plain.groupBy("key", "kind").agg(F.count(F.lit(1)).alias("m")), ["key", "kind"])
+        plain = plain.withColumn("part", F.col("kind") * (1 << 24) + F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("m") / CAP))).select("key", "node", "n", "comp", "part")
+        if across:
+            plain = materialize(spark, plain, "parts")
+            of = plain.groupBy("key", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+            p, q = (of.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("part", "lo", "hi", "c0", "c1")]) for x in "pq")
+            one = (F.col("c0p") == F.col("c1p")) & (F.col("c0q") == F.col("c1q")) & (F.col("c0p") == F.col("c0q"))
+            pairs = p.join(q, "key").filter((F.col("partp") <= F.col("partq")) & (4 * F.col("hip") >= 3 * F.col("loq")) & (4 * F.col("hiq") >= 3 * F.col("lop")) & ~one).select("key", F.col("partp").alias("i"), F.col("partq").alias("j"))
+            ends = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+            plain = plain.join(ends, ["key", "part"]).withColumn("side", F.when(F.col("part") == F.col("i"), 0).otherwise(1).cast("long"))
+        else:
+            plain = plain.withColumn("i", F.col("part")).withColumn("j", F.col("part")).withColumn("side", none)
+        parted = parted.unionByName(plain.join(nodes.select("node", "low", "sig"), "node").select("key", "i", "j", "node", "n", "comp", "low", "side", "sig"))
+    return parted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees(sparse), "a long, b long").distinct()
 
 
 def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
-    """Blocks (key, rep, c) with more than one component in them, and their nodes' components."""
-    rows = blocks.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*blocks.columns, F.coalesce("component", "rep").alias("comp"))
+    """Branches (key, node, c) with more than one component below them, and their nodes' components."""
+    rows = blocks.join(comps.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "c", F.coalesce("component", "node").alias("comp"))
     spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     return rows.join(spread, "key")
 
 
-def join(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row a document."""
+def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row a document. trace, for tests, gets each round's pairs and links."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(spark, sketch(docs), "sketch")
+    rows = materialize(spark, sketch(docs, *frequent(docs)), "sketch")
     usable = rows.filter("n > 0 and doc_id is not null")
-    classes = materialize(spark, usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    nodes = materialize(spark, usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi").select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "keys", "sig"), "nodes")
-    keyed = nodes.select("rep", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).filter("c > 1")
-    blocks = materialize(spark, keyed.join(sizes, "key"), "blocks")
-    # every node with its blocks' leaders
-    star = blocks.filter("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    signed = star.join(nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a").join(nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
-    signed = signed.filter("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", "na", "nb", "sa", "sb")
-    star = materialize(spark, signed.mapInArrow(_pruned, "a long, b long"), "star")
-    first = verified(spark, docs, star, "edges")
-    comps = materialize(spark, connected_components(spark, first), "comps")
-    # what is left: blocks with more than one component
-    open_ = materialize(spark, _mixed(blocks.select("key", "rep", "c"), comps), "open")
-    hot = open_.filter(F.col("c") > HOT).select(F.col("rep").alias("doc_id")).distinct()
-    plain = nodes.select("rep", "n", "sig", F.lit(None).cast("binary").alias("bands"))
-    left = _candidates(open_.filter(F.col("c") <= HOT), plain)
-
-    def make(doc, sets):
-        kept = [(d, *digests(s), len(s), band_keys(s).tobytes()) for d, s in zip(doc.to_pylist(), sets, strict=True) if len(s)]
-        cols = list(zip(*kept, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], ["doc_id", "d1", "d2", "n", "bands"])
-
-    def keys(batches):
-        for b in batches:
-            flat = np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(b.column(i).to_numpy(), BANDS)) for i in range(3)], pa.array(flat)], ["rep", "d1", "d2", "key"])
-
-    # a repeated doc_id with two texts may be two nodes: each has the bands of its own set
-    of = ["doc_id", "d1", "d2", "n"]
-    banded = _of_ids(docs, hot, make, "doc_id long, d1 long, d2 long, n long, bands binary").join(hot, "doc_id", "left_semi").groupBy(*of).agg(F.min("bands").alias("bands"))
-    bands = materialize(spark, banded.join(nodes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n", "sig").distinct(), of).select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "sig", "bands"), "bands")
-    spread = bands.select("rep", "d1", "d2", "bands").mapInArrow(keys, "rep long, d1 long, d2 long, key long")
-    again = spread.join(spread.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key").select("key", "rep", "d1", "d2", "c")
-    left = materialize(spark, left.unionByName(_candidates(_mixed(again, comps), bands)).distinct().join(star, ["a", "b"], "left_anti"), "left")
-    second = verified(spark, docs, left, "edges")
+    classes = materialize(spark, usable.groupBy("node").agg(F.min("doc_id").alias("doc")), "classes")
+    nodes = materialize(spark, usable.join(classes.select(F.col("doc").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi").withColumnRenamed("doc_id", "doc"), "nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")  # one exchange for the count and the rows
+    below = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node") % (1 << 52)).alias("sum"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("c > 1 and lo < hi")
+    below = below.groupBy("c", "sum", "lo", "hi").agg(F.min("key").alias("key")).select("key", "c")
+    blocks = materialize(spark, keyed.join(below, "key"), "branches")
+    made: list[DataFrame] = []
+    links: list[DataFrame] = []
+
+    def round_(what: DataFrame, sparse: bool, across: bool) -> None:
+        pairs = _candidates(spark, what, nodes, sparse, across)
+        for old in made:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        made.append(materialize(spark, pairs, "pairs"))
+        links.append(verified(spark, docs, made[-1], nodes, "links"))
+        if trace is not None:
+            trace.setdefault("rounds", []).append((made[-1].count(), links[-1].count()))
+
+    def found() -> DataFrame:
+        edges = links[0]
+        for e in links[1:]:
+            edges = edges.unionByName(e)
+        return materialize(spark, connected_components(spark, edges), "comps")
+
+    round_(blocks.filter((F.col("c") <= SMALL) | (F.pmod("key", F.lit(SHARE)) == 0)).withColumn("comp", F.col("node")), True, False)
+    comps = found()
+    open_ = materialize(spark, _mixed(blocks, comps), "open")
+    large = open_.filter(F.col("c") > CAP)
+    if not large.isEmpty():
+        round_(large, True, True)
+        old = (comps, open_)
+        comps = found()
+        open_ = materialize(spark, _mixed(blocks, comps), "open")
+        drop(spark, *old)
+    round_(open_, False, True)
     # a repeated doc_id is one document: the classes of its texts are one component
-    reps = usable.join(classes, ["d1", "d2", "n"]).select("doc_id", "rep")
-    ends = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a")
-    several = materialize(spark, reps.join(ends, "doc_id").filter("rep != a").select("a", F.col("rep").alias("b")).distinct(), "several")
-    final = connected_components(spark, first.unionByName(second).unionByName(several))
-    member = rows.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
-    out = member.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
-    out = materialize(spark, out, "joined")
-    drop(spark, rows, classes, nodes, blocks, star, first, comps, open_, bands, left, second, several)
+    reps = usable.select("doc_id", "node")
+    ends = reps.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
+    several = reps.join(ends, "doc_id").filter("node != a").select("a", F.col("node").alias("b")).distinct()
+    links.append(materialize(spark, several, "several"))
+    final = materialize(spark, connected_components(spark, _union(links)).withColumnRenamed("id", "node"), "final")
+    least = final.join(classes, "node").groupBy("component").agg(F.min("doc").alias("least"))
+    lead = classes.join(final.join(least, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc").alias("least"))
+    full = usable.join(lead, "node").select("doc_id", "n", "least")
+    # a row without shingles goes where other rows of its doc_id go
+    bare = rows.filter("n = 0 or doc_id is null").select("doc_id", "n")
+    twins = reps.join(bare.select("doc_id").distinct(), "doc_id").join(lead, "node").groupBy("doc_id").agg(F.min("least").alias("least"))
+    out = full.unionByName(bare.join(twins, "doc_id", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("least")))
+    out = materialize(spark, out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")), "joined")
+    drop(spark, rows, classes, nodes, blocks, comps, open_, final, *made, *links)
+    return out
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
