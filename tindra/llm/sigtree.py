@@ -38,7 +38,7 @@ from .components import connected_components, union_find
 
 WORDS, CAP, LEAF, FAN = 5, 2048, 8, 4
 FREQUENT, WINDOW, OFTEN = 1 << 17, 2_000_000, 4
-CHUNK, PIECE, MOST_BITS, SMALL, SHARE = 1 << 20, 1 << 15, 1 << 17, 16, 4
+CHUNK, PIECE, MOST_BITS, SMALL, SHARE = 1 << 20, 1 << 15, 1 << 16, 16, 4
 BITMAP = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 2**64))
@@ -130,11 +130,15 @@ def _texts(b: pa.RecordBatch) -> list:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of the set: the power of two that is at least twice its size, from 64 to MOST_BITS; halves fold onto each other."""
-    bits = min(MOST_BITS, max(64, 1 << int(2 * len(s) - 1).bit_length()))
-    out = np.zeros(bits, bool)
-    out[(s * _P >> np.uint64(13)) & np.uint64(bits - 1)] = True
-    return np.packbits(out, bitorder="little").tobytes()
+    """Two bitmaps of the set, whose halves fold onto each other: which hash values occur (the power of two that is at least
+    its size, from 64 to MOST_BITS), and, twice as wide, which occur an odd number of times. Trees combine the first by OR;
+    two of the second differ in as many bits as the sets have different shingles, at most."""
+    bits = min(MOST_BITS, max(64, 1 << int(len(s) - 1).bit_length()))
+    at = s * _P >> np.uint64(13)
+    some = np.zeros(bits, bool)
+    some[at & np.uint64(bits - 1)] = True
+    odd = np.bincount((at & np.uint64(2 * bits - 1)).astype(np.int64), minlength=2 * bits) & 1
+    return np.packbits(np.concatenate([some, odd.astype(bool)]), bitorder="little").tobytes()
 
 
 def digest(s: np.ndarray) -> int:
@@ -162,18 +166,18 @@ def branches(sets: list[np.ndarray], often: np.ndarray, place: np.ndarray) -> li
 
 
 # ---- signature trees
-def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+def _fold(bits: np.ndarray, words: int, ufunc=np.bitwise_or) -> np.ndarray:
     while bits.shape[1] > words:
         half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
+        bits = ufunc(bits[:, :half], bits[:, half:])
     return bits
 
 
 class Tree:
     """Levels from the nodes of sets (0) up; each holds OR-combined bitmaps, size ranges, hash collisions and component ranges."""
 
-    def __init__(self, bits: np.ndarray, n: np.ndarray, comp: np.ndarray) -> None:
-        self.bits, self.n = bits, n
+    def __init__(self, bits: np.ndarray, odd: np.ndarray, n: np.ndarray, comp: np.ndarray) -> None:
+        self.odd, self.n = odd, n
         spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
         self.levels = [(bits, n, n, spare, comp, comp)]
         fan = LEAF
@@ -217,7 +221,7 @@ def dual(x: Tree, y: Tree):
         if k == 0:
             if same:
                 i, j = i[i < j], j[i < j]
-            ok = possible(x.bits, x.n, y.bits, y.n, i, j)
+            ok = possible(x.odd, x.n, y.odd, y.n, i, j)
             if ok.any():
                 yield i[ok], j[ok]
             continue
@@ -232,19 +236,20 @@ def dual(x: Tree, y: Tree):
             todo += [(k - 1, p[c : c + 16_384], q[c : c + 16_384]) for c in range(0, len(p), 16_384)]
 
 
-def possible(xb, xn, yb, yn, i, j) -> np.ndarray:
-    """The tightest bound on pairs: every bit that only one side has is a shingle that only it has."""
+def possible(xo, xn, yo, yn, i, j) -> np.ndarray:
+    """The tightest bound on pairs: sets that link differ in a seventh of their sizes' sum at most, and so do the odd bitmaps."""
     out = np.zeros(len(i), bool)
     for a in range(0, len(i), 20_000):
         p, q = i[a : a + 20_000], j[a : a + 20_000]
-        u, v = xb[p], yb[q]
-        most = np.minimum(xn[p] - np.bitwise_count(u & ~v).sum(axis=1).astype(np.int64), yn[q] - np.bitwise_count(v & ~u).sum(axis=1).astype(np.int64))
-        out[a : a + 20_000] = (7 * most >= 3 * (xn[p] + yn[q])) & (4 * xn[p] >= 3 * yn[q]) & (4 * yn[q] >= 3 * xn[p])
+        out[a : a + 20_000] = 7 * np.bitwise_count(xo[p] ^ yo[q]).sum(axis=1).astype(np.int64) <= xn[p] + yn[q]
     return out
 
 
-def _bits(sigs: list[bytes], words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), words)
+def _bits(sigs: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both bitmaps of signatures of one width, folded to `words` of the first."""
+    both = np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
+    w = both.shape[1] // 3
+    return _fold(both[:, :w], words), _fold(both[:, w:], 2 * words, np.bitwise_xor)
 
 
 def _tie(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -257,50 +262,62 @@ def _tie(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return new[label]
 
 
+def _few(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs that tie labels, a number below that of the labels that ties them as well; and the labels after it."""
+    out_i, out_j = [], []
+    while True:
+        live = label[i] != label[j]
+        i, j = i[live], j[live]
+        if not len(i):
+            return label, np.concatenate([*out_i, i]), np.concatenate([*out_j, j])
+        # each label's first pair to a smaller label: no cycle, so a forest
+        high = np.maximum(label[i], label[j])
+        at = np.unique(high, return_index=True)[1]
+        out_i.append(i[at])
+        out_j.append(j[at])
+        label = _tie(label, i[at], j[at])
+
+
 def block_pairs(ids, n, comp, low, sigs, side=None, sparse: bool = False) -> np.ndarray:
-    """Candidate pairs of one branch, one a row. side: keep only pairs across sides (two parts of one branch). sparse: one pair
-    is enough for two groups of rows that the bounds tie."""
-    words = np.array([len(s) // 8 for s in sigs])
+    """Candidate pairs of one branch, one a row. side: keep only pairs across sides (two parts of one branch). sparse: of the
+    pairs that tie groups of rows, a forest."""
+    words = np.array([len(s) // 24 for s in sigs])
     label = np.unique(comp, return_inverse=True)[1].ravel()
     order = np.lexsort((ids, n, low, label))
     out = []
     if sparse and side is None:  # siblings in the leaves
         for w in np.unique(words).tolist():
             rows = order[words[order] == w]
-            bits = _bits([sigs[r] for r in rows], w)
-            for step in range(1, 4):
+            odd = _bits([sigs[r] for r in rows], w)[1]
+            for step in range(1, LEAF // 2):
                 i, j = rows[:-step], rows[step:]
                 at = np.flatnonzero(label[i] != label[j])
-                at = at[possible(bits, n[rows], bits, n[rows], at, at + step)]
-                out.append((i[at], j[at]))
-                label = _tie(label, i[at], j[at])
+                at = at[possible(odd, n[rows], odd, n[rows], at, at + step)]
+                label, i, j = _few(label, i[at], j[at])
+                out.append((i, j))
         order = np.lexsort((ids, n, low, label))
     trees: dict = {}
 
-    def tree(rows: np.ndarray, width: int):
-        return Tree(np.concatenate([_fold(_bits([sigs[r]], int(words[r])), width) for r in rows]) if (words[rows] != width).any() else _bits([sigs[r] for r in rows], width), n[rows], label[rows])
+    def tree(rows: np.ndarray, width: int) -> Tree:
+        return Tree(*_bits([sigs[r] for r in rows], width), n[rows], label[rows])
 
     sides = [np.ones(len(ids), bool)] if side is None else [side == 0, side == 1]
+    last = len(sides) - 1
     groups = [{w: order[(words[order] == w) & s[order]] for w in np.unique(words[s]).tolist()} for s in sides]
     for w in sorted(set().union(*groups)):
         for a, b in [(w, w), (w, 2 * w)] + ([(2 * w, w)] if side is not None else []):
-            x, y = groups[0].get(a), groups[-1].get(b)
+            x, y = groups[0].get(a), groups[last].get(b)
             if x is None or y is None:
                 continue
-            for key, rows in (((0, a, w), x), ((len(sides) - 1, b, w), y)):
+            for key, rows in (((0, a, w), x), ((last, b, w), y)):
                 if key not in trees:
                     trees[key] = tree(rows, w)
-            tied = set()
-            for i, j in dual(trees[0, a, w], trees[len(sides) - 1, b, w]):
+            for i, j in dual(trees[0, a, w], trees[last, b, w]):
                 i, j = x[i], y[j]
                 ok = label[i] != label[j]
                 i, j = i[ok], j[ok]
-                if sparse and len(i):
-                    lo, hi = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-                    _, first = np.unique(lo * (label.max() + 1) + hi, return_index=True)
-                    first = [f for f in first.tolist() if (lo[f], hi[f]) not in tied]
-                    tied |= {(lo[f], hi[f]) for f in first}
-                    i, j = i[first], j[first]
+                if sparse:
+                    label, i, j = _few(label, i, j)
                 out.append((i, j))
         trees = {k: v for k, v in trees.items() if k[2] > w}
     i, j = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
