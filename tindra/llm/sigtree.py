@@ -13,9 +13,9 @@ set, a bitmap of it (two to four bits a shingle) and the branches of the tree th
    of components. A dual traversal drops pairs of tree nodes whose largest possible overlap, sizes or single component rule out
    a new link. A branch over CAP nodes is split by size class and hash into parts with a tree each; pairs of parts whose size
    or component ranges rule out a new link are dropped before their rows are sent.
-4. The traversal runs up to three times, on components known so far. The first is sparse: it takes siblings in the leaves
-   first and keeps one pair for two groups that it has tied already, over all small branches and a quarter of the others. The
-   second is sparse too and goes across the parts of large branches. The last makes every pair that is left between two components.
+4. The traversal runs up to three times, on components known so far. The first takes only pairs that are likely to link by
+   the bitmaps, siblings in the leaves first, and of those that tie groups of nodes in a branch a forest. The second does the same
+   across the parts of large branches. The last makes every pair between two components that the bounds leave over.
    Each round's pairs are verified on the whole sets, 100 * intersection >= 75 * union, in pieces of PIECE shingles at most.
 
 Pairs whose link can't change the components are not made: the result is the components, and no link between components is
@@ -37,8 +37,8 @@ from .common import drop, materialize, slices, small_batches
 from .components import connected_components, union_find
 
 WORDS, CAP, LEAF, FAN = 5, 2048, 8, 4
-FREQUENT, WINDOW, OFTEN = 1 << 17, 2_000_000, 4
-CHUNK, PIECE, MOST_BITS, SMALL, SHARE = 1 << 20, 1 << 15, 1 << 16, 16, 4
+FREQUENT, WINDOW, OFTEN, MARGIN = 1 << 17, 2_000_000, 4, 0.95
+CHUNK, PIECE, MOST_BITS = 1 << 20, 1 << 15, 1 << 16
 BITMAP = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 2**64))
@@ -208,8 +208,8 @@ def _alive(x, y, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (7 * most >= 3 * (lx + ly)) & (4 * hx >= 3 * ly) & (4 * hy >= 3 * lx) & ~one
 
 
-def dual(x: Tree, y: Tree):
-    """Arrays of pairs (rows of x, rows of y) that survive; once each if x is y. Depth first, a bounded number of node pairs
+def dual(x: Tree, y: Tree, likely: bool = False):
+    """Arrays of pairs (rows of x, rows of y) that survive, or that are likely to link; once each if x is y. Depth first, a bounded number of node pairs
     at a time, so memory doesn't follow the number of pairs."""
     same = x is y
     top = max(len(x.levels), len(y.levels)) - 1
@@ -221,7 +221,7 @@ def dual(x: Tree, y: Tree):
         if k == 0:
             if same:
                 i, j = i[i < j], j[i < j]
-            ok = possible(x.odd, x.n, y.odd, y.n, i, j)
+            ok = possible(x.odd, x.n, y.odd, y.n, i, j, likely)
             if ok.any():
                 yield i[ok], j[ok]
             continue
@@ -236,12 +236,17 @@ def dual(x: Tree, y: Tree):
             todo += [(k - 1, p[c : c + 16_384], q[c : c + 16_384]) for c in range(0, len(p), 16_384)]
 
 
-def possible(xo, xn, yo, yn, i, j) -> np.ndarray:
-    """The tightest bound on pairs: sets that link differ in a seventh of their sizes' sum at most, and so do the odd bitmaps."""
+def possible(xo, xn, yo, yn, i, j, likely: bool = False) -> np.ndarray:
+    """The tightest bound on pairs: sets that link differ in a seventh of their sizes' sum at most, and so do the odd bitmaps.
+    likely: instead, whether the number of different shingles that the bitmaps suggest is small enough by a margin."""
     out = np.zeros(len(i), bool)
     for a in range(0, len(i), 20_000):
         p, q = i[a : a + 20_000], j[a : a + 20_000]
-        out[a : a + 20_000] = 7 * np.bitwise_count(xo[p] ^ yo[q]).sum(axis=1).astype(np.int64) <= xn[p] + yn[q]
+        d = np.bitwise_count(xo[p] ^ yo[q]).sum(axis=1).astype(np.int64)
+        if likely:
+            m = 64.0 * xo.shape[1]
+            d = -m / 2 * np.log(1 - np.minimum(2 * d / m, 0.999)) / MARGIN
+        out[a : a + 20_000] = 7 * d <= xn[p] + yn[q]
     return out
 
 
@@ -292,7 +297,7 @@ def block_pairs(ids, n, comp, low, sigs, side=None, sparse: bool = False) -> np.
             for step in range(1, LEAF // 2):
                 i, j = rows[:-step], rows[step:]
                 at = np.flatnonzero(label[i] != label[j])
-                at = at[possible(odd, n[rows], odd, n[rows], at, at + step)]
+                at = at[possible(odd, n[rows], odd, n[rows], at, at + step, True)]
                 label, i, j = _few(label, i[at], j[at])
                 out.append((i, j))
         order = np.lexsort((ids, n, low, label))
@@ -312,7 +317,7 @@ def block_pairs(ids, n, comp, low, sigs, side=None, sparse: bool = False) -> np.
             for key, rows in (((0, a, w), x), ((last, b, w), y)):
                 if key not in trees:
                     trees[key] = tree(rows, w)
-            for i, j in dual(trees[0, a, w], trees[last, b, w]):
+            for i, j in dual(trees[0, a, w], trees[last, b, w], sparse):
                 i, j = x[i], y[j]
                 ok = label[i] != label[j]
                 i, j = i[ok], j[ok]
@@ -520,7 +525,7 @@ def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> Dat
             edges = edges.unionByName(e)
         return materialize(spark, connected_components(spark, edges), "comps")
 
-    round_(blocks.filter((F.col("c") <= SMALL) | (F.pmod("key", F.lit(SHARE)) == 0)).withColumn("comp", F.col("node")), True, False)
+    round_(blocks.withColumn("comp", F.col("node")), True, False)
     comps = found()
     open_ = materialize(spark, _mixed(blocks, comps), "open")
     large = open_.filter(F.col("c") > CAP)
