@@ -123,14 +123,16 @@ def test_signature_tree_loses_nothing():
         s = base[rng.random(300) < rng.choice([0.5, 0.9, 0.97])]
         sets.append(np.unique(np.concatenate([s, rng.integers(0, 2**63, rng.integers(1, 120), dtype=np.uint64)])))
     ids, n, low, sigs = np.arange(len(sets)), np.array([len(s) for s in sets]), np.array([int(s[0]) for s in sets]), [sigtree.signature(s) for s in sets]
-    found = set(map(tuple, sigtree.block_pairs(ids, n, ids, low, sigs).tolist()))
+    found = set(map(tuple, sigtree.block_pairs(ids, n, ids, low, sigs)[0].tolist()))
     true = {(i, j) for i in ids for j in ids[i + 1 :] if 100 * (m := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (n[i] + n[j] - m)}
     assert true and true <= found and len(found) < len(ids) * (len(ids) - 1) / 2
-    assert not len(sigtree.block_pairs(ids, n, np.zeros(len(ids), int), low, sigs))
-    few = sigtree.block_pairs(ids, n, ids, low, sigs, sparse=True)  # ties what the bounds tie, with few pairs
-    assert roots(few.tolist(), ids.tolist()) == roots(found, ids.tolist()) and len(few) < 3 * len(ids)
+    assert not len(sigtree.block_pairs(ids, n, np.zeros(len(ids), int), low, sigs)[0])
+    few, later = sigtree.block_pairs(ids, n, ids, low, sigs, ties=True)  # a forest of ties, and all between its trees
+    assert 0 < (~later).sum() < len(ids) and roots(few.tolist(), ids.tolist()) == roots(found, ids.tolist())
+    tied = roots(few[~later].tolist(), ids.tolist())
+    assert set(map(tuple, few[later].tolist())) == {(i, j) for i, j in found if tied[i] != tied[j]}
     side = ids % 2
-    assert set(map(tuple, sigtree.block_pairs(ids, n, ids, low, sigs, side).tolist())) == {(i, j) for i, j in found if side[i] != side[j]}
+    assert set(map(tuple, sigtree.block_pairs(ids, n, ids, low, sigs, side)[0].tolist())) == {(i, j) for i, j in found if side[i] != side[j]}
 
 
 # ---- vectors

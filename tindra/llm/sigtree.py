@@ -8,15 +8,17 @@ set, a bitmap of it (two to four bits a shingle) and the branches of the tree th
 2. The root of the index branches by shingle. A node hangs on the first n - ceil(3n/4) + 1 shingles of its set in the common
    order: two sets with a Jaccard of 0.75 share one of those, so node pairs that share no branch have too small an overlap, by
    construction. That is exact: it is the largest possible overlap without a common branch. Which shingles come last is a matter
-   of speed only, any fixed order gives the same links. Branches with the same nodes below them are one.
+   of speed only, any fixed order gives the same links. The smaller of two such sets has one of them even among its first
+   n - ceil(6n/7) + 1, so branches where no node has the shingle there are dropped. Branches with the same nodes are one.
 3. Below a branch, nodes are sorted and stacked into a tree whose inner nodes hold OR-combined bitmaps, size ranges and ranges
    of components. A dual traversal drops pairs of tree nodes whose largest possible overlap, sizes or single component rule out
    a new link. A branch over CAP nodes is split by size class and hash into parts with a tree each; pairs of parts whose size
    or component ranges rule out a new link are dropped before their rows are sent.
-4. The traversal runs up to three times, on components known so far. The first takes only pairs that are likely to link by
-   the bitmaps, siblings in the leaves first, and of those that tie groups of nodes in a branch a forest. The second does the same
-   across the parts of large branches. The last makes every pair between two components that the bounds leave over.
-   Each round's pairs are verified on the whole sets, 100 * intersection >= 75 * union, in pieces of PIECE shingles at most.
+4. The traversal of a branch makes ties first: pairs that are likely to link by the bitmaps, siblings in the leaves before
+   others, and of those that tie groups of nodes a forest. All pairs that are left between two tied groups come later. Parts of
+   a large branch are traversed by themselves, then across. Ties are verified on the whole sets, 100 * intersection >= 75 * union,
+   in pieces of PIECE shingles at most; branches that hold a tie that failed are traversed again on the components found so
+   far, without ties; and of all later pairs those between two components are verified.
 
 Pairs whose link can't change the components are not made: the result is the components, and no link between components is
 lost. Shingles and sets are told apart by 64-bit hashes.
@@ -33,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, slices, small_batches
+from .common import drop, materialize, maybe_among, slices, small_batches
 from .components import connected_components, union_find
 
 WORDS, CAP, LEAF, FAN = 5, 2048, 8, 4
-FREQUENT, WINDOW, OFTEN, MARGIN = 1 << 17, 2_000_000, 4, 0.95
-CHUNK, PIECE, MOST_BITS = 1 << 20, 1 << 15, 1 << 16
+FREQUENT, WINDOW, OFTEN, MARGIN = 1 << 17, 2_000_000, 4, 0.85
+CHUNK, PIECE, MOST_BITS = 1 << 20, 1 << 15, 1 << 13
 BITMAP = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 2**64))
@@ -283,14 +285,35 @@ def _few(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
         label = _tie(label, i[at], j[at])
 
 
-def block_pairs(ids, n, comp, low, sigs, side=None, sparse: bool = False) -> np.ndarray:
-    """Candidate pairs of one branch, one a row. side: keep only pairs across sides (two parts of one branch). sparse: of the
-    pairs that tie groups of rows, a forest."""
+def block_pairs(ids, n, comp, low, sigs, side=None, ties: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one branch, one a row, and whether they come later than the ties. side: keep only pairs across sides
+    (two parts of one branch)."""
     words = np.array([len(s) // 24 for s in sigs])
     label = np.unique(comp, return_inverse=True)[1].ravel()
-    order = np.lexsort((ids, n, low, label))
-    out = []
-    if sparse and side is None:  # siblings in the leaves
+    sides = [np.ones(len(ids), bool)] if side is None else [side == 0, side == 1]
+    last = len(sides) - 1
+    out: list = []
+
+    def traverse(likely: bool):
+        """Pairs between two labels, some at a time; whoever takes them may tie labels meanwhile."""
+        order = np.lexsort((ids, n, low, label))
+        groups = [{w: order[(words[order] == w) & s[order]] for w in np.unique(words[s]).tolist()} for s in sides]
+        for w in sorted(set().union(*groups)):
+            trees: dict = {}
+            for a, b in [(w, w), (w, 2 * w)] + ([(2 * w, w)] if side is not None else []):
+                x, y = groups[0].get(a), groups[last].get(b)
+                if x is None or y is None:
+                    continue
+                for key, rows in (((0, a), x), ((last, b), y)):
+                    if key not in trees:
+                        trees[key] = Tree(*_bits([sigs[r] for r in rows], w), n[rows], label[rows])
+                for i, j in dual(trees[0, a], trees[last, b], likely):
+                    i, j = x[i], y[j]
+                    ok = label[i] != label[j]
+                    yield i[ok], j[ok]
+
+    if ties and side is None:  # siblings in the leaves
+        order = np.lexsort((ids, n, low, label))
         for w in np.unique(words).tolist():
             rows = order[words[order] == w]
             odd = _bits([sigs[r] for r in rows], w)[1]
@@ -300,33 +323,14 @@ def block_pairs(ids, n, comp, low, sigs, side=None, sparse: bool = False) -> np.
                 at = at[possible(odd, n[rows], odd, n[rows], at, at + step, True)]
                 label, i, j = _few(label, i[at], j[at])
                 out.append((i, j))
-        order = np.lexsort((ids, n, low, label))
-    trees: dict = {}
-
-    def tree(rows: np.ndarray, width: int) -> Tree:
-        return Tree(*_bits([sigs[r] for r in rows], width), n[rows], label[rows])
-
-    sides = [np.ones(len(ids), bool)] if side is None else [side == 0, side == 1]
-    last = len(sides) - 1
-    groups = [{w: order[(words[order] == w) & s[order]] for w in np.unique(words[s]).tolist()} for s in sides]
-    for w in sorted(set().union(*groups)):
-        for a, b in [(w, w), (w, 2 * w)] + ([(2 * w, w)] if side is not None else []):
-            x, y = groups[0].get(a), groups[last].get(b)
-            if x is None or y is None:
-                continue
-            for key, rows in (((0, a, w), x), ((last, b, w), y)):
-                if key not in trees:
-                    trees[key] = tree(rows, w)
-            for i, j in dual(trees[0, a, w], trees[last, b, w], sparse):
-                i, j = x[i], y[j]
-                ok = label[i] != label[j]
-                i, j = i[ok], j[ok]
-                if sparse:
-                    label, i, j = _few(label, i, j)
-                out.append((i, j))
-        trees = {k: v for k, v in trees.items() if k[2] > w}
+    if ties:
+        for i, j in traverse(True):
+            label, i, j = _few(label, i, j)
+            out.append((i, j))
+    tied = sum(len(i) for i, _ in out)
+    out += traverse(False)
     i, j = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-    return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1)
+    return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1), np.arange(len(i)) >= tied
 
 
 # ---- stages
@@ -424,7 +428,7 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: Data
     return out
 
 
-def _trees(sparse: bool):
+def _trees(ties: bool):
     """Branches arrive sorted by key; one at a time is held (2 * CAP rows at most)."""
     names = ["key", "i", "j", "node", "n", "comp", "low", "side", "sig"]
 
@@ -433,13 +437,14 @@ def _trees(sparse: bool):
         ids, n, comp, low, side = (rows.column(c).to_numpy() for c in names[3:8])
         sigs = rows.column("sig").to_pylist()
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
-        out = []
+        out = [np.zeros((0, 3), np.int64)]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if b - a > 1:
-                out.append(block_pairs(ids[a:b], n[a:b], comp[a:b], low[a:b], sigs[a:b], side[a:b] if key[a, 1] != key[a, 2] else None, sparse))
-        x = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        x = x[x[:, 0] < x[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+                pairs, later = block_pairs(ids[a:b], n[a:b], comp[a:b], low[a:b], sigs[a:b], side[a:b] if key[a, 1] != key[a, 2] else None, ties)
+                out.append(np.column_stack([pairs, later]))
+        x = np.unique(np.concatenate(out), axis=0)
+        x = x[(x[:, 0] < x[:, 1]) & np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)][: len(x)]]
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2] == 1)], ["a", "b", "later"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -463,9 +468,9 @@ def _trees(sparse: bool):
     return run
 
 
-def _candidates(spark: SparkSession, blocks: DataFrame, nodes: DataFrame, sparse: bool, across: bool) -> DataFrame:
-    """blocks(key, node, comp, c): the pairs that the trees of all branches leave over; across: those between two parts of a
-    large branch too (else each part by itself)."""
+def _candidates(spark: SparkSession, blocks: DataFrame, nodes: DataFrame, ties: bool, across: bool) -> DataFrame:
+    """blocks(key, node, comp, c): the pairs (a, b, later) that the trees of all branches leave over; across: those between two
+    parts of a large branch too (else each part by itself)."""
     rows = blocks.join(nodes.select("node", "n", "low", "sig"), "node")
     none = F.lit(0).cast("long")
     parted = rows.filter(F.col("c") <= CAP).select("key", none.alias("i"), none.alias("j"), "node", "n", "comp", "low", none.alias("side"), "sig")
@@ -486,7 +491,7 @@ def _candidates(spark: SparkSession, blocks: DataFrame, nodes: DataFrame, sparse
         else:
             plain = plain.withColumn("i", F.col("part")).withColumn("j", F.col("part")).withColumn("side", none)
         parted = parted.unionByName(plain.join(nodes.select("node", "low", "sig"), "node").select("key", "i", "j", "node", "n", "comp", "low", "side", "sig"))
-    return parted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees(sparse), "a long, b long").distinct()
+    return parted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees(ties), "a long, b long, later boolean").groupBy("a", "b").agg(F.min("later").alias("later"))
 
 
 def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
@@ -496,46 +501,68 @@ def _mixed(blocks: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(spread, "key")
 
 
+def _nodes(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """classes(node, doc): each set and its smallest doc_id; nodes: one row of the sketch for each. Only rows of sets that
+    several rows have are shuffled."""
+    usable = rows.filter("n > 0 and doc_id is not null")
+    classes = materialize(spark, usable.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("times")), "classes")
+    marked = maybe_among(usable, classes.filter("times > 1"), "node", "copied")
+    lone = marked.filter("not copied").drop("copied")
+    first = marked.filter("copied").drop("copied").join(classes.select(F.col("doc").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi")
+    return classes.drop("times"), materialize(spark, lone.unionByName(first).withColumnRenamed("doc_id", "doc"), "nodes")
+
+
+def _branches(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(key, node, c): the nodes below each branch that two nodes or more hang on."""
+    keyed = nodes.select("node", F.posexplode("keys").alias("pos", "key"), "n").select("node", "key", (F.col("pos") <= F.col("n") - F.ceil(6 * F.col("n") / 7)).alias("core"))
+    keyed = keyed.repartition("key")  # one exchange for the count and the rows
+    below = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("core").alias("core"), F.sum(F.xxhash64("node") % (1 << 52)).alias("sum"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("core and lo < hi")
+    below = below.groupBy("c", "sum", "lo", "hi").agg(F.min("key").alias("key")).select("key", "c")
+    return materialize(spark, keyed.drop("core").join(below, "key"), "branches")
+
+
 def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, one row a document. trace, for tests, gets each round's pairs and links."""
     docs = docs.select("doc_id", "text")
     rows = materialize(spark, sketch(docs, *frequent(docs)), "sketch")
     usable = rows.filter("n > 0 and doc_id is not null")
-    classes = materialize(spark, usable.groupBy("node").agg(F.min("doc_id").alias("doc")), "classes")
-    nodes = materialize(spark, usable.join(classes.select(F.col("doc").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi").withColumnRenamed("doc_id", "doc"), "nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key")).repartition("key")  # one exchange for the count and the rows
-    below = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node") % (1 << 52)).alias("sum"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("c > 1 and lo < hi")
-    below = below.groupBy("c", "sum", "lo", "hi").agg(F.min("key").alias("key")).select("key", "c")
-    blocks = materialize(spark, keyed.join(below, "key"), "branches")
-    made: list[DataFrame] = []
+    classes, nodes = _nodes(spark, rows)
+    blocks = _branches(spark, nodes)
+    ties: list[DataFrame] = []
+    later: list[DataFrame] = []
     links: list[DataFrame] = []
 
-    def round_(what: DataFrame, sparse: bool, across: bool) -> None:
-        pairs = _candidates(spark, what, nodes, sparse, across)
-        for old in made:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        made.append(materialize(spark, pairs, "pairs"))
-        links.append(verified(spark, docs, made[-1], nodes, "links"))
+    def verify(pairs: DataFrame) -> None:
+        links.append(verified(spark, docs, pairs, nodes, "links"))
         if trace is not None:
-            trace.setdefault("rounds", []).append((made[-1].count(), links[-1].count()))
-
-    def found() -> DataFrame:
-        edges = links[0]
-        for e in links[1:]:
-            edges = edges.unionByName(e)
-        return materialize(spark, connected_components(spark, edges), "comps")
-
-    round_(blocks.withColumn("comp", F.col("node")), True, False)
-    comps = found()
-    open_ = materialize(spark, _mixed(blocks, comps), "open")
-    large = open_.filter(F.col("c") > CAP)
+            trace.setdefault("rounds", []).append((pairs.count(), links[-1].count()))
+
+    def components() -> DataFrame:
+        return materialize(spark, connected_components(spark, _union(links)), "comps")
+
+    def tie(what: DataFrame, across: bool) -> None:
+        found = materialize(spark, _candidates(spark, what, nodes, True, across), "pairs")
+        new = found.filter("not later").select("a", "b")
+        for old in ties:
+            new = new.join(old, ["a", "b"], "left_anti")
+        ties.append(materialize(spark, new, "ties"))
+        later.append(found)
+        verify(ties[-1])
+
+    tie(blocks.withColumn("comp", F.col("node")), False)
+    comps = components()
+    large = blocks.filter(F.col("c") > CAP)
     if not large.isEmpty():
-        round_(large, True, True)
-        old = (comps, open_)
-        comps = found()
-        open_ = materialize(spark, _mixed(blocks, comps), "open")
-        drop(spark, *old)
-    round_(open_, False, True)
+        tie(materialize(spark, _mixed(large, comps), "large"), True)
+        comps = components()
+    failed = _union(ties).join(_union(links), ["a", "b"], "left_anti")
+    doubtful = failed.join(blocks.select("key", F.col("node").alias("a")), "a").join(blocks.select("key", F.col("node").alias("b")), ["key", "b"]).select("key").distinct()
+    again = materialize(spark, _mixed(blocks.join(doubtful, "key", "left_semi"), comps), "again")
+    later.append(materialize(spark, _candidates(spark, again, nodes, False, True), "pairs"))
+    of = [comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+    rest = _union([x.filter("later").select("a", "b") for x in later]).distinct().join(_union(ties), ["a", "b"], "left_anti")
+    rest = rest.join(of[0], "a", "left").join(of[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    verify(materialize(spark, rest, "rest"))
     # a repeated doc_id is one document: the classes of its texts are one component
     reps = usable.select("doc_id", "node")
     ends = reps.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
@@ -550,7 +577,7 @@ def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> Dat
     twins = reps.join(bare.select("doc_id").distinct(), "doc_id").join(lead, "node").groupBy("doc_id").agg(F.min("least").alias("least"))
     out = full.unionByName(bare.join(twins, "doc_id", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("least")))
     out = materialize(spark, out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")), "joined")
-    drop(spark, rows, classes, nodes, blocks, comps, open_, final, *made, *links)
+    drop(spark, rows, nodes, blocks, comps, again, final, *ties, *later, *links)
     return out
 
 
