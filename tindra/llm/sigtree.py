@@ -15,7 +15,8 @@ set, a bitmap of it (two to four bits a shingle) and the branches of the tree th
    a new link. A branch over CAP nodes is split by size class and hash into parts with a tree each; pairs of parts whose size
    or component ranges rule out a new link are dropped before their rows are sent.
 4. The traversal of a branch makes ties first: pairs that are likely to link by the bitmaps, siblings in the leaves before
-   others, and of those that tie groups of nodes a forest. All pairs that are left between two tied groups come later. Parts of
+   others, and of those that tie groups of nodes a forest. All pairs that are left between two tied groups come
+   later, each in the first branch that both ends share, as far as they carry them along. Parts of
    a large branch are traversed by themselves, then across. Ties are verified on the whole sets, 100 * intersection >= 75 * union,
    in pieces of PIECE shingles at most; branches that hold a tie that failed are traversed again on the components found so
    far, without ties; and of all later pairs those between two components are verified.
@@ -40,7 +41,8 @@ from .components import connected_components, union_find
 
 WORDS, CAP, LEAF, FAN = 5, 2048, 8, 4
 FREQUENT, WINDOW, OFTEN, MARGIN = 1 << 17, 2_000_000, 4, 0.85
-CHUNK, PIECE, MOST_BITS = 1 << 20, 1 << 15, 1 << 13
+CHUNK, PIECE, MOST_BITS, FIRST = 1 << 20, 1 << 15, 1 << 13, 16
+NO_BRANCH = np.int64(2**63 - 1)
 BITMAP = 1 << 23
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 2**64))
@@ -285,9 +287,18 @@ def _few(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
         label = _tie(label, i[at], j[at])
 
 
-def block_pairs(ids, n, comp, low, sigs, side=None, ties: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _met(first: np.ndarray, key: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows i and j share one of their first branches before this one. first: sorted keys, NO_BRANCH after the last."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 10_000):
+        x, y = first[i[a : a + 10_000]], first[j[a : a + 10_000]]
+        out[a : a + 10_000] = ((x[:, :, None] == y[:, None, :]) & (x < key)[:, :, None]).any(axis=(1, 2))
+    return out
+
+
+def block_pairs(ids, n, comp, low, sigs, side=None, ties: bool = False, first=None, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one branch, one a row, and whether they come later than the ties. side: keep only pairs across sides
-    (two parts of one branch)."""
+    (two parts of one branch). first: each row's first branches; a later pair that shares one before this is made there."""
     words = np.array([len(s) // 24 for s in sigs])
     label = np.unique(comp, return_inverse=True)[1].ravel()
     sides = [np.ones(len(ids), bool)] if side is None else [side == 0, side == 1]
@@ -328,7 +339,9 @@ def block_pairs(ids, n, comp, low, sigs, side=None, ties: bool = False) -> tuple
             label, i, j = _few(label, i, j)
             out.append((i, j))
     tied = sum(len(i) for i, _ in out)
-    out += traverse(False)
+    for i, j in traverse(False):
+        new = slice(None) if first is None else ~_met(first, key, i, j)
+        out.append((i[new], j[new]))
     i, j = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
     return np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], axis=1), np.arange(len(i)) >= tied
 
@@ -430,17 +443,20 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, nodes: Data
 
 def _trees(ties: bool):
     """Branches arrive sorted by key; one at a time is held (2 * CAP rows at most)."""
-    names = ["key", "i", "j", "node", "n", "comp", "low", "side", "sig"]
+    names = ["key", "i", "j", "node", "n", "comp", "low", "side", "sig", "first"]
 
     def done(rows: pa.Table):
         key = np.stack([rows.column(c).to_numpy() for c in names[:3]], axis=1)
         ids, n, comp, low, side = (rows.column(c).to_numpy() for c in names[3:8])
-        sigs = rows.column("sig").to_pylist()
+        sigs, lists = rows.column("sig").to_pylist(), rows.column("first").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        first = np.full((len(ids), FIRST), NO_BRANCH)
+        first[np.arange(FIRST) < sizes[:, None]] = lists.flatten().to_numpy()
         edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
         out = [np.zeros((0, 3), np.int64)]
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if b - a > 1:
-                pairs, later = block_pairs(ids[a:b], n[a:b], comp[a:b], low[a:b], sigs[a:b], side[a:b] if key[a, 1] != key[a, 2] else None, ties)
+                pairs, later = block_pairs(ids[a:b], n[a:b], comp[a:b], low[a:b], sigs[a:b], side[a:b] if key[a, 1] != key[a, 2] else None, ties, first[a:b], key[a, 0])
                 out.append(np.column_stack([pairs, later]))
         x = np.unique(np.concatenate(out), axis=0)
         x = x[(x[:, 0] < x[:, 1]) & np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)][: len(x)]]
@@ -471,9 +487,9 @@ def _trees(ties: bool):
 def _candidates(spark: SparkSession, blocks: DataFrame, nodes: DataFrame, ties: bool, across: bool) -> DataFrame:
     """blocks(key, node, comp, c): the pairs (a, b, later) that the trees of all branches leave over; across: those between two
     parts of a large branch too (else each part by itself)."""
-    rows = blocks.join(nodes.select("node", "n", "low", "sig"), "node")
+    rows = blocks.join(nodes.select("node", "n", "low", "sig", "first"), "node")
     none = F.lit(0).cast("long")
-    parted = rows.filter(F.col("c") <= CAP).select("key", none.alias("i"), none.alias("j"), "node", "n", "comp", "low", none.alias("side"), "sig")
+    parted = rows.filter(F.col("c") <= CAP).select("key", none.alias("i"), none.alias("j"), "node", "n", "comp", "low", none.alias("side"), "sig", "first")
     large = blocks.filter(F.col("c") > CAP)
     if not large.isEmpty():
         kind = F.floor(F.log("n") / F.log(F.lit(4 / 3)) + 1e-9)  # sizes that link are at most one class apart
@@ -490,7 +506,7 @@ def _candidates(spark: SparkSession, blocks: DataFrame, nodes: DataFrame, ties:
             plain = plain.join(ends, ["key", "part"]).withColumn("side", F.when(F.col("part") == F.col("i"), 0).otherwise(1).cast("long"))
         else:
             plain = plain.withColumn("i", F.col("part")).withColumn("j", F.col("part")).withColumn("side", none)
-        parted = parted.unionByName(plain.join(nodes.select("node", "low", "sig"), "node").select("key", "i", "j", "node", "n", "comp", "low", "side", "sig"))
+        parted = parted.unionByName(plain.join(nodes.select("node", "low", "sig", "first"), "node").select("key", "i", "j", "node", "n", "comp", "low", "side", "sig", "first"))
     return parted.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_trees(ties), "a long, b long, later boolean").groupBy("a", "b").agg(F.min("later").alias("later"))
 
 
@@ -528,12 +544,15 @@ def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> Dat
     usable = rows.filter("n > 0 and doc_id is not null")
     classes, nodes = _nodes(spark, rows)
     blocks = _branches(spark, nodes)
+    # the nodes on branches, with their first branches: two that share one of these before another don't have to meet there
+    hung = blocks.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST).alias("first"))
+    hung = materialize(spark, nodes.drop("keys").join(hung, "node"), "hung")
     ties: list[DataFrame] = []
     later: list[DataFrame] = []
     links: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> None:
-        links.append(verified(spark, docs, pairs, nodes, "links"))
+        links.append(verified(spark, docs, pairs, hung, "links"))
         if trace is not None:
             trace.setdefault("rounds", []).append((pairs.count(), links[-1].count()))
 
@@ -541,7 +560,7 @@ def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> Dat
         return materialize(spark, connected_components(spark, _union(links)), "comps")
 
     def tie(what: DataFrame, across: bool) -> None:
-        found = materialize(spark, _candidates(spark, what, nodes, True, across), "pairs")
+        found = materialize(spark, _candidates(spark, what, hung, True, across), "pairs")
         new = found.filter("not later").select("a", "b")
         for old in ties:
             new = new.join(old, ["a", "b"], "left_anti")
@@ -558,7 +577,7 @@ def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> Dat
     failed = _union(ties).join(_union(links), ["a", "b"], "left_anti")
     doubtful = failed.join(blocks.select("key", F.col("node").alias("a")), "a").join(blocks.select("key", F.col("node").alias("b")), ["key", "b"]).select("key").distinct()
     again = materialize(spark, _mixed(blocks.join(doubtful, "key", "left_semi"), comps), "again")
-    later.append(materialize(spark, _candidates(spark, again, nodes, False, True), "pairs"))
+    later.append(materialize(spark, _candidates(spark, again, hung, False, True), "pairs"))
     of = [comps.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
     rest = _union([x.filter("later").select("a", "b") for x in later]).distinct().join(_union(ties), ["a", "b"], "left_anti")
     rest = rest.join(of[0], "a", "left").join(of[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
@@ -577,7 +596,7 @@ def join(spark: SparkSession, docs: DataFrame, trace: dict | None = None) -> Dat
     twins = reps.join(bare.select("doc_id").distinct(), "doc_id").join(lead, "node").groupBy("doc_id").agg(F.min("least").alias("least"))
     out = full.unionByName(bare.join(twins, "doc_id", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("least")))
     out = materialize(spark, out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")), "joined")
-    drop(spark, rows, nodes, blocks, comps, again, final, *ties, *later, *links)
+    drop(spark, rows, nodes, hung, blocks, comps, again, final, *ties, *later, *links)
     return out
 
 
