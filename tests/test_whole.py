@@ -25,15 +25,15 @@ def test_all_parts_are_resolved(spark, sf_dir):
     for r in lines:
         works.setdefault(entity[r.l_partkey], set()).add(r.l_suppkey)
     name = {i: n for n, i in first.items()}
-    assert dict(rows(run(spark, sf_dir, "er_members_all"), "id", "entity")) == entity and len(entity) == len(part)
+    assert dict(rows(run(spark, sf_dir, "er_members"), "id", "entity")) == entity and len(entity) == len(part)
     shared = {(a, b): len(works.get(a, set()) & works.get(b, set())) for a, b in combinations(sorted(name), 2)}
     pairs = [p for p in shared if name[p[0]][:4] == name[p[1]][:4] or shared[p] >= 2]
-    assert rows(run(spark, sf_dir, "er_block_candidates_all"), "a", "b") == sorted(pairs, key=str)
+    assert rows(run(spark, sf_dir, "er_block_candidates"), "a", "b") == sorted(pairs, key=str)
     jw = {p: jaro_winkler(name[p[0]], name[p[1]]) for p in pairs}
     level = {p: (2 if jw[p] >= 0.92 else 1 if jw[p] >= 0.85 else 0, min(shared[p], 2)) for p in pairs}
     weights = entities.match_weights(sorted((*k, n) for k, n in Counter(level.values()).items()))
     want = [(*p, round(weights[level[p]], 4), shared[p]) for p in pairs if round(weights[level[p]], 4) >= 0.8]
-    assert rows(run(spark, sf_dir, "er_dedupe_scored_all"), "a", "b", "score", "shared") == sorted(want, key=str)
+    assert rows(run(spark, sf_dir, "er_dedupe_scored"), "a", "b", "score", "shared") == sorted(want, key=str)
 
 
 def test_by_name(spark):
@@ -55,7 +55,7 @@ def test_all_titles_are_matched(spark, sf_dir):
         confidence = "none" if not hits else "high" if any(x[0] == r.p_name for x in hits) else "medium"
         status = "matched" if hits else "no_record_in_window" if year >= 2021 else "before_window"
         want.append((r.p_partkey, len(hits), sum(x[2] for x in hits) if hits else None, confidence, status))
-    got = rows(run(spark, sf_dir, "title_match_containment_all"), "l", "matches", "total", "confidence", "status")
+    got = rows(run(spark, sf_dir, "title_match_containment"), "l", "matches", "total", "confidence", "status")
     assert got == sorted(want, key=str) and len(got) == len(part)
     assert {"matched", "no_record_in_window"} <= {x[-1] for x in got}
 

@@ -66,3 +66,77 @@ def jaro_winkler(a: str | None, b: str | None) -> float:
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def best_by_hash(rows, questions, depth: int, dim: int):
+    """(q, id, score): for rows(id, t array of terms) the `depth` best of each question by the cosine of hashed term counts.
+
+    questions(id, bucket, weight) are the questions' vectors: a bounded set that goes to every task, BLOCK at a time. A task
+    keeps each question's best only; the caller ranks what the tasks leave.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    at = questions.toArrow()
+    qs, place = np.unique(at.column("id").to_numpy(), return_inverse=True)
+    w = np.zeros((len(qs), dim))
+    np.add.at(w, (place, at.column("bucket").to_numpy()), at.column("weight").to_numpy())
+    kinds = [questions.schema["id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()]
+    types = [at.schema.field("id").type]
+
+    def run(batches):
+        bucket: dict[str, int] = {}
+        held: dict = {"q": [], "id": [], "s": []}
+
+        def cut(ids, s):
+            """Each question's best of one batch and those kept so far: larger score first, then smaller id."""
+            k = min(depth, len(ids))
+            for b in range(0, len(qs), BLOCK):
+                part = np.round(s[b : b + BLOCK], 9)
+                floor = np.partition(part, len(ids) - k, axis=1)[:, len(ids) - k]
+                q, r = np.nonzero((part >= floor[:, None]) & (part > 0))
+                held["q"].append(q + b)
+                held["id"].append(ids[r])
+                held["s"].append(s[b : b + BLOCK][q, r])
+
+        def packed():
+            q, i, s = (np.concatenate(held[c]) for c in ("q", "id", "s"))
+            order = np.lexsort((i, -np.round(s, 9), q))
+            q, i, s = q[order], i[order], s[order]
+            ok = np.arange(len(q)) - np.searchsorted(q, q, side="left") < depth
+            for c, v in zip(("q", "id", "s"), (q[ok], i[ok], s[ok]), strict=True):
+                held[c][:] = [v]
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            lists = b.column(1)
+            flat, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            if len(bucket) > 500_000:
+                bucket.clear()
+            for t in set(flat) - bucket.keys():
+                bucket[t] = int(hashlib.md5(t.encode()).hexdigest()[-3:], 16) % dim
+            cols = np.fromiter((bucket[t] for t in flat), np.int64, len(flat))
+            for a in range(0, b.num_rows, 2048):
+                e = min(a + 2048, b.num_rows)
+                n = np.diff(ends[a : e + 1])
+                x = np.zeros((e - a, dim))
+                np.add.at(x, (np.repeat(np.arange(e - a), n), cols[ends[a] : ends[e]]), 1.0)
+                x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+                cut(b.column(0).slice(a, e - a).to_numpy(zero_copy_only=False), w @ x.T)
+                if sum(map(len, held["q"])) > 4 * depth * len(qs) + 100_000:
+                    packed()
+        if held["q"]:
+            packed()
+            yield pa.RecordBatch.from_arrays([pa.array(qs[held["q"][0]], types[0]), pa.array(held["id"][0], kind), pa.array(held["s"][0])], ["q", "id", "score"])
+
+    if not len(qs):
+        return rows.limit(0).select(F.lit(None).cast(kinds[0]).alias("q"), "id", F.lit(0.0).alias("score"))
+    return rows.filter(F.size("t") > 0).mapInArrow(run, f"q {kinds[0]}, id {kinds[1]}, score double")
+
+
+BLOCK = 256

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..sources.tables import META
 from . import quality as Q
 
 # Requirement levels and the order in which they are shown.
@@ -41,26 +43,54 @@ def stream_documents(streams: DataFrame, specs: DataFrame) -> DataFrame:
     return rows.join(match_documents(rows.select("id", "text"), specs), "id").select("stream_id", "requirement", "pos", "text", "doc_key")
 
 
-def build(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Catalog tables; raises before anything is built if a source id dangles."""
-    found = provenance({k: raw[k] for k in ("grant_families", "grant_streams") if k in raw}, raw["sources"])
+def with_default(df: DataFrame, meta: dict | None) -> DataFrame:
+    """Records without _meta get the default of their file."""
+    if not meta:
+        return df
+    one = F.struct(*[(F.array(*map(F.lit, meta.get(k) or [])).cast("array<string>") if k == "sources" else F.lit(meta.get(k)).cast("string")).alias(k) for k in ("sources", "confidence", "checked_at", "notes")]).cast(META)
+    return df.withColumn("_meta", F.coalesce("_meta", one))
+
+
+def rebate(doc: DataFrame) -> dict[str, DataFrame]:
+    """The one rebate record and its stages."""
+    one = doc.select("id", "name_is", "name_en", "rates.*", "producer_strategy.*", F.col("_meta.confidence").alias("confidence"))
+    stage = doc.select(F.col("id").alias("rebate_id"), F.explode("stages").alias("s")).select("rebate_id", F.col("s.order").alias("ord"), "s.id", "s.name_is", "s.description", "s.stream_id")
+    return {"rebate": one, "rebate_stages": stage}
+
+
+def build(raw: dict[str, DataFrame], default_meta: dict | None = None, portal: str | None = None) -> dict[str, DataFrame]:
+    """Catalog tables; raises before anything is built if a source id dangles. portal: a url pattern for streams without a url."""
+    raw = {**raw, "grant_streams": with_default(raw["grant_streams"], default_meta)}
+    held = {k: raw[k].select("id", "_meta") for k in ("grant_families", "grant_streams", "rebate") if k in raw}
+    if "process" in raw:
+        held["process"] = raw["process"].select(F.inline(F.array(*[F.struct(F.col(f"{k}.id").alias("id"), F.col(f"{k}._meta").alias("_meta")) for k in ("contract_process", "film_archive_deposit")])))
+    found = provenance(held, raw["sources"])
     Q.insist(found["dangling"])
-    return {
+    streams = raw["grant_streams"].withColumn("confidence", F.col("_meta.confidence"))
+    if portal:
+        streams = streams.withColumn("portal_url", X.portal_url("portal_url", "gatta_id", portal))
+    out = {
         "sources": raw["sources"],
         "grant_families": raw["grant_families"].drop("_meta"),
-        "grant_streams": raw["grant_streams"].withColumn("confidence", F.col("_meta.confidence")).drop("documents", "_meta"),
+        "grant_streams": streams.drop("documents", "_meta"),
         "stream_documents": stream_documents(raw["grant_streams"], raw["documents"]),
         "documents": raw["documents"],
         "criteria": raw["criteria"],
         "grant_amounts": raw["grant_amounts"],
         "warnings": found["warnings"],
     }
+    if "rebate" in raw:
+        out |= rebate(raw["rebate"])
+    if "process" in raw:
+        out |= process(raw["process"])
+    return out
 
 
 def process(doc: DataFrame) -> dict[str, DataFrame]:
-    """Stages, their checklists and forms of the contract process (one JSON document)."""
+    """Stages of the contract process with their checklists and forms, and the links of the archive deposit (one JSON document)."""
     stage = doc.select(F.explode("contract_process.stages").alias("s")).select("s.*")
     return {
+        "film_archive_links": doc.select(F.col("film_archive_deposit.id").alias("deposit_id"), F.explode("film_archive_deposit.links").alias("link_key", "url")),
         "process_stages": stage.select("order", "id", "name_is", "condition", "deadline_months"),
         "process_checklist": stage.select(F.col("id").alias("stage_id"), F.posexplode("checklist").alias("ord", "c")).select("stage_id", "ord", "c.*"),
         "process_forms": stage.select(F.col("id").alias("stage_id"), F.posexplode("forms").alias("ord", "f")).select("stage_id", "ord", "f.*"),

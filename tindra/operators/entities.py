@@ -43,13 +43,15 @@ def containment(left: DataFrame, right: DataFrame, least: int = LEAST) -> DataFr
     characters or more.
 
     No nested loop: a text that holds another holds its first n-gram, so the shorter side sends its first n-gram and the
-    longer side all of its own, and the pairs that meet are checked. Equal norms come from an equi-join of their own.
+    longer side all of its own, and the pairs that meet are checked. n is GRAM, or `least` where that is less. Equal norms come
+    from an equi-join of their own.
     """
+    size = min(least, GRAM)
     equal = left.join(right, F.col("ln") == F.col("rn")).select("l", "r", F.lit(True).alias("exact"))
 
     def within(short, sn, long, ln):
-        s = short.filter(F.length(sn) >= max(least, GRAM)).withColumn("g", F.substring(sn, 1, GRAM))
-        t = long.withColumn("g", F.explode(grams(ln)))
+        s = short.filter(F.length(sn) >= least).withColumn("g", F.substring(sn, 1, size))
+        t = long.withColumn("g", F.explode(grams(ln, size)))
         return s.join(t, "g").filter(F.col(ln).contains(F.col(sn)) & (F.col(ln) != F.col(sn)))
 
     a = within(left, "ln", right, "rn").select("l", "r")
@@ -86,13 +88,6 @@ def longest_alias(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return texts.select("id").join(best, "id", "left")
 
 
-def first_by_norm(df: DataFrame, norm: str, *order: str) -> DataFrame:
-    """Entities: one a norm, the first in order; ids are the place in that order, from 1, found without a global sort key in
-    one task: a range sort and the counts of the partitions before."""
-    w = Window.partitionBy(norm).orderBy(*order)
-    return df.filter(F.col(norm) != "").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-
-
 def strong_key_upsert(records: DataFrame) -> DataFrame:
     """records(key, norm, ord) -> (ord, entity): the same strong key is one entity; else the same norm is; else it is new.
 
@@ -170,7 +165,7 @@ def dedupe(pairs: DataFrame, entities: DataFrame, works: DataFrame, threshold: f
     counts = [(r.name_level, r.work_level, r.n) for r in levels.groupBy("name_level", "work_level").agg(F.count(F.lit(1)).alias("n")).collect()]  # 9 rows at most
     weights = match_weights(sorted(counts))
     score = F.coalesce(*[F.when((F.col("name_level") == a) & (F.col("work_level") == b), F.lit(round(p, 4))) for (a, b), p in weights.items()], F.lit(0.0)) if weights else F.lit(0.0)
-    return levels.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score", "shared")
+    return levels.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score", "shared").orderBy(F.desc("score"), "a", "b")
 
 
 def survivor(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -180,6 +175,14 @@ def survivor(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     return pairs.join(ra, "a").join(rb, "b").select(F.when(keep, F.col("a")).otherwise(F.col("b")).alias("keep"), F.when(keep, F.col("b")).otherwise(F.col("a")).alias("drop"), *[c for c in pairs.columns if c not in ("a", "b")])
 
 
+def merge_records(kind: str, pairs: DataFrame, entities: DataFrame, rank: list[str]) -> DataFrame:
+    """(kind, keep, drop, keep_name, drop_name, score, shared) of pairs(a, b, score, shared), best first: the entity that ranks
+    higher by the columns of rank stays."""
+    kept = survivor(pairs, entities.select("id", F.struct(*rank).alias("rank")))
+    names = [entities.select(F.col("id").alias(k), F.col("name").alias(f"{k}_name")) for k in ("keep", "drop")]
+    return kept.join(names[0], "keep").join(names[1], "drop").select(F.lit(kind).alias("kind"), "keep", "drop", "keep_name", "drop_name", F.round("score", 3).alias("score"), "shared").orderBy(F.desc("score"), "keep", "drop")
+
+
 def name_prefixes(entities: DataFrame, works: DataFrame) -> DataFrame:
     """(a, b, score, method): a name of two words or more that begins a longer one, where the rest is one patronymic or they
     share a work. All proper word prefixes of a name are looked up by equality."""

@@ -44,6 +44,56 @@ def failures(df: DataFrame, dataset: str, rules: list[Rule]) -> DataFrame:
     return rows.select(F.lit(dataset).alias("dataset"), "f.*")
 
 
+# What the six datasets must look like.
+FAMILIES = ["handrit", "throun", "framleidsla", "eftirvinnsla", "endurgreidsla", "annad"]
+
+
+def schemas() -> dict[str, list[Rule]]:
+    """Rules by dataset. Numbers are tried as numbers, so a text that isn't one fails its range."""
+    source = Rule("source_id", "matches(^src\\.)", F.col("source_id").rlike("^src\\."), True)
+    production = [min_length("title", 1), in_range("year", 1900, 2030), Rule("source", "matches(^src\\.)", F.col("source").rlike("^src\\."), True)]
+    year = in_range("year", 2018, 2026)
+    return {
+        "allocations": [min_length("project_title", 1), Rule("year", year.check, year.ok, True), at_least("amount_isk", 0), at_least("commitment_isk", 0), one_of("family", FAMILIES), source],
+        "productions_films": production,
+        "productions_series": production,
+        "companies_producers": [min_length("name", 1), Rule("is_sik_member", "isin", F.col("is_sik_member").try_cast("int").isin(0, 1), True)],
+        "lexicon": [min_length("is", 1), min_length("en", 1), min_length("category", 1)],
+        "imdb_links": [Rule("imdb_tconst", "matches(^tt\\d+$)", F.col("imdb_tconst").rlike("^tt\\d+$"), True), min_length("title_norm", 1), in_range("year", 1900, 2030)],
+    }
+
+
+def gate(datasets: dict[str, DataFrame]) -> DataFrame:
+    """All failures of the datasets that are there; none that is there may be unknown."""
+    rules, out = schemas(), None
+    for name, df in datasets.items():
+        one = failures(df, name, rules[name])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def queues(flags: DataFrame, candidates: DataFrame, decisions: DataFrame, aliases: DataFrame, parked: DataFrame, awards: DataFrame) -> DataFrame:
+    """(queue, n): what waits for people, and what they have decided. candidates(kind), decisions(kind, decision)."""
+
+    def counted(df: DataFrame, **named: Column) -> DataFrame:
+        return df.agg(*[F.count_if(c).alias(k.replace("_", " ")) for k, c in named.items()]).unpivot([], [k.replace("_", " ") for k in named], "queue", "n")
+
+    kind = lambda k: F.col("kind") == k
+    is_ = lambda k, d: (F.col("kind") == k) & (F.col("decision") == d)
+    parts = [
+        counted(flags, open_flags=F.col("status") == "open"),
+        counted(candidates, company_candidates=kind("company"), person_candidates=kind("person")),
+        counted(decisions, company_merged=is_("company", "merged"), person_merged=is_("person", "merged"), company_rejected=is_("company", "rejected"), person_rejected=is_("person", "rejected")),
+        counted(aliases, unresolved_aliases=F.col("status") == "unresolved"),
+        counted(parked, parked_links=F.lit(True)),
+        counted(awards, awards_without_amount=F.col("amount_isk").isNull()),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 class DanglingReference(ValueError):
     pass
 

@@ -20,24 +20,38 @@ def terms(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).alias("id"), F.explode(X.tokens(text)).alias("term"))
 
 
-def index(df: DataFrame, key: str = "id", text: str = "text") -> dict[str, DataFrame]:
-    """postings, lengths and idf of a corpus; documents without terms count in N."""
-    postings = terms(df, key, text).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = df.select(F.col(key).alias("id"), F.size(X.tokens(text)).cast("long").alias("len"))
+def index(df: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> dict[str, DataFrame]:
+    """postings, lengths and idf of a corpus; documents without terms count in N. only: the terms (term) that will be asked for;
+    no other postings are made or shuffled then."""
+    toks = df.select(F.col(key).alias("id"), X.tokens(text).alias("t"))
+    lengths = toks.select("id", F.size("t").cast("long").alias("len"))
     n = df.agg(F.count(F.lit(1)).alias("N"))  # one row
-    idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    if only is None:
+        postings = toks.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+        seen = toks.select(F.explode(F.array_distinct("t")).alias("term"))
+    else:
+        # within a row, so nothing is shuffled; one row of terms is broadcast where it is small, else joined
+        words = only.select("term").distinct()
+        rows = toks.select("id", F.explode(F.array_distinct("t")).alias("term"), "t").join(words, "term", "left_semi")
+        postings = rows.select("term", "id", F.size(F.filter("t", lambda y: y == F.col("term"))).cast("long").alias("tf"))
+        seen = postings.select("term")
+    idf = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return {"postings": postings, "lengths": lengths, "idf": idf}
 
 
 def bm25(ix: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
     """(q, id, score) for queries(q, text); a query's terms count once."""
-    asked = queries.select("q", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
+    asked = asked_terms(queries)
     mean = ix["lengths"].agg(F.avg("len").alias("mean"))  # one row
     hits = asked.join(ix["postings"], "term").join(ix["idf"].select("term", "idf"), "term").join(ix["lengths"], "id").crossJoin(F.broadcast(mean))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return hits.groupBy("q", "id").agg(F.sum(part).alias("score"))
 
 
+def asked_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("q", F.explode(F.array_distinct(X.tokens("text"))).alias("term"))
+
+
 def ranked(scores: DataFrame, depth: int) -> DataFrame:
     """The best `depth` of each query with their rank from 0; equal scores go by id."""
     w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "id")
@@ -73,11 +87,50 @@ def fuse(lists: list[DataFrame], k: int) -> DataFrame:
     return ranked(total, k).withColumnRenamed("score", "rrf")
 
 
+def dense_best(df: DataFrame, queries: DataFrame, depth: int, key: str = "id", text: str = "text") -> DataFrame:
+    """(q, id, score): the `depth` best texts of each question by the dense similarity. Questions go to every row as a matrix;
+    each batch of rows is scored there and cut to each question's best, so the output never is questions x texts."""
+    from ..functions.python import best_by_hash
+
+    return best_by_hash(df.select(F.col(key).alias("id"), X.tokens(text).alias("t")), hashed(queries, "q", "text"), depth, DIM)
+
+
 def hybrid(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", text: str = "text") -> DataFrame:
     """(q, id, rank, rrf, score): fused ranks; score is the dense similarity, whatever the rank came from."""
-    d = dense(hashed(df, key, text), hashed(queries, "q", "text"))
-    fused = fuse([ranked(d, DEPTH), ranked(bm25(index(df, key, text), queries), DEPTH)], k)
-    return fused.join(d, ["q", "id"], "left").select("q", "id", "rank", "rrf", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+    d = dense_best(df, queries, DEPTH, key, text)
+    only = asked_terms(queries).select("term")
+    fused = fuse([ranked(d, DEPTH), ranked(bm25(index(df, key, text, only), queries), DEPTH)], k)
+    # the few fused rows are scored anew, by their own texts
+    some = df.join(fused.select(F.col("id").alias(key)).distinct(), key, "left_semi")
+    pairs = fused.select("q", "id").join(hashed(some, key, text), "id").join(hashed(queries, "q", "text").select(F.col("id").alias("q"), "bucket", F.col("weight").alias("w")), ["q", "bucket"])
+    score = pairs.groupBy("q", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    return fused.join(score, ["q", "id"], "left").select("q", "id", "rank", "rrf", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+
+
+def search(stored: DataFrame, query: str, k: int = 5) -> DataFrame:
+    """(rank, id, type, text, score, mode) of one question over chunks(id, text, metadata): hybrid, or dense where no chunk holds
+    a word of it."""
+    q = stored.sparkSession.range(1).select(F.lit(0).alias("q"), F.lit(query).alias("text"))
+    found = hybrid(stored, q, k).join(stored.select("id", F.col("metadata")["type"].alias("type"), "text"), "id")
+    words = F.array_distinct(X.tokens(F.lit(query)))
+    mode = stored.agg(F.max(F.arrays_overlap(X.tokens("text"), words)).alias("hit")).select(F.when(F.col("hit"), "hybrid").otherwise("dense").alias("mode"))  # one row
+    return found.crossJoin(F.broadcast(mode)).select("rank", "id", "type", "text", "score", "mode").orderBy("rank")
+
+
+#: Embedders by name: frame, key, text -> (id, bucket, weight). Others may be added.
+EMBEDDERS = {"hash": hashed}
+
+
+def store(df: DataFrame, folder: str, backend: str = "hash", key: str = "id", text: str = "text") -> None:
+    """Write the index of a corpus as tables: vectors, postings, lengths, idf and the backend's name."""
+    ix = index(df, key, text)
+    for name, part in {"vectors": EMBEDDERS[backend](df, key, text), **ix}.items():
+        part.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    df.sparkSession.range(1).select(F.lit(backend).alias("backend"), F.lit(DIM).alias("dim")).write.mode("overwrite").json(f"{folder}/meta")
+
+
+def load(spark, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in ("vectors", "postings", "lengths", "idf")}
 
 
 def keyword(df: DataFrame, words: str, n: int, text: str = "text") -> DataFrame:
@@ -98,8 +151,12 @@ def boilerplate(df: DataFrame, least: int = 8, key: str = "id", text: str = "tex
 
 
 def strip_boilerplate(df: DataFrame, frequent: DataFrame, key: str = "id", text: str = "text", pattern: str = X.SENTENCE_END) -> DataFrame:
-    """(id, text) without the frequent sentences, the rest as lines in order."""
-    s = df.select(F.col(key).alias("id"), F.posexplode(F.split(text, pattern)).alias("pos", "raw")).withColumn("sentence", F.trim("raw"))
+    """(id, text) without the frequent sentences, the rest as lines in order. Rows that share an id and a text share their
+    result; those that share an id only keep their own lines."""
+    base = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256).alias("h"))
+    once = base.dropDuplicates(["id", "h"])
+    s = once.select("id", "h", F.posexplode(F.split("text", pattern)).alias("pos", "raw")).withColumn("sentence", F.trim("raw"))
     kept = s.filter("sentence != ''").join(frequent.select("sentence"), "sentence", "left_anti")
-    lines = kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), "\n").alias("text"))
-    return df.select(F.col(key).alias("id")).join(lines, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+    lines = kept.groupBy(F.col("id").alias("_id"), F.col("h").alias("_h")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), "\n").alias("lines"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))
+    return base.join(lines, same, "left").select("id", F.coalesce("lines", F.lit("")).alias("text"))

@@ -46,6 +46,12 @@ def manual_merges(closed: DataFrame, entities: DataFrame) -> DataFrame:
     return r.join(entities.select("id", "norm"), "norm").select("name", "id", F.lit("manual_merge").alias("method"), F.lit("resolved").alias("status")).distinct()
 
 
+def renamed_titles(ledger: DataFrame, renames: DataFrame, titles: DataFrame) -> DataFrame:
+    """(alias, title_id, method, status): ledger(norm, title, year) names that a curated rename (src, dst) leads to titles(id, norm)."""
+    r = ledger.join(renames.select(F.col("src").alias("norm"), "dst"), "norm").select(F.col("title").alias("alias"), F.col("dst").alias("norm"))
+    return r.join(titles.select(F.col("id").alias("title_id"), "norm"), "norm").select("alias", "title_id", F.lit("renamed_to").alias("method"), F.lit("resolved").alias("status")).distinct()
+
+
 def link_titles(titles: DataFrame, links: DataFrame) -> DataFrame:
     """titles(norm, year, imdb) with tconst: their own, else that of the last link(norm, year, tconst, ord) of the same norm
     and year, else that of the first link of the norm."""

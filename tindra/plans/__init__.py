@@ -1,3 +1,3 @@
 """Registered queries. Importing the package fills the registry."""
 
-from . import entities, graph, ledger, quality, registry, text  # noqa: F401
+from . import cases, entities, graph, ledger, quality, registry, text  # noqa: F401

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import ParseException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -122,12 +123,49 @@ def browse(t: Tables, words: str = "", kinds: list[str] | None = None) -> DataFr
     return out.filter(F.col("kind").isin(kinds)) if kinds else out
 
 
+def overview(t: Tables) -> DataFrame:
+    """(metric, value) of the first page: awards, their total, titles, people, companies."""
+    a = t["allocations"].agg(F.count(F.lit(1)).cast("double").alias("awards"), F.coalesce(F.sum("amount_isk"), F.lit(0)).cast("double").alias("total")).unpivot([], ["awards", "total"], "metric", "value")
+    for metric, name in (("titles", "title"), ("people", "person"), ("companies", "company")):
+        a = a.unionByName(t[name].agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(metric).alias("metric"), "value"))
+    return a
+
+
+def explore_awards(t: Tables, families: list[str] | None = None, years: list[int] | None = None, words: str = "") -> DataFrame:
+    """The funding page: awards of some families and years whose title or company matches a pattern in any case, largest first."""
+    a = t["allocations"]
+    if families:
+        a = a.filter(F.col("family").isin(families))
+    if years:
+        a = a.filter(F.col("year").isin(years))
+    if words:
+        a = a.filter(F.concat_ws(" ", "project_title", "company").rlike(f"(?iu){words}"))
+    return a.select("project_title", "company", "year", "family", "amount_isk").orderBy(F.desc("amount_isk"), "project_title")
+
+
+def find_names(t: Tables, table: str, words: str) -> DataFrame:
+    """The people and companies page: names that hold a text, without regard to case or accents."""
+    return t[table].filter(X.fold_like("name", words)).orderBy("name", "id")
+
+
+def dossier_markdown(d: dict[str, DataFrame]) -> DataFrame:
+    """(n, line): a person's dossier as text. One person's rows are few; they are numbered in one window."""
+    name = d["person"].select(F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit("# "), "name").alias("line"))
+    roles = d["roles"].select(F.lit(2).alias("part"), F.concat(F.lpad((F.lit(10**6) - F.col("n")).cast("string"), 9, "0"), "role").alias("key"), F.format_string("- %s: %d", "role", "n").alias("line"))
+    row = F.format_string("| %d | %s | %s | %s |", "year", "project_title", "as", X.isk("amount_isk"))
+    awards = d["awards"].select(F.lit(5).alias("part"), F.concat(F.lpad(F.col("year").cast("string"), 6, "0"), F.lpad((F.lit(10**15) - F.coalesce("amount_isk", F.lit(0))).cast("string"), 18, "0"), "project_title").alias("key"), row.alias("line"))
+    fixed = [(1, ""), (3, ""), (4, "| year | project | as | amount |\n|---|---|---|---|")]
+    text = name.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.lit("").alias("key"), F.lit(x).alias("line")) for p, x in fixed])))
+    every = name.unionByName(roles).unionByName(awards).unionByName(text).select("part", "key", F.posexplode(F.split("line", "\n")).alias("k", "line"))
+    return every.select((F.row_number().over(Window.orderBy("part", "key", "k")) - 1).cast("long").alias("n"), "line")
+
+
 class NotReadOnly(ValueError):
     pass
 
 
 def select_only(sql: str) -> str:
-    """The statement if it is one SELECT or WITH; anything else is refused."""
+    """The statement if it is one that starts as a query; anything else is refused."""
     one = sql.strip().rstrip(";").strip()
     if ";" in one:
         raise NotReadOnly("one statement at a time")
@@ -136,9 +174,56 @@ def select_only(sql: str) -> str:
     return one
 
 
+def _insist_on_query(spark: SparkSession, sql: str, known: set[str]) -> None:
+    """Look at the parsed plan: no commands anywhere, and no relation but those known and the statement's own CTEs."""
+    todo, own, asked = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)], set(), []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            each = node.cteRelations()
+            for i in range(each.size()):
+                own.add(each.apply(i)._1().lower())
+                todo.append(each.apply(i)._2())
+        elif kind == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            asked.append([parts.apply(i).lower() for i in range(parts.size())])
+        elif re.search("Insert|Command|Create|Drop|Delete|Update|Merge|Statement|Write|Set|Load|Cache", kind) and kind not in ("SetOperation",):
+            raise NotReadOnly(f"{kind} is no query")
+        for step in (node.children(), node.innerChildren()):
+            for i in range(step.size()):
+                child = step.apply(i)
+                if hasattr(child, "multipartIdentifier") or "plans.logical" in child.getClass().getName() or "analysis" in child.getClass().getName():
+                    todo.append(child)
+        for e in _subqueries(node):
+            todo.append(e)
+    for parts in asked:
+        if len(parts) != 1 or parts[0] not in known | own:
+            raise NotReadOnly(f"{'.'.join(parts)} isn't one of the tables")
+
+
+def _subqueries(node) -> list:
+    found, todo = [], [node.expressions().apply(i) for i in range(node.expressions().size())]
+    while todo:
+        e = todo.pop()
+        if "Subquery" in e.getClass().getSimpleName() or e.getClass().getSimpleName() in ("Exists", "ListQuery"):
+            found.append(e.plan())
+        todo += [e.children().apply(i) for i in range(e.children().size())]
+    return found
+
+
 def run_sql(spark: SparkSession, t: Tables, sql: str) -> DataFrame:
-    """A guarded ad-hoc query over temporary views of all tables."""
+    """A guarded ad-hoc query over temporary views of all tables: one query, which reads nothing else."""
     one = select_only(sql)
+    _insist_on_query(spark, one, {n.lower() for n in t})
     for name, df in t.items():
         df.createOrReplaceTempView(name)
     return spark.sql(one)
+
+
+def refused(spark: SparkSession, t: Tables, sql: str) -> bool:
+    try:
+        run_sql(spark, t, sql)
+    except (NotReadOnly, ParseException):
+        return True
+    return False

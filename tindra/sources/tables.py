@@ -23,6 +23,8 @@ COMPANIES = "name string,type string,is_sik_member boolean,website string,email
 CREDITS = "imdb_tconst string,title string,year int,kind string,rating double,votes bigint,genres array<string>,countries array<string>,crew map<string,array<struct<nconst:string,name:string,job:string,characters:string>>>,companies map<string,array<struct<conmst:string,name:string,notes:string>>>"
 CAREERS = "nconst string,name string,roles map<string,struct<first_feature_year:int,first_feature_tconst:string,first_feature_title:string,feature_count:int,credit_count:int>>"
 POSTS = "id bigint,date string,slug string,link string,title struct<rendered:string>,content struct<rendered:string>,categories array<int>,tags array<int>"
+REBATE = f"id string,name_is string,name_en string,rates struct<general_pct:int,general_basis:string,enhanced_pct:int,enhanced_conditions:string>,producer_strategy struct<regla_18_manuda:string,audit_trail:string>,stages array<struct<order:int,id:string,name_is:string,description:string,stream_id:string>>,_meta {META}"
+PROCESS = f"contract_process struct<id:string,stages:array<struct<order:int,id:string,name_is:string,condition:string,deadline_months:int,regulation_ref:string,submit_email:string,checklist:array<struct<title:string,description:string>>,forms:array<struct<title:string,format:string,url:string>>>>,_meta:{META}>,film_archive_deposit struct<id:string,links:map<string,string>,_meta:{META}>"
 FLAGS = "id string,ts string,user string,target_type string,target_id string,target_label string,flag string,note string,status string,resolution string"
 
 
@@ -41,6 +43,22 @@ def curated(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.select(F.posexplode(key).alias("ord", "r")).select("ord", "r.*")
 
 
+def document(spark: SparkSession, path: str, schema: str, key: str | None = None) -> DataFrame:
+    """A curated file that is one object (or holds it under a key), as one row; none if the file is absent."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    read = T._parse_datatype_string(schema) if key is None else T.StructType([T.StructField(key, T._parse_datatype_string(schema))])
+    df = spark.read.schema(read).option("multiLine", True).json(path)
+    return df if key is None else df.select(f"{key}.*")
+
+
+def default_meta(spark: SparkSession, folder: str, name: str) -> dict | None:
+    """The _default_meta of a curated file, for records without their own; None without one."""
+    path = f"{folder}/{name}.json"
+    row = spark.read.schema(f"_default_meta {META}").option("multiLine", True).json(path).first() if exists(spark, path) else None
+    return row[0].asDict() if row and row[0] else None
+
+
 def records(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Staged lists of records; absent files are skipped. src and row carry the order in which sources win."""
     out = None
