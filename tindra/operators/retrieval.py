@@ -26,14 +26,13 @@ def index(df: DataFrame, key: str = "id", text: str = "text", only: DataFrame |
     toks = df.select(F.col(key).alias("id"), X.tokens(text).alias("t"))
     lengths = toks.select("id", F.size("t").cast("long").alias("len"))
     n = df.agg(F.count(F.lit(1)).alias("N"))  # one row
+    every = toks.select("id", F.explode("t").alias("term"))
     if only is None:
-        postings = toks.select("id", F.explode("t").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
         seen = toks.select(F.explode(F.array_distinct("t")).alias("term"))
+        postings = every.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
     else:
-        # within a row, so nothing is shuffled; one row of terms is broadcast where it is small, else joined
-        words = only.select("term").distinct()
-        rows = toks.select("id", F.explode(F.array_distinct("t")).alias("term"), "t").join(words, "term", "left_semi")
-        postings = rows.select("term", "id", F.size(F.filter("t", lambda y: y == F.col("term"))).cast("long").alias("tf"))
+        # the semi-join comes before the aggregate, so occurrences of other terms aren't shuffled where the terms fit a broadcast
+        postings = every.join(only.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
         seen = postings.select("term")
     idf = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return {"postings": postings, "lengths": lengths, "idf": idf}
@@ -95,16 +94,26 @@ def dense_best(df: DataFrame, queries: DataFrame, depth: int, key: str = "id", t
     return best_by_hash(df.select(F.col(key).alias("id"), X.tokens(text).alias("t")), hashed(queries, "q", "text"), depth, DIM)
 
 
+def with_similarity(df: DataFrame, a: str, b: str, name: str, dim: int = DIM) -> DataFrame:
+    """df with the cosine of two texts' hashed term counts. Buckets are columns of their own, made once a row."""
+    for col in (a, b):
+        df = df.withColumn(f"{col}_b", F.transform(X.tokens(col), lambda t: X.hashed_bucket(t, dim)))
+    x, y = F.col(f"{a}_b"), F.col(f"{b}_b")
+    times = lambda xs, v: F.size(F.filter(xs, lambda z: z == v)).cast("double")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v)
+    norm = lambda xs: F.sqrt(total(F.transform(F.array_distinct(xs), lambda v: times(xs, v) * times(xs, v))))
+    dot = total(F.transform(F.array_intersect(x, y), lambda v: times(x, v) * times(y, v)))
+    return df.withColumn(name, F.coalesce(dot / F.nullif(norm(x) * norm(y), F.lit(0.0)), F.lit(0.0))).drop(f"{a}_b", f"{b}_b")
+
+
 def hybrid(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", text: str = "text") -> DataFrame:
-    """(q, id, rank, rrf, score): fused ranks; score is the dense similarity, whatever the rank came from."""
+    """(q, id, rank, rrf, score): fused ranks; score is the dense similarity, whatever the rank came from. It is worked out anew
+    for the few rows that are left, so neither list is made twice."""
     d = dense_best(df, queries, DEPTH, key, text)
     only = asked_terms(queries).select("term")
     fused = fuse([ranked(d, DEPTH), ranked(bm25(index(df, key, text, only), queries), DEPTH)], k)
-    # the few fused rows are scored anew, by their own texts
-    some = df.join(fused.select(F.col("id").alias(key)).distinct(), key, "left_semi")
-    pairs = fused.select("q", "id").join(hashed(some, key, text), "id").join(hashed(queries, "q", "text").select(F.col("id").alias("q"), "bucket", F.col("weight").alias("w")), ["q", "bucket"])
-    score = pairs.groupBy("q", "id").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
-    return fused.join(score, ["q", "id"], "left").select("q", "id", "rank", "rrf", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+    rows = fused.join(df.select(F.col(key).alias("id"), F.col(text).alias("_text")), "id").join(queries.select("q", F.col("text").alias("_asked")), "q")
+    return with_similarity(rows, "_text", "_asked", "_s").select("q", "id", "rank", "rrf", F.round("_s", 4).alias("score"))
 
 
 def search(stored: DataFrame, query: str, k: int = 5) -> DataFrame:

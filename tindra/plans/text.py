@@ -53,7 +53,7 @@ HASH = """h AS (SELECT id, ('0x' || right(md5(term), 3))::INT % 512 AS bucket, c
 @query(f"WITH {BM25} SELECT q, id, rank::INT AS rank, round(score, 6) AS score FROM sparse WHERE rank < 5")
 def bm25_topk(spark, sf_dir):
     docs, questions = _corpus(spark, sf_dir)
-    return R.ranked(R.bm25(R.index(docs), questions), 5).select("q", "id", "rank", F.round("score", 6).alias("score"))
+    return R.ranked(R.bm25(R.index(docs, only=R.asked_terms(questions)), questions), 5).select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH t AS (SELECT doc_id AS id, unnest({TOKENS}) AS term FROM documents), {HASH} SELECT id, bucket, round(weight, 9) AS weight FROM hv")
