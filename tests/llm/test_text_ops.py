@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tindra.llm import bpe, chat, licenses, packing, pii, quality, queries
 from tindra.llm.common import table
@@ -160,7 +161,7 @@ def test_pii_frames(spark, frame):
 
 
 def test_pii_em_prefers_agreement():
-    p = pii.classifier({"0yyyyy": 900, "0yyn-y": 20, "0--n-n": 50, "4-y-yy": 300, "4-n-yn": 10})
+    p, _ = pii.reliabilities({"0yyyyy": 900, "0yyn-y": 20, "0--n-n": 50, "4-y-yy": 300, "4-n-yn": 10})
     assert p["0yyyyy"] > 0.9 and p["0--n-n"] < p["4-y-yy"]
 
 
@@ -205,12 +206,13 @@ def test_trees_walk_like_a_loop():
 
 
 # ---- packing
-def check_plan(hist, caps):
-    placed, bins = packing.best_fit(hist, caps)
+def filled(hist, caps, **more):
+    """The plan as a list of bins: capacity and contents in order; and that it is a plan."""
+    placed, bins = packing.best_fit(hist, caps, **more)
     content = {}
-    for n, rank, k, first, off in placed:
+    for n, rank, k, first, off, each in placed:
         for i in range(k):
-            content.setdefault(first + i, []).append((off, n))
+            content.setdefault(first + i // each, []).append((off + i % each * n, n))
     assert Counter(n for x in content.values() for _, n in x) == Counter({k: v for k, v in hist.items() if v})
     size = {first + i: (used, cap) for first, n, used, cap in bins for i in range(n)}
     assert set(size) == set(content)
@@ -220,25 +222,50 @@ def check_plan(hist, caps):
             assert off == at
             at += n
         assert size[b] == (at, min(c for c in caps if c >= at))
-    return sum(c for _, c in size.values())
-
-
-def test_best_fit_plans():
+    return sorted((size[b][1], tuple(n for _, n in sorted(items))) for b, items in content.items())
+
+
+def plain_best_fit(hist, caps, overhead, span):
+    """Piece by piece: the open bin with the least room, else a bin of the least cost by a trial fill, chosen once a length."""
+    left, bins, size = dict(hist), [], {}
+    for n in sorted((x for x, k in hist.items() for _ in range(k)), reverse=True):
+        fits = [b for b in bins if b[0] >= n]
+        if not fits:
+            def cost(c):
+                space, got, have = c - n, n, {**left, n: left[n] - 1}
+                for m in sorted(have, reverse=True):
+                    take = min(have[m], space // m)
+                    got, space = got + take * m, space - take * m
+                return (overhead + c + c * c / span) / got
+            if n not in size:
+                size[n] = min((c for c in caps if c >= n), key=lambda c: (cost(c), -c))
+            bins.append([size[n], []])
+            fits = bins[-1:]
+        best = min(fits, key=lambda b: b[0])
+        best[0] -= n
+        best[1].append(n)
+        left[n] -= 1
+    return sorted((min(c for c in caps if c >= sum(x)), tuple(x)) for _, x in bins)
+
+
+def test_best_fit_is_the_plain_one():
     rng = random.Random(2)
-    for _ in range(60):
+    for _ in range(150):
         caps = tuple(sorted(rng.sample(range(8, 60), 3)))
-        hist = {rng.randint(1, caps[-1]): rng.randint(0, 30) for _ in range(rng.randint(0, 25))}
-        total = sum(k * v for k, v in hist.items())
-        assert check_plan(hist, caps) >= total
+        hist = {n: rng.randint(0, 12) for n in {rng.randint(1, caps[-1]) for _ in range(rng.randint(0, 12))}}
+        overhead, span = rng.choice([0, 1, 9]), rng.choice([10, 64, 1000])
+        assert filled(hist, caps, overhead=overhead, span=span) == plain_best_fit(hist, caps, overhead, span), (hist, caps)
     assert packing.best_fit({}) == ([], [])
     with pytest.raises(ValueError):
         packing.best_fit({9: 1}, (8,))
-    assert check_plan({4: 100, 6: 100, 3: 10, 7: 10}, (10,)) == 1100
+    assert filled({7: 1, 5: 1, 3: 1, 2: 1}, (10,)) == [(10, (5, 2)), (10, (7, 3))]
 
 
-def test_best_fit_takes_the_least_room(monkeypatch):
-    placed, _ = packing.best_fit({7: 1, 5: 1, 3: 1, 2: 1}, (10,))
-    assert [(n, first) for n, _, _, first, _ in placed] == [(7, 0), (5, 1), (3, 0), (2, 1)]
+def test_costs_use_several_sizes():
+    rng = random.Random(4)
+    hist = Counter(min(8192, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(3000))
+    sizes = Counter(c for c, _ in filled(hist, packing.CAPACITIES))
+    assert len(sizes) >= 3 and sum(n * k for n, k in hist.items()) > 0.9 * sum(c * k for c, k in sizes.items())
 
 
 def test_packing_frames(spark, frame, odd):
@@ -250,7 +277,7 @@ def test_packing_frames(spark, frame, odd):
         assert (r.bin_id is None) == (r.n_tokens == 0)
     want = Counter()
     for i, t in rows:
-        want[i] += len((t or "").split())
+        want[i] += len(re.findall(r"[^ \t\n\x0b\f\r]{1,8}", t or ""))
     assert words == want
     bins = {}
     for r in got:
@@ -262,6 +289,54 @@ def test_packing_frames(spark, frame, odd):
             assert r.bin_offset == at
             at += r.n_tokens
         assert {r.bin_capacity for r in items} == {min(c for c in (8, 16, 64) if c >= at)}
-    pieces = sorted((r.piece, r.first_word, r.n_tokens) for r in got if r.doc_id == 7)
+    pieces = sorted((r.piece, r.first_token, r.n_tokens) for r in got if r.doc_id == 7)
     assert [p[1] for p in pieces] == [64 * i for i in range(len(pieces))] and sum(p[2] for p in pieces) == 20_000
+    assert sum(r.n_tokens for r in got if r.doc_id == 6) == 6250  # a word of 50,000 characters
     assert packing.pack(spark, frame([])).count() == 0
+    given = spark.createDataFrame([(1, 70), (2, 5), (3, None)], "doc_id long, tokens int").withColumn("text", F.lit("x"))
+    got = sorted((r.doc_id, r.n_tokens) for r in packing.pack(spark, given, capacities=(8, 16, 64), measured="tokens").collect())
+    assert got == [(1, 6), (1, 64), (2, 5), (3, 0)]
+
+
+def plain_em(counts, rounds=50):
+    """Dawid and Skene's EM for two classes, one candidate at a time."""
+    items = [(p[0], p[1 : pii.VOTES], n) for p, n in counts.items()]
+    prob = {}
+    for k, v, _ in items:
+        y, n = v.count("y"), v.count("n")
+        prob[k, v] = min(max((y + 0.5) / (y + n + 1), 0.05), 0.95)
+    for _ in range(rounds):
+        prior = {k: (sum(n * prob[q, v] for q, v, n in items if q == k) + 2) / (sum(n for q, _, n in items if q == k) + 4) for k, _, _ in items}
+        rate = {}
+        for j in range(len(pii.LABELERS)):
+            for true, extra in ((1, 3), (0, 1)):
+                w = [(n * (prob[k, v] if true else 1 - prob[k, v]), v[j]) for k, v, n in items]
+                rate[j, true] = (sum(x for x, c in w if c == "y") + extra) / (sum(x for x, c in w if c != "-") + 4)
+        new = {}
+        for k, v, _ in items:
+            yes, no = prior[k], 1 - prior[k]
+            for j, c in enumerate(v):
+                if c == "y":
+                    yes, no = yes * rate[j, 1], no * rate[j, 0]
+                elif c == "n":
+                    yes, no = yes * (1 - rate[j, 1]), no * (1 - rate[j, 0])
+            new[k, v] = yes / (yes + no)
+        prob = new
+    return {k + v: p for (k, v), p in prob.items()}
+
+
+def test_pii_em_is_the_plain_one():
+    rng = random.Random(8)
+    counts = {f"{rng.randint(0, 4)}{''.join(rng.choice('yn-') for _ in range(5))}": rng.randint(1, 500) for _ in range(60)}
+    got, _ = pii.reliabilities({f"{p}000000": n for p, n in counts.items()})
+    want = plain_em(counts)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in got)
+
+
+def test_pii_classifier_sees_the_span():
+    """Two kinds of spans with the same votes are told apart by their features, as far as their votes' company suggests."""
+    text = "key = a1b2c3d4e5f6 and token"
+    assert pii.features(text, "a1b2c3d4e5f6", "123456", 6, 18) != pii.features(text, "and", "", 19, 22)
+    base = {"4yyyyy120012": 500, "4-nnnn000033": 500}
+    p = pii.classifier({**base, "4---y-120012": 40, "4---y-000033": 40})
+    assert p["4---y-120012"] > p["4---y-000033"] and p["4yyyyy120012"] > 0.5 > p["4-nnnn000033"]

@@ -3,9 +3,10 @@
 Candidates are spans: the contract's base grammars (which always stay) and looser ones the method adds (IPv6 addresses,
 obfuscated mail addresses, national phone numbers, card-like numbers, secrets behind a key word). Five labelers vote yes, no
 or abstain on each: grammar, checksum or range, gazetteer, context words before it, and shape (what it touches). Votes of
-all candidates of the corpus are counted by pattern (kind and votes: some hundred rows at most, whatever the input), and
-expectation-maximisation over those counts estimates each labeler's reliability. A logistic span classifier trained on the
-resulting soft labels decides on the looser candidates; it scores patterns, so its decisions are a small set of patterns.
+all candidates of the corpus are counted by pattern (kind, votes, and features of span and context in a few steps each: a
+bounded number of rows, whatever the input), and expectation-maximisation over the votes estimates each labeler's reliability.
+A logistic span classifier over votes and features, trained on the resulting soft labels, decides on the looser candidates; it
+scores patterns, so its decisions are a set of patterns.
 
 Kinds: email, ip, card, phone, then secret. A looser candidate that overlaps a base span, or an earlier looser one, is none.
 Every scan is linear in the text: runs of digits are entered at their start only, and mail addresses from their `@`.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, slices, small_batches
 
@@ -42,8 +44,13 @@ _KEYWORD = re.compile(r"(password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0
 _VALUE = re.compile(r"\s{0,3}[\"']?([A-Za-z0-9+/_-]{8,512})")
 _ASSIGN = re.compile(r"[=:]")
 # Gazetteers and context words.
-TOP_DOMAINS = frozenset("com org net edu gov io co uk de fr es it nl se no dk fi is eu info".split())
-COUNTRIES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 54 55 61 62 64 65 81 82 86 90 91 351 352 353 354 358".split())
+# Generic top-level domains; two letters are a country's.
+TOP_DOMAINS = frozenset("com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post xxx app dev page blog shop store online site tech cloud xyz club eu arpa".split())
+# Calling codes by zone: single digits, ranges of two digits, ranges of three.
+CODES = ((1, 1), (7, 7), (20, 20), (27, 27), (30, 34), (36, 36), (39, 41), (43, 49), (51, 58), (60, 66), (81, 82), (84, 84), (86, 86), (90, 95), (98, 98), (211, 213), (216, 216), (218, 218), (220, 269), (290, 291), (297, 299), (350, 359), (370, 383), (385, 387), (389, 389), (420, 421), (423, 423), (500, 509), (590, 599), (670, 670), (672, 692), (850, 850), (852, 853), (855, 856), (880, 880), (886, 886), (960, 968), (970, 977), (992, 996), (998, 998))
+COUNTRIES = tuple(str(c) for a, b in CODES for c in range(a, b + 1))
+# First numbers of address blocks that belong to nobody: this network, loopback, multicast and reserved.
+NOBODY = frozenset(["0", "127", *map(str, range(224, 256))])
 ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "34", "37", "36", "6011", "65", "35")
 WORDS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"), "card": ("card", "visa", "pay", "account"), "phone": ("phone", "call", "tel", "fax", "mobile"), "secret": ("password", "token", "secret", "key", "pwd")}
 
@@ -104,9 +111,11 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> str:
     near = text[max(0, start - 24) : start].lower()
     check = gaz = "-"
     if kind == 0:
-        gaz = "y" if re.split(r"[^A-Za-z0-9]+", s)[-1].lower() in TOP_DOMAINS else "n"
+        top = re.split(r"[^A-Za-z0-9]+", s)[-1].lower()
+        gaz = "y" if top in TOP_DOMAINS or (len(top) == 2 and top.isalpha()) else "n"
     elif kind == 1:
-        check = "n" if base and s.split(".")[0].strip("0") in ("", "255") else "y"
+        check = "y" if base or s.count(":") == 7 else "n"
+        gaz = ("n" if (s.split(".")[0].lstrip("0") or "0") in NOBODY else "y") if base else "-"
     elif kind == 2:
         check, gaz = ("y" if luhn(d) else "n"), ("y" if d.startswith(ISSUERS) else "n")
     elif kind == 3:
@@ -114,7 +123,22 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> str:
         gaz = ("y" if d.startswith(COUNTRIES) else "n") if base else ("n" if d[0] in "01" else "-")
     else:
         check = "y" if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) else "n"
-    return ("y" if base else "-") + check + gaz + ("y" if any(w in near for w in WORDS[KINDS[kind]]) else "-") + ("n" if touched else "y")
+    letters = ("y" if base else "-") + check + gaz + ("y" if any(w in near for w in WORDS[KINDS[kind]]) else "-") + ("n" if touched else "y")
+    return letters + features(text, s, d, start, end)
+
+
+def features(text: str, span: str, digits: str, start: int, end: int) -> str:
+    """What the span classifier sees of a span and its surroundings besides the votes, in five steps or fewer each: length, share
+    of digits, different characters, separators, what stands before and after it in its line."""
+    n = len(span)
+    size = sum(n >= x for x in (10, 16, 24, 48))
+    share = len(digits) * 4 // n if n else 0
+    variety = sum(len(set(span)) * 8 >= n * x for x in (2, 4, 6))
+    seps = min(4, sum(not c.isalnum() for c in span))
+    before, after = text[max(0, start - 2) : start], text[end : end + 2]
+    left = 0 if not before or "\n" in before else 1 if before[-1] in ":=" or before.strip()[-1:] in (":", "=") else 2 if before[-1].isspace() else 3
+    right = 0 if not after or "\n" in after else 1 if after[0] in ".,;)" else 2 if after[0].isspace() else 3
+    return f"{size}{share}{variety}{seps}{left}{right}"
 
 
 def candidates(text: str | None) -> list[tuple[int, int, int, bool, str]]:
@@ -140,8 +164,26 @@ def pattern(kind: int, found: str) -> str:
 
 
 # ---- from votes to a classifier
+VOTES = 1 + len(LABELERS)
+
+
+def votes_only(counts: dict[str, int]) -> dict[str, int]:
+    """Counts by kind and votes, whatever the features."""
+    out: Counter = Counter()
+    for p, n in counts.items():
+        out[p[:VOTES]] += n
+    return dict(out)
+
+
+def _row(p: str) -> list[float]:
+    """A pattern as numbers: kind, votes for and against, and each feature by its step."""
+    steps = [c == str(k) for c in p[VOTES:] for k in range(5)]
+    return [float(x) for x in [*[p[0] == str(k) for k in range(len(KINDS))], *[c == "y" for c in p[1:VOTES]], *[c == "n" for c in p[1:VOTES]], *steps]]
+
+
 def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
-    """EM on pattern counts: P(true) of each pattern, and the labelers' rates of yes among true and false candidates."""
+    """EM on vote counts: P(true) of each pattern of votes, and the labelers' rates of yes among true and false candidates."""
+    counts = votes_only(counts)
     pats = sorted(counts)
     if not pats:
         return {}, np.full((2, len(LABELERS)), 0.5)
@@ -158,13 +200,14 @@ def reliabilities(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, f
 
 
 def classifier(counts: dict[str, int]) -> dict[str, float]:
-    """A logistic classifier over kind and votes, trained on the soft labels; its probability of each pattern."""
+    """A logistic classifier of spans over kind, votes and the features of span and context, trained on the soft labels of all
+    candidates; its probability of each pattern."""
     soft, _ = reliabilities(counts)
-    pats = sorted(soft)
+    pats = sorted(counts)
     if not pats:
         return {}
-    x = np.array([[p[0] == str(k) for k in range(len(KINDS))] + [c == "y" for c in p[1:]] + [c == "n" for c in p[1:]] for p in pats], float)
-    y, w = np.array([soft[p] for p in pats]), np.array([counts[p] for p in pats], float)
+    x = np.array([_row(p) for p in pats])
+    y, w = np.array([soft[p[:VOTES]] for p in pats]), np.array([counts[p] for p in pats], float)
     b = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-x @ b))
@@ -209,14 +252,12 @@ def report(spark: SparkSession, df: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.expr(f"array_join(transform({keep}, f -> concat({kinds}[f.kind], ':', f.start, ':', f.end)), ',')").alias("spans"))
 
 
-def redacted(text: str | None, good: frozenset[str]) -> str | None:
-    """The text with each personal span replaced by its kind in brackets; overlapping spans become one."""
-    if not text:
+def redacted(text: str | None, spans) -> str | None:
+    """The text with spans (kind, start, end), sorted, replaced by their kind in brackets; overlapping spans become one."""
+    if not text or not spans:
         return text
     out, at = [], 0
-    for k, s, e, base, v in candidates(text):
-        if not (base or pattern(k, v) in good):
-            continue
+    for k, s, e in spans:
         if s >= at:
             out += [text[at:s], f"[{KINDS[k].upper()}]"]
         at = max(at, e)
@@ -224,22 +265,32 @@ def redacted(text: str | None, good: frozenset[str]) -> str | None:
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns of df with its text redacted. The first pass only counts vote patterns, over all rows."""
+    """All rows and columns of df with its text redacted. The one pass over the texts keeps the candidates beside the rows, in the
+    shared folder; patterns are counted over all of them, and what is accepted is cut out."""
+    spark, place, extra = df.sparkSession, df.columns.index(text), "_" * max(map(len, df.columns)) + "_found"
+    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string())]))
+    names = ("kind", "start", "end", "base", "votes")
 
-    def tally(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(pattern(k, v) for k, _, _, _, v in candidates(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+    def look(batches):
+        for batch in batches:
+            for b in slices(batch, text):
+                rows = [[dict(zip(names, x, strict=True)) for x in candidates(t)] for t in b.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, span)], [*b.schema.names, extra])
 
-    good = frozenset(accepted(small_batches(df).select(text).mapInArrow(tally, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()))
-    place = df.columns.index(text)
+    schema = T.StructType([*df.schema.fields, T.StructField(extra, T._parse_datatype_string(_SPANS))])
+    seen = materialize(spark, small_batches(df).mapInArrow(look, schema), "found")
+    counts = seen.select(F.explode(extra).alias("f")).groupBy(F.concat(F.col("f.kind").cast("string"), "f.votes").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    good = frozenset(accepted(counts.collect()))  # one row a pattern
 
-    def run(batches):
+    def cut(batches):
         for batch in batches:
             for b in slices(batch, text):
-                new = pa.array([redacted(t, good) for t in b.column(place).to_pylist()], b.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(b.columns)], schema=b.schema)
-
-    return df.mapInArrow(run, df.schema)
+                found = b.column(b.num_columns - 1).to_pylist()
+                kept = [[(f["kind"], f["start"], f["end"]) for f in fs if f["base"] or pattern(f["kind"], f["votes"]) in good] for fs in found]
+                if any(kept):
+                    new = pa.array([redacted(t, k) for t, k in zip(b.column(place).to_pylist(), kept, strict=True)], b.schema.field(place).type)
+                else:
+                    new = b.column(place)
+                yield pa.RecordBatch.from_arrays([new if i == place else b.column(i) for i in range(b.num_columns - 1)], b.schema.names[:-1])
+
+    return seen.mapInArrow(cut, df.schema)

@@ -96,8 +96,9 @@ class Forest:
 
 
 def _best(q_ids, q_raw, q_unit, v_ids, v_raw, v_unit, k):
-    """(query row, vector row) of each query's k best and all that tie with them, within a block of vectors."""
+    """(query row, vector row) of each query's k best ids and all that tie with them, within a block of vectors."""
     rows, cols = [], []
+    k = k + int(np.unique(v_ids, return_counts=True)[1].max(initial=1) - 1) * k  # repeats of an id don't crowd others out
     for i in range(0, len(q_ids), 256):
         s = q_unit[i : i + 256] @ v_unit.T
         s[q_ids[i : i + 256, None] == v_ids[None, :]] = -np.inf
@@ -109,12 +110,14 @@ def _best(q_ids, q_raw, q_unit, v_ids, v_raw, v_unit, k):
 
 
 def _top(q, v, s, k):
-    """The k best of each query: larger score first, then smaller id; equal pairs count once."""
-    order = np.lexsort((v, -s, q))
+    """The k best of each query: larger score first, then smaller id; of a repeated pair its best score counts."""
+    order = np.lexsort((-s, v, q))
     q, v, s = q[order], v[order], s[order]
     if len(q):
         new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])]
         q, v, s = q[new], v[new], s[new]
+    order = np.lexsort((v, -s, q))
+    q, v, s = q[order], v[order], s[order]
     place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
     return q[place < k], v[place < k], s[place < k]
 

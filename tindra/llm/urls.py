@@ -5,11 +5,13 @@ same canonical url are aliases: distributed connected components over redirect a
 page without a rule takes its component's decision, in which an explicit allow goes before a block. Without any decision the
 verdict is allow.
 
-Edges: `<link rel=canonical>`, `<meta http-equiv=refresh>`, and the url's own plain form (no scheme, `www.` or `m.`, query,
-fragment, final slash or `.html`), to which sites redirect by common convention. A node is the 64-bit hash of a plain form.
+Edges: `<link rel=canonical>` and `<meta http-equiv=refresh>`, nothing else. A node is the 64-bit hash of a url without its
+fragment: scheme and host in lower case, path and query as they are, an empty path being `/`.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule, and has no aliases; null html
-has no links. Repeated rows give repeated rows. An empty table gives no rows. Extra columns are not read.
+has no links. Ties: of rules that fit the longest wins, and no two have one length and one form. Repeated rows give repeated
+rows. Very long urls and pages are scanned once, and only hashes of urls leave the row. An empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .components import connected_components
 
 # Fixed values: (host, path, verdict), as the contract has them.
@@ -45,65 +48,92 @@ def rule_of(host, path):
     return F.array_max(F.array(*fits))
 
 
-def plain(host, path):
-    """The form that a url's common variants redirect to; null for an empty host."""
-    form = F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html?|/)$", ""))
-    return F.when(host != "", form)
+def node_of(url):
+    """The form that stands for a url among links; null for one without a host."""
+    scheme = F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    query = F.regexp_extract(F.regexp_replace(url, r"(?s)^.*?://", ""), r"(?s)^[^?#]*(\?[^#]*)", 1)
+    path = path_of(url)
+    return F.when(host_of(url) != "", F.concat(scheme, F.lit("://"), host_of(url), F.when(path == "", "/").otherwise(path), query))
 
 
-def _absolute(target, host, path):
+def _absolute(target, host, path, scheme):
     """A link's target as a full url, by the page it stands on; null if it isn't a web address."""
     t = F.trim(F.regexp_replace(target, "&amp;", "&"))
+    site = F.concat(scheme, F.lit("://"), host)
     folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
     return (
         F.when(t.rlike(r"(?i)^https?://"), t)
-        .when(t.startswith("//"), F.concat(F.lit("http:"), t))
-        .when(t.startswith("/"), F.concat(F.lit("http://"), host, t))
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), F.concat(site, t))
         .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (t == "") | t.startswith("#"), None)
-        .when(t.startswith("?"), F.concat(F.lit("http://"), host, path, t))
-        .otherwise(F.concat(F.lit("http://"), host, folder, t))
+        .when(t.startswith("?"), F.concat(site, path, t))
+        .otherwise(F.concat(site, folder, t))
     )
 
 
-def targets(html, host, path):
-    """Plain forms of the urls that a page redirects to or names as canonical."""
+def targets(html, host, path, scheme):
+    """Nodes of the urls that a page redirects to or names as canonical."""
     tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1), lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
 
     def form(t):
         raw = F.when(t.rlike(r"(?is)^<link"), F.regexp_extract(t, r"(?is)\bhref\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s>]*))", 1)).otherwise(F.regexp_extract(t, r"(?is)url\s*=\s*'?([^\"'>]*)", 1))
         raw = F.when(raw != "", raw).otherwise(F.concat(F.regexp_extract(t, r"(?is)\bhref\s*=\s*'([^']*)", 1), F.regexp_extract(t, r"(?is)\bhref\s*=\s*([^\s>\"']+)", 1)))
-        u = _absolute(raw, host, path)
-        return plain(host_of(u), path_of(u))
+        return node_of(_absolute(raw, host, path, scheme))
 
     return F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), form), lambda x: x.isNotNull() & (x != ""))
 
 
 def judge(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict for every page."""
-    base = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    base = base.select("*", rule_of(F.col("host"), F.col("path")).alias("r"), F.xxhash64(plain(F.col("host"), F.col("path"))).alias("h"), plain(F.col("host"), F.col("path")).isNotNull().alias("known"))
-    rows = base.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), F.when(F.col("known"), F.col("h")).alias("node"))
-    edges = base.filter("known and html is not null").select("h", F.explode(F.transform(targets(F.col("html"), F.col("host"), F.col("path")), lambda x: F.xxhash64(x))).alias("to")).filter("h != to").distinct()
-    linked = connected_components(spark, edges)
+    base = pages.select("page_id", "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.lower(F.regexp_extract("url", r"(?s)^(.*?)://", 1)).alias("scheme"), node_of(F.col("url")).alias("form"))
+    base = base.select("*", rule_of(F.col("host"), F.col("path")).alias("r"), F.when(F.col("form").isNotNull(), F.xxhash64("form")).alias("node"))
+    rows = base.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("own"), "node")
+    links = targets(F.col("html"), F.col("host"), F.col("path"), F.col("scheme"))
+    # a link's end is a node even if no page has it, and rules judge it too
+    ends = base.filter("node is not null and html is not null").select("node", F.explode(links).alias("to"))
+    ends = materialize(spark, ends.select("node", F.xxhash64("to").alias("end"), rule_of(host_of(F.col("to")), path_of(F.col("to")))["verdict"].alias("said")).filter("node != end").distinct(), "ends")
+    linked = materialize(spark, connected_components(spark, ends.select("node", "end")), "aliases")
     # decisions by node are partial aggregates: a url that a third of all pages share doesn't gather in one task
-    nodes = rows.filter("node is not null and own is not null").groupBy("node").agg(F.max(F.col("own") == "allow").alias("allow"), F.max(F.col("own") == "block").alias("block"))
-    nodes = nodes.join(linked.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("component", "node"))
-    groups = nodes.groupBy("group").agg(F.max("allow").alias("allow"), F.max("block").alias("block"))
-    said = groups.select("group", F.when(F.col("allow"), "allow").otherwise("block").alias("said"))
+    told = rows.select("node", F.col("own").alias("said")).unionByName(ends.select(F.col("end").alias("node"), "said")).filter("node is not null and said is not null")
+    told = told.join(linked.withColumnRenamed("id", "node"), "node")  # only nodes with links decide for others
+    said = told.groupBy("component").agg(F.max(F.col("said") == "allow").alias("allow")).select("component", F.when(F.col("allow"), "allow").otherwise("block").alias("said"))
+    decided = linked.join(said, "component").select(F.col("id").alias("node"), "said")
     # only pages without a rule have to ask
-    open_ = rows.filter("rule is null").join(linked.withColumnRenamed("id", "node"), "node", "left").withColumn("group", F.coalesce("component", "node")).join(said, "group", "left")
+    asking = rows.filter("rule is null").join(decided, "node", "left")
     done = rows.filter("rule is not null").select("page_id", "host", "path", "rule", F.col("own").alias("verdict"))
-    return done.unionByName(open_.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict")))
+    return done.unionByName(asking.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict")))
 
 
 def oracle() -> str:
-    """Where no page has a redirect or canonical link to another plain form, components are plain forms."""
+    """The same as SQL: links by regular expressions, components by a recursive walk (few pages have links)."""
     rules = ",".join(f"('{h}','{p}','{v}')" for h, p, v in RULES)
+
+    def rest(u: str) -> str:
+        return f"CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) END"
+
+    def host(u: str) -> str:
+        return f"coalesce(translate(regexp_extract({rest(u)}, '^[^/?#]*'), '{_AZ}', '{_AZ.lower()}'), '')"
+
+    def path(u: str) -> str:
+        return f"coalesce(regexp_extract({rest(u)}, '^[^/?#]*([^?#]*)', 1), '')"
+
+    def node(u: str) -> str:
+        return f"CASE WHEN {host(u)} <> '' THEN lower(substr({u}, 1, instr({u}, '://') - 1)) || '://' || {host(u)} || CASE WHEN {path(u)} = '' THEN '/' ELSE {path(u)} END || regexp_extract({rest(u)}, '(?s)^[^?#]*(\\?[^#]*)', 1) END"
+
+    href = "coalesce(nullif(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*\"([^\"]*)', 1), ''), nullif(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*''([^'']*)', 1), ''), regexp_extract(tag, '(?is)\\bhref\\s*=\\s*([^\\s>\"'']+)', 1))"
+    raw = f"trim(replace(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN {href} ELSE regexp_extract(tag, '(?is)url\\s*=\\s*''?([^\"''>]*)', 1) END, '&amp;', '&'))"
+    site = "scheme || '://' || host"
+    full = f"CASE WHEN regexp_matches(t, '(?i)^https?://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN {site} || t WHEN t = '' OR starts_with(t, '#') OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(t, '?') THEN {site} || path || t ELSE {site} || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END || t END"
     return f"""
-WITH rules(rh, rp, verdict) AS (VALUES {rules}),
-u AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
-p AS (SELECT i, page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_AZ}', '{_AZ.lower()}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+WITH RECURSIVE rules(rh, rp, verdict) AS (VALUES {rules}),
+p AS (SELECT row_number() OVER () AS i, page_id, html, {host("url")} AS host, {path("url")} AS path, lower(substr(url, 1, instr(url, '://') - 1)) AS scheme, {node("url")} AS node FROM pages),
 r AS (SELECT i, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY i ORDER BY length(rh || rp) DESC) AS k FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-a AS (SELECT p.*, rule, verdict, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html?|/)$', '') END AS node FROM p LEFT JOIN r ON r.i = p.i AND k = 1),
-g AS (SELECT node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS said FROM a WHERE verdict IS NOT NULL GROUP BY node)
-SELECT page_id, host, path, rule, coalesce(a.verdict, said, 'allow') AS verdict FROM a LEFT JOIN g USING (node)"""
+tags AS (SELECT node, host, path, scheme, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE node IS NOT NULL),
+links AS (SELECT *, {raw} AS t FROM tags WHERE regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b|http-equiv\\s*=\\s*["'']?refresh\\b')),
+fulls AS (SELECT node, {full} AS u FROM links),
+e AS (SELECT DISTINCT node AS a, {node("u")} AS b, {host("u")} AS bh, {path("u")} AS bp FROM fulls WHERE u IS NOT NULL),
+ways AS (SELECT a, b FROM e WHERE b IS NOT NULL AND a <> b UNION SELECT b, a FROM e WHERE b IS NOT NULL AND a <> b),
+walk(a, b) AS (SELECT a, b FROM ways UNION SELECT w.a, x.b FROM walk w JOIN ways x ON w.b = x.a),
+told AS (SELECT node, verdict FROM p JOIN r ON r.i = p.i AND k = 1 UNION SELECT b, arg_max(verdict, length(rh || rp)) FROM e JOIN rules ON (bh = rh OR ends_with(bh, '.' || rh)) AND starts_with(bp, rp) GROUP BY b, bh, bp),
+said AS (SELECT w.a AS node, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS said FROM walk w JOIN told ON told.node = w.b GROUP BY w.a)
+SELECT page_id, host, path, rule, coalesce(r.verdict, said, 'allow') AS verdict FROM p LEFT JOIN r ON r.i = p.i AND k = 1 LEFT JOIN said ON said.node = p.node"""
