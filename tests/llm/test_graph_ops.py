@@ -154,10 +154,12 @@ def vector_frame(spark, x, extra):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rep", F.lit("clash")).withColumn("label", F.lit(1)).repartition(5)
 
 
-@pytest.mark.parametrize("cap", [4096, 40])
-def test_near_duplicates(spark, monkeypatch, cap):
+@pytest.mark.parametrize(("cap", "shard", "most"), [(8192, 150, 1024), (40, 150, 1024), (100, 60, 3)])
+def test_near_duplicates(spark, monkeypatch, cap, shard, most):
+    """One level of shards, split shards, and shards with centres of their own."""
     monkeypatch.setattr(vamana, "CAP", cap)
-    monkeypatch.setattr(vamana, "SHARD", 150)
+    monkeypatch.setattr(vamana, "SHARD", shard)
+    monkeypatch.setattr(vamana, "MOST_SHARDS", most)
     x = vectors(1)
     got = {r.vec_id: r for r in vamana.near_duplicates(spark, vector_frame(spark, x, BAD + [(None, x[0].tolist())]), overlap=3).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
@@ -172,6 +174,15 @@ def test_near_duplicates(spark, monkeypatch, cap):
     assert got[0].audit_recall >= 0.98
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """A repeated vec_id counts as several vectors, equal or not, and comes back as often."""
+    x = vectors(4)[:60]
+    rows = [(i % 40, v) for i, v in enumerate(x.tolist())] + [(7, x[7].tolist()), (7, x[7].tolist())]
+    got = vamana.near_duplicates(spark, vector_frame(spark, np.zeros((0, 16), np.float32), rows)).collect()
+    assert sorted(r.vec_id for r in got) == sorted(i for i, _ in rows)
+    assert sorted(r.n_links for r in got if r.vec_id == 7)[-3:] == [2, 2, 2]
+
+
 def test_near_duplicates_empty(spark):
     assert vamana.near_duplicates(spark, vector_frame(spark, vectors(1)[:0], [])).count() == 0
     assert vamana.near_duplicates(spark, vector_frame(spark, vectors(1)[:1], BAD)).count() == 1 + len(BAD)
@@ -197,6 +208,32 @@ def test_neighbours(spark, monkeypatch, part):
     assert {r.query_id for r in rows} == set(range(0, len(x), 50))
 
 
+def test_neighbours_repeated_ids_and_ties(spark):
+    """Two ids repeated around the query don't take others' places; equal scores go to the smaller id; recall is told."""
+    q = np.eye(8)[0]
+    rows = [(0, q.tolist())]
+    for n in range(5):
+        for i in (1, 2):
+            rows.append((i, (q + np.eye(8)[1] * (0.01 + 0.001 * (2 * n + i))).tolist()))
+    rows += [(i, (q + np.eye(8)[2] * 0.5).tolist()) for i in range(10, 40)] + [(i, np.roll(q, 3 + i % 4).tolist()) for i in range(50 + 1, 90)]
+    got = sorted((r for r in rpforest.search(spark, vector_frame(spark, np.zeros((0, 8), np.float32), rows)).collect() if r.query_id == 0), key=lambda r: r["rank"])
+    assert [r.vec_id for r in got] == [1, 2, 10, 11, 12] and got[0].audit_recall == 1.0
+    assert [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+
+
+def test_neighbours_visit_a_part(spark):
+    """On clustered vectors the measured budget is a small part of all row visits, and the recall holds."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(60, 16))[rng.integers(0, 60, 6000)] + 0.1 * rng.normal(size=(6000, 16))).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = rpforest.search(spark, vector_frame(spark, x, []), budget=1500).collect()
+    s = u[::50] @ u.T
+    s[np.arange(120), np.arange(0, 6000, 50)] = -9
+    best = np.argsort(-s, axis=1)[:, :5]
+    hits = sum(r.vec_id in best[r.query_id // 50] for r in near)
+    assert hits >= 0.9 * best.size and near[0].audit_recall >= 0.9
+
+
 def test_neighbours_few(spark):
     df = vector_frame(spark, vectors(3)[:3], BAD)
     assert [(r.query_id, r["rank"]) for r in rpforest.search(spark, df).orderBy("rank").collect()] == [(0, 1), (0, 2)]

@@ -6,7 +6,9 @@ leftmost minimum-rank pair through a hash table of pairs, merges it and is compa
 over LONG bytes use a heap over a linked list instead (same merges, n log n steps), so that one huge word stays cheap.
 
 Defined results: a null or empty text has no ids; lone surrogates can't occur in Parquet strings; repeated rows give
-repeated rows; other columns are not read. Memory: caches are emptied at CACHE entries.
+repeated rows; an empty table gives no rows; very long texts and matches are encoded whole; equal ranks: the leftmost pair
+merges first; other columns are not read. Memory: caches are emptied at CACHE entries. Patterns: the cut at single spaces holds
+for patterns of the GPT-2 family, in which a match may begin with one space and white space else stands alone.
 """
 
 from __future__ import annotations

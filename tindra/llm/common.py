@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tindra/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove_at_exit, spark, path)
+    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tindra_path = path
     return out
@@ -76,6 +78,20 @@ def maybe_among(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame
     return rows.join(F.broadcast(bitmap), bucket, "left").withColumn(flag, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop(bucket, bits, at)
 
 
+def mark() -> int:
+    """A point in time for sweep."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables materialized since a mark but those to keep, which must not read the others."""
+    kept = [df._tindra_path for df in keep]
+    for path in _MADE[since:]:
+        if path not in kept:
+            _remove(spark, path)
+    _MADE[since:] = kept
+
+
 def drop(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete materialized tables that no result reads any more."""
     for df in frames:
@@ -83,7 +99,8 @@ def drop(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, whose texts go to Python in batches of at most 8 MB: buffers on both sides stay small whatever the texts' length."""
+    """df, whose texts go to Python in batches of at most 8 MB: buffers on both sides stay small whatever the texts' length.
+    Spark has this as a setting of the session only, so it stays set; it bounds batches, results don't depend on it."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df
 

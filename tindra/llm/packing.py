@@ -2,7 +2,7 @@
 
 Pieces of one length are interchangeable, so the best fit is computed on the histogram of lengths, which has as many rows as
 the largest capacity has tokens, whatever the number of documents. Lengths go in descending order; a piece joins the open
-bin with the least room that still holds it. Where none does, a bin is opened at the capacity of least cost: each permitted
+bin with the least room that still holds it, of equal ones that which holds most. Where none does, a bin is opened at the capacity of least cost: each permitted
 size is filled on trial from the lengths that remain, and the one with the least cost per content token wins, for all bins that
 what is left of the length needs. A sequence of c
 tokens costs OVERHEAD + c + c * c / SPAN: a fixed part, a part by the token and attention. At last each bin is downsized to the
@@ -84,7 +84,7 @@ def best_fit(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES
                 bins += new
                 continue
             room = rooms[i]
-            first, have, used = open_[room].pop()
+            first, have, used = open_[room].pop(max(range(len(open_[room])), key=lambda k: open_[room][k][2]))
             if not open_[room]:
                 del open_[room]
                 rooms.pop(i)

@@ -112,10 +112,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     def run(batches):
         for batch in batches:
             for b in slices(batch):
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(matrix(b.column(0).to_pylist())), pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(matrix(b.column(0).to_pylist())), pa.list_(pa.float64())), b.column(2)], ["y", "x", "h"])
 
-    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y").mapInArrow(run, "y int, x array<double>")
-    got = rows.limit(2 * sample).toArrow()  # a repeated id may match twice
+    held = small_batches(docs).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("h"))
+    # repeated ids may match more often than there are labels: the sample's bound holds, and the same rows are taken every time
+    got = held.mapInArrow(run, "y int, x array<double>, h long").orderBy("h", "y").limit(2 * sample).toArrow()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
     order = np.lexsort((*x.T, y := got.column("y").to_numpy()))  # the rows arrive in any order
     return fit(x[order], y[order].astype(float))

@@ -7,8 +7,9 @@ distance from the splitting plane; the nearest waiting turning is taken next, un
 Leaves and the queries that reach them meet by leaf; a leaf over PART rows is split by hash, and queries go to all its parts.
 There all candidates are scored in double precision; a query's best few of each group of leaves are merged at the end.
 
-The budget is measured, not guessed: for AUDIT queries the exact neighbours are found by brute force over all rows, and the
-budget is what brings RECALL of them into the leaves reached. Vectors without structure need most leaves; clustered ones few.
+The budget is measured, not guessed, unless it is given: for AUDIT queries the exact neighbours are found by brute force over
+all rows, and the budget is what brings RECALL of them into the leaves reached. Vectors without structure need many leaves;
+clustered ones few. The recall of the result at those queries comes with it (column audit_recall, null where there are none).
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; each length of vectors has
 a search of its own;
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import cosine, lengths, matrix, of_length, sample, unit, usable
 
-TREES, SAMPLE, LEAF, PART, AUDIT, RECALL, GROUP = 8, 16_384, 100, 4096, 64, 0.97, 16_384
+TREES, SAMPLE, LEAF, PART, AUDIT, RECALL, GROUP = 4, 16_384, 50, 4096, 128, 0.93, 16_384
 
 
 class Forest:
@@ -122,16 +123,16 @@ def _top(q, v, s, k):
     return q[place < k], v[place < k], s[place < k]
 
 
-def search(spark: SparkSession, df: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score for each row whose vec_id is divisible by `every`."""
+def search(spark: SparkSession, df: DataFrame, every: int = 50, k: int = 5, budget: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, audit_recall for each row whose vec_id is divisible by `every`."""
     vecs = usable(df)
     asked = lengths(vecs.filter(F.col("vec_id") % every == 0))
     if not asked:
-        return vecs.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    return reduce(DataFrame.unionByName, [_search(spark, of_length(vecs, n), every, k) for n in asked])
+        return vecs.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("audit_recall"))
+    return reduce(DataFrame.unionByName, [_search(spark, of_length(vecs, n), every, k, budget) for n in asked])
 
 
-def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int) -> DataFrame:
+def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int, budget: float | None) -> DataFrame:
     """The same over usable vectors of one length."""
     total = vecs.count()
     ids, points = sample(vecs, SAMPLE)
@@ -166,7 +167,7 @@ def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int) -> DataFra
         if len(best[0]):
             yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2]), pa.array([where[i] for i in best[1].tolist()], pa.list_(pa.int32()))], ["q", "v", "s", "leaves"])
 
-    budget = 0.0
+    given, budget, near = budget, budget or 0.0, []
     if len(a_ids):
         near = vecs.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(exact, "q long, v long, s double, leaves array<int>")
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).filter(F.col("r") <= k).collect()  # AUDIT * k rows
@@ -176,7 +177,8 @@ def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int) -> DataFra
             before = np.empty(forest.leaves)
             before[order] = np.cumsum(sizes[order])
             need += [before[r.leaves].min() for r in near if r.q == i]
-        budget = float(np.quantile(need, RECALL, method="higher")) * 1.05 + 1 if need else 0.0
+        if given is None and need:
+            budget = float(np.quantile(need, RECALL, method="higher")) + 1
 
     # the index: each vector once a tree, dealt by leaf and part
     parts = np.maximum(1, -(-sizes // PART))
@@ -225,7 +227,10 @@ def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int) -> DataFra
             best = list(_top(*best, k))
         return pa.table([pa.array(best[0]), pa.array(best[1]), pa.array(best[2])], ["q", "v", "s"])
 
-    near = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(score, "q long, v long, s double")
-    near = near.groupBy("q", "v").agg(F.max("s").alias("s"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).filter(F.col("rank") <= k)
-    return materialize(spark, ranked.select(F.col("q").alias("query_id"), "rank", F.col("v").alias("vec_id"), F.col("s").alias("score")), "near")
+    got = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(score, "q long, v long, s double")
+    got = got.groupBy("q", "v").agg(F.max("s").alias("s"))
+    ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).filter(F.col("rank") <= k)
+    out = materialize(spark, ranked.select(F.col("q").alias("query_id"), "rank", F.col("v").alias("vec_id"), F.col("s").alias("score")), "near")
+    true = {(r.q, r.v) for r in near}
+    hits = {(r.query_id, r.vec_id) for r in out.filter(F.col("query_id").isin(a_ids.tolist())).collect()} if true else set()  # AUDIT * k rows
+    return out.withColumn("audit_recall", F.lit(len(true & hits) / len(true) if true else None).cast("double"))

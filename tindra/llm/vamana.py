@@ -1,7 +1,8 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
 Equal vectors are one node with a weight. Centres are fitted on a bounded sample; every node goes to its `overlap` nearest
-centres, so shards overlap. In each shard every node's nearest candidates and some far ones are robust-pruned (a candidate
+centres, so shards overlap. There is a shard for SHARD nodes each: over MOST_SHARDS of them, each shard gets centres of its own,
+fitted on a bounded sample of it, and its nodes go to the two nearest of those, so shards don't grow with the data. In each shard every node's nearest candidates and some far ones are robust-pruned (a candidate
 goes when a kept one is ALPHA times closer to it than the node is), reverse edges are added, and the adjacency lists of a
 node's shards are united. Then every node is a query in each of its shards: a greedy beam search from the shard's medoid,
 and from the hits and the node itself a range expansion that goes on while similarity stays over the threshold less SLACK.
@@ -13,7 +14,7 @@ Recall is audited by brute force over all rows: the mean, over sampled nodes tha
 that were found. The sample grows from AUDIT nodes to MOST until LINKED of them have links; if none has, recall isn't measured
 (null). Below GOAL the overlap grows and the search runs again.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing and are their own
+Defined results: equal similarities need no order, since every hit at or over the threshold is a link; vectors that are null, zero, or hold null or non-finite components link with nothing and are their own
 component; vectors of one length are searched together, and the least recall of all lengths is told; a repeated vec_id counts as several vectors (and comes back as often); an empty table
 gives no rows. Extra columns are not read.
 """
@@ -24,14 +25,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, materialize
 from .components import connected_components, union_find
 from .vectors import cosine, lengths, matrix, of_length, sample, unit, usable
 
-SAMPLE, SHARD, MOST_SHARDS, CAP = 8192, 1500, 1024, 4096
+SAMPLE, SHARD, MOST_SHARDS, CAP, INNER = 8192, 1500, 1024, 8192, 2
 DEGREE, POOL, FAR, ALPHA, BEAM, SLACK = 20, 40, 6, 1.2, 12, 0.06
 AUDIT, LINKED, MOST, GOAL = 128, 16, 8192, 0.98
 
@@ -96,6 +97,15 @@ def padded(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shard_lists(column, none: int) -> np.ndarray:
+    """Each row's shards, filled up with `none`."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), max(1, size.max(initial=0))), none, np.int64)
+    out[np.arange(out.shape[1]) < size[:, None]] = column.flatten().to_numpy()
+    return out
+
+
 def range_search(q: np.ndarray, own: np.ndarray, x: np.ndarray, adj: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, node, similarity) of all nodes found over `least`; own: the query's own node, or -1."""
     n, m = len(x), len(q)
@@ -151,21 +161,52 @@ def range_search(q: np.ndarray, own: np.ndarray, x: np.ndarray, adj: np.ndarray,
     return tuple(np.concatenate(p) for p in zip(*found, strict=True))
 
 
-def _search(spark, reps: DataFrame, kind: str, centre: np.ndarray, overlap: int, threshold: float) -> DataFrame:
+def _refined(spark, rows: DataFrame, kind: str, parts: int) -> DataFrame:
+    """rows(rep, weight, embedding, shard) dealt anew: each shard's nodes to the INNER nearest of `parts` centres of its own. Nodes
+    meet a shard's centres in chunks of CAP rows, so no task holds a whole shard."""
+    w = Window.partitionBy("shard").orderBy(F.xxhash64("rep", "shard"))
+    some = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 4 * parts).select("shard", "embedding")
+
+    def fit(t: pa.Table) -> pa.Table:
+        c = centres(unit(matrix(t.column("embedding"))), parts)
+        return pa.table([pa.array([t.column("shard")[0].as_py()], pa.int64()), pa.array([c.ravel()], pa.list_(pa.float64())), pa.array([len(c)], pa.int32())], ["shard", "centres", "n"])
+
+    fitted = materialize(spark, some.groupBy("shard").applyInArrow(fit, "shard long, centres array<double>, n int"), "centres")
+    chunks = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / CAP).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("shard", "rep"), F.col("chunks")).cast("int")).select("shard", "chunk", "rep", "embedding")
+    sent = fitted.join(chunks, "shard").select("shard", "centres", "n", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+
+    def deal(ns: pa.Table, cs: pa.Table) -> pa.Table:
+        if not ns.num_rows:
+            return pa.table({"rep": pa.array([], pa.int64()), "shard": pa.array([], pa.int64())})
+        c = np.array(cs.column("centres")[0].as_py()).reshape(cs.column("n")[0].as_py(), -1)
+        s = unit(matrix(ns.column("embedding"))) @ c.T
+        k = min(INNER, len(c))
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        return pa.table([pa.array(np.repeat(ns.column("rep").to_numpy(), k)), pa.array((ns.column("shard").to_numpy()[:, None] * parts + top).ravel())], ["rep", "shard"])
+
+    to = dealt.groupBy("shard", "chunk").cogroup(sent.groupBy("shard", "chunk")).applyInArrow(deal, "rep long, shard long")
+    lists = to.groupBy("rep").agg(F.collect_set("shard").alias("shards"))  # overlap * INNER of them at most
+    nodes = rows.select("rep", "weight", "embedding").dropDuplicates(["rep"])
+    return materialize(spark, nodes.join(lists, "rep").select("*", F.explode("shards").alias("shard")), "shards")
+
+
+def _search(spark, reps: DataFrame, kind: str, centre: np.ndarray, overlap: int, threshold: float, parts: int = 1) -> DataFrame:
     """(rep, linked, root): weight of the vectors linked to each node, and local links as a forest; some rows a node."""
 
     def place(batches):
         for b in batches:
             s = unit(matrix(b.column(2))) @ centre.T
             k = min(overlap, len(centre))
-            top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(top), pa.list_(pa.int32()))], ["rep", "weight", "embedding", "shards"])
+            top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(list(top), pa.list_(pa.int64()))], ["rep", "weight", "embedding", "shards"])
 
-    placed = reps.select("rep", "weight", "embedding").mapInArrow(place, f"rep long, weight long, embedding {kind}, shards array<int>")
+    placed = reps.select("rep", "weight", "embedding").mapInArrow(place, f"rep long, weight long, embedding {kind}, shards array<long>")
     rows = materialize(spark, placed.select("*", F.explode("shards").alias("shard")), "shards")
-    sizes = rows.groupBy("shard").count().collect()  # one row a shard, MOST_SHARDS at most
-    blocks = F.create_map(*[F.lit(x) for r in sizes for x in (r.shard, -(-r["count"] // CAP))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    nodes = rows.withColumn("blocks", blocks[F.col("shard")]).withColumn("block", F.pmod(F.xxhash64("rep", "shard"), F.col("blocks")).cast("int"))  # other blocks in each shard
+    if parts > 1:
+        rows = _refined(spark, rows, kind, parts)
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / CAP).cast("int").alias("blocks"))  # one row a shard
+    nodes = rows.join(sizes, "shard").withColumn("block", F.pmod(F.xxhash64("rep", "shard"), F.col("blocks")).cast("int"))  # other blocks in each shard
 
     def graph(t: pa.Table) -> pa.Table:
         ids = t.column("rep").to_numpy()
@@ -190,8 +231,8 @@ def _search(spark, reps: DataFrame, kind: str, centre: np.ndarray, overlap: int,
             at = np.where(ids[np.minimum(at, len(ids) - 1)] == flat, np.minimum(at, len(ids) - 1), -1)
             adj = padded([(a := at[ends[i] : ends[i + 1]])[a >= 0] for i in order])
             x, shard = unit(raw), key[0].as_py()
-            v_sh = np.sort(np.array(vs.column("shards").to_pylist(), np.int64), axis=1)[order]
-            q_ids, q_raw, q_sh = qs.column("q").to_numpy(), matrix(qs.column("qx")), np.sort(np.array(qs.column("qs").to_pylist(), np.int64), axis=1)
+            v_sh = shard_lists(vs.column("shards"), -1)[order]
+            q_ids, q_raw, q_sh = qs.column("q").to_numpy(), matrix(qs.column("qx")), shard_lists(qs.column("qs"), -2)
             q_x = unit(q_raw)
             own = np.searchsorted(ids, q_ids)
             own = np.where(ids[np.minimum(own, len(ids) - 1)] == q_ids, np.minimum(own, len(ids) - 1), -1)
@@ -208,7 +249,7 @@ def _search(spark, reps: DataFrame, kind: str, centre: np.ndarray, overlap: int,
                 n, r = union_find(q_ids[q], ids[v])
                 links[0].append(n)
                 links[1].append(r)
-                common = np.full(len(q), 2**31)
+                common = np.full(len(q), 2**62)
                 for a in range(q_sh.shape[1]):  # the first shard that both ends share counts the pair
                     common = np.where((v_sh[v] == q_sh[q, a][:, None]).any(axis=1), np.minimum(common, q_sh[q, a]), common)
                 here = common == shard
@@ -256,10 +297,11 @@ def audit(links: DataFrame, true: dict[int, int]) -> float | None:
 def _links(spark: SparkSession, reps: DataFrame, kind: str, threshold: float, overlap: int) -> tuple[DataFrame, float | None]:
     """Links of nodes of one length, and the audited recall."""
     _, points = sample(reps.withColumnRenamed("rep", "vec_id"), SAMPLE)
-    centre = centres(unit(points), min(MOST_SHARDS, -(-reps.count() // SHARD)))
+    shards = -(-reps.count() // SHARD)
+    centre, parts = centres(unit(points), min(MOST_SHARDS, shards)), -(-shards // MOST_SHARDS)
     true = truth(reps, threshold)
     while True:
-        links = _search(spark, reps, kind, centre, overlap, threshold)
+        links = _search(spark, reps, kind, centre, overlap, threshold, parts)
         recall = audit(links, true)
         if recall is None or recall >= GOAL or overlap >= len(centre):
             return links, recall
