@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tindra.llm import packing, pii, quality, sigtree
-from tindra.llm.common import materialize, maybe_among, table
+from tindra.llm.common import mark, materialize, maybe_among, sweep, table
 
 #: No SQL: boosted trees, similarity components and best fit are beyond it. tests/llm holds it against plain versions.
 ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. Null and empty texts are scored like others; repeated rows have one
+    score; scores at the threshold stay; very long texts are scored whole; an empty table stays empty."""
     return quality.with_score(docs, quality.train(docs, table(spark, sf_dir, "labels")), keep=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group that the Jaccard join links."""
+    """One document (the smallest doc_id) of each group that the Jaccard join links. Null and empty texts link with nothing and
+    stay; very long texts are compared whole; an empty table stays empty."""
     joined = sigtree.join(spark, docs)
     id_, head, flag = (f"{'_' * max(map(len, docs.columns))}_{x}" for x in ("id", "head", "flag"))  # longer than any column's name
     # ids that need care: those that go, and those that several rows share
@@ -40,7 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal spans replaced by their kind; n_chars follows the new text where there is such a column."""
+    """All documents, personal spans replaced by their kind; n_chars follows the new text where there is such a column. A null text
+    stays null; repeated rows are redacted alike; very long texts are scanned whole; an empty table stays empty."""
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -48,7 +51,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: sequence, its capacity, and the place in it."""
+    """Where each piece of each document goes: sequence, its capacity, and the place in it. Null and empty texts have a row in no
+    sequence; repeated rows are packed each; very long texts are several pieces; an empty table gives no rows."""
     return packing.pack(spark, docs)
 
 
@@ -57,6 +61,8 @@ STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates),
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    start = mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(spark, stage(spark, docs, sf_dir), name)
+        sweep(spark, start, docs)  # what the stage and its input needed
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import chunks, corpus, entities, folds, graph, quality, retrieval, spine
 from ..operators import parsers as P
-from ..sources import tables
+from ..sources import connector, sinks, tables
 from . import api, fixtures, packs
 from .registry import query
 
@@ -189,3 +189,43 @@ worked("k5_full", "line string", fixtures.FULL, lambda s: packs.full(fixtures.ca
 worked("k5_brief", "stream_id string, text string", [("s1", fixtures.BRIEF)], lambda s: packs.stream_briefs(fixtures.catalog(s)["grant_streams"], fixtures.catalog(s)["stream_documents"]))
 worked("k4_json_pack", "name string, value string", [("families", '{"id":"f1","name":"Fam"}'), ("families", '{"id":"f2","name":"B"}'), ("rebate", '{"id":"rebate","pct":25}')], lambda s: packs.json_pack({"families": fixtures.catalog(s)["grant_families"].select("id", F.col("name_is").alias("name")), "rebate": fixtures.catalog(s)["rebate"].select("id", F.col("general_pct").alias("pct"))}))
 worked("k8_health_report", "line string", fixtures.HEALTH, lambda s: packs.health(*fixtures.health(s)).orderBy("ord"))
+worked("s16_paged_source", "page int, body string", [(1, '{"id": 1}'), (1, '{"id": 2}'), (2, '{"id": 3}')], lambda s: connector.read_pages(s, "tindra.sources.connector:example_pages", 3))
+
+# ---- sources, from the small files beside this module
+FILES = fixtures.FILES
+worked("s1_curated", "ord int, id string, title string", [(0, "src.b", None), (1, "src.a", "A")], lambda s: tables.curated(s, FILES, "sources"))
+worked("s2_staged_lists", "src int, year int, project_title string, amount_isk bigint", [(0, 2021, "A", 5), (0, 2022, "B", None), (1, 2016, "C", None)], lambda s: tables.records(s, [f"{FILES}/allocations.json", f"{FILES}/allocations_archive.json", f"{FILES}/none.json"], tables.LEDGER))
+worked("s3_sorted_glob", "file string, kvik_id bigint, title string", [("productions_films.json", 1, "Hross"), ("productions_series.json", 2, "Fangar")], lambda s: tables.glob_records(s, f"{FILES}/productions_*.json", tables.PRODUCTIONS).orderBy("file", "row"))
+worked("s4_entity_files", "imdb_tconst string, title string", [("tt1", "Hross")], lambda s: tables.entity_files(s, f"{FILES}/tt*.json", tables.CREDITS))
+worked("s5_companies", "name string, is_sik_member boolean, email string", [("Mynd ehf.", True, None), ("Ljós", None, "a@b.is")], lambda s: tables.records(s, [f"{FILES}/companies_producers.json"], tables.COMPANIES))
+worked("s6_posts", "id bigint, date string, title string, html string", [(7, "2020-01-02", "Frétt & fleira", "<p>x</p>")], lambda s: tables.posts(s, f"{FILES}/post_*.json"))
+worked("s7_mirrored_pages", "name string, text string", [("frettir", "<h1>Halló</h1>"), ("uth_2017", "<table></table>")], lambda s: tables.mirrored_pages(s, f"{FILES}/*.html"))
+worked("s8_filtered_tsv", "tconst string, primaryTitle string, startYear int", [("tt1", "Hross", 2013), ("tt3", 'Y "q', 1999)], lambda s: tables.tsv(s, f"{FILES}/titles.tsv", "tconst string, primaryTitle string, startYear int", "tconst", s.createDataFrame([("tt1",), ("tt3",), ("tt9",)], "k string")))
+worked("s10_archive_pages", "name string, year int", [("uth_2017", 2017)], lambda s: tables.archive_pages(s, f"{FILES}/*.html"))
+worked("s11_wikitext", "name string, text string", [("films", "{{Kvikmyndalisti}}")], lambda s: tables.whole_texts(s, f"{FILES}/*.wiki"))
+worked("s12_chunk_lines", "id string, text string, type string", [("c1", "t", "x")], lambda s: tables.chunk_lines(s, f"{FILES}/chunks.jsonl").withColumn("type", F.col("metadata")["type"]))
+worked("s13_seed_csv", "a string, c string", [("1", "3")], lambda s: tables.seed_csv(s, f"{FILES}/seed.csv", ["a", "c"]))
+worked("s14_catalog_ddl", "ddl string", [("CREATE TABLE a(x bigint)\nCREATE TABLE b(y string)",)], lambda s: s.createDataFrame([(tables.catalog_ddl({"b": s.createDataFrame([], "y string"), "a": s.createDataFrame([], "x long")}),)], "ddl string"))
+
+
+# ---- sinks, read back
+def _back(spark, write, read):
+    """read(folder) after write(folder), each in a folder of its own."""
+    folder = fixtures.scratch(spark)
+    write(folder)
+    return read(folder)
+
+
+def _two(spark):
+    return spark.createDataFrame([(1, "á"), (2, None)], "id long, name string")
+
+
+worked("k1_rebuild", "id bigint, name string", [(1, "á"), (2, None)], lambda s: _back(s, lambda f: [sinks.rebuild({"t": _two(s)}, f), sinks.rebuild({"t": _two(s)}, f)], lambda f: s.read.parquet(f"{f}/t.parquet")))
+worked("k6_json_lines", "id bigint, name string", [(1, "á"), (2, None)], lambda s: _back(s, lambda f: sinks.json_lines(_two(s), f), lambda f: s.read.schema("id long, name string").json(f)))
+worked("k7_append_log", "action string, rows string", [("build", "3"), ("build", "4")], lambda s: _back(s, lambda f: [sinks.append_log(s, f, "build", rows=str(n)) for n in (3, 4)], lambda f: s.read.json(f)))
+worked("k8_snapshots", "metric string, value double", [("a", 2.0)], lambda s: _back(s, lambda f: [sinks.snapshot(s.createDataFrame([("a", float(n))], "metric string, value double"), f, str(n)) for n in (1, 2, 3)], lambda f: sinks.previous(s, f, "3")))
+worked("k9_capped_csv", "csv string", [("id,name\n1,á\n",)], lambda s: s.createDataFrame([(sinks.capped_csv(_two(s).orderBy("id"), 1),)], "csv string"))
+worked("k5_markdown_file", "value string", [("# Digest",), ("## Streams",)], lambda s: _back(s, lambda f: sinks.markdown(packs.master(fixtures.catalog(s), fixtures.awards(s)), f), lambda f: s.read.text(f).filter("value in ('# Digest', '## Streams')")))
+worked("r3_stored_index", "term string, df bigint, ids bigint", [("kvikmynd", 2, 2), ("um", 1, 1)], lambda s: _back(s, lambda f: retrieval.store(s.createDataFrame([("a", "kvikmynd um"), ("b", "kvikmynd")], "id string, text string"), f), lambda f: retrieval.load(s, f)["idf"].join(retrieval.load(s, f)["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("ids")), "term")))
+worked("q17_flags", "target_type string, flag string, status string, ok boolean", [("title", "wrong", "open", True)], lambda s: quality.flag(s, "title", 1, "x", "wrong").withColumn("ok", F.col("id").rlike(r"^\d{8}T\d{6}-[0-9a-f]{6}$")))
+worked("q18_recipes", "kind string, n bigint", [("film", 2), ("short", 1), ("documentary", 1)], lambda s: api.run_sql(s, fixtures.tables_(s), "SELECT kind, count(*) AS n FROM title GROUP BY kind"))

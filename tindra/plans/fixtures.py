@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,3 +222,17 @@ _FUNDING = ["| year | awards | total |", "|---|---|---|", "| 2020 | 1 | 10 ISK |
 MASTER = [(x,) for x in ["# Digest", "## Streams", *_STREAMS, "## Rebate", "- 25% general, 35% enhanced", "## Funding", *_FUNDING, "## Process", "1. Samningur — undirritun (3 months)"]]
 FULL = [(x,) for x in ["# Knowledge base", "## 1. Grants", "### Fam — Family", "p1", *("###" + BRIEF).split("\n"), "## 2. Documents", "### Ferilskrá (CV)", "- Purpose: p", "- Must prove: w", "### Handrit (Script)", "- Purpose: p", "- Must prove: w", "## 3. Criteria", "### Gæði (Quality)", "d", "- Strength: e", "- Red flags: r", "## 4. Amounts", *_STREAMS, "| family | format | year | parts | total |", "|---|---|---|---|---|", "| f1 | film | 2020 | [1,2] | 3 ISK |", "## 5. Rebate", "- 25% general, 35% enhanced", "## 6. Process", "1. Samningur — undirritun (3 months)", "## 7. Funding", *_FUNDING]]
 HEALTH = [(x,) for x in ["# Data health", "1 failures, 2 warnings", "## Checks", "- FAIL grant_streams: 19", "- OK title: 900", "## Coverage", "- linked: 66.7%", "## Queues", "- open flags: 2", "## Sources", "- OK s1: 3 files", "- WARN s2: 0 files", "## Drift", "- WARN d: 50"]]
+
+
+#: Small files of every kind that the readers take.
+FILES = "file://" + str(Path(__file__).with_name("files"))
+
+
+def scratch(spark) -> str:
+    """A new folder to write to: under spark.checkpoint.dir, or a temporary one where that is unset and all is on one machine."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/cases-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return "file://" + tempfile.mkdtemp(prefix="cases-")
