@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op4_chat_format": chat.oracle(), "op8_url_filter": urls.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op4_chat_format": chat.oracle(), "op6_jaccard_join": sigtree.oracle(), "op8_url_filter": urls.oracle()}

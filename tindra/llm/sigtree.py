@@ -605,3 +605,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+def oracle() -> str:
+    """The same by brute force in DuckDB: all pairs of documents that share a shingle, and a recursive walk over the links."""
+    return r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS ra, b.r AS rb, a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (x) WHERE a.r <> b.r AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY ALL),
+e AS (SELECT DISTINCT a, b FROM p JOIN n na ON na.r = ra JOIN n nb ON nb.r = rb WHERE 100 * c >= 75 * (na.n + nb.n - c) AND a <> b),
+walk(a, b) AS (SELECT a, b FROM e UNION SELECT walk.a, e.b FROM walk JOIN e ON walk.b = e.a),
+least AS (SELECT a, min(b) AS b FROM walk GROUP BY a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN b < doc_id THEN b ELSE doc_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN least ON least.a = doc_id"""
