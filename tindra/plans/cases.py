@@ -7,7 +7,6 @@ rows that were worked out by hand from the semantics, where SQL has no means for
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import chunks, corpus, entities, folds, graph, quality, retrieval, spine
@@ -38,13 +37,13 @@ def both(name: str, values: list, make, sql: str, kind: str = "string") -> None:
 
 def worked(name: str, schema: str, rows: list[tuple], build) -> None:
     """build(spark) -> rows of the schema."""
-    fields = T._parse_datatype_string(schema).fields
-    cast = ", ".join(f"c{i}::{_SQL[f.dataType.simpleString()]} AS \"{f.name}\"" for i, f in enumerate(fields))
+    fields = [f.split(" ") for f in schema.split(", ")]  # name and type; no session is there yet
+    cast = ", ".join(f'c{i}::{_SQL[kind]} AS "{field}"' for i, (field, kind) in enumerate(fields))
     values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
 
     @query(f"SELECT {cast} FROM (VALUES {values}) v({', '.join(f'c{i}' for i in range(len(fields)))})", name)
     def run(spark, sf_dir):
-        return build(spark).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+        return build(spark).select(*[F.col(field).cast(kind).alias(field) for field, kind in fields])
 
 
 def listed(col):
