@@ -130,8 +130,6 @@ def test_catalog_and_packs(spark):
     g = api.get_grant(t, "g1")
     assert g["grant"].count() == 1 and [r.requirement for r in g["documents"].collect()] == ["required", "required", "newcomer"]
     assert api.get_document_spec(t, "cv").first().doc_key == "cv"
-    brief = packs.stream_briefs(t["grant_streams"], t["stream_documents"]).first().text
-    assert "1.000.000 ISK" in brief and brief.index("required: Handrit") < brief.index("newcomer: Ferilskrá")
     lines = [r.line for r in packs.catalog(t["grant_families"], t["grant_streams"]).orderBy("ord").collect()]
     assert lines == ["## Family", "- Stream (1.000.000 ISK)", "## B"] and packs.catalog(t["grant_families"], t["grant_streams"], False).count() == 2
     awards = spark.createDataFrame([(2020, "f", "A", 10.0), (2021, "g", "B", 30.0), (2021, "g", "A", None)], "year int, family string, company string, amount double")

@@ -206,7 +206,7 @@ def _subqueries(node) -> list:
     found, todo = [], [node.expressions().apply(i) for i in range(node.expressions().size())]
     while todo:
         e = todo.pop()
-        if "Subquery" in e.getClass().getSimpleName() or e.getClass().getSimpleName() in ("Exists", "ListQuery"):
+        if e.getClass().getSimpleName() in ("ScalarSubquery", "LateralSubquery", "Exists", "ListQuery", "FunctionTableSubqueryArgumentExpression"):
             found.append(e.plan())
         todo += [e.children().apply(i) for i in range(e.children().size())]
     return found
