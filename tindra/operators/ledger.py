@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .numbering import medians
 
 
 def money_sum(x) -> Column:
@@ -63,19 +64,6 @@ def spread(df: DataFrame, key: str = "family") -> DataFrame:
     return some.join(medians(df, key, "amount"), key, "left").select(key, "n", "mean", F.bround("median", 0).alias("median"), "max")
 
 
-def medians(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, median), exact, without gathering a group: rows are dealt by ranges of (key, value), and the one or two in the
-    middle are found by their place in their part and the sizes of the parts before it."""
-    parts = df.filter(F.col(value).isNotNull()).select(key, value).repartitionByRange(key, value).withColumn("_p", F.spark_partition_id())
-    inside = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p", key).orderBy(value)))
-    sizes = inside.groupBy("_p", key).agg(F.max("_r").alias("_n"))  # parts times the keys in them
-    upto = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn("_t", F.sum("_n").over(Window.partitionBy(key)))
-    at = F.col("_b") + F.col("_r")
-    mid = inside.join(before.drop("_n"), ["_p", key]).filter((at == F.floor((F.col("_t") + 1) / 2)) | (at == F.ceil((F.col("_t") + 1) / 2)))
-    return mid.groupBy(key).agg(F.avg(value).alias("median"))
-
-
 def companies(df: DataFrame) -> DataFrame:
     """By normalised name: awards, total, and the distinct years in order."""
     rows = df.withColumn("norm", X.company_norm("company")).filter("norm != ''")

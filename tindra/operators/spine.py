@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import entities as E
+from .numbering import numbered
 
 # Fixed values.
 KINDS = {"leikin_kvikmynd": "film", "leikid_sjonvarp": "series", "heimildamynd": "documentary", "stuttmynd": "short"}
@@ -21,13 +22,8 @@ NEAR = {"film": 1, "documentary": 1, "short": 1, "series": 2}
 
 
 def with_ids(df: DataFrame, *order: str) -> DataFrame:
-    """Ids from 1 in the given order. Places within range partitions plus the sizes of the partitions before: no single task
-    sees all rows; the sizes are one row a partition."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    inside = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = inside.groupBy("_p").agg(F.max("_r").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    return inside.join(F.broadcast(before), "_p").withColumn("id", F.col("_b") + F.col("_r")).drop("_p", "_r", "_b")
+    """Ids from 1 in the given order, which must tell rows apart where many could be equal."""
+    return numbered(df, *order)
 
 
 def clean_ledger(ledger: DataFrame) -> DataFrame:
