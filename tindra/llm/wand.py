@@ -212,7 +212,7 @@ def best(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], top
     whole = bound.sum(axis=0)
     order = np.argsort(-whole, kind="stable")
     edges = [np.concatenate([[0], np.searchsorted(p, stops, side="right")]) for p, _, _, _ in lists]  # postings of each cell
-    places, scores, floor, done, width = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0, 16
+    places, scores, floor, done, width = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0, 2
     while done < len(order):
         cells = order[done : done + width]
         done, width = done + len(cells), width * 2
