@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, kdtree, licenses, packing, pii, quality, rpforest, sigtree, urls, vamana, wand
+from . import bpe, chat, kdtree, licenses, mixing, packing, pii, quality, rpforest, sigtree, urls, vamana, wand
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -55,6 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.cluster(spark, table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand.rank(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_ALL = [op1_license_scan, op2_embedding_near_dedup, op3_byte_bpe, op4_chat_format, op5_nearest_neighbours, op6_jaccard_join, op7_quality, op8_url_filter, op9_pii, op10_best_fit_packing, op12_centroid_clustering, op13_ranked_search]
+_ALL = [op1_license_scan, op2_embedding_near_dedup, op3_byte_bpe, op4_chat_format, op5_nearest_neighbours, op6_jaccard_join, op7_quality, op8_url_filter, op9_pii, op10_best_fit_packing, op11_source_mixing, op12_centroid_clustering, op13_ranked_search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -71,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op4_chat_format": chat.oracle(), "op6_jaccard_join": sigtree.oracle(), "op8_url_filter": urls.oracle(), "op12_centroid_clustering": kdtree.oracle(), "op13_ranked_search": wand.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op4_chat_format": chat.oracle(), "op6_jaccard_join": sigtree.oracle(), "op8_url_filter": urls.oracle(), "op11_source_mixing": mixing.oracle(), "op12_centroid_clustering": kdtree.oracle(), "op13_ranked_search": wand.oracle()}
