@@ -1,4 +1,4 @@
-"""Queries over inline fixtures: operators whose inputs (files, wikitext, curated collections) have no counterpart in the test tables.
+"""Small inputs worked out by hand: column functions, parsers, builds, surfaces, readers and writers.
 
 `both` applies a column function to given values; its SQL computes the same in DuckDB over the same values. `worked` holds
 rows that were worked out by hand from the semantics, where SQL has no means for them (parsers, whole builds).
@@ -8,31 +8,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
-from ..operators import chunks, corpus, entities, folds, graph, quality, retrieval, spine
-from ..operators import parsers as P
-from ..sources import connector, sinks, tables
-from . import api, fixtures, packs
-from .registry import query
+from tindra.functions import text as X
+from tindra.operators import chunks, corpus, entities, folds, graph, quality, retrieval, spine
+from tindra.operators import parsers as P
+from tindra.sources import connector, sinks, tables
+from tindra.plans import api, packs
+from tindra.plans.columns import COLUMNS, LET, listed, literal
 
-_SQL = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+from . import fixtures
 
+#: name -> (DuckDB SQL, what builds the rows).
+CASES: dict = {}
 
-def literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v)
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+_SQL = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
-def both(name: str, values: list, make, sql: str, kind: str = "string") -> None:
-    """One row (i, y) a value: make(column x) in Spark, sql (an expression over x) in DuckDB."""
+def both(name: str, values: list) -> None:
+    """One row (i, y) a value: a column function in Spark, its expression in DuckDB, both as the queries over tables have them."""
+    make, sql, _ = COLUMNS[name]
+    kind = "bigint" if name == "x27_isk" else "string"
     rows = ", ".join(f"({i}, {literal(v)})" for i, v in enumerate(values))
-
-    @query(f"SELECT i, {sql} AS y FROM (SELECT i::INTEGER AS i, x::{_SQL[kind]} AS x FROM (VALUES {rows}) v(i, x))", name)
-    def run(spark, sf_dir):
-        return spark.createDataFrame(list(enumerate(values)), f"i int, x {kind}").select("i", make("x").alias("y"))
+    CASES[name] = (
+        f"SELECT i, {sql} AS y FROM (SELECT i::INTEGER AS i, x::{_SQL[kind]} AS x FROM (VALUES {rows}) v(i, x))",
+        lambda spark: spark.createDataFrame(list(enumerate(values)), f"i int, x {kind}").select("i", make("x").alias("y")),
+    )
 
 
 def worked(name: str, schema: str, rows: list[tuple], build) -> None:
@@ -41,61 +40,47 @@ def worked(name: str, schema: str, rows: list[tuple], build) -> None:
     cast = ", ".join(f'c{i}::{_SQL[kind]} AS "{field}"' for i, (field, kind) in enumerate(fields))
     values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
 
-    @query(f"SELECT {cast} FROM (VALUES {values}) v({', '.join(f'c{i}' for i in range(len(fields)))})", name)
-    def run(spark, sf_dir):
-        return build(spark).select(*[F.col(field).cast(kind).alias(field) for field, kind in fields])
-
-
-def listed(col):
-    return F.array_join(col, "|")
+    CASES[name] = (
+        f"SELECT {cast} FROM (VALUES {values}) v({', '.join(f'c{i}' for i in range(len(fields)))})",
+        lambda spark: build(spark).select(*[F.col(field).cast(kind).alias(field) for field, kind in fields]),
+    )
 
 
 # ---- text functions
-LET = X.LETTERS
-NORM = f"trim(regexp_replace(regexp_replace(lower(coalesce(x, '')), '\\(.*?\\)', ' ', 'g'), '[^{LET}]+', ' ', 'g'))"
-LOOSE = f"trim(regexp_replace(lower(coalesce({{x}}, '')), '[^{LET}]+', ' ', 'g'))"
-
-both("x1_name_norm", ["Eternal (áður Love Odyssey)", "Ö-hæð  & Þ!", None, "äü x", "(a) (b) C"], X.name_norm, NORM)
-both("x2_company_norm", ["Mynd ehf.", "HF Ljós (sf)", "sfx slf", None, "Ses ses"], X.company_norm, f"trim(regexp_replace(regexp_replace(lower(coalesce(x, '')), '(^|[^{LET}_])(ehf|slf|sf|hf|ses)($|[^{LET}_])', '\\1 \\3', 'g'), '[^{LET}]+', ' ', 'g'))".replace("coalesce(x, '')", "replace(coalesce(x, ''), ' ', '  ')"))
-both("x5_clean_entity", ["Reykjavík Films Styrkur", "Grímur Vilyrði styrkur", "Wonder (vilyrði skilað)", "Ferðastyrkur á hátíð", "Félag 3", "Styrkur", "", None, " - Ab/ ", "Félag á flugmiðum", "Styrkur Films", "ÞÁTTTAKA ynpc"], X.clean_entity,
-     "CASE x WHEN '' THEN '' ELSE (SELECT CASE WHEN n = '' OR regexp_matches(n, '(?i)ferðastyrk|ferdastyrk|þátttökustyrk|thatttoku|þátttöku í|vinnusto|vinnusmi|handritasmi|handritavinnusmi|ráðstefn|radstefn|nordisk panorama|flugmið|endurgreidd|styrkur til|styrkut til|\\bynpc\\b|\\d') THEN NULL ELSE n END FROM (SELECT regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\\([^)]*(?:vilyr[ðd]i|skila[ðd])[^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g'), '(?i)(^|\\s)((styrkur|styrkir|vilyrði|vilyrdi)[^0-9a-záéíóúýþæöð]*\\s*)+$', '')), '^[ \\-–/.,]+|[ \\-–/.,]+$', '', 'g') AS n)) END")
-FORMER = r"(?i)^(.*?)\s*\(\s*áður:?\s*([^)]*).*$"
-both("x6_clean_title", ["Eternal (áður Love Odyssey)", "X (áður: Y", "– Z –", "A (áður B", None, "Mynd (Áður: Önnur mynd) x"], lambda x: F.concat_ws("|", X.clean_title(x)["title"], F.array_join(X.clean_title(x)["former"], "/")),
-     f"regexp_replace(CASE WHEN regexp_matches(trim(coalesce(x, '')), '{FORMER}') THEN trim(regexp_extract(trim(x), '{FORMER}', 1)) ELSE trim(coalesce(x, '')) END, '^[ \\-–—]+|[ \\-–—]+$', '', 'g') || '|' || CASE WHEN regexp_matches(trim(coalesce(x, '')), '{FORMER}') AND length(trim(regexp_extract(trim(x), '{FORMER}', 2))) > 1 THEN trim(regexp_extract(trim(x), '{FORMER}', 2)) ELSE '' END")
-both("x7_support", ["x" * 50, "y" * 40 + " festival á vegum", "festival", "z" * 45 + " lab og meira", "z" * 45 + " labs", "z" * 45 + " Félag ehf. x", None], X.is_support,
-     "length(coalesce(x, '')) > 45 AND regexp_matches(lower(coalesce(x, '')), 'ferðastyrk|þátttak|styrkur til |vinnustof|vinnusmið|ferð og þátttök| lab\\b|workshop|festival|kvikmyndahát|frumsýning|sýningarstyrk|green producers|kolefni|óskarsverðlaun|starfsemi|þáttt[:.]|\\behf\\.|\\bohf\\.|\\bslf\\.|\\bses\\b')")
-both("x8_people", ["A, B & C/D og E", "vilyrði, F", None, "Jón og  Gunna"], lambda x: listed(X.people(x)), "array_to_string(list_filter(list_transform(string_split_regex(coalesce(x, ''), '\\s*[,/&]\\s*|\\s+og\\s+'), lambda v: trim(v)), lambda n: n <> '' AND NOT contains(lower(n), 'vilyrði')), '|')")
-both("x9_dossier_names", ["Jón Jónsson og Al", None, "Anna (Búi) Ek & Ó"], lambda x: listed(X.dossier_names(x)), f"array_to_string(list_filter(list_transform(string_split_regex(coalesce(x, ''), '\\s*[,/&]\\s*|\\s+og\\s+'), lambda v: {LOOSE.format(x='v')}), lambda n: length(n) > 4), '|')")
-both("x10_money", ["1.234 kr", "kr", None, "$ 12,000,000"], X.money, "TRY_CAST(regexp_replace(x, '[^0-9]', '', 'g') AS BIGINT)")
-both("x11_money_tokens", ["a 1.000 b 12.345.678 2024 3.5", "", "99.999 kr. og 1.0000"], lambda x: listed(F.transform(X.money_values(x), lambda v: v.cast("string"))), r"array_to_string(list_transform(regexp_extract_all(x, '\d{1,3}(?:\.\d{3})+'), lambda m: replace(m, '.', '')), '|')")
-both("x12_amounts", ["65.000.000/72.800.000", "2) 1.500", "x", None, "12.345 og 999"], lambda x: F.concat_ws("|", F.coalesce(X.amounts(x)["amount"].cast("string"), F.lit("-")), F.coalesce(X.amounts(x)["total"].cast("string"), F.lit("-"))),
-     r"(SELECT coalesce(d[1], '-') || '|' || coalesce(d[2], '-') FROM (SELECT list_filter(list_transform(regexp_extract_all(coalesce(x, ''), '\d[\d.\s]*\d|\d'), lambda r: regexp_replace(r, '\D', '', 'g')), lambda d: length(d) >= 4) AS d))")
-both("x13_numbers", ["16,116 (14,293)", "90.954.270 kr.", "x", None, "500.000", "500.001"], lambda x: F.concat_ws("|", F.coalesce(X.leading_int(x).cast("string"), F.lit("-")), F.coalesce(X.admissions(x).cast("string"), F.lit("-"))),
-     r"coalesce(regexp_replace(nullif(regexp_extract(x, '(\d[\d.,]*)', 1), ''), '[.,]', '', 'g'), '-') || '|' || coalesce((SELECT v::VARCHAR FROM (SELECT TRY_CAST(regexp_replace(regexp_extract(x, '(\d[\d.,]*)', 1), '[.,]', '', 'g') AS BIGINT) AS v) WHERE v <= 500000), '-')")
-both("x13_percent", ["31,5 %", "7", "x", None, "12.25%"], X.percent, r"TRY_CAST(replace(regexp_extract(x, '(\d+(?:[.,]\d+)?)', 1), ',', '.') AS DOUBLE)")
-both("x14_ligatures", ["ﬁ  ﬂ ﬀ", "ﬃx\n ﬄ", "plain"], X.plain_ligatures, "trim(regexp_replace(replace(replace(replace(replace(replace(x, 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '\\s+', ' ', 'g'))")
-both("x16_readable", ["<p>a</p><script>var x = '<b>';</script> b<style>p{}</style>", "<SCRIPT src=x>y</SCRIPT>z  <i>w</i>", None, "no tags", "<noscript>n</noscript> o"], X.readable_text,
-     r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(x, ''), '(?is)<(script)\b.*?</script\s*>|<(style)\b.*?</style\s*>|<(noscript)\b.*?</noscript\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))")
-both("x17_strip_tags", ["<b>a</b> <i>b</i>\n c", None, "1 < 2", "<a href='x'>y</a>"], X.strip_tags, r"trim(regexp_replace(regexp_replace(coalesce(x, ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))")
-both("x18_wikitext", ["[[A|B]] [[C]] ''d'' <br/>e", "'''x''' [[y|z]]"], X.strip_wikitext, r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\[\[[^\]|]*\|([^\]]*)\]\]', '\1', 'g'), '\[\[([^\]]*)\]\]', '\1', 'g'), '''''+', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))")
-both("x19_iso_date", ["gefið út 05.03.2021 x", "x", "1.2.2020", "31.12.1999 og 01.01.2000"], X.iso_date, r"CASE WHEN regexp_matches(x, '\b(\d{2})\.(\d{2})\.(\d{4})\b') THEN regexp_replace(regexp_extract(x, '\b\d{2}\.\d{2}\.\d{4}\b'), '(..)\.(..)\.(....)', '\3-\2-\1') ELSE '' END")
-both("x20_content_year", ["Edda 2019", "ekkert ár", "20201", "í 2001 og 2002"], lambda x: X.content_year(x, F.lit(1990)), r"coalesce(TRY_CAST(regexp_extract(x, '\b(20\d\d)\b', 1) AS INTEGER), 1990)")
-both("x21_section", ["frettir_a", "um_x", "zzz", "ahorf", "kvikmyndagerd_b", "kvikmyndamenning"], X.section, "CASE WHEN starts_with(x, 'ahorf') THEN 'ahorf' WHEN starts_with(x, 'frettir') THEN 'frettir' WHEN starts_with(x, 'kvikmyndamenning') THEN 'kvikmyndamenning' WHEN starts_with(x, 'um') THEN 'um' WHEN starts_with(x, 'kvikmyndagerd') THEN 'kvikmyndagerd' ELSE 'other' END")
-both("x22_market_scope", ["Aðsókn á heimsvísu", "HEIMSVEIZLA", "Worldwide gross", "Aðsókn", None], X.market_scope, "CASE WHEN regexp_matches(lower(coalesce(x, '')), 'heimsv|worldwide') THEN 'WW' ELSE 'IS' END")
-both("x23_review_outlet", ["Mbl um Hrút: gott", "ekkert", "Fréttablaðið um „X“", "A um B"], X.review_outlet, r"nullif(trim(regexp_extract(x, '(?s)^\s*(.{2,40}?)\s+um\s+\S', 1)), '')")
-both("x24_award_word", ["vann edduna; Edda 2020 og Cannes", "x", None, "á Berlinale", "Eddan fer"], X.award_word, "(SELECT a FROM (SELECT unnest([" + ", ".join(literal(a) for a in X.AWARD_WORDS) + "]) AS a, generate_subscripts([" + ", ".join(literal(a) for a in X.AWARD_WORDS) + "], 1) AS k) WHERE contains(lower(coalesce(x, '')), lower(a)) ORDER BY k LIMIT 1)")
-W = f"[{X.UPPER}][{X.LOWER}]+"
-both("x25_name_candidates", ["Jóhann Jóhannsson hlaut verðlaun með Ólafi Darra Ólafssyni", None, "Ein Tvær Þrjár Fjórar Fimm", "eitt Nafn"], lambda x: listed(X.name_candidates(x)), f"array_to_string(regexp_extract_all(coalesce(x, ''), '{W}(?:\\s+{W}){{1,3}}'), '|')")
+
+both("x1_name_norm", ["Eternal (áður Love Odyssey)", "Ö-hæð  & Þ!", None, "äü x", "(a) (b) C"])
+both("x2_company_norm", ["Mynd ehf.", "HF Ljós (sf)", "sfx slf", None, "Ses ses"])
+both("x5_clean_entity", ["Reykjavík Films Styrkur", "Grímur Vilyrði styrkur", "Wonder (vilyrði skilað)", "Ferðastyrkur á hátíð", "Félag 3", "Styrkur", "", None, " - Ab/ ", "Félag á flugmiðum", "Styrkur Films", "ÞÁTTTAKA ynpc"])
+both("x6_clean_title", ["Eternal (áður Love Odyssey)", "X (áður: Y", "– Z –", "A (áður B", None, "Mynd (Áður: Önnur mynd) x"])
+both("x7_support", ["x" * 50, "y" * 40 + " festival á vegum", "festival", "z" * 45 + " lab og meira", "z" * 45 + " labs", "z" * 45 + " Félag ehf. x", None])
+both("x8_people", ["A, B & C/D og E", "vilyrði, F", None, "Jón og  Gunna"])
+both("x9_dossier_names", ["Jón Jónsson og Al", None, "Anna (Búi) Ek & Ó"])
+both("x10_money", ["1.234 kr", "kr", None, "$ 12,000,000"])
+both("x11_money_tokens", ["a 1.000 b 12.345.678 2024 3.5", "", "99.999 kr. og 1.0000"])
+both("x12_amounts", ["65.000.000/72.800.000", "2) 1.500", "x", None, "12.345 og 999"])
+both("x13_numbers", ["16,116 (14,293)", "90.954.270 kr.", "x", None, "500.000", "500.001"])
+both("x13_percent", ["31,5 %", "7", "x", None, "12.25%"])
+both("x14_ligatures", ["ﬁ  ﬂ ﬀ", "ﬃx\n ﬄ", "plain"])
+both("x16_readable", ["<p>a</p><script>var x = '<b>';</script> b<style>p{}</style>", "<SCRIPT src=x>y</SCRIPT>z  <i>w</i>", None, "no tags", "<noscript>n</noscript> o"])
+both("x17_strip_tags", ["<b>a</b> <i>b</i>\n c", None, "1 < 2", "<a href='x'>y</a>"])
+both("x18_wikitext", ["[[A|B]] [[C]] ''d'' <br/>e", "'''x''' [[y|z]]"])
+both("x19_iso_date", ["gefið út 05.03.2021 x", "x", "1.2.2020", "31.12.1999 og 01.01.2000"])
+both("x20_content_year", ["Edda 2019", "ekkert ár", "20201", "í 2001 og 2002"])
+both("x21_section", ["frettir_a", "um_x", "zzz", "ahorf", "kvikmyndagerd_b", "kvikmyndamenning"])
+both("x22_market_scope", ["Aðsókn á heimsvísu", "HEIMSVEIZLA", "Worldwide gross", "Aðsókn", None])
+both("x23_review_outlet", ["Mbl um Hrút: gott", "ekkert", "Fréttablaðið um „X“", "A um B"])
+both("x24_award_word", ["vann edduna; Edda 2020 og Cannes", "x", None, "á Berlinale", "Eddan fer"])
+both("x25_name_candidates", ["Jóhann Jóhannsson hlaut verðlaun með Ólafi Darra Ólafssyni", None, "Ein Tvær Þrjár Fjórar Fimm", "eitt Nafn"])
 worked("x26_headline_subjects", "i int, y string", [(0, "Hross í oss"), (1, "Svartur á leik|DÝRIÐ"), (2, "")], lambda s: s.createDataFrame([(0, "„Hross í oss“ og HROSS Í OSS á RIFF, „hross í oss“"), (1, 'DÝRIÐ og "Svartur á leik" KMÍ'), (2, None)], "i int, x string").select("i", listed(X.headline_subjects("x")).alias("y")))
-both("x28_layers", ["director", "thanks", "cast", "editor", "producer", None, "stunts"], graph.layer_of, "CASE x WHEN 'director' THEN 'creative' WHEN 'cast' THEN 'cast' WHEN 'editor' THEN 'tech' WHEN 'producer' THEN 'production' WHEN 'stunts' THEN 'tech' END")
-both("x39_slug", ["https://A.is/b?c", "///", "a" * 200, "Ö-x"], lambda x: X.slug(x, F.lit(4)), "(SELECT CASE WHEN s = '' THEN '4' ELSE s END FROM (SELECT left(regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 120) AS s))")
-both("x43_stage_mismatch", ["Dev", "x", None, "DEVELOPMENT"], lambda x: X.stage_mismatch(x, F.lit("development")), "NOT contains('development', lower(coalesce(x, '')))")
-both("x44_prompt", ["Mynd", None], lambda x: X.prompt("Project: %s\nBudget: %s", x, F.lit(5)), "'Project: ' || coalesce(x, '—') || chr(10) || 'Budget: 5'")
-both("x46_junk_rows", ["* skýring", "Meðaltal", "Mynd", "x" * 61, None, " Samtals 3", "allt"], X.is_junk_row, "trim(coalesce(x, '')) = '' OR starts_with(trim(x), '*') OR length(trim(x)) > 60 OR regexp_matches(lower(trim(x)), '^(meðal|samtals|alls|heimild)')")
-both("x47_first_company", ["A / B", None, "C", "/D"], X.first_company, "coalesce(trim(string_split(x, '/')[1]), '—')")
-both("x27_isk", [1234567, 0, None, 999], X.isk, "CASE WHEN x IS NULL OR x = 0 THEN '—' ELSE replace(format('{:,}', x), ',', '.') || ' ISK' END", "bigint")
-both("f18_portal", ["7", None, ""], lambda x: X.portal_url(F.lit(""), x, "https://a.example/?id=%s"), "CASE WHEN coalesce(x, '') <> '' THEN 'https://a.example/?id=' || x END")
-both("u5_distinct_ignoring_case", ["a,B,b,A,c", "x", ""], lambda x: listed(X.distinct_ignoring_case(F.split(x, ","))), "(SELECT coalesce(string_agg(v, '|' ORDER BY k), '') FROM (SELECT v, k, row_number() OVER (PARTITION BY lower(v) ORDER BY k) AS n FROM (SELECT unnest(string_split(x, ',')) AS v, generate_subscripts(string_split(x, ','), 1) AS k)) WHERE n = 1)")
+both("x28_layers", ["director", "thanks", "cast", "editor", "producer", None, "stunts"])
+both("x39_slug", ["https://A.is/b?c", "///", "a" * 200, "Ö-x"])
+both("x43_stage_mismatch", ["Dev", "x", None, "DEVELOPMENT"])
+both("x44_prompt", ["Mynd", None])
+both("x46_junk_rows", ["* skýring", "Meðaltal", "Mynd", "x" * 61, None, " Samtals 3", "allt"])
+both("x47_first_company", ["A / B", None, "C", "/D"])
+both("x27_isk", [1234567, 0, None, 999])
+both("f18_portal", ["7", None, ""])
+both("u5_distinct_ignoring_case", ["a,B,b,A,c", "x", ""])
 worked("x37_text_hooks", "i int, lemmas string, ents string", [(0, "ég|er", ""), (1, "", "")], lambda s: s.createDataFrame([(0, "Ég er"), (1, None)], "i int, x string").select("i", listed(X.hook("lemmas", "x")).alias("lemmas"), listed(X.hook("entities", "x")).alias("ents")))
 worked("x48_recipient", "i int, y string", [(0, "a"), (1, "b"), (2, "c"), (3, "—")], lambda s: s.createDataFrame([(0, "a", "b", "c"), (1, None, "b", "c"), (2, None, None, "c"), (3, None, None, None)], "i int, company string, writer string, producer string").select("i", F.coalesce("company", "writer", "producer", F.lit("—")).alias("y")))
 worked("x3_redirected_norms", "i int, norm string", [(0, "c"), (1, "z")], lambda s: entities.apply_redirects(s.createDataFrame([(0, "A"), (1, "Z")], "i int, x string").select("i", X.name_norm("x").alias("norm")), "norm", entities.redirects(s, s.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))))
@@ -169,7 +154,7 @@ worked("q7_lookup_company", "project_title string, year int, amount_isk bigint",
 worked("q7_candidates", "name string, method string", [("Hrossabrestur films", "fuzzy_contains")], lambda s: api.lookup_company(fixtures.tables_(s), "hrossabr")["candidates"])
 worked("q8_rebate", "id string, general_pct int", [("rebate", 25)], lambda s: api.get_rebate(fixtures.catalog(s)))
 worked("q9_productions", "title string, status string", [("Hross í oss", "matched")], lambda s: api.productions(fixtures.tables_(s), funded="yes"))
-worked("q10_search", "id string, type string, mode string", [("doc:script", "document", "hybrid")], lambda s: retrieval.search(chunks.build(fixtures.catalog(s)), "Handrit Script", 1))
+worked("q10_search", "id string, type string, mode string", [("doc:script", "document", "hybrid")], lambda s: _back(s, lambda f: retrieval.store(chunks.build(fixtures.catalog(s)), f), lambda f: retrieval.search(retrieval.load(s, f), "Handrit Script", 1)))
 worked("q11_dossier", "as string, project_title string, year int, amount_isk bigint", [("writer/director", "Hross í oss (áður Hestar)", 2012, 100)], lambda s: api.person_dossier(fixtures.tables_(s), fixtures.BENEDIKT)["awards"])
 worked("q11_markdown", "n bigint, line string", [(0, "# Benedikt Erlingsson"), (1, ""), (2, "- director: 1"), (3, "- writer: 1"), (4, ""), (5, "| year | project | as | amount |"), (6, "|---|---|---|---|"), (7, "| 2012 | Hross í oss (áður Hestar) | writer/director | 100 ISK |")], lambda s: api.dossier_markdown(api.person_dossier(fixtures.tables_(s), fixtures.BENEDIKT)))
 worked("q12_profile", "year int, family string, amount bigint, recipient string", [(2012, "framleidsla", 100, "Hrossabrestur")], lambda s: api.production_profile(fixtures.tables_(s), 1)["funding"])
@@ -225,6 +210,6 @@ worked("k7_append_log", "action string, rows string", [("build", "3"), ("build",
 worked("k8_snapshots", "metric string, value double", [("a", 2.0)], lambda s: _back(s, lambda f: [sinks.snapshot(s.createDataFrame([("a", float(n))], "metric string, value double"), f, str(n)) for n in (1, 2, 3)], lambda f: sinks.previous(s, f, "3")))
 worked("k9_capped_csv", "csv string", [("id,name\n1,á\n",)], lambda s: s.createDataFrame([(sinks.capped_csv(_two(s).orderBy("id"), 1),)], "csv string"))
 worked("k5_markdown_file", "value string", [("# Digest",), ("## Streams",)], lambda s: _back(s, lambda f: sinks.markdown(packs.master(fixtures.catalog(s), fixtures.awards(s)), f), lambda f: s.read.text(f).filter("value in ('# Digest', '## Streams')")))
-worked("r3_stored_index", "term string, df bigint, ids bigint", [("kvikmynd", 2, 2), ("um", 1, 1)], lambda s: _back(s, lambda f: retrieval.store(s.createDataFrame([("a", "kvikmynd um"), ("b", "kvikmynd")], "id string, text string"), f), lambda f: retrieval.load(s, f)["idf"].join(retrieval.load(s, f)["postings"].groupBy("term").agg(F.count(F.lit(1)).alias("ids")), "term")))
+worked("r3_stored_index", "term string, df bigint, ids bigint", [("kvikmynd", 2, 2), ("um", 1, 1)], lambda s: _back(s, lambda f: retrieval.store(s.createDataFrame([("a", "kvikmynd um"), ("b", "kvikmynd")], "id string, text string"), f), lambda f: retrieval.load(s, f)["terms"].join(retrieval.load(s, f)["postings"].groupBy("term").agg(F.sum(F.size("ids")).alias("ids")), "term")))
 worked("q17_flags", "target_type string, flag string, status string, ok boolean", [("title", "wrong", "open", True)], lambda s: quality.flag(s, "title", 1, "x", "wrong").withColumn("ok", F.col("id").rlike(r"^\d{8}T\d{6}-[0-9a-f]{6}$")))
 worked("q18_recipes", "kind string, n bigint", [("film", 2), ("short", 1), ("documentary", 1)], lambda s: api.run_sql(s, fixtures.tables_(s), "SELECT kind, count(*) AS n FROM title GROUP BY kind"))

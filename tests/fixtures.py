@@ -1,18 +1,17 @@
-"""Small documents and tables that the queries of `cases` run on."""
+"""Small documents and tables that the cases run on."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import catalog as C
-from ..operators import corpus, folds
-from ..operators import spine as S
-from ..sources import tables as T
+from tindra.operators import catalog as C
+from tindra.operators import corpus, folds
+from tindra.operators import spine as S
+from tindra.sources import scratch as scratch_
+from tindra.sources import tables as T
 
 _HEAD = "Verkefni            Handritshöfundur     Leikstjóri        Umsækjandi                  Styrkur      Samtals      Vilyrði"
 LAYOUT = "\n".join([
@@ -229,10 +228,4 @@ FILES = "file://" + str(Path(__file__).with_name("files"))
 
 
 def scratch(spark) -> str:
-    """A new folder to write to: under spark.checkpoint.dir, or a temporary one where that is unset and all is on one machine."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/cases-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-    return "file://" + tempfile.mkdtemp(prefix="cases-")
+    return scratch_.new_path(spark, "cases")

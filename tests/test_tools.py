@@ -39,7 +39,7 @@ def test_command_line(spark, curated, capsys):
     assert "stream:s1" in capsys.readouterr().out
     assert spark.read.text(f"{out}/catalog.md").count() == 2 and spark.read.json(f"{out}/pack.json").filter("name = 'rebate'").count() == 1
     ix = retrieval.load(spark, f"{out}/index")
-    assert ix["lengths"].count() == spark.read.json(f"{out}/chunks.json").count() and ix["idf"].filter("term = 'handrit'").first().df >= 2
+    assert ix["texts"].count() == spark.read.json(f"{out}/chunks.json").count() and ix["terms"].filter("term = 'handrit'").first().df >= 2
 
 
 def test_default_meta(spark, curated):

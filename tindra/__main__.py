@@ -46,9 +46,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.what == "chunk":
         sinks.json_lines(chunks.build(load(spark, args.curated)), f"{args.out}/chunks.json")
     elif args.what == "index":
-        retrieval.store(spark.read.schema("id string, text string").json(f"{args.out}/chunks.json"), f"{args.out}/index")
+        retrieval.store(spark.read.schema("id string, text string, metadata map<string,string>").json(f"{args.out}/chunks.json"), f"{args.out}/index")
     else:
-        stored = spark.read.schema("id string, text string, metadata map<string,string>").json(f"{args.out}/chunks.json")
+        stored = retrieval.load(spark, f"{args.out}/index")
         for r in retrieval.search(stored, " ".join(args.words), args.k).select("score", "id", F.left("text", F.lit(80)).alias("text")).collect():  # k rows
             print(f"{r.score:.4f}  {r.id}  {r.text}")
 

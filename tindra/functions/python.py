@@ -68,27 +68,62 @@ def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def best_by_hash(rows, questions, depth: int, dim: int):
-    """(q, id, score): for rows(id, t array of terms) the `depth` best of each question by the cosine of hashed term counts.
-
-    questions(id, bucket, weight) are the questions' vectors: a bounded set that goes to every task, BLOCK at a time. A task
-    keeps each question's best only; the caller ranks what the tasks leave.
-    """
+def _tokens(dim: int):
+    """Batches (id, array of terms) to ids and unit vectors of hashed term counts."""
     import hashlib
 
+    import numpy as np
+
+    bucket: dict[str, int] = {}
+
+    def vectors(b):
+        lists = b.column(1)
+        flat, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy()
+        ends = ends - ends[0]
+        if len(bucket) > 500_000:
+            bucket.clear()
+        for t in set(flat) - bucket.keys():
+            bucket[t] = int(hashlib.md5(t.encode()).hexdigest()[-3:], 16) % dim
+        cols = np.fromiter((bucket[t] for t in flat), np.int64, len(flat))
+        for a in range(0, b.num_rows, SLICE):
+            e = min(a + SLICE, b.num_rows)
+            x = np.zeros((e - a, dim))
+            np.add.at(x, (np.repeat(np.arange(e - a), np.diff(ends[a : e + 1])), cols[ends[a] : ends[e]]), 1.0)
+            x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+            yield b.column(0).slice(a, e - a), x
+
+    return vectors
+
+
+def _stored(dim: int):
+    """Batches (id, buckets, weights) to ids and vectors."""
+    import numpy as np
+
+    def vectors(b):
+        ends, cols, w = b.column(1).offsets.to_numpy(), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+        ends = ends - ends[0]
+        for a in range(0, b.num_rows, SLICE):
+            e = min(a + SLICE, b.num_rows)
+            x = np.zeros((e - a, dim))
+            x[np.repeat(np.arange(e - a), np.diff(ends[a : e + 1])), cols[ends[a] : ends[e]]] = w[ends[a] : ends[e]]
+            yield b.column(0).slice(a, e - a), x
+
+    return vectors
+
+
+def _best(rows, at, depth: int, dim: int, vectors, q_kind: str):
+    """(q, id, score): each question's `depth` best of every task. at(id, bucket, weight): a bounded block of questions."""
     import numpy as np
     import pyarrow as pa
-    from pyspark.sql import functions as F
+    import pyarrow.compute as pc
 
-    at = questions.toArrow()
-    qs, place = np.unique(at.column("id").to_numpy(), return_inverse=True)
+    qs = pc.unique(at.column("id"))
+    place = pc.index_in(at.column("id"), qs).to_numpy()
     w = np.zeros((len(qs), dim))
     np.add.at(w, (place, at.column("bucket").to_numpy()), at.column("weight").to_numpy())
-    kinds = [questions.schema["id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()]
-    types = [at.schema.field("id").type]
+    id_kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
-        bucket: dict[str, int] = {}
         held: dict = {"q": [], "id": [], "s": []}
 
         def cut(ids, s):
@@ -99,44 +134,54 @@ def best_by_hash(rows, questions, depth: int, dim: int):
                 floor = np.partition(part, len(ids) - k, axis=1)[:, len(ids) - k]
                 q, r = np.nonzero((part >= floor[:, None]) & (part > 0))
                 held["q"].append(q + b)
-                held["id"].append(ids[r])
+                held["id"].append(ids.take(pa.array(r)))
                 held["s"].append(s[b : b + BLOCK][q, r])
 
         def packed():
-            q, i, s = (np.concatenate(held[c]) for c in ("q", "id", "s"))
-            order = np.lexsort((i, -np.round(s, 9), q))
-            q, i, s = q[order], i[order], s[order]
+            q, s, i = np.concatenate(held["q"]), np.concatenate(held["s"]), pa.concat_arrays(held["id"])
+            order = pc.sort_indices(pa.table({"q": q, "s": -np.round(s, 9), "id": i}), [("q", "ascending"), ("s", "ascending"), ("id", "ascending")]).to_numpy()
+            q, s = q[order], s[order]
             ok = np.arange(len(q)) - np.searchsorted(q, q, side="left") < depth
-            for c, v in zip(("q", "id", "s"), (q[ok], i[ok], s[ok]), strict=True):
-                held[c][:] = [v]
+            held["q"], held["s"], held["id"] = [q[ok]], [s[ok]], [i.take(pa.array(order[ok]))]
 
-        kind = None
         for b in batches:
-            kind = b.schema.field(0).type
-            lists = b.column(1)
-            flat, ends = lists.flatten().to_pylist(), lists.offsets.to_numpy()
-            ends = ends - ends[0]
-            if len(bucket) > 500_000:
-                bucket.clear()
-            for t in set(flat) - bucket.keys():
-                bucket[t] = int(hashlib.md5(t.encode()).hexdigest()[-3:], 16) % dim
-            cols = np.fromiter((bucket[t] for t in flat), np.int64, len(flat))
-            for a in range(0, b.num_rows, 2048):
-                e = min(a + 2048, b.num_rows)
-                n = np.diff(ends[a : e + 1])
-                x = np.zeros((e - a, dim))
-                np.add.at(x, (np.repeat(np.arange(e - a), n), cols[ends[a] : ends[e]]), 1.0)
-                x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                cut(b.column(0).slice(a, e - a).to_numpy(zero_copy_only=False), w @ x.T)
+            for ids, x in vectors(b):
+                cut(ids, w @ x.T)
                 if sum(map(len, held["q"])) > 4 * depth * len(qs) + 100_000:
                     packed()
         if held["q"]:
             packed()
-            yield pa.RecordBatch.from_arrays([pa.array(qs[held["q"][0]], types[0]), pa.array(held["id"][0], kind), pa.array(held["s"][0])], ["q", "id", "score"])
+            yield pa.RecordBatch.from_arrays([qs.combine_chunks().take(pa.array(held["q"][0])) if isinstance(qs, pa.ChunkedArray) else qs.take(pa.array(held["q"][0])), held["id"][0], pa.array(held["s"][0])], ["q", "id", "score"])
+
+    return rows.mapInArrow(run, f"q {q_kind}, id {id_kind}, score double")
 
-    if not len(qs):
-        return rows.limit(0).select(F.lit(None).cast(kinds[0]).alias("q"), "id", F.lit(0.0).alias("score"))
-    return rows.filter(F.size("t") > 0).mapInArrow(run, f"q {kinds[0]}, id {kinds[1]}, score double")
 
+def best_by_hash(rows, questions, depth: int, dim: int, stored: bool = False):
+    """(q, id, score): the `depth` best rows of each question, and more, by the cosine of hashed term counts; the caller ranks.
+
+    rows(id, t array of terms), or stored vectors rows(id, bucket array, weight array). questions(id, bucket, weight) are the
+    questions' vectors. Questions are dealt in blocks of about ASKED by their hash; one block at a time goes to the tasks, as a
+    matrix of a bounded size, and where there are several, each block's result is written before the next one starts.
+    """
+    from pyspark.sql import functions as F
 
-BLOCK = 256
+    from ..sources.scratch import keep
+
+    q_kind = questions.schema["id"].dataType.simpleString()
+    rows = rows.filter(F.size(rows.columns[1]) > 0)
+    asked = keep(rows.sparkSession, questions, "questions")
+    n = asked.agg(F.count_distinct("id")).first()[0]
+    if not n:
+        return rows.limit(0).select(F.lit(None).cast(q_kind).alias("q"), "id", F.lit(0.0).alias("score"))
+    blocks, out = -(-n // ASKED), None
+    for k in range(blocks):
+        at = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toArrow()
+        if at.num_rows:
+            part = _best(rows, at, depth, dim, (_stored if stored else _tokens)(dim), q_kind)
+            part = keep(rows.sparkSession, part, "best") if blocks > 1 else part
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Rows of a matrix, questions of a partial sort, and questions (on average) that go to the tasks at a time.
+SLICE, BLOCK, ASKED = 2048, 256, 2048

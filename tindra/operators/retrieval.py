@@ -6,8 +6,11 @@ a set of questions is one join on terms and one dense pass, not a loop.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -116,30 +119,153 @@ def hybrid(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", text:
     return with_similarity(rows, "_text", "_asked", "_s").select("q", "id", "rank", "rrf", F.round("_s", 4).alias("score"))
 
 
-def search(stored: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """(rank, id, type, text, score, mode) of one question over chunks(id, text, metadata): hybrid, or dense where no chunk holds
-    a word of it."""
-    q = stored.sparkSession.range(1).select(F.lit(0).alias("q"), F.lit(query).alias("text"))
-    found = hybrid(stored, q, k).join(stored.select("id", F.col("metadata")["type"].alias("type"), "text"), "id")
-    words = F.array_distinct(X.tokens(F.lit(query)))
-    mode = stored.agg(F.max(F.arrays_overlap(X.tokens("text"), words)).alias("hit")).select(F.when(F.col("hit"), "hybrid").otherwise("dense").alias("mode"))  # one row
-    return found.crossJoin(F.broadcast(mode)).select("rank", "id", "type", "text", "score", "mode").orderBy("rank")
+def search(ix: dict[str, DataFrame], query: str, k: int = 5) -> DataFrame:
+    """(rank, id, type, text, score, mode) of one question over a stored index: hybrid, or dense where no chunk holds a word of
+    it. Only postings of the question's terms are read."""
+    spark = ix["texts"].sparkSession
+    q = spark.range(1).select(F.lit(0).alias("q"), F.lit(query).alias("text"))
+    found = hybrid_stored(ix, q, k)
+    texts = ix["texts"].join(F.broadcast(found.select("id")), "id", "left_semi")  # k rows
+    mode = asked_of(ix, asked_terms(q)).agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") > 0, "hybrid").otherwise("dense").alias("mode"))  # one row
+    rows = found.join(texts.select("id", F.col("metadata")["type"].alias("type"), "text"), "id")
+    return rows.crossJoin(F.broadcast(mode)).select("rank", "id", "type", "text", "score", "mode").orderBy("rank")
 
 
 #: Embedders by name: frame, key, text -> (id, bucket, weight). Others may be added.
 EMBEDDERS = {"hash": hashed}
 
-
-def store(df: DataFrame, folder: str, backend: str = "hash", key: str = "id", text: str = "text") -> None:
-    """Write the index of a corpus as tables: vectors, postings, lengths, idf and the backend's name."""
-    ix = index(df, key, text)
-    for name, part in {"vectors": EMBEDDERS[backend](df, key, text), **ix}.items():
-        part.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-    df.sparkSession.range(1).select(F.lit(backend).alias("backend"), F.lit(DIM).alias("dim")).write.mode("overwrite").json(f"{folder}/meta")
+# Buckets of terms, documents in a shard on average, postings in a block, and files of a bucket at most.
+BUCKETS, SHARD, RUN, SPLIT = 64, 8192, 64, 16
+
+
+def store(df: DataFrame, folder: str, backend: str = "hash", key: str = "id", text: str = "text", buckets: int = BUCKETS, shard: int = SHARD) -> None:
+    """Write the index of a corpus: postings and terms in folders by the term's hash, sorted by term; vectors; texts; and one row
+    of what the whole corpus has.
+
+    A posting row is a (term, shard): ids in order, what each multiplies the idf with, and the largest of every RUN of them. Shards
+    are hashes of ids, so no term gathers more than about `shard` postings in a row.
+    """
+    spark = df.sparkSession
+    ids = df.select(F.col(key).alias("id"), X.tokens(text).alias("t"))
+    whole = ids.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("mean")).first()
+    shards = max(1, -(-whole.N // shard))
+    toks = ids.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(whole.mean or 1))))
+    rows = toks.select("term", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.struct("id", part.alias("part")).alias("p"))
+    rows = rows.groupBy("term", "shard").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / RUN).cast("int")), lambda i: F.array_max(F.transform(F.slice("p", i * RUN + 1, RUN), lambda x: x["part"])))
+    rows = rows.select(_bucket("term", buckets).alias("bucket"), "term", "shard", F.col("p.id").alias("ids"), F.col("p.part").alias("parts"), runs.alias("tops"))
+    rows = rows.repartition("bucket", F.pmod("shard", F.lit(SPLIT))).sortWithinPartitions("bucket", "term", "shard")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings.parquet")
+    kept = spark.read.schema(rows.schema).parquet(f"{folder}/postings.parquet")
+    df_ = kept.groupBy("bucket", "term").agg(F.sum(F.size("ids")).alias("df"))
+    idf = F.log(1 + (F.lit(float(whole.N)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms_ = df_.withColumn("idf", idf)
+    terms_.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms.parquet")
+    v = EMBEDDERS[backend](df, key, text).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("v"))  # DIM entries at most
+    vectors = v.select("id", F.col("v.bucket").alias("bucket"), F.col("v.weight").alias("weight"))
+    vectors.write.mode("overwrite").parquet(f"{folder}/vectors.parquet")
+    extra = [F.col("metadata")] if "metadata" in df.columns else [F.lit(None).cast("map<string,string>").alias("metadata")]
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *extra)
+    texts.write.mode("overwrite").parquet(f"{folder}/texts.parquet")
+    schemas = F.create_map(*[F.lit(v) for name, part in (("postings", rows), ("terms", terms_), ("vectors", vectors), ("texts", texts)) for v in (name, part.schema.json())])
+    spark.range(1).select(F.lit(backend).alias("backend"), F.lit(DIM).alias("dim"), F.lit(buckets).alias("buckets"), F.lit(whole.N).cast("long").alias("N"), F.lit(float(whole.mean or 0)).alias("mean"), schemas.alias("schemas")).write.mode("overwrite").json(f"{folder}/meta")
+
+
+def _bucket(term, buckets: int):
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def load(spark, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in ("vectors", "postings", "lengths", "idf")}
+    meta = spark.read.schema("backend string,dim int,buckets int,N long,mean double,schemas map<string,string>").json(f"{folder}/meta")
+    known = meta.first().schemas
+    ix = {name: spark.read.schema(T.StructType.fromJson(json.loads(known[name]))).parquet(f"{folder}/{name}.parquet") for name in known}
+    return ix | {"meta": meta}
+
+
+def asked_of(ix: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """asked(q, term) with idf, for terms that the index has. Folders of other buckets aren't read: which are asked for is a set
+    of at most `buckets` numbers."""
+    n = ix["meta"].first().buckets
+    a = asked.withColumn("bucket", _bucket("term", n))
+    some = sorted(r.bucket for r in a.select("bucket").distinct().collect())
+    return a.join(ix["terms"].filter(F.col("bucket").isin(some)), ["bucket", "term"]).select("q", "bucket", "term", "idf")
+
+
+def pruned(ix: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """Posting rows of asked(bucket, term): only their folders are listed and read, and in them only row groups whose terms may
+    be among those asked for."""
+    some = sorted(r.bucket for r in asked.select("bucket").distinct().collect())
+    return ix["postings"].filter(F.col("bucket").isin(some))
+
+
+def sparse_stored(ix: dict[str, DataFrame], queries: DataFrame, depth: int, block: int = 512, trace: bool = False) -> DataFrame:
+    """(q, id, score): the `depth` best of each question in every shard by BM25, and what ties with them; the caller ranks. Each
+    shard meets a block of questions and skips the posting blocks whose maxima are too low. trace: (q, opened, postings) instead."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from collections import Counter
+
+    from ..sources.scratch import keep
+    from .blockmax import best
+
+    spark = queries.sparkSession
+    asked = keep(spark, asked_of(ix, asked_terms(queries)), "asked")
+    blocks = max(1, -(-asked.agg(F.count_distinct("q")).first()[0] // block))
+    groups = asked.groupBy("bucket", "term", "idf", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")).agg(F.collect_list("q").alias("qs"))
+    q_kind, id_kind = queries.schema["q"].dataType.simpleString(), ix["vectors"].schema["id"].dataType.simpleString()
+
+    def shard(rows: pa.Table) -> pa.Table:
+        ids = rows.column("ids").combine_chunks()
+        names = pc.unique(ids.flatten())
+        names = names.take(pc.sort_indices(names))
+        place = pc.index_in(ids.flatten(), names).to_numpy().astype(np.int64)
+        ends = np.cumsum(pc.list_value_length(ids).to_numpy())
+        parts = rows.column("parts").combine_chunks().flatten().to_numpy()
+        tops = rows.column("tops").combine_chunks()
+        tops_ends, tops = np.cumsum(pc.list_value_length(tops).to_numpy()), tops.flatten().to_numpy()
+        idf = rows.column("idf").to_numpy()
+        lists, of = [], {}
+        for i, (e, te) in enumerate(zip(ends, tops_ends, strict=True)):
+            s, ts = (ends[i - 1], tops_ends[i - 1]) if i else (0, 0)
+            stops = np.minimum(np.arange(RUN, RUN * (te - ts) + 1, RUN), e - s)
+            lists.append((place[s:e], parts[s:e] * idf[i], stops, tops[ts:te] * idf[i]))
+        for i, qs in enumerate(rows.column("qs").to_pylist()):
+            for q in qs:
+                of.setdefault(q, []).append(i)
+        out = {"q": [], "id": [], "score": [], "opened": [], "postings": []}
+        for q, at in of.items():
+            seen = Counter()
+            found, scores = best([lists[i] for i in at], depth, 2e-9, seen)
+            if trace:
+                for c, v in (("q", q), ("id", None), ("score", None), ("opened", seen["opened"]), ("postings", seen["postings"])):
+                    out[c].append(v)
+                continue
+            out["q"] += [q] * len(found)
+            out["id"] += names.take(pa.array(found, pa.int64())).to_pylist()
+            out["score"] += scores.tolist()
+            for c in ("opened", "postings"):
+                out[c] += [0] * len(found)
+        kinds = {"q": rows.schema.field("qs").type.value_type, "id": names.type, "score": pa.float64(), "opened": pa.int64(), "postings": pa.int64()}
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    rows = pruned(ix, asked).join(groups, ["bucket", "term"]).select("shard", "block", "ids", "parts", "tops", "idf", "qs")
+    got = rows.groupBy("shard", "block").applyInArrow(shard, f"q {q_kind}, id {id_kind}, score double, opened bigint, postings bigint")
+    return got.groupBy("q").agg(F.sum("opened").alias("opened"), F.sum("postings").alias("postings")) if trace else got.select("q", "id", "score")
+
+
+def hybrid_stored(ix: dict[str, DataFrame], queries: DataFrame, k: int = 5) -> DataFrame:
+    """(q, id, rank, rrf, score) as `hybrid` gives it, from a stored index."""
+    from ..functions.python import best_by_hash
+
+    asked = hashed(queries, "q", "text")
+    d = ranked(best_by_hash(ix["vectors"], asked, DEPTH, DIM, stored=True), DEPTH)
+    fused = fuse([d, ranked(sparse_stored(ix, queries, DEPTH), DEPTH)], k)
+    few = fused.join(ix["vectors"], "id").join(asked.groupBy(F.col("id").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("weight").alias("w")))).alias("m")), "q")
+    dot = F.aggregate(F.zip_with("bucket", "weight", lambda b, w: w * F.coalesce(F.try_element_at("m", b), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    return few.select("q", "id", "rank", "rrf", F.round(dot, 4).alias("score"))
 
 
 def keyword(df: DataFrame, words: str, n: int, text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as R
+from ..sources.scratch import new_path
 from .ledger import read
 from .registry import query
 
@@ -69,16 +70,28 @@ def dense_topk(spark, sf_dir):
     return R.nearest(e, first.vector, 10).select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {BM25}, {HASH}, u AS (SELECT item_id AS id, unnest({TOKENS}) AS term FROM benchmark), uh AS (SELECT id, ('0x' || right(md5(term), 3))::INT % 512 AS bucket, count(*) AS n FROM u GROUP BY 1, 2), un AS (SELECT id, sqrt(sum(n * n)) AS norm FROM uh GROUP BY 1),
+HYBRID = f"""WITH {BM25}, {HASH}, u AS (SELECT item_id AS id, unnest({TOKENS}) AS term FROM benchmark), uh AS (SELECT id, ('0x' || right(md5(term), 3))::INT % 512 AS bucket, count(*) AS n FROM u GROUP BY 1, 2), un AS (SELECT id, sqrt(sum(n * n)) AS norm FROM uh GROUP BY 1),
 d AS (SELECT uh.id AS q, hv.id, sum(hv.weight * uh.n / norm) AS score FROM uh JOIN un USING (id) JOIN hv USING (bucket) GROUP BY 1, 2), dr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM d),
 v AS (SELECT q, id, sum(1 / (60 + rank)) AS rrf FROM (SELECT q, id, rank FROM dr WHERE rank < 200 UNION ALL SELECT q, id, rank FROM sparse WHERE rank < 200) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(rrf, 9) DESC, id) - 1 AS rank FROM v)
-SELECT q, r.id, r.rank::INT AS rank, round(rrf, 6) AS rrf, round(coalesce(d.score, 0), 4) AS score FROM r LEFT JOIN d USING (q, id) WHERE r.rank < 5""")
+SELECT q, r.id, r.rank::INT AS rank, round(rrf, 6) AS rrf, round(coalesce(d.score, 0), 4) AS score FROM r LEFT JOIN d USING (q, id) WHERE r.rank < 5"""
+
+
+@query(HYBRID)
 def rrf_hybrid(spark, sf_dir):
     docs, questions = _corpus(spark, sf_dir)
     return R.hybrid(docs, questions).select("q", "id", "rank", F.round("rrf", 6).alias("rrf"), "score")
 
 
+@query(HYBRID)
+def stored_hybrid(spark, sf_dir):
+    """The same questions asked of a stored index: only the asked terms' folders are read, and low posting blocks are skipped."""
+    docs, questions = _corpus(spark, sf_dir)
+    folder = new_path(spark, "index")
+    R.store(docs, folder)
+    return R.hybrid_stored(R.load(spark, folder), questions).select("q", "id", "rank", F.round("rrf", 6).alias("rrf"), "score")
+
+
 @query()
 def chunk_split(spark, sf_dir):
     docs, _ = _corpus(spark, sf_dir)
