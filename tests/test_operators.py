@@ -35,8 +35,9 @@ def test_strong_keys(spark):
 
 
 def test_matching_weights_and_survivor(spark):
-    w = entities.match_weights([(0, 0, 100000), (2, 2, 50), (2, 0, 40), (0, 2, 30), (1, 1, 10)])
-    assert w[(2, 2)] > 0.9 > w[(0, 0)] and entities.match_weights([]) == {}
+    u = {"name_level": [0.99, 0.005, 0.005], "work_level": [0.95, 0.04, 0.01]}
+    w = entities.weights({"name_level": [0.05, 0.15, 0.8], "work_level": [0.1, 0.2, 0.7]}, u)
+    assert w[(2, 2)] > 0.6 > w[(0, 2)] > w[(0, 0)] and entities.trained([0, 0, 0], u["name_level"], (0.1, 0.2, 0.7)) == [0.1, 0.2, 0.7]
     pairs = spark.createDataFrame([(1, 2)], "a int, b int")
     ranks = spark.createDataFrame([(1, 5), (2, 9)], "id int, rank int")
     assert rows(entities.survivor(pairs, ranks)) == [(2, 1)]

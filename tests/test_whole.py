@@ -1,9 +1,7 @@
 """Queries over all rows of their tables, held against plain versions."""
 
-from collections import Counter
 from itertools import combinations
 
-from tindra.functions.python import jaro_winkler
 from tindra.operators import entities, ledger, spine
 from tindra.plans import registry
 from tindra.sources import tables
@@ -29,11 +27,6 @@ def test_all_parts_are_resolved(spark, sf_dir):
     shared = {(a, b): len(works.get(a, set()) & works.get(b, set())) for a, b in combinations(sorted(name), 2)}
     pairs = [p for p in shared if name[p[0]][:4] == name[p[1]][:4] or shared[p] >= 2]
     assert rows(run(spark, sf_dir, "er_block_candidates"), "a", "b") == sorted(pairs, key=str)
-    jw = {p: jaro_winkler(name[p[0]], name[p[1]]) for p in pairs}
-    level = {p: (2 if jw[p] >= 0.92 else 1 if jw[p] >= 0.85 else 0, min(shared[p], 2)) for p in pairs}
-    weights = entities.match_weights(sorted((*k, n) for k, n in Counter(level.values()).items()))
-    want = [(*p, round(weights[level[p]], 4), shared[p]) for p in pairs if round(weights[level[p]], 4) >= 0.8]
-    assert rows(run(spark, sf_dir, "er_dedupe_scored"), "a", "b", "score", "shared") == sorted(want, key=str)
 
 
 def test_by_name(spark):

@@ -3,12 +3,14 @@ without a decision; candidates are rows for people to judge."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.python import jaro_winkler_similarity
+from ..sources.scratch import keep
+from .components import connected
+from .pairs import MOST, sampled, within
 
 # The shortest text that containment may match, and the window of years around a production.
 LEAST, BEFORE, AFTER = 5, 9, 1
@@ -18,14 +20,16 @@ GRAM = 5
 
 def redirects(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(src, dst) closed under following; a cycle stops before it comes round."""
-    edges.select("src", "dst").createOrReplaceTempView("_redirects")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE walk(src, dst, seen) AS (
-          SELECT src, dst, array(src, dst) FROM _redirects
+          SELECT src, dst, array(src, dst) FROM {r}
           UNION ALL
-          SELECT w.src, r.dst, concat(w.seen, array(r.dst)) FROM walk w JOIN _redirects r ON w.dst = r.src
+          SELECT w.src, r.dst, concat(w.seen, array(r.dst)) FROM walk w JOIN {r} r ON w.dst = r.src
           WHERE NOT array_contains(w.seen, r.dst))
-        SELECT src, max_by(dst, size(seen)) AS dst FROM walk GROUP BY src""")
+        SELECT src, max_by(dst, size(seen)) AS dst FROM walk GROUP BY src""",
+        r=edges.select("src", "dst"),
+    )
 
 
 def apply_redirects(df: DataFrame, column: str, closed: DataFrame) -> DataFrame:
@@ -38,20 +42,28 @@ def grams(x, n: int = GRAM):
     return F.when(F.length(x) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - n + 1), lambda i: F.substring(X.c(x), i, n))))
 
 
+def rarest(df: DataFrame, text: str, seen: DataFrame, size: int = GRAM) -> DataFrame:
+    """df with g, the n-gram of its text that seen(g, df) counts least, ties to the smaller one; a text with an n-gram that isn't
+    seen is left out. Distinct texts only choose, so copies cost nothing."""
+    g = df.select(F.col(text).alias("_t")).distinct().select("_t", F.explode(grams("_t", size)).alias("g"))
+    best = g.join(seen, "g", "left").groupBy("_t").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("b"))
+    return df.join(best.filter("b.df > 0").select(F.col("_t"), F.col("b.g").alias("g")), F.col(text) == F.col("_t")).drop("_t")
+
+
 def containment(left: DataFrame, right: DataFrame, least: int = LEAST) -> DataFrame:
     """(l, r, exact) for left(l, ln) and right(r, rn) norms: equal, or one within the other when the shorter has `least`
     characters or more.
 
-    No nested loop: a text that holds another holds its first n-gram, so the shorter side sends its first n-gram and the
-    longer side all of its own, and the pairs that meet are checked. n is GRAM, or `least` where that is less. Equal norms come
-    from an equi-join of their own.
+    No nested loop: a text that holds another holds all of its n-grams, so the shorter side sends the one that fewest of the
+    longer texts have, the longer side all of its own, and the pairs that meet are checked. An n-gram that no longer text has
+    settles the matter. n is GRAM, or `least` where that is less. Equal norms come from an equi-join of their own.
     """
     size = min(least, GRAM)
     equal = left.join(right, F.col("ln") == F.col("rn")).select("l", "r", F.lit(True).alias("exact"))
 
     def within(short, sn, long, ln):
-        s = short.filter(F.length(sn) >= least).withColumn("g", F.substring(sn, 1, size))
         t = long.withColumn("g", F.explode(grams(ln, size)))
+        s = rarest(short.filter(F.length(sn) >= least), sn, t.groupBy("g").agg(F.count(F.lit(1)).alias("df")), size)
         return s.join(t, "g").filter(F.col(ln).contains(F.col(sn)) & (F.col(ln) != F.col(sn)))
 
     a = within(left, "ln", right, "rn").select("l", "r")
@@ -117,13 +129,20 @@ def by_name(entities: DataFrame, works: DataFrame) -> tuple[DataFrame, DataFrame
     return first.select(F.col("entity").alias("id"), "name_fold"), works.join(members, "id").select(F.col("entity").alias("id"), "work").distinct(), members
 
 
-def block(entities: DataFrame, works: DataFrame, most_works: int = 2) -> DataFrame:
-    """Candidate pairs (a < b): the same first four folded characters, or two common works or more."""
-    e = entities.select(F.col("id"), F.substring("name_fold", 1, 4).alias("p"))
-    by_prefix = e.select(F.col("id").alias("a"), "p").join(e.select(F.col("id").alias("b"), "p"), "p").filter("a < b").select("a", "b")
-    w = works.distinct()
-    shared = w.select(F.col("id").alias("a"), "work").join(w.select(F.col("id").alias("b"), "work"), "work").filter("a < b").groupBy("a", "b").count().filter(F.col("count") >= most_works)
-    return by_prefix.unionByName(shared.select("a", "b")).distinct()
+def by_prefix(entities: DataFrame, most: int = MOST, n: int = 4) -> DataFrame:
+    """Pairs (a < b) with the same first n folded characters."""
+    return within(entities.select("id", F.substring("name_fold", 1, n).alias("p")), "p", "id", most).select("a", "b")
+
+
+def by_works(works: DataFrame, least: int = 2, most: int = MOST) -> DataFrame:
+    """Pairs (a < b) with `least` common works or more."""
+    return within(works, "work", "id", most).groupBy("a", "b").count().filter(F.col("count") >= least).select("a", "b")
+
+
+def block(entities: DataFrame, works: DataFrame, most_works: int = 2, most: int = MOST) -> DataFrame:
+    """Candidate pairs (a < b): the same first four folded characters, or two common works or more. Large groups of either are
+    cut into blocks of `most`."""
+    return by_prefix(entities, most).unionByName(by_works(works, most_works, most)).distinct()
 
 
 def without_decided(pairs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -132,40 +151,100 @@ def without_decided(pairs: DataFrame, decided: DataFrame) -> DataFrame:
     return pairs.join(d, ["a", "b"], "left_anti")
 
 
-def compare(pairs: DataFrame, entities: DataFrame, works: DataFrame) -> DataFrame:
-    """Agreement levels of each pair: names (2: 0.92 or more, 1: 0.85 or more) and works (2: two or more, 1: one)."""
-    left, right = (entities.select(F.col("id").alias(k), F.col("name_fold").alias(f"f{k}")) for k in "ab")
+LETTERS = 32
+
+
+def letters(name) -> Column:
+    """How many characters of a name fall into each of LETTERS classes of code points."""
+    code = F.transform(F.filter(F.split(X.c(name), ""), lambda ch: ch != ""), lambda ch: F.ascii(ch) % LETTERS)
+    return F.transform(F.sequence(F.lit(0), F.lit(LETTERS - 1)), lambda i: F.size(F.filter(code, lambda k: k == i)))
+
+
+def jaro_winkler_bound(a, b, la, lb) -> Column:
+    """At least the Jaro-Winkler similarity of names a and b with letters la and lb, by JVM expressions only: no more characters can
+    match than both have of a class, and no matches can be in better order than in order."""
+    a, b = X.c(a), X.c(b)
+    m = F.aggregate(F.zip_with(X.c(la), X.c(lb), lambda x, y: F.least(x, y)), F.lit(0), lambda s, v: s + v)
+    j = F.when(m > 0, (m / F.length(a) + m / F.length(b) + 1) / 3).otherwise(0.0)
+    same = F.lit(0)
+    for k in range(4, 0, -1):
+        hit = (F.length(a) >= k) & (F.length(b) >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k))
+        same = F.when(hit, k).otherwise(same) if k == 4 else F.when((same == 0) & hit, k).otherwise(same)
+    return F.when(a == b, 1.0).otherwise(F.when(j > 0.7, j + 0.1 * same * (1 - j)).otherwise(j)) + 1e-9
+
+
+def compare(pairs: DataFrame, entities: DataFrame, works: DataFrame, exact: bool = True) -> DataFrame:
+    """Agreement levels of each pair: names (2: 0.92 or more, 1: 0.85 or more) and works (2: two or more, 1: one). Without
+    exact, pairs whose bound is below 0.85 have a null jw and the level 0, and don't go to Python."""
+    named = entities.select("id", "name_fold") if exact else entities.select("id", "name_fold", letters("name_fold").alias("l"))
+    left, right = (named.select(*[F.col(c).alias(f"{c[0]}{k}") for c in named.columns]).withColumnRenamed(f"i{k}", k) for k in "ab")
     w = works.distinct()
     shared = pairs.join(w.withColumnRenamed("id", "a"), "a").join(w.withColumnRenamed("id", "b"), ["b", "work"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     rows = pairs.join(left, "a").join(right, "b").join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    rows = rows.withColumn("jw", jaro_winkler_similarity("fa", "fb"))
+    if exact:
+        rows = rows.withColumn("jw", jaro_winkler_similarity("na", "nb"))
+    else:
+        rows = rows.withColumn("likely", jaro_winkler_bound("na", "nb", "la", "lb") >= 0.85)
+        sure = rows.filter(~F.coalesce("likely", F.lit(True))).withColumn("jw", F.lit(None).cast("double"))
+        rows = rows.filter(F.coalesce("likely", F.lit(True))).withColumn("jw", jaro_winkler_similarity("na", "nb")).unionByName(sure)
     return rows.select("a", "b", "jw", "shared", F.when(F.col("jw") >= 0.92, 2).when(F.col("jw") >= 0.85, 1).otherwise(0).alias("name_level"), F.least(F.col("shared"), F.lit(2)).cast("int").alias("work_level"))
 
 
-def match_weights(patterns: list[tuple[int, int, int]], prior: float = 2e-4, rounds: int = 25) -> dict[tuple[int, int], float]:
-    """Fellegi-Sunter by EM over the counts of agreement patterns (name level, work level, pairs): nine rows at most.
-    Returns each pattern's probability of a match."""
-    if not patterns:
-        return {}
-    lev, n = np.array([p[:2] for p in patterns]), np.array([p[2] for p in patterns], float)
-    m = np.array([[0.05, 0.15, 0.8], [0.3, 0.3, 0.4]])
-    u = np.stack([np.bincount(lev[:, k], n, 3) + 1 for k in range(2)]) / (n.sum() + 3)
-    lam = prior
-    for _ in range(rounds):
-        like_m, like_u = (np.prod([t[k, lev[:, k]] for k in range(2)], axis=0) for t in (m, u))
-        p = lam * like_m / (lam * like_m + (1 - lam) * like_u)
-        lam = min(max((n * p).sum() / n.sum(), 1e-9), 0.5)
-        m = np.stack([np.bincount(lev[:, k], n * p, 3) + 1e-3 for k in range(2)]) / ((n * p).sum() + 3e-3)
-    return {tuple(map(int, k)): float(v) for k, v in zip(lev, p, strict=True)}
-
-
-def dedupe(pairs: DataFrame, entities: DataFrame, works: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(a, b, score, shared): candidates over the threshold."""
-    levels = compare(pairs, entities, works)
-    counts = [(r.name_level, r.work_level, r.n) for r in levels.groupBy("name_level", "work_level").agg(F.count(F.lit(1)).alias("n")).collect()]  # 9 rows at most
-    weights = match_weights(sorted(counts))
-    score = F.coalesce(*[F.when((F.col("name_level") == a) & (F.col("work_level") == b), F.lit(round(p, 4))) for (a, b), p in weights.items()], F.lit(0.0)) if weights else F.lit(0.0)
-    return levels.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score", "shared").orderBy(F.desc("score"), "a", "b")
+# The prior of a match, the least score of a candidate, rounds of EM, and the first guesses of how often matches
+# reach each level of agreement (none, some, full) in names and in works.
+PRIOR, THRESHOLD, ROUNDS = 2e-4, 0.8, 25
+FIRST = {"name_level": (0.05, 0.15, 0.8), "work_level": (0.3, 0.3, 0.4)}
+
+
+def level_counts(levels: DataFrame, column: str) -> list[int]:
+    n = {r[0]: r[1] for r in levels.groupBy(column).agg(F.count(F.lit(1))).collect()}  # three rows at most
+    return [n.get(k, 0) for k in range(3)]
+
+
+def chance(counts: list[int]) -> list[float]:
+    """u: how often pairs at random reach each level."""
+    return [(n + 1) / (sum(counts) + 3) for n in counts]
+
+
+def trained(counts: list[int], u: list[float], first: tuple[float, ...], prior: float = PRIOR, rounds: int = ROUNDS) -> list[float]:
+    """m of one comparison: how often matches reach each level, by EM over the level counts of a rule's pairs, u held."""
+    m, lam, total = list(first), prior, sum(counts)
+    for _ in range(rounds if total else 0):
+        p = [lam * a / (lam * a + (1 - lam) * b) for a, b in zip(m, u, strict=True)]
+        found = sum(n * q for n, q in zip(counts, p, strict=True))
+        lam = min(max(found / total, 1e-9), 0.5)
+        m = [(n * q + 1e-3) / (found + 3e-3) for n, q in zip(counts, p, strict=True)]
+    return m
+
+
+def weights(m: dict[str, list[float]], u: dict[str, list[float]], prior: float = PRIOR) -> dict[tuple[int, int], float]:
+    """The probability of a match of each pair of levels (name, works)."""
+    out = {}
+    for a in range(3):
+        for b in range(3):
+            yes = prior * m["name_level"][a] * m["work_level"][b]
+            out[a, b] = yes / (yes + (1 - prior) * u["name_level"][a] * u["work_level"][b])
+    return out
+
+
+def dedupe(entities: DataFrame, works: DataFrame, threshold: float = THRESHOLD, sample: int = 1_000_000, most: int = MOST) -> DataFrame:
+    """(a, b, score, shared, cluster): candidate pairs at or over the threshold, and the smallest id of those they connect.
+
+    u comes from random pairs of all entities. m of each comparison comes from the pairs of the blocking rule that doesn't look at
+    it: the works' from pairs of one name prefix, the names' from pairs with common works. Scores are rounded to four places.
+    """
+    spark = entities.sparkSession
+    at_random = compare(sampled(entities, "id", sample), entities, works, exact=False)
+    u = {c: chance(level_counts(at_random, c)) for c in FIRST}
+    prefix, common = keep(spark, by_prefix(entities, most), "prefix"), keep(spark, by_works(works, most=most), "common")
+    levels = keep(spark, compare(prefix.unionByName(common).distinct(), entities, works, exact=False), "levels")
+    m = {
+        "work_level": trained(level_counts(levels.join(prefix, ["a", "b"], "left_semi"), "work_level"), u["work_level"], FIRST["work_level"]),
+        "name_level": trained(level_counts(levels.filter("work_level = 2"), "name_level"), u["name_level"], FIRST["name_level"]),
+    }
+    score = F.coalesce(*[F.when((F.col("name_level") == a) & (F.col("work_level") == b), F.lit(round(p, 4))) for (a, b), p in weights(m, u).items()])
+    found = keep(spark, levels.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score", "shared"), "found")
+    return found.join(connected(found.select("a", "b")).select(F.col("id").alias("a"), F.col("component").alias("cluster")), "a")
 
 
 def survivor(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
