@@ -62,6 +62,15 @@ def test_repeated_ids_keep_their_lines(spark):
     assert got == [(1, "Aaaa."), (1, "Cccc."), (None, "Dddd.")]
 
 
+def test_guard_knows_functions(spark):
+    t = {"title": spark.createDataFrame([(1, "a", 2.5)], "id int, name string, x double")}
+    for good in ("select upper(name) as n, sum(x) over (partition by id) as s from title", "select case when x between 1 and 3 then round(x) else 0 end as y from title where name like 'a%' and id in (1, 2)", "select count(distinct id) as n, cast(avg(x) as int) as a from title group by name having count(*) > 0 order by 1", "with a as (select explode(split(name, ',')) as w from title) select w, count(*) as n from a group by w", "select id || name as k, x + 1 as y, not (id = 2) as z, name is null as q from title"):
+        assert api.run_sql(spark, t, good).count() == 1
+    for bad in ("select java_method('java.lang.System', 'getProperty', 'user.home') from title", "select reflect('java.lang.System', 'exit', 0) from title", "select id from title where x > (select max(length(java_method('a', 'b'))) from title)", "select try_reflect('a', 'b') from title", "select input_file_name() from title", "select id from title order by java_method('java.lang.System', 'nanoTime')", "select current_user() from title", "select sum(id) over (order by reflect('a', 'b')) from title", "select * from range(3)", "select * from title, lateral (select reflect('a', 'b') as x)", "select id, max(x) from title group by id having reflect('a', 'b') = 'x'", "select * from title lateral view explode(array(reflect('a', 'b'))) t as v", "select transform(array(1), v -> reflect('a', 'b')) from title", "select spark_catalog.default.f(id) from title", "select secret('x') from title"):
+        with pytest.raises(api.NotReadOnly):
+            api.run_sql(spark, t, bad)
+
+
 def test_guard_looks_inside(spark):
     t = {"title": spark.range(3)}
     assert api.run_sql(spark, t, "select * from title where id in (select max(id) from title)").first().id == 2

@@ -112,6 +112,22 @@ def strong_key_upsert(records: DataFrame) -> DataFrame:
     return with_norm.join(by_key, "key", "left").select("ord", F.coalesce("key_first", "norm_first").alias("entity"))
 
 
+def strong_key_components(records: DataFrame) -> DataFrame:
+    """records(key, norm, ord) -> (ord, entity, key): records that a chain of equal keys and equal norms connects are one entity, its
+    number their smallest ord, and its key that of its first record with one.
+
+    Where strong_key_upsert lets a name that was only seen beside a known key make an entity of its own, here every such name
+    leads to that key's entity. Keys and norms are the nodes of a graph whose edges are the records that have both; a hot key
+    or norm is one node with many edges, which the components' rounds aggregate partially.
+    """
+    k, n = F.concat(F.lit("k:"), F.col("key").cast("string")), F.concat(F.lit("n:"), "norm")
+    node = keep(records.sparkSession, records.select("ord", F.col("key").cast("string").alias("key"), n.alias("n"), F.coalesce(n, k, F.concat(F.lit("o:"), F.col("ord").cast("string"))).alias("node"), k.alias("k")), "records")
+    parts = connected(node.select("n", "k").distinct())
+    at = node.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = at.groupBy("component").agg(F.min("ord").alias("entity"), F.min_by("key", F.when(F.col("key").isNotNull(), F.col("ord"))).alias("first_key"))
+    return at.join(first, "component").select("ord", "entity", F.col("first_key").alias("key"))
+
+
 def pick_unused(candidates: DataFrame) -> DataFrame:
     """candidates(id, other, score): each takes its best, and a target goes to its best taker; the rest wait for review."""
     mine = Window.partitionBy("id").orderBy(F.desc("score"), "other")

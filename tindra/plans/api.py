@@ -164,6 +164,23 @@ class NotReadOnly(ValueError):
     pass
 
 
+# Functions that an ad-hoc query may call. Functions that run code, read files, ask the session or wait aren't among
+# them, nor is any that Spark may get later.
+ALLOWED = set("""
+abs acos array array_contains array_distinct array_join array_max array_min array_position array_size array_sort array_union arrays_overlap
+asin atan avg bool_and bool_or bround cast ceil ceiling char_length coalesce collect_list collect_set concat concat_ws contains cos count
+count_if cume_dist current_date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dayofweek dayofyear dense_rank
+element_at endswith every exists exp explode explode_outer first first_value flatten floor format_number format_string from_json get
+get_json_object greatest hour if ifnull in initcap instr isnotnull isnull lag last last_value lcase lead least left length like ln locate log
+log10 log2 lower lpad ltrim make_date map map_keys map_values max max_by mean median md5 min min_by minute mod month nth_value ntile nullif
+nvl nvl2 percent_rank percentile percentile_approx position posexplode pow power quarter rank regexp_count regexp_extract
+regexp_extract_all regexp_like regexp_replace replace reverse right rlike round row_number rpad rtrim second sha2 sign sin size slice some
+sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp string struct substr substring sum tan to_date to_json
+to_timestamp transform translate trim try_cast try_divide try_element_at ucase upper var_pop var_samp variance weekofyear width_bucket
+year and or not when between bigint int integer smallint tinyint double float decimal date timestamp boolean array_agg string_agg listagg
+""".split())
+
+
 def select_only(sql: str) -> str:
     """The statement if it is one that starts as a query; anything else is refused."""
     one = sql.strip().rstrip(";").strip()
@@ -197,11 +214,27 @@ def _insist_on_query(spark: SparkSession, sql: str, known: set[str]) -> None:
                     todo.append(child)
         for e in _subqueries(node):
             todo.append(e)
+        _insist_on_functions(node)
     for parts in asked:
         if len(parts) != 1 or parts[0] not in known | own:
             raise NotReadOnly(f"{'.'.join(parts)} isn't one of the tables")
 
 
+def _insist_on_functions(node) -> None:
+    """Every function that the node's expressions call by name is among those allowed."""
+    todo = [node.expressions().apply(i) for i in range(node.expressions().size())]
+    if node.getClass().getSimpleName() in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases"):
+        raise NotReadOnly("table functions aren't allowed")
+    while todo:
+        e = todo.pop()
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            parts = e.nameParts()
+            name = ".".join(parts.apply(i) for i in range(parts.size())).lower()
+            if name not in ALLOWED:
+                raise NotReadOnly(f"the function {name} isn't allowed")
+        todo += [e.children().apply(i) for i in range(e.children().size())]
+
+
 def _subqueries(node) -> list:
     found, todo = [], [node.expressions().apply(i) for i in range(node.expressions().size())]
     while todo:

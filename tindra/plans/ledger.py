@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ledger as L
+from ..sources import versioned
+from ..sources.scratch import new_path
+from ..streaming import states
 from .registry import query
 
 
@@ -158,3 +161,30 @@ def readiness_score(spark, sf_dir):
 def people_by_titles_pivot(spark, sf_dir):
     o = read(spark, sf_dir, "orders").withColumn("s", F.lower("o_orderstatus")).groupBy(F.col("o_orderpriority").alias("family")).pivot("s", ["f", "o", "p"]).count()
     return o.select("family", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("f", "o", "p")])
+
+
+@query("WITH u AS (SELECT l_partkey AS id, max(l_shipdate)::DATE AS last, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sold FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY 1) SELECT coalesce(p.id, u.id) AS id, CASE WHEN p.id % 10 = 0 THEN 'first' ELSE strftime(u.last, '%Y-%m-%d') END AS claim, coalesce(p.sold, 0) + coalesce(u.sold, 0) AS sold FROM (SELECT p_partkey AS id, 0.0::DOUBLE AS sold FROM part) p LEFT JOIN u USING (id)")
+def versioned_merge(spark, sf_dir):
+    """Claims and sums of lines merged into a table of parts: what is there stays, what is missing is filled, sums grow."""
+    folder = new_path(spark, "parts")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 == 0, "first").alias("claim"), F.lit(0.0).alias("sold"))
+    versioned.create(p, folder, "id")
+    lines = read(spark, sf_dir, "lineitem").filter("l_partkey % 5 = 0").groupBy(F.col("l_partkey").alias("id")).agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("claim"), L.money_sum("l_quantity").alias("sold"))
+    versioned.merge(spark, folder, lines, {"claim": versioned.keep_first, "sold": versioned.add}, insert=False)
+    return versioned.read(spark, folder)
+
+
+@query("SELECT least(user_id, user_id * 7 % 50) AS a, greatest(user_id, user_id * 7 % 50) AS b, arg_max(event_type, event_id) AS decision, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def decision_stream(spark, sf_dir):
+    """Events as review decisions of pairs, in several micro-batches of a stream with state."""
+    folder, name = new_path(spark, "decisions"), "spark.sql.streaming.stateStore.providerClass"
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("x"), (F.col("user_id") * 7 % 50).alias("y"), F.col("event_type").alias("decision"))
+    rows.repartitionByRange(6, "seq").write.parquet(f"{folder}/in")
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(states.DECISIONS).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        states.drain(states.decision_stream(stream), f"{folder}/out", f"{folder}/checkpoint", "update")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return states.last_of(spark, f"{folder}/out")

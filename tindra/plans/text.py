@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import mentions as M
 from ..operators import retrieval as R
 from ..sources.scratch import new_path
 from .ledger import read
@@ -143,3 +144,28 @@ def dialogue_outline(spark, sf_dir):
 def keyword_search(spark, sf_dir):
     d = read(spark, sf_dir, "documents").orderBy("doc_id")
     return R.keyword(d, "Licensed under", 20).select("doc_id")
+
+
+ALIASES = "al AS (SELECT alias, min(ord) AS ord FROM (SELECT p_name AS alias, p_partkey AS ord FROM part UNION ALL SELECT trim(lower(s)), 1000000 + 100 * item_id + k FROM (SELECT item_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) - 1 AS k FROM benchmark)) WHERE alias <> '' GROUP BY alias)"
+
+
+def _aliases(spark, sf_dir):
+    """Names of parts and sentences of benchmark items."""
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("k", "s"))
+    return read(spark, sf_dir, "part").select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("ord")).unionByName(b.select(F.trim(F.lower("s")).alias("alias"), (1000000 + 100 * F.col("item_id") + F.col("k")).alias("ord")))
+
+
+def _lowered(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+
+
+@query(f"WITH {ALIASES}, h AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY length(alias) DESC, ord) AS k FROM documents JOIN al ON contains(lower(text), alias)) SELECT d.doc_id AS id, ord FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id AND k = 1")
+def dictionary_longest(spark, sf_dir):
+    """The longest alias in each whole text, as a substring."""
+    return M.longest(_lowered(spark, sf_dir), _aliases(spark, sf_dir))
+
+
+@query(f"WITH {ALIASES} SELECT doc_id AS id, ord, ((length(lower(text)) - length(replace(lower(text), alias, ''))) // length(alias))::BIGINT AS n FROM documents JOIN al ON contains(lower(text), alias)")
+def dictionary_mentions(spark, sf_dir):
+    """Every alias in each whole text, with its occurrences."""
+    return M.mentions(_lowered(spark, sf_dir), _aliases(spark, sf_dir))
