@@ -1,3 +1,3 @@
 """Registered queries. Importing the package fills the registry."""
 
-from . import columns, entities, graph, ledger, quality, registry, text  # noqa: F401
+from . import base, columns, derived, entities, graph, ledger, quality, registry, text  # noqa: F401
