@@ -75,11 +75,11 @@ COLUMNS = {
     "x2_company_norm": (X.company_norm,
         f"trim(regexp_replace(regexp_replace(lower(coalesce(x, '')), '(^|[^{LET}_])(ehf|slf|sf|hf|ses)($|[^{LET}_])', '\\1 \\3', 'g'), '[^{LET}]+', ' ', 'g'))".replace("coalesce(x, '')", "replace(coalesce(x, ''), ' ', '  ')"), "FIRMS"),
     "x5_clean_entity": (X.clean_entity,
-        "CASE x WHEN '' THEN '' ELSE (SELECT CASE WHEN n = '' OR regexp_matches(n, '(?i)ferðastyrk|ferdastyrk|þátttökustyrk|thatttoku|þátttöku í|vinnusto|vinnusmi|handritasmi|handritavinnusmi|ráðstefn|radstefn|nordisk panorama|flugmið|endurgreidd|styrkur til|styrkut til|\\bynpc\\b|\\d') THEN NULL ELSE n END FROM (SELECT regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\\([^)]*(?:vilyr[ðd]i|skila[ðd])[^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g'), '(?i)(^|\\s)((styrkur|styrkir|vilyrði|vilyrdi)[^0-9a-záéíóúýþæöð]*\\s*)+$', '')), '^[ \\-–/.,]+|[ \\-–/.,]+$', '', 'g') AS n)) END", "LABELLED"),
+        "CASE x WHEN '' THEN '' ELSE (SELECT CASE WHEN n = '' OR regexp_matches(n, '(?i)" + X.DESCRIPTION + "') THEN NULL ELSE n END FROM (SELECT regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(x, '(?i)\\([^)]*(?:vilyr[ðd]i|skila[ðd])[^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g'), '(?i)(^|\\s)((styrkur|styrkir|vilyrði|vilyrdi)[^0-9a-záéíóúýþæöð]*\\s*)+$', '')), '^[ \\-–/.,]+|[ \\-–/.,]+$', '', 'g') AS n)) END", "LABELLED"),
     "x6_clean_title": (lambda x: F.concat_ws("|", X.clean_title(x)["title"], F.array_join(X.clean_title(x)["former"], "/")),
         f"regexp_replace(CASE WHEN regexp_matches(trim(coalesce(x, '')), '{FORMER}') THEN trim(regexp_extract(trim(x), '{FORMER}', 1)) ELSE trim(coalesce(x, '')) END, '^[ \\-–—]+|[ \\-–—]+$', '', 'g') || '|' || CASE WHEN regexp_matches(trim(coalesce(x, '')), '{FORMER}') AND length(trim(regexp_extract(trim(x), '{FORMER}', 2))) > 1 THEN trim(regexp_extract(trim(x), '{FORMER}', 2)) ELSE '' END", "TITLES"),
     "x7_support": (X.is_support,
-        "length(coalesce(x, '')) > 45 AND regexp_matches(lower(coalesce(x, '')), 'ferðastyrk|þátttak|styrkur til |vinnustof|vinnusmið|ferð og þátttök| lab\\b|workshop|festival|kvikmyndahát|frumsýning|sýningarstyrk|green producers|kolefni|óskarsverðlaun|starfsemi|þáttt[:.]|\\behf\\.|\\bohf\\.|\\bslf\\.|\\bses\\b')", "SUPPORT"),
+        "length(coalesce(x, '')) > 45 AND regexp_matches(lower(coalesce(x, '')), '" + X.SUPPORT + "')", "SUPPORT"),
     "x8_people": (lambda x: listed(X.people(x)),
         "array_to_string(list_filter(list_transform(string_split_regex(coalesce(x, ''), '\\s*[,/&]\\s*|\\s+og\\s+'), lambda v: trim(v)), lambda n: n <> '' AND NOT contains(lower(n), 'vilyrði')), '|')", "PEOPLE"),
     "x9_dossier_names": (lambda x: listed(X.dossier_names(x)),
