@@ -156,17 +156,16 @@ def _best(rows, at, depth: int, dim: int, vectors, q_kind: str):
     return rows.mapInArrow(run, f"q {q_kind}, id {id_kind}, score double")
 
 
-def best_by_hash(rows, questions, depth: int, dim: int, stored: bool = False):
+def best_by_hash(rows, questions, depth: int, dim: int, keep, stored: bool = False):
     """(q, id, score): the `depth` best rows of each question, and more, by the cosine of hashed term counts; the caller ranks.
 
     rows(id, t array of terms), or stored vectors rows(id, bucket array, weight array). questions(id, bucket, weight) are the
     questions' vectors. Questions are dealt in blocks of about ASKED by their hash; one block at a time goes to the tasks, as a
-    matrix of a bounded size, and where there are several, each block's result is written before the next one starts.
+    matrix of a bounded size, and where there are several, each block's result is written before the next one starts. keep(spark,
+    frame, name) writes a frame and reads it back.
     """
     from pyspark.sql import functions as F
 
-    from ..sources.scratch import keep
-
     q_kind = questions.schema["id"].dataType.simpleString()
     rows = rows.filter(F.size(rows.columns[1]) > 0)
     asked = keep(rows.sparkSession, questions, "questions")

@@ -7,12 +7,19 @@ a set of questions is one join on terms and one dense pass, not a loop.
 from __future__ import annotations
 
 import json
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.python import best_by_hash
+from ..sources.scratch import keep
+from .blockmax import best
 
 # BM25's parameters, fusion's constant and depth, and the hashed vectors' length.
 K1, B, FUSION, DEPTH, DIM = 1.5, 0.75, 60, 200, 512
@@ -92,9 +99,7 @@ def fuse(lists: list[DataFrame], k: int) -> DataFrame:
 def dense_best(df: DataFrame, queries: DataFrame, depth: int, key: str = "id", text: str = "text") -> DataFrame:
     """(q, id, score): the `depth` best texts of each question by the dense similarity. Questions go to every row as a matrix;
     each batch of rows is scored there and cut to each question's best, so the output never is questions x texts."""
-    from ..functions.python import best_by_hash
-
-    return best_by_hash(df.select(F.col(key).alias("id"), X.tokens(text).alias("t")), hashed(queries, "q", "text"), depth, DIM)
+    return best_by_hash(df.select(F.col(key).alias("id"), X.tokens(text).alias("t")), hashed(queries, "q", "text"), depth, DIM, keep)
 
 
 def with_similarity(df: DataFrame, a: str, b: str, name: str, dim: int = DIM) -> DataFrame:
@@ -202,15 +207,6 @@ def pruned(ix: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
 def sparse_stored(ix: dict[str, DataFrame], queries: DataFrame, depth: int, block: int = 512, trace: bool = False) -> DataFrame:
     """(q, id, score): the `depth` best of each question in every shard by BM25, and what ties with them; the caller ranks. Each
     shard meets a block of questions and skips the posting blocks whose maxima are too low. trace: (q, opened, postings) instead."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    from collections import Counter
-
-    from ..sources.scratch import keep
-    from .blockmax import best
-
     spark = queries.sparkSession
     asked = keep(spark, asked_of(ix, asked_terms(queries)), "asked")
     blocks = max(1, -(-asked.agg(F.count_distinct("q")).first()[0] // block))
@@ -258,10 +254,8 @@ def sparse_stored(ix: dict[str, DataFrame], queries: DataFrame, depth: int, bloc
 
 def hybrid_stored(ix: dict[str, DataFrame], queries: DataFrame, k: int = 5) -> DataFrame:
     """(q, id, rank, rrf, score) as `hybrid` gives it, from a stored index."""
-    from ..functions.python import best_by_hash
-
     asked = hashed(queries, "q", "text")
-    d = ranked(best_by_hash(ix["vectors"], asked, DEPTH, DIM, stored=True), DEPTH)
+    d = ranked(best_by_hash(ix["vectors"], asked, DEPTH, DIM, keep, stored=True), DEPTH)
     fused = fuse([d, ranked(sparse_stored(ix, queries, DEPTH), DEPTH)], k)
     few = fused.join(ix["vectors"], "id").join(asked.groupBy(F.col("id").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("weight").alias("w")))).alias("m")), "q")
     dot = F.aggregate(F.zip_with("bucket", "weight", lambda b, w: w * F.coalesce(F.try_element_at("m", b), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)

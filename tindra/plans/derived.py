@@ -44,9 +44,9 @@ def p3_html_tables(spark, sf_dir):
     return html.select("doc", F.posexplode(P.tables("html")).alias("t", "rows")).select("doc", "t", F.posexplode("rows").alias("r", "row")).select("doc", "t", "r", F.array_join("row", "|").alias("row"))
 
 
-@query(f"SELECT {DUCK} AS doc, p_name AS film, CASE WHEN p_size * 15000 <= 500000 THEN p_size * 15000 END::BIGINT AS week_admissions, CASE WHEN p_size * 11000 <= 500000 THEN p_size * 11000 END::BIGINT AS total_admissions, (p_retailprice::INT * 1000)::BIGINT AS gross_isk, p_size::VARCHAR AS weeks_in_release FROM part")
+@query(f"SELECT {DUCK} AS doc, p_name AS film, CASE WHEN p_size * 15000 <= 500000 THEN p_size * 15000 END::BIGINT AS week_admissions, CASE WHEN p_size * 11000 <= 500000 THEN p_size * 11000 END::BIGINT AS total_admissions, (floor(p_retailprice)::BIGINT * 1000)::BIGINT AS gross_isk, p_size::VARCHAR AS weeks_in_release FROM part")
 def p4_admissions(spark, sf_dir):
-    row = cells("p_name", F.col("p_size").cast("string"), F.concat(dotted("p_size * 15"), F.lit(" (1.000)")), dotted("p_size * 11"), F.concat(dotted("round(p_retailprice)"), F.lit(" kr.")))
+    row = cells("p_name", F.col("p_size").cast("string"), F.concat(dotted("p_size * 15"), F.lit(" (1.000)")), dotted("p_size * 11"), F.concat(dotted("floor(p_retailprice)"), F.lit(" kr.")))
     html = joined(read(spark, sf_dir, "part"), GROUP, "p_partkey", row, header("Mynd", "Vikur", "Aðsókn", "Heildaraðsókn", "Tekjur"), "</table>")
     return P.admissions_tables(html).select("doc", "film", "week_admissions", "total_admissions", "gross_isk", "weeks_in_release")
 
