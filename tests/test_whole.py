@@ -2,7 +2,9 @@
 
 from itertools import combinations
 
-from tindra.operators import entities, ledger, spine
+from pyspark.sql import functions as F
+
+from tindra.operators import corpus, entities, ledger, spine
 from tindra.plans import registry
 from tindra.sources import tables
 
@@ -99,3 +101,16 @@ def test_allocation_summary(spark):
     assert rows(s["by_category"]) == [("f", 30.0), ("g", 60.0)] and rows(s["top_companies"]) == [("B", 80.0)]
     s = ledger.allocation_summary(a.limit(0))
     assert rows(s["totals"]) == [(0.0, 0.0, 0.0)] and s["by_category"].isEmpty() and s["top_companies"].isEmpty()
+
+
+def test_copies_of_texts_meet_once(spark):
+    """Resolution and funding work by text: pairs of texts don't grow with the rows that share them."""
+    left = spark.createDataFrame([(i, "myndin hross") for i in range(200)], "m int, ln string")
+    right = spark.createDataFrame([(i, "hross") for i in range(100)], "id int, rn string")
+    assert rows(entities.contained(left, right), "ln", "rn", "exact") == [("myndin hross", "hross", False)]
+    raw = left.select("m", F.when(F.col("m") > 0, F.col("ln")).alias("raw"))
+    got = rows(corpus.resolve_titles(raw, right.select("id", F.col("rn").alias("norm"))), "m", "title_id")
+    assert got == sorted([(0, None)] + [(i, 0) for i in range(1, 200)], key=str)
+    p = spark.createDataFrame([(1, "hross", 2010), (2, "hross", 2010), (3, "hross", None), (4, "annað", 2022)], "l int, ln string, year int")
+    a = spark.createDataFrame([(1, "hross", 2010, 1.5), (2, "hross", 2010, None), (3, "hross í oss", 1999, 2.25), (4, "hross", None, 4.0)], "r int, rn string, ryear int, amount double")
+    assert rows(entities.funding_matches(p, a), "l", "matches", "total", "years", "confidence", "status") == [(1, 3, 5.5, "2010", "high", "matched"), (2, 3, 5.5, "2010", "high", "matched"), (3, 4, 7.75, "1999,2010", "high", "matched"), (4, 0, None, "", "none", "no_record_in_window")]

@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import keep
 from . import entities as E
 from . import parsers as P
 
 
 def resolve_titles(mentions: DataFrame, titles: DataFrame) -> DataFrame:
-    """mentions(m, raw) -> (m, title_id): the equal norm, else containment of 5 characters or more; the smallest id of each."""
-    m = mentions.select("m", X.name_norm("raw").alias("ln")).filter("ln != ''")
-    pairs = E.containment(m.select(F.col("m").alias("l"), "ln"), titles.select(F.col("id").alias("r"), F.col("norm").alias("rn")))
-    best = pairs.groupBy(F.col("l").alias("m")).agg(F.min(F.struct((~F.col("exact")).alias("loose"), "r")).alias("b"))
-    return mentions.select("m").join(best.select("m", F.col("b.r").alias("title_id")), "m", "left")
+    """mentions(m, raw) -> (m, title_id): the equal norm, else containment of 5 characters or more; the smallest id of each.
+    Each text is folded and resolved once, however many mentions it has."""
+    raws = keep(mentions.sparkSession, mentions.select("raw").distinct().withColumn("ln", X.name_norm("raw")).filter("ln != ''"), "raws")
+    first = titles.groupBy(F.col("norm").alias("rn")).agg(F.min("id").alias("r"))
+    best = E.contained(raws, first).join(first, "rn").groupBy("ln").agg(F.min(F.struct((~F.col("exact")).alias("loose"), "r")).alias("b"))
+    return mentions.select("m", "raw").join(raws.join(best, "ln").select("raw", F.col("b.r").alias("title_id")), "raw", "left").select("m", "title_id")
 
 
 def resolve_people(mentions: DataFrame, people: DataFrame) -> DataFrame:
