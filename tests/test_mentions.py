@@ -69,3 +69,17 @@ def test_a_large_crew(spark):
     cut, whole = graph.shared_titles(df, most=20), graph.shared_titles(df)
     assert rows(cut) == rows(whole) and cut.count() == 60 * 59 // 2
     assert cut.filter("a = 0 and b = 2").first().shared == 3
+
+
+@pytest.mark.parametrize("piece", [7, 1024])
+def test_mentions_without_overlap(spark, monkeypatch, piece):
+    """As str.count and SQL's replace meet them, over the ends of pieces too."""
+    monkeypatch.setattr(A, "PIECE", piece)
+    rng = random.Random(9)
+    words, texts = [*aliases(rng), "a", "aa", "aba"], [*corpus(rng), "aaaaa", "ababababa" * 9]
+    words = sorted(set(words))
+    made = A.build(words, [1] * len(words))
+    who, which, n = (x.tolist() for x in A.counts(made, texts, len(words), A.np.array([len(w) for w in words])))
+    assert dict(zip(zip(who, which, strict=True), n, strict=True)) == {(i, j): t.count(w) for i, t in enumerate(texts) for j, w in enumerate(words) if w in t}
+    t, a = spark.createDataFrame([(1, "ababa aaa"), (2, None)], "id long, text string"), spark.createDataFrame([("aba", 1), ("aa", 2)], "alias string, ord long")
+    assert rows(mentions.mentions(t, a, overlap=False)) == [(1, 1, 1), (1, 2, 1)] and rows(mentions.mentions(t, a)) == [(1, 1, 2), (1, 2, 2)]

@@ -67,7 +67,7 @@ def build(aliases: list[str], ranks: list[int]) -> Automaton:
 
 
 def walk(a: Automaton, texts: list[str]):
-    """Yields (texts' numbers, states) of places where an alias ends. A text is cut into pieces; each starts as many characters
+    """Yields (texts' numbers, states, places among all texts' characters) where an alias ends. A text is cut into pieces; each starts as many characters
     early as an alias is long, less one, and what ends before its own first character belongs to the piece before."""
     points, ends = codes(texts)
     begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -85,25 +85,50 @@ def walk(a: Automaton, texts: list[str]):
         state[:live] = a.goto[state[:live], kinds[here]]
         hit = np.flatnonzero((a.best[state[:live]] > 0) & (here >= first[:live]))
         if len(hit):
-            yield of[hit], state[hit]
+            yield of[hit], state[hit], here[hit]
 
 
 def best_of(a: Automaton, texts: list[str]) -> np.ndarray:
     """The largest rank of the aliases in each text, 0 without one."""
     out = np.zeros(len(texts), np.int64)
-    for who, state in walk(a, texts):
+    for who, state, _ in walk(a, texts):
         np.maximum.at(out, who, a.best[state])
     return out
 
 
-def counts(a: Automaton, texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, alias, occurrences), overlapping ones each; n: how many aliases there are."""
-    found = []
-    for who, state in walk(a, texts):
+def apart(keys: np.ndarray, ends: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which places count when those of a key may not overlap: the first, and each that starts at or after the end of the last that
+    counts. Sorted by key and end; size is the length of each."""
+    near = np.zeros(len(keys), bool)
+    near[1:] = (keys[1:] == keys[:-1]) & (ends[1:] - ends[:-1] < size[1:])
+    yes = ~near
+    # only runs of places that overlap need looking at one by one; a run starts with one that counts
+    key, end = keys.tolist(), ends.tolist()
+    for i in np.flatnonzero(near).tolist():
+        if not near[i - 1]:
+            last = end[i - 1]
+        if end[i] - last >= size[i]:
+            yes[i], last = True, end[i]
+    return yes
+
+
+def counts(a: Automaton, texts: list[str], n: int, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, alias, occurrences), overlapping ones each; n: how many aliases there are. With the aliases' lengths, from the left
+    and without overlap instead, as replacing would meet them."""
+    n, found, places = max(n, 1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for who, state, here in walk(a, texts):
         while len(state):
             ends = a.own[state] >= 0
             found.append(who[ends] * n + a.own[state[ends]])
+            if lengths is not None:
+                places.append(here[ends])
             state = a.up[state]
-            who, state = who[state > 0], state[state > 0]
-    keys, times = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-    return keys // max(n, 1), keys % max(n, 1), times
+            who, here, state = who[state > 0], here[state > 0], state[state > 0]
+    keys = np.concatenate(found)
+    if lengths is not None and len(keys):
+        ends = np.concatenate(places)
+        order = np.lexsort((ends, keys))
+        keys, ends = keys[order], ends[order]
+        keys = keys[apart(keys, ends, lengths[keys % n])]
+    keys, times = np.unique(keys, return_counts=True)
+    return keys // n, keys % n, times

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def _automaton(spark, block: list[tuple[str, int]]):
     for k, i in enumerate(order):
         ranks[i] = k + 1
     made = A.build([a for a, _ in block], ranks)
-    return spark.sparkContext.broadcast((made, [(len(block[i][0]), block[i][1]) for i in order], [o for _, o in block]))
+    return spark.sparkContext.broadcast((made, [(len(block[i][0]), block[i][1]) for i in order], [o for _, o in block], np.array([len(a) for a, _ in block], np.int64)))
 
 
 def longest(texts: DataFrame, aliases: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -53,7 +54,7 @@ def longest(texts: DataFrame, aliases: DataFrame, cells: int = CELLS) -> DataFra
         shared = _automaton(texts.sparkSession, block)
 
         def run(batches, shared=shared):
-            made, of, _ = shared.value
+            made, of, _, _ = shared.value
             for b in batches:
                 best = A.best_of(made, [t or "" for t in b.column("text").to_pylist()])
                 rows = []
@@ -66,8 +67,9 @@ def longest(texts: DataFrame, aliases: DataFrame, cells: int = CELLS) -> DataFra
     return df.select("id", "ord")
 
 
-def mentions(texts: DataFrame, aliases: DataFrame, cells: int = CELLS) -> DataFrame:
-    """(id, ord, n): how often each text holds each alias, overlapping occurrences each; a row a text and alias."""
+def mentions(texts: DataFrame, aliases: DataFrame, cells: int = CELLS, overlap: bool = True) -> DataFrame:
+    """(id, ord, n): how often each text holds each alias, overlapping occurrences each, or from the left without overlap; a row a
+    text and alias."""
     from ..functions import automaton as A
 
     kind, out = texts.schema["id"].dataType.simpleString(), None
@@ -75,9 +77,9 @@ def mentions(texts: DataFrame, aliases: DataFrame, cells: int = CELLS) -> DataFr
         shared = _automaton(texts.sparkSession, block)
 
         def run(batches, shared=shared):
-            made, _, ords = shared.value
+            made, _, ords, sizes = shared.value
             for b in batches:
-                who, which, n = A.counts(made, [t or "" for t in b.column("text").to_pylist()], len(ords))
+                who, which, n = A.counts(made, [t or "" for t in b.column("text").to_pylist()], len(ords), None if overlap else sizes)
                 yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(who)), pa.array([ords[i] for i in which.tolist()], pa.int64()), pa.array(n, pa.int64())], ["id", "ord", "n"])
 
         part = texts.select("id", "text").mapInArrow(run, f"id {kind}, ord bigint, n bigint")
