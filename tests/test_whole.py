@@ -114,3 +114,10 @@ def test_copies_of_texts_meet_once(spark):
     p = spark.createDataFrame([(1, "hross", 2010), (2, "hross", 2010), (3, "hross", None), (4, "annað", 2022)], "l int, ln string, year int")
     a = spark.createDataFrame([(1, "hross", 2010, 1.5), (2, "hross", 2010, None), (3, "hross í oss", 1999, 2.25), (4, "hross", None, 4.0)], "r int, rn string, ryear int, amount double")
     assert rows(entities.funding_matches(p, a), "l", "matches", "total", "years", "confidence", "status") == [(1, 3, 5.5, "2010", "high", "matched"), (2, 3, 5.5, "2010", "high", "matched"), (3, 4, 7.75, "1999,2010", "high", "matched"), (4, 0, None, "", "none", "no_record_in_window")]
+
+
+def test_repeated_names_are_merged_before_they_are_ranked(spark):
+    """Windows and joins of the spine see a name once a spelling and year, not once an award; the earliest row stays."""
+    led = spark.range(1, 301).select(F.col("id").alias("row"), F.lit("Mynd").alias("name"), (F.col("id") % 2).alias("year"), F.lit(None).cast("string").alias("kind"))
+    assert rows(spine.merged(led), "row", "year") == [(1, 1), (2, 0)]
+    assert rows(spine.first_of(spine.merged(led), "name", "row"), "row") == [(1,)]

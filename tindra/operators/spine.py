@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import keep
 from . import entities as E
 from .numbering import numbered
 
@@ -90,21 +91,37 @@ def career_starts(people: DataFrame, careers: DataFrame) -> DataFrame:
     return people.join(c, "nconst", "left")
 
 
+def with_norms(ledger: DataFrame) -> DataFrame:
+    """A cleaned ledger with cnorm, its company's norm."""
+    return ledger.withColumn("cnorm", F.when(F.col("company").isNotNull(), X.company_norm("company")))
+
+
+def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key in the given order. Callers have merged equal rows, so a frequent key has few."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("n = 1").drop("n")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Rows that differ in `row` only as one, with its smallest."""
+    return rows.groupBy([c for c in rows.columns if c != "row"]).agg(F.min("row").alias("row"))
+
+
 def company_entities(registry: DataFrame, ledger: DataFrame, closed: DataFrame) -> dict[str, DataFrame]:
-    """Companies: the registry first, then names of the ledger; and an alias row per ledger name, resolved by equal norm or
-    left unresolved beside the registry firm it contains or is contained in."""
-    reg = registry.select(F.lit(0).alias("src"), "row", F.col("name"), F.col("type"), F.lit(1).alias("member"))
-    led = ledger.filter(F.col("company").isNotNull() & (F.trim("company") != "")).select(F.lit(1).alias("src"), "row", F.col("company").alias("name"), F.lit(None).cast("string").alias("type"), F.lit(0).alias("member"))
-    both = E.apply_redirects(reg.unionByName(led).withColumn("norm", X.company_norm("name")), "norm", closed).filter("norm != ''")
-    first = both.withColumn("n", F.row_number().over(Window.partitionBy("norm").orderBy("src", "row"))).filter("n = 1").drop("n")
-    firms = with_ids(first, "src", "row").select("id", "name", "norm", "type", "member")
+    """Companies: the registry first, then names of the ledger (with norms); and an alias row per ledger name, resolved by equal
+    norm or left unresolved beside the registry firm it contains or is contained in."""
+    reg = registry.select(F.lit(0).alias("src"), "row", F.col("name"), F.col("type"), F.lit(1).alias("member"), X.company_norm("name").alias("norm"))
+    led = ledger.filter(F.col("company").isNotNull() & (F.trim("company") != "")).select("row", F.col("company").alias("name"), F.col("cnorm").alias("norm"))
+    led = merged(led).select(F.lit(1).alias("src"), "row", "name", F.lit(None).cast("string").alias("type"), F.lit(0).alias("member"), "norm")
+    both = E.apply_redirects(reg.unionByName(led), "norm", closed).filter("norm != ''")
+    firms = with_ids(first_of(both, "norm", "src", "row"), "src", "row").select("id", "name", "norm", "type", "member")
     names = both.filter("src = 1").groupBy("name", "norm").agg(F.min("row").alias("row"))
     exact = names.join(firms.select("id", "norm"), "norm").select("name", F.col("id").alias("company_id"), F.lit("exact_norm").alias("method"), F.lit("resolved").alias("status"))
-    regs = firms.filter("member = 1 and length(norm) >= 4")
-    loose = E.containment(names.filter("length(norm) >= 4").select(F.col("name").alias("l"), F.col("norm").alias("ln")), regs.select(F.col("id").alias("r"), F.col("norm").alias("rn")), least=4).filter("not exact")
-    fuzzy = loose.groupBy("l").agg(F.min("r").alias("company_id")).select(F.col("l").alias("name"), "company_id", F.lit("fuzzy_contains").alias("method"), F.lit("unresolved").alias("status"))
-    merged = manual_merges(closed, firms).withColumnRenamed("id", "company_id")
-    return {"company": firms, "alias": exact.unionByName(fuzzy).unionByName(merged)}
+    regs = firms.filter("member = 1 and length(norm) >= 4").select("id", F.col("norm").alias("rn"))
+    loose = E.contained(names.filter("length(norm) >= 4").select(F.col("norm").alias("ln")), regs, least=4).filter("not exact")
+    nearest = loose.join(regs, "rn").groupBy(F.col("ln").alias("norm")).agg(F.min("id").alias("company_id"))
+    fuzzy = names.join(nearest, "norm").groupBy("name").agg(F.min("company_id").alias("company_id")).select("name", "company_id", F.lit("fuzzy_contains").alias("method"), F.lit("unresolved").alias("status"))
+    manual = manual_merges(closed, firms).withColumnRenamed("id", "company_id")
+    return {"company": firms, "alias": exact.unionByName(fuzzy).unionByName(manual)}
 
 
 def title_entities(productions: DataFrame, ledger: DataFrame, closed: DataFrame, links: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -116,50 +133,54 @@ def title_entities(productions: DataFrame, ledger: DataFrame, closed: DataFrame,
     prods = link_titles(prods, links) if links is not None else prods.withColumn("tconst", F.nullif("imdb", F.lit("")))
     led = E.apply_redirects(ledger, "norm", closed)
     cat = prods.select(F.lit(0).alias("src"), "row", "title", "norm", "year", "kind", F.col("source"), "tconst")
-    own = led.filter((F.col("norm") != "") & ~((F.coalesce("family", F.lit("")) == "annad") & X.is_support("project_title"))).select(F.lit(1).alias("src"), "row", "title", "norm", F.col("year"), X.relabel("format_track", KINDS).alias("kind"), F.col("source_id").alias("source"), F.lit(None).cast("string").alias("tconst"))
-    first = cat.unionByName(own).filter("norm != ''").withColumn("n", F.row_number().over(Window.partitionBy("norm").orderBy("src", "row"))).filter("n = 1").drop("n")
-    titles = with_ids(first, "src", "row")
-    funded = E.funding_matches(titles.filter("src = 0").select(F.col("id").alias("l"), F.col("norm").alias("ln"), "year"), led.filter("length(norm) >= 3").select(F.col("row").alias("r"), F.col("norm").alias("rn"), F.col("year").alias("ryear"), X.truthy("amount_isk", "commitment_isk").alias("amount")))
-    titles = titles.join(funded.drop("year").withColumnRenamed("l", "id"), "id", "left")
-    known = titles.select("id", "norm")
+    own = merged(led.filter((F.col("norm") != "") & ~((F.coalesce("family", F.lit("")) == "annad") & X.is_support("project_title"))).select("row", "title", "norm", "year", "format_track", "source_id"))
+    own = own.select(F.lit(1).alias("src"), "row", "title", "norm", F.col("year"), X.relabel("format_track", KINDS).alias("kind"), F.col("source_id").alias("source"), F.lit(None).cast("string").alias("tconst"))
+    named = with_ids(first_of(cat.unionByName(own).filter("norm != ''"), "norm", "src", "row"), "src", "row")
+    funded = E.funding_matches(named.filter("src = 0").select(F.col("id").alias("l"), F.col("norm").alias("ln"), "year"), led.filter("length(norm) >= 3").select(F.col("row").alias("r"), F.col("norm").alias("rn"), F.col("year").alias("ryear"), X.truthy("amount_isk", "commitment_isk").alias("amount")))
+    titles = named.join(funded.drop("year").withColumnRenamed("l", "id"), "id", "left")
+    known = keep(ledger.sparkSession, named.select("id", "norm"), "known")
     awards = led.join(known, "norm").select(F.col("id").alias("title_id"), "row", "year", "family", X.truthy("amount_isk", "commitment_isk").alias("amount"))
     names = led.select("norm", F.col("title").alias("alias"), F.lit("self").alias("method")).unionByName(led.select("norm", F.explode("former").alias("alias"), F.lit("former_title").alias("method")))
-    aliases = names.join(known, "norm").select("alias", F.col("id").alias("title_id"), "method").distinct()
-    return {"title": titles, "award": awards, "alias": aliases}
+    aliases = names.distinct().join(known, "norm").select("alias", F.col("id").alias("title_id"), "method").distinct()
+    return {"title": titles, "award": awards, "alias": aliases, "known": known}
 
 
 def credit_edges(productions: DataFrame, ledger: DataFrame, titles: DataFrame, closed: DataFrame) -> dict[str, DataFrame]:
     """People and (title, person, role) edges; an edge that several sources give belongs to the first."""
     known = titles.select(F.col("id").alias("title_id"), "norm")
     one = productions.select(F.lit(0).alias("src"), "row", X.name_norm("title").alias("norm"), F.lit("director").alias("role"), F.col("director").alias("names"))
-    led = ledger.select(F.lit(1).alias("src"), "row", "norm", *ROLES).unpivot(["src", "row", "norm"], list(ROLES), "role", "names")
+    led = merged(ledger.select("row", "norm", *ROLES).unpivot(["row", "norm"], list(ROLES), "role", "names").filter("names is not null")).withColumn("src", F.lit(1))
     rows = one.unionByName(led).filter("names is not null").select("src", "row", "norm", "role", F.posexplode(X.people("names")).alias("pos", "name"))
     rows = E.apply_redirects(rows.withColumn("pnorm", X.name_norm("name")), "pnorm", closed).filter("pnorm != ''").join(known, "norm")
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("pnorm").orderBy("src", "row", "role", "pos"))).filter("n = 1")
-    people = with_ids(first.select("src", "row", "role", "pos", "name", "pnorm"), "src", "row", "role", "pos").select("id", "name", F.col("pnorm").alias("norm"))
+    rows = keep(ledger.sparkSession, rows, "credits")
+    people = with_ids(first_of(rows.select("src", "row", "role", "pos", "name", "pnorm"), "pnorm", "src", "row", "role", "pos"), "src", "row", "role", "pos").select("id", "name", F.col("pnorm").alias("norm"))
     edges = rows.join(people.select(F.col("id").alias("person_id"), F.col("norm").alias("pnorm")), "pnorm")
     edges = edges.withColumn("n", F.row_number().over(Window.partitionBy("title_id", "person_id", "role").orderBy("src", "row", "pos"))).filter("n = 1")
     roll = edges.groupBy("person_id").agg(F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"), F.count(F.lit(1)).alias("credit_count"))
     people = people.join(roll.withColumnRenamed("person_id", "id"), "id", "left")
-    merged = manual_merges(closed, people).withColumnRenamed("id", "person_id")
-    return {"person": people, "title_credit": edges.select("title_id", "person_id", "role", "src"), "person_alias": merged}
+    manual = manual_merges(closed, people).withColumnRenamed("id", "person_id")
+    return {"person": people, "title_credit": edges.select("title_id", "person_id", "role", "src"), "person_alias": manual}
 
 
 def company_edges(ledger: DataFrame, titles: DataFrame, firms: DataFrame, closed: DataFrame) -> DataFrame:
-    rows = E.apply_redirects(ledger.filter("company is not null").withColumn("cnorm", X.company_norm("company")), "cnorm", closed)
+    rows = E.apply_redirects(ledger.filter("company is not null").select("norm", "cnorm").distinct(), "cnorm", closed)
     return rows.join(titles.select(F.col("id").alias("title_id"), "norm"), "norm").join(firms.select(F.col("id").alias("company_id"), F.col("norm").alias("cnorm")), "cnorm").select("title_id", "company_id").distinct()
 
 
-def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All spine tables. Inputs carry `row`, their arrival order; closed has redirects for company, person and title; links
-    are imdb links."""
-    led = clean_ledger(ledger)
+def tables(productions: DataFrame, registry: DataFrame, led: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All spine tables of a cleaned ledger with norms. It is read several times, so callers write it first."""
     firms = company_entities(registry, led, closed["company"])
     titles = title_entities(productions, led, closed["title"], links)
-    people = credit_edges(productions, led, titles["title"], closed["person"])
-    money = led.filter("company is not null").withColumn("norm", X.company_norm("company")).groupBy("norm").agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
+    people = credit_edges(productions, led, titles["known"], closed["person"])
+    money = led.filter("company is not null").groupBy(F.col("cnorm").alias("norm")).agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
     company = firms["company"].join(money, "norm", "left").withColumn("awards", F.coalesce("awards", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
-    return {"company": company, "company_alias": firms["alias"], "title": titles["title"], "award": titles["award"], "title_alias": titles["alias"], **people, "title_company": company_edges(led, titles["title"], firms["company"], closed["company"])}
+    return {"company": company, "company_alias": firms["alias"], "title": titles["title"], "award": titles["award"], "title_alias": titles["alias"], **people, "title_company": company_edges(led, titles["known"], firms["company"], closed["company"])}
+
+
+def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All spine tables. Inputs carry `row`, their arrival order; closed has redirects for company, person and title; links
+    are imdb links."""
+    return tables(productions, registry, keep(ledger.sparkSession, with_norms(clean_ledger(ledger)), "ledger"), closed, links)
 
 
 def strong_people(credits: DataFrame, people: DataFrame) -> DataFrame:
