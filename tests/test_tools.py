@@ -77,3 +77,13 @@ def test_guard_looks_inside(spark):
     for bad in ("select * from title where id in (select id from other)", "select (select count(*) from csv.`/etc/hosts`) as n", "with title2 as (select * from spark_catalog.default.title) select * from title2"):
         with pytest.raises(api.NotReadOnly):
             api.run_sql(spark, t, bad)
+
+
+def test_a_file_a_row_in_few_folders(spark):
+    """Files grow with the rows, folders don't; each file holds one row."""
+    from tindra.plans import derived
+
+    folder = derived._a_file_a_row(spark, spark.range(200).selectExpr("id", "concat('row ', id) AS value"), "id", folders=8)
+    got = spark.read.text(f"{folder}/*/*.txt", wholetext=True).selectExpr("value", "_metadata.file_path AS path").collect()
+    assert sorted(r.value for r in got) == sorted(f"row {i}\n" for i in range(200))
+    assert len({r.path for r in got}) == 200 and len({r.path.rsplit("/", 2)[1] for r in got}) <= 8

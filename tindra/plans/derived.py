@@ -133,12 +133,20 @@ def _files(spark, df, group: str, column: str = "value") -> str:
     return folder
 
 
+def _a_file_a_row(spark, df, key: str, folders: int = 64) -> str:
+    """A text file a row, in a bounded number of folders: the writer cuts files by rows, so no row needs a folder of its own."""
+    folder = new_path(spark, "files")
+    rows = df.select(F.pmod(F.xxhash64(key), F.lit(folders)).alias("folder"), "value")
+    rows.repartition(folders, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
 @query("SELECT p_name AS title, p_size AS year, p_brand AS director FROM part")
 def s3_staged_productions(spark, sf_dir):
     """JSON lists, several hundred records a file."""
     row = F.struct(F.col("p_name").alias("title"), F.col("p_size").alias("year"), F.col("p_brand").alias("director"))
     lists = read(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 500").alias("g")).agg(F.to_json(F.collect_list(row)).alias("value"))
-    return tables.glob_records(spark, f"{_files(spark, lists, 'g')}/*/*.txt", tables.PRODUCTIONS).select("title", "year", "director")
+    return tables.glob_records(spark, f"{_a_file_a_row(spark, lists, 'g')}/*/*.txt", tables.PRODUCTIONS).select("title", "year", "director")
 
 
 @query("SELECT p_size AS year, p_name AS project_title, p_type AS family, p_partkey AS amount_isk FROM part WHERE p_size % 2 = 0")
@@ -155,7 +163,7 @@ def s6_posts(spark, sf_dir):
     """A JSON object a file."""
     post = F.struct(F.col("s_suppkey").alias("id"), F.lit("2020-01-02T03:04:05").alias("date"), F.struct(F.concat(F.lit("<b>"), "s_name", F.lit("</b> &amp; co")).alias("rendered")).alias("title"), F.struct(F.concat(F.lit("<p>"), "s_name", F.lit("</p>")).alias("rendered")).alias("content"))
     files = read(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(post).alias("value"))
-    return tables.posts(spark, f"{_files(spark, files, 's_suppkey')}/*/*.txt").select("id", "date", "title", "html")
+    return tables.posts(spark, f"{_a_file_a_row(spark, files, 's_suppkey')}/*/*.txt").select("id", "date", "title", "html")
 
 
 @query("SELECT 'tt' || s_suppkey AS imdb_tconst, s_name AS title, s_acctbal AS rating FROM supplier WHERE s_suppkey % 5 <> 0")
@@ -163,7 +171,7 @@ def s4_entity_files(spark, sf_dir):
     """A JSON object a file; each fifth file is broken and dropped."""
     one = F.to_json(F.struct(F.concat(F.lit("tt"), F.col("s_suppkey").cast("string")).alias("imdb_tconst"), F.col("s_name").alias("title"), F.col("s_acctbal").alias("rating")))
     files = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, F.substring(one, 1, 12)).otherwise(one).alias("value"))
-    return tables.entity_files(spark, f"{_files(spark, files, 's_suppkey')}/*/*.txt", tables.CREDITS).select("imdb_tconst", "title", "rating")
+    return tables.entity_files(spark, f"{_a_file_a_row(spark, files, 's_suppkey')}/*/*.txt", tables.CREDITS).select("imdb_tconst", "title", "rating")
 
 
 @query("SELECT p_partkey::VARCHAR AS tconst, p_name AS title, CASE WHEN p_size % 3 <> 0 THEN p_size END AS year FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -179,7 +187,7 @@ def s8_filtered_tsv(spark, sf_dir):
 @query("SELECT md5(html) AS md5, count(*)::BIGINT AS n FROM pages GROUP BY 1")
 def s7_mirrored_pages(spark, sf_dir):
     """Whole files, one a page."""
-    folder = _files(spark, read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")), "page_id")
+    folder = _a_file_a_row(spark, read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")), "page_id")
     return tables.mirrored_pages(spark, f"{folder}/*/*.txt").groupBy(F.md5(F.regexp_replace("text", "\n$", "")).alias("md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
