@@ -121,3 +121,11 @@ def test_repeated_names_are_merged_before_they_are_ranked(spark):
     led = spark.range(1, 301).select(F.col("id").alias("row"), F.lit("Mynd").alias("name"), (F.col("id") % 2).alias("year"), F.lit(None).cast("string").alias("kind"))
     assert rows(spine.merged(led), "row", "year") == [(1, 1), (2, 0)]
     assert rows(spine.first_of(spine.merged(led), "name", "row"), "row") == [(1,)]
+
+
+def test_records_without_a_key_do_not_meet_on_it(spark):
+    """Each record is looked up once, by its key or by its norm; a null key is no key to join on."""
+    r = spark.createDataFrame([(1, "k1", "anna"), (2, None, "anna"), (3, "k1", "b"), (4, None, "b"), (5, None, None), (6, "k2", "b"), (7, None, "b")], "ord int, key string, norm string")
+    got = entities.strong_key_upsert(r)
+    assert rows(got) == [(1, 1), (2, 1), (3, 1), (4, 3), (6, 3), (7, 3)]
+    assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
