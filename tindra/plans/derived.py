@@ -58,25 +58,25 @@ def p5_viewership(spark, sf_dir):
     return P.viewership_tables(html).select("doc", "title", "channel", "viewers", "rating_pct", "episodes")
 
 
-@query(f"SELECT {DUCK} AS doc, 'framleidsla' AS family, 'leikin_kvikmynd' AS format_track, p_name AS project_title, p_type AS writer, (p_size * 1000000)::BIGINT AS amount_isk, (p_size * 2000000)::BIGINT AS total_isk FROM part")
+@query(f"SELECT {DUCK} AS doc, 'framleidsla' AS family, 'leikin_kvikmynd' AS format_track, p_name AS project_title, p_type AS writer, 'Mynd ehf.' AS company, (p_size * 1000000)::BIGINT AS amount_isk, (p_size * 2000000)::BIGINT AS total_isk FROM part")
 def p2_archive_ledger(spark, sf_dir):
     n = F.col("p_size").cast("string")
     row = cells("p_name", "p_type", F.lit("Anna"), F.lit("Mynd ehf."), F.concat(n, F.lit(".000.000/"), (2 * F.col("p_size")).cast("string"), F.lit(".000.000")))
     head = "<h2>Framleiðslustyrkir:</h2><h3>Leiknar kvikmyndir</h3>" + header("Verkefni", "Handritshöf.", "Leikstjóri", "Umsækjandi", "Styrkur")
     html = joined(read(spark, sf_dir, "part"), GROUP, "p_partkey", row, head, "</table>").withColumn("year", F.lit(2017))
-    return P.archive_ledger(html).select("doc", "family", "format_track", "project_title", "writer", "amount_isk", "total_isk")
+    return P.archive_ledger(html).select("doc", "family", "format_track", "project_title", "writer", "company", "amount_isk", "total_isk")
 
 
 HEAD = "Framleiðslustyrkir\n\nLeiknar kvikmyndir\nVerkefni            Handritshöfundur     Leikstjóri        Umsækjandi                  Styrkur      Samtals      Vilyrði\n"
 
 
-@query(f"SELECT {DUCK} AS doc, 'framleidsla' AS family, 'leikin_kvikmynd' AS format_track, p_name AS project_title, 'Anna Jónsdóttir' AS writer, 'Mynd ehf.' AS company, (p_size * 1000000)::BIGINT AS amount_isk, (p_size * 2000000)::BIGINT AS total_isk FROM part")
+@query(f"SELECT {DUCK} AS doc, 'framleidsla' AS family, 'leikin_kvikmynd' AS format_track, p_name AS project_title, 'Anna Jónsdóttir' AS writer, 'Mynd ehf.' AS company, CASE WHEN p_size % 2 = 0 THEN 'Sigga Ben' END AS producer, (p_size * 1000000)::BIGINT AS amount_isk, (p_size * 2000000)::BIGINT AS total_isk, CASE WHEN p_size % 3 = 0 THEN p_size * 3000000 END::BIGINT AS commitment_isk, NULL::VARCHAR AS confidence FROM part")
 def p1_layout_ledger(spark, sf_dir):
     pad = lambda x, n: F.rpad(x, n, " ")
     n = lambda k: F.concat((k * F.col("p_size")).cast("string"), F.lit(".000.000"))
-    row = F.concat(pad(F.col("p_name"), 20), pad(F.lit("Anna Jónsdóttir"), 21), pad(F.lit("Jón Páll"), 18), pad(F.lit("Mynd ehf."), 28), pad(n(1), 13), n(2), F.lit("\n"))
+    row = F.concat(pad(F.col("p_name"), 20), pad(F.lit("Anna Jónsdóttir"), 21), pad(F.lit("Jón Páll"), 18), pad(F.when(F.col("p_size") % 2 == 0, "Mynd ehf. / Sigga Ben").otherwise("Mynd ehf."), 28), pad(n(1), 13), F.when(F.col("p_size") % 3 == 0, F.concat(pad(n(2), 13), n(3))).otherwise(n(2)), F.lit("\n"))
     text = joined(read(spark, sf_dir, "part"), GROUP, "p_partkey", row, HEAD, column="text").withColumns({"year": F.lit(2021), "source_id": F.lit("src")})
-    return P.layout_ledger(text).select("doc", "family", "format_track", "project_title", "writer", "company", "amount_isk", "total_isk")
+    return P.layout_ledger(text).select("doc", "family", "format_track", "project_title", "writer", "company", "producer", "amount_isk", "total_isk", "commitment_isk", "confidence")
 
 
 @query(f"SELECT {DUCK} AS doc, p_name AS title, 1950 + p_size AS year, p_type AS director, 'tt' || lpad(p_partkey::VARCHAR, 7, '0') AS imdb FROM part")
@@ -100,10 +100,10 @@ def p8_member_registry(spark, sf_dir):
     return P.member_registry(joined(read(spark, sf_dir, "supplier"), "s_suppkey div 20", "s_suppkey", row)).select("doc", "name", "website", "email", "phone")
 
 
-@query(r"SELECT 'frettir_' || page_id AS name, 'frettir' AS section, CASE WHEN regexp_matches(html, '\b(\d{2})\.(\d{2})\.(\d{4})\b') THEN regexp_replace(regexp_extract(html, '\b\d{2}\.\d{2}\.\d{4}\b'), '(..)\.(..)\.(....)', '\3-\2-\1') ELSE '' END AS date, md5(html) AS md5 FROM pages")
+@query(r"""WITH p AS (SELECT 'frettir_' || page_id AS name, html, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '&quot;?', '"', 'g'), '&(#x27|#39|apos);', '''', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), ''), 'frettir ' || page_id) AS title, CASE WHEN regexp_matches(html, '\b(\d{2})\.(\d{2})\.(\d{4})\b') THEN regexp_replace(regexp_extract(html, '\b\d{2}\.\d{2}\.\d{4}\b'), '(..)\.(..)\.(....)', '\3-\2-\1') ELSE '' END AS date FROM pages) SELECT name, 'frettir' AS section, title, date, coalesce(try_cast(left(date, 4) AS INT), try_cast(regexp_extract(name || ' ' || title, '\b(20\d\d)\b', 1) AS INT)) AS year, md5(html) AS md5 FROM p""")
 def p9_site_pages(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select(F.concat(F.lit("frettir_"), F.col("page_id").cast("string")).alias("name"), F.col("html").alias("text"))
-    return P.site_pages(p).select("name", "section", "date", F.md5("main_html").alias("md5"))
+    return P.site_pages(p).select("name", "section", "title", "date", "year", F.md5("main_html").alias("md5"))
 
 
 CREW = "SELECT l_orderkey AS title, l_returnflag AS role, (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, 'nm' || l_suppkey) - 1)::INT AS pos, 'nm' || l_suppkey AS key FROM lineitem"
