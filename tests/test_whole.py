@@ -4,6 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tindra.functions import text as X
 from tindra.operators import corpus, entities, ledger, spine
 from tindra.plans import registry
 from tindra.sources import tables
@@ -123,6 +124,18 @@ def test_repeated_names_are_merged_before_they_are_ranked(spark):
     assert rows(spine.first_of(spine.merged(led), "name", "row"), "row") == [(1,)]
 
 
+def test_spellings_are_cleaned_once(spark):
+    """Cleaning a ledger costs by its distinct spellings: rows look theirs up, and nothing but a lookup is left to do for a row."""
+    some = [None, "", "Hross ehf. (skilað vilyrði)", "Anna B styrkur", "Anna B", "Ferðastyrkur", "Félag 2", " Þór,  Anna "]
+    titles = [None, "", "Mynd (áður: Fyrri mynd)", "- Mynd -", "Mynd (2)"]
+    led = spark.createDataFrame([(40 * i + 5 * j + k, some[j], some[-j], some[j - 3], some[(i + j) % 8], some[(i + k) % 8], titles[k]) for i in range(2) for j in range(8) for k in range(5)], "row long, company string, applicant string, producer string, director string, writer string, project_title string")
+    t, names = X.clean_title("project_title"), {n: X.clean_entity(n) for n in spine.NAMES}
+    want = led.select("row", *[x.alias(n) for n, x in names.items()], "project_title", t["title"].alias("title"), t["former"].alias("former"), X.name_norm(t["title"]).alias("norm"), F.when(names["company"].isNotNull(), X.company_norm(names["company"])).alias("cnorm"))
+    got = spine.clean_ledger(led)
+    assert rows(got, *want.columns) == rows(want) and got.columns[: len(led.columns)] == led.columns
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_records_without_a_key_do_not_meet_on_it(spark):
     """Each record is looked up once, by its key or by its norm; a null key is no key to join on."""
     r = spark.createDataFrame([(1, "k1", "anna"), (2, None, "anna"), (3, "k1", "b"), (4, None, "b"), (5, None, None), (6, "k2", "b"), (7, None, "b")], "ord int, key string, norm string")

@@ -18,6 +18,7 @@ from .numbering import numbered
 # Fixed values.
 KINDS = {"leikin_kvikmynd": "film", "leikid_sjonvarp": "series", "heimildamynd": "documentary", "stuttmynd": "short"}
 ROLES = ("director", "writer", "producer")
+NAMES = ("company", "applicant", *ROLES)
 FITTING = {"film": "movie,tvMovie,video", "documentary": "movie,tvMovie,video", "short": "short,tvShort", "series": "tvSeries,tvMiniSeries"}
 NEAR = {"film": 1, "documentary": 1, "short": 1, "series": 2}
 
@@ -28,11 +29,16 @@ def with_ids(df: DataFrame, *order: str) -> DataFrame:
 
 
 def clean_ledger(ledger: DataFrame) -> DataFrame:
-    """Names and companies without grant labels; titles split from their former names."""
-    out = ledger.withColumn("t", X.clean_title("project_title"))
-    for name in ("company", "applicant", "producer", "director", "writer"):
-        out = out.withColumn(name, X.clean_entity(name))
-    return out.withColumn("title", F.col("t.title")).withColumn("former", F.col("t.former")).drop("t").withColumn("norm", X.name_norm("title"))
+    """Names and companies without grant labels, cnorm, the company's norm; titles split from their former names. A spelling is
+    cleaned once, however many rows have it: the distinct ones are written, and rows look theirs up."""
+    spellings = ledger.select(F.explode(F.array(*NAMES)).alias("name")).filter("name is not null").distinct()
+    names = keep(ledger.sparkSession, spellings.withColumn("clean", X.clean_entity("name")).withColumn("cnorm", F.when(F.col("clean").isNotNull(), X.company_norm("clean"))), "names")
+    titles = ledger.select(F.coalesce("project_title", F.lit("")).alias("_title")).distinct().withColumn("t", X.clean_title("_title"))
+    titles = keep(ledger.sparkSession, titles.select("_title", "t.title", "t.former").withColumn("norm", X.name_norm("title")), "titles")
+    out = ledger.withColumn("_title", F.coalesce("project_title", F.lit(""))).join(titles, "_title", "left")
+    for name in NAMES:
+        out = out.join(names.select(F.col("name").alias(name), F.col("clean").alias(f"_{name}"), *[F.col("cnorm")] * (name == "company")), name, "left")
+    return out.select(*[F.col(f"_{c}").alias(c) if c in NAMES else c for c in ledger.columns], "title", "former", "norm", "cnorm")
 
 
 def manual_merges(closed: DataFrame, entities: DataFrame) -> DataFrame:
@@ -91,11 +97,6 @@ def career_starts(people: DataFrame, careers: DataFrame) -> DataFrame:
     return people.join(c, "nconst", "left")
 
 
-def with_norms(ledger: DataFrame) -> DataFrame:
-    """A cleaned ledger with cnorm, its company's norm."""
-    return ledger.withColumn("cnorm", F.when(F.col("company").isNotNull(), X.company_norm("company")))
-
-
 def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key in the given order. Callers have merged equal rows, so a frequent key has few."""
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("n = 1").drop("n")
@@ -168,11 +169,13 @@ def company_edges(ledger: DataFrame, titles: DataFrame, firms: DataFrame, closed
 
 
 def tables(productions: DataFrame, registry: DataFrame, led: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All spine tables of a cleaned ledger with norms. It is read several times, so callers write it first."""
+    """All spine tables of a cleaned ledger. It is read several times, so callers write it first."""
+    productions = merged(productions)
     firms = company_entities(registry, led, closed["company"])
     titles = title_entities(productions, led, closed["title"], links)
     people = credit_edges(productions, led, titles["known"], closed["person"])
-    money = led.filter("company is not null").groupBy(F.col("cnorm").alias("norm")).agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
+    yearly = led.filter("company is not null").groupBy(F.col("cnorm").alias("norm"), "year").agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"))
+    money = yearly.groupBy("norm").agg(F.sum("awards").alias("awards"), F.sum("total").alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
     company = firms["company"].join(money, "norm", "left").withColumn("awards", F.coalesce("awards", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
     return {"company": company, "company_alias": firms["alias"], "title": titles["title"], "award": titles["award"], "title_alias": titles["alias"], **people, "title_company": company_edges(led, titles["known"], firms["company"], closed["company"])}
 
@@ -180,7 +183,7 @@ def tables(productions: DataFrame, registry: DataFrame, led: DataFrame, closed:
 def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
     """All spine tables. Inputs carry `row`, their arrival order; closed has redirects for company, person and title; links
     are imdb links."""
-    return tables(productions, registry, keep(ledger.sparkSession, with_norms(clean_ledger(ledger)), "ledger"), closed, links)
+    return tables(productions, registry, keep(ledger.sparkSession, clean_ledger(ledger), "ledger"), closed, links)
 
 
 def strong_people(credits: DataFrame, people: DataFrame) -> DataFrame:
