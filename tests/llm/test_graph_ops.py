@@ -1,9 +1,11 @@
 """Jaccard join, embeddings, neighbours, urls and components against brute force, hot paths included."""
 
+import heapq
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +210,45 @@ def test_neighbours(spark, monkeypatch, part):
     assert {r.query_id for r in rows} == set(range(0, len(x), 50))
 
 
+def test_neighbours_score_what_may_be_nearest(monkeypatch):
+    """Exact scores are for rows above a query's floor, not for the best of every leaf; the results are those of brute force."""
+    rng = np.random.default_rng(4)
+    x, k = rng.normal(size=(3000, 16)), 5
+    u = np.concatenate([np.arange(3000) % 60, 60 + rng.permutation(3000) % 60])  # two trees
+    asked, n = np.r_[0:3000:100, 2999], []
+    monkeypatch.setattr(rpforest, "cosine", lambda a, b, real=rpforest.cosine: n.append(len(a)) or real(a, b))
+    for held, repeats in ((rpforest.HELD, 0), (2000, 30)):
+        monkeypatch.setattr(rpforest, "HELD", held)
+        ids = np.arange(3000)
+        ids[3000 - repeats :] = 7
+        qs = pa.table({"q": pa.array(ids[asked]), "us": pa.array([list(range(120))] * len(asked)), "x": pa.array(x[asked].tolist())})
+        got = rpforest._score(qs, pa.table({"u": pa.array(u), "v": pa.array(np.r_[ids, ids]), "x": pa.array(x.tolist() * 2)}), k).to_pydict()
+        s = rpforest.unit(x[asked]) @ rpforest.unit(x).T
+        for i, q in enumerate(ids[asked].tolist()):
+            best = {}
+            for v, y in zip(ids.tolist(), s[i].tolist(), strict=True):
+                best[v] = max(y, best.get(v, -2))
+            want = sorted((v for v in best if v != q), key=lambda v: (-best[v], v))[:k]
+            assert [v for a, v in zip(got["q"], got["v"], strict=True) if a == q] == want
+    assert n[0] < 0.05 * len(asked) * 120 * k
+
+
+def test_neighbours_queue_is_a_sort():
+    """Leaves come by the distance at which a priority queue of turnings not taken gives them, for every query of a block."""
+    rng = np.random.default_rng(5)
+    forest = rpforest.Forest(rng.normal(size=(400, 8)), 3, 20)
+    x = rng.normal(size=(30, 8))
+    for one, order in zip(x, forest.order(x), strict=True):
+        margin, queue, got = forest.normal @ one - forest.offset, [(0.0, r) for r in forest.roots], {}
+        while queue:
+            away, node = heapq.heappop(queue)
+            while (c := forest.child[node])[0] >= 0:
+                heapq.heappush(queue, (max(away, abs(margin[node])), c[int(margin[node] <= 0)]))
+                node = c[int(margin[node] > 0)]
+            got[int(c[1])] = away
+        assert sorted(order) == list(range(forest.leaves)) and np.allclose([got[a] for a in order], list(got.values()), atol=1e-12)
+
+
 def test_neighbours_repeated_ids_and_ties(spark):
     """Two ids repeated around the query don't take others' places; equal scores go to the smaller id; recall is told."""
     q = np.eye(8)[0]

@@ -3,9 +3,11 @@
 Fit: TREES trees over a bounded sample (SAMPLE vectors at most); a node splits at the median of the projection on the
 difference of two random points. The trees have some thousands of nodes and go to all workers. Index: every vector falls to
 one leaf in each tree. Search: a query walks down all trees; every turning not taken waits in one shared queue by its
-distance from the splitting plane; the nearest waiting turning is taken next, until the leaves reached hold `budget` rows.
+distance from the splitting plane; the nearest waiting turning is taken next, until the leaves reached hold `budget` rows. That
+order is a sort by the farthest plane on a leaf's path, done for blocks of queries.
 Leaves and the queries that reach them meet by leaf; a leaf over PART rows is split by hash, and queries go to all its parts.
-There all candidates are scored in double precision; a query's best few of each group of leaves are merged at the end.
+There all candidates are multiplied, and what is above the query's floor in that group of leaves, which rises from leaf to leaf, is
+scored in double precision; the best few of each group are merged at the end.
 
 The budget is measured, not guessed, unless it is given: for AUDIT queries the exact neighbours are found by brute force over
 all rows, and the budget is what brings RECALL of those of every other such query into the leaves reached. The other queries are
@@ -21,7 +23,6 @@ of them; empty table: no rows. Extra columns are not read.
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialize
 from .vectors import cosine, lengths, matrix, of_length, sample, unit, usable
 
-TREES, SAMPLE, LEAF, PART, AUDIT, RECALL, GROUP = 4, 16_384, 50, 4096, 128, 0.93, 16_384
+TREES, SAMPLE, LEAF, PART, AUDIT, RECALL, GROUP, BLOCK, HELD = 4, 16_384, 50, 4096, 128, 0.93, 16_384, 64, 2_000_000
 # Fixed value: the recall at queries that the fit has not seen below which all queries look at more.
 GOAL = 0.9
 
@@ -82,22 +83,20 @@ class Forest:
             out[:, t] = self.child[node, 1]
         return out
 
-    def visit(self, x: np.ndarray, sizes: np.ndarray, budget: float):
-        """Leaves in the order of the shared queue, until they hold `budget` rows together."""
-        margin = (self.normal @ x - self.offset).tolist()
-        child = self.child.tolist() if not hasattr(self, "_child") else self._child
-        self._child = child
-        queue = [(0.0, root) for root in self.roots]
-        held, out = 0, []
-        while queue and held < budget:
-            away, node = heapq.heappop(queue)
-            while (c := child[node])[0] >= 0:
-                m = margin[node]
-                heapq.heappush(queue, (max(away, abs(m)), c[m <= 0]))
-                node = c[m > 0]
-            out.append(c[1])
-            held += sizes[c[1]]
-        return out
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """Each row's leaves in the order of the shared queue. What waits there never comes nearer on its way down, so leaves leave the
+        queue by the farthest plane that their path crosses (at equal distance by number), and one sort is the whole queue, for a
+        block of rows at once."""
+        margin = x @ self.normal.T - self.offset
+        away = np.zeros_like(margin)
+        at = np.array(self.roots)
+        while len(at := at[self.child[at, 0] >= 0]):
+            left, right = self.child[at].T
+            away[:, left] = np.maximum(away[:, at], margin[:, at])
+            away[:, right] = np.maximum(away[:, at], -margin[:, at])
+            at = np.concatenate([left, right])
+        ends = np.flatnonzero(self.child[:, 0] < 0)
+        return np.argsort(away[:, ends[np.argsort(self.child[ends, 1])]], axis=1, kind="stable")
 
 
 def _best(q_ids, q_raw, q_unit, v_ids, v_raw, v_unit, k):
@@ -127,6 +126,50 @@ def _top(q, v, s, k):
     return q[place < k], v[place < k], s[place < k]
 
 
+def _score(qs: pa.Table, vs: pa.Table, k: int) -> pa.Table:
+    """(q, v, s): the k best of each query of qs(q, us, x) among the rows of vs(u, v, x) in the leaves us that it reaches. A query's
+    floor goes from leaf to leaf, and exact scores are for what is above the last one only."""
+    none = np.zeros(0, np.int64)
+    best = [none, none, np.zeros(0)]
+    if qs.num_rows and vs.num_rows:
+        q, qx, v, vx, u = qs.column("q").to_numpy(), matrix(qs.column("x")), vs.column("v").to_numpy(), matrix(vs.column("x")), vs.column("u").to_numpy()
+        qu, vu = unit(qx), unit(vx)
+        us = qs.column("us").combine_chunks()
+        owner = np.repeat(np.arange(len(q)), np.diff(us.offsets.to_numpy()))
+        visited = us.flatten().to_numpy()
+        by_q, by_v = np.argsort(visited, kind="stable"), np.argsort(u, kind="stable")
+        most = k * int(np.unique(v, return_counts=True)[1].max())  # an id stands once a tree and repeat: so many hold k ids
+        if len(q) > 1 and len(q) * most > HELD:  # an id with very many repeats: fewer queries at once
+            return pa.concat_tables([_score(qs.slice(0, len(q) // 2), vs, k), _score(qs.slice(len(q) // 2), vs, k)])
+        top, found = np.full((len(q), most), -np.inf), [(none, none, np.zeros(0))]
+        held = 0
+        for one in np.unique(visited):
+            rows = owner[by_q[slice(*np.searchsorted(visited[by_q], [one, one + 1]))]]
+            cols = by_v[slice(*np.searchsorted(u[by_v], [one, one + 1]))]
+            for i in range(0, len(rows) if len(cols) else 0, 256):
+                some = rows[i : i + 256]
+                s = qu[some] @ vu[cols].T
+                s[q[some, None] == v[None, cols]] = -np.inf
+                both = np.concatenate([top[some], s], axis=1)
+                top[some] = np.partition(both, len(cols), axis=1)[:, len(cols) :]
+                r, c = np.nonzero(s >= np.maximum(top[some].min(axis=1, keepdims=True) - 1e-9, -2.0))
+                found.append((some[r], cols[c], s[r, c]))
+                held += len(r)
+                if held > HELD:
+                    found = [_above(found, top)]
+                    held = len(found[0][0])
+        r, c, _ = _above(found, top)
+        best = list(_top(q[r], v[c], cosine(qx[r], vx[c]), k))
+    return pa.table([pa.array(best[0]), pa.array(best[1]), pa.array(best[2])], ["q", "v", "s"])
+
+
+def _above(found, top):
+    """Of (query row, vector row, score), those that are still above their query's floor."""
+    r, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    kept = s >= top.min(axis=1)[r] - 1e-9
+    return r[kept], c[kept], s[kept]
+
+
 def search(spark: SparkSession, df: DataFrame, every: int = 50, k: int = 5, budget: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score, audit_recall for each row whose vec_id is divisible by `every`."""
     vecs = usable(df)
@@ -177,8 +220,7 @@ def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int, budget: fl
         near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "v"))).filter(F.col("r") <= k).collect()  # AUDIT * k rows
         need = []
         fit = a_ids[::2]  # the others are held out, for the recall that is reported
-        for i, x in zip(fit.tolist(), unit(a_raw[::2]), strict=True):
-            order = forest.visit(x, sizes, np.inf)
+        for i, order in zip(fit.tolist(), forest.order(unit(a_raw[::2])), strict=True):
             before = np.empty(forest.leaves)
             before[order] = np.cumsum(sizes[order])
             need += [before[r.leaves].min() for r in near if r.q == i]
@@ -199,37 +241,20 @@ def _search(spark: SparkSession, vecs: DataFrame, every: int, k: int, budget: fl
                 yield pa.RecordBatch.from_arrays([pa.array(u[:, t] % groups), pa.array(u[:, t]), b.column(0), b.column(1)], ["g", "u", "v", "x"])
 
     def probe(batches):
-        for b in batches:
-            for n, x in enumerate(unit(matrix(b.column(1)))):
-                at = np.array(forest.visit(x, sizes, budget), np.int64)
-                u = np.concatenate([np.arange(first[i], first[i + 1]) for i in at]) if len(at) else at
-                gs = np.unique(u % groups)
-                row = b.slice(n, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(gs), pa.array([u[u % groups == g] for g in gs], pa.list_(pa.int64())), row.column(0).take(pa.array([0] * len(gs))), row.column(1).take(pa.array([0] * len(gs)))], ["g", "us", "q", "x"])
+        for b in (whole.slice(i, BLOCK) for whole in batches for i in range(0, whole.num_rows, BLOCK)):
+            for n, order in enumerate(forest.order(unit(matrix(b.column(1))))):
+                at = order[: int(np.searchsorted(np.cumsum(sizes[order]), budget)) + 1]
+                u = np.repeat(first[at] - np.cumsum(parts[at]) + parts[at], parts[at]) + np.arange(parts[at].sum())
+                u = u[np.argsort(u % groups, kind="stable")]
+                gs, start = np.unique(u % groups, return_index=True)
+                row, us = b.slice(n, 1), pa.ListArray.from_arrays(pa.array(np.append(start, len(u)), pa.int32()), pa.array(u))
+                yield pa.RecordBatch.from_arrays([pa.array(gs), us, row.column(0).take(pa.array([0] * len(gs))), row.column(1).take(pa.array([0] * len(gs)))], ["g", "us", "q", "x"])
 
     salted = vecs.select(F.col("vec_id").cast("long"), "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(2**31 - 1)).alias("h"))
     right = salted.mapInArrow(index, f"g long, u long, v long, x {kind}")
 
     def score(qs: pa.Table, vs: pa.Table) -> pa.Table:
-        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if qs.num_rows and vs.num_rows:
-            q, qx, v, vx, u = qs.column("q").to_numpy(), matrix(qs.column("x")), vs.column("v").to_numpy(), matrix(vs.column("x")), vs.column("u").to_numpy()
-            qu, vu = unit(qx), unit(vx)
-            us = qs.column("us").combine_chunks()
-            owner = np.repeat(np.arange(len(q)), np.diff(us.offsets.to_numpy()))
-            visited = us.flatten().to_numpy()
-            by_q, by_v = np.argsort(visited, kind="stable"), np.argsort(u, kind="stable")
-            for one in np.unique(visited):
-                rows = owner[by_q[slice(*np.searchsorted(visited[by_q], [one, one + 1]))]]
-                cols = by_v[slice(*np.searchsorted(u[by_v], [one, one + 1]))]
-                if len(cols):
-                    r, c = _best(q[rows], qx[rows], qu[rows], v[cols], vx[cols], vu[cols], k)
-                    r, c = rows[r], cols[c]
-                    best = [np.concatenate(p) for p in zip(best, (q[r], v[c], cosine(qx[r], vx[c])), strict=True)]
-                    if len(best[0]) > 2_000_000:
-                        best = list(_top(*best, k))
-            best = list(_top(*best, k))
-        return pa.table([pa.array(best[0]), pa.array(best[1]), pa.array(best[2])], ["q", "v", "s"])
+        return _score(qs, vs, k)
 
     true = {(r.q, r.v) for r in near if r.q not in set(fit.tolist())} or {(r.q, r.v) for r in near}
     while True:
