@@ -2,10 +2,12 @@
 
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tindra.functions import text as X
 from tindra.operators import corpus, entities, ledger, spine
+from tindra.plans import base as knowledge
 from tindra.plans import registry
 from tindra.sources import tables
 
@@ -136,6 +138,17 @@ def test_spellings_are_cleaned_once(spark):
     assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name, built", [
+    ("j15_company_aliases", {"company_alias"}),
+])
+def test_surfaces_compile_the_tables_they_read(spark, sf_dir, monkeypatch, name, built):
+    """A query costs by the tables of the base that it reads: those and the ledger are compiled and written, no others."""
+    wrote, rebuild = [], knowledge.sinks.rebuild
+    monkeypatch.setattr(knowledge, "_BUILT", {})
+    monkeypatch.setattr(knowledge.sinks, "rebuild", lambda tables, folder: (wrote.extend(tables), rebuild(tables, folder)))
+    assert not run(spark, sf_dir, name).isEmpty() and sorted(wrote) == sorted({"allocations"} | built)
+
+
 def test_records_without_a_key_do_not_meet_on_it(spark):
     """Each record is looked up once, by its key or by its norm; a null key is no key to join on."""
     r = spark.createDataFrame([(1, "k1", "anna"), (2, None, "anna"), (3, "k1", "b"), (4, None, "b"), (5, None, None), (6, "k2", "b"), (7, None, "b")], "ord int, key string, norm string")

@@ -7,6 +7,9 @@ uncertain is merged.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,22 +171,50 @@ def company_edges(ledger: DataFrame, titles: DataFrame, firms: DataFrame, closed
     return rows.join(titles.select(F.col("id").alias("title_id"), "norm"), "norm").join(firms.select(F.col("id").alias("company_id"), F.col("norm").alias("cnorm")), "cnorm").select("title_id", "company_id").distinct()
 
 
-def tables(productions: DataFrame, registry: DataFrame, led: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All spine tables of a cleaned ledger. It is read several times, so callers write it first."""
-    productions = merged(productions)
-    firms = company_entities(registry, led, closed["company"])
-    titles = title_entities(productions, led, closed["title"], links)
-    people = credit_edges(productions, led, titles["known"], closed["person"])
-    yearly = led.filter("company is not null").groupBy(F.col("cnorm").alias("norm"), "year").agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"))
-    money = yearly.groupBy("norm").agg(F.sum("awards").alias("awards"), F.sum("total").alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
-    company = firms["company"].join(money, "norm", "left").withColumn("awards", F.coalesce("awards", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
-    return {"company": company, "company_alias": firms["alias"], "title": titles["title"], "award": titles["award"], "title_alias": titles["alias"], **people, "title_company": company_edges(led, titles["known"], firms["company"], closed["company"])}
+class Spine(Mapping):
+    """The spine tables of a cleaned ledger, each planned when it is first asked for, with what it needs of the others and no more.
+    The ledger is read several times, so callers write it first."""
+
+    PARTS = {"company": "_firms", "company_alias": "_firms", "title": "_titles", "award": "_titles", "title_alias": "_titles", "person": "_people", "title_credit": "_people", "person_alias": "_people", "title_company": "_edges"}
+
+    def __init__(self, productions: DataFrame, registry: DataFrame, led: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None):
+        self._productions, self._registry, self._led, self._closed, self._links = merged(productions), registry, led, closed, links
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, self.PARTS[name])[name]
+
+    def __iter__(self):
+        return iter(self.PARTS)
+
+    def __len__(self) -> int:
+        return len(self.PARTS)
+
+    @cached_property
+    def _firms(self) -> dict[str, DataFrame]:
+        firms = company_entities(self._registry, self._led, self._closed["company"])
+        yearly = self._led.filter("company is not null").groupBy(F.col("cnorm").alias("norm"), "year").agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"))
+        money = yearly.groupBy("norm").agg(F.sum("awards").alias("awards"), F.sum("total").alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
+        company = firms["company"].join(money, "norm", "left").withColumn("awards", F.coalesce("awards", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
+        return {"company": company, "company_alias": firms["alias"], "known": firms["company"]}
+
+    @cached_property
+    def _titles(self) -> dict[str, DataFrame]:
+        titles = title_entities(self._productions, self._led, self._closed["title"], self._links)
+        return {"title": titles["title"], "award": titles["award"], "title_alias": titles["alias"], "known": titles["known"]}
+
+    @cached_property
+    def _people(self) -> dict[str, DataFrame]:
+        return credit_edges(self._productions, self._led, self._titles["known"], self._closed["person"])
+
+    @cached_property
+    def _edges(self) -> dict[str, DataFrame]:
+        return {"title_company": company_edges(self._led, self._titles["known"], self._firms["known"], self._closed["company"])}
 
 
-def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All spine tables. Inputs carry `row`, their arrival order; closed has redirects for company, person and title; links
+def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> Spine:
+    """The spine tables. Inputs carry `row`, their arrival order; closed has redirects for company, person and title; links
     are imdb links."""
-    return tables(productions, registry, keep(ledger.sparkSession, clean_ledger(ledger), "ledger"), closed, links)
+    return Spine(productions, registry, keep(ledger.sparkSession, clean_ledger(ledger), "ledger"), closed, links)
 
 
 def strong_people(credits: DataFrame, people: DataFrame) -> DataFrame:
