@@ -142,6 +142,7 @@ def test_spellings_are_cleaned_once(spark):
     ("j15_company_aliases", {"company_alias"}),
     ("e5_title_aliases", {"title_alias"}),
     ("q4_funding_stats", set()),
+    ("q9_productions", {"title"}),
 ])
 def test_surfaces_compile_the_tables_they_read(spark, sf_dir, monkeypatch, name, built):
     """A query costs by the tables of the base that it reads: those and the ledger are compiled and written, no others."""
