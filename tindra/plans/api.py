@@ -1,8 +1,9 @@
-"""Query surfaces over the knowledge base's tables (a dict of frames): functions return frames and don't collect."""
+"""Query surfaces over the knowledge base's tables (a mapping of frames, each looked up only where it is read): functions return frames and don't collect."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,7 @@ from ..operators import graph as G
 from ..operators import ledger as L
 from ..sources.tables import equals_if
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 # Older names of the ledger match states that callers may still use.
 OLD_STATES = {"yes": "matched", "no": "no_record_in_window", "likely_unfunded": "no_record_in_window", "unknown": "before_window", "ledger_gap": "before_window"}
 
@@ -104,14 +105,19 @@ def person_dossier(t: Tables, person_id: int) -> dict[str, DataFrame]:
     }
 
 
-def production_profile(t: Tables, title_id: int) -> dict[str, DataFrame]:
-    """One title: its funding in the order of stages, credits by name, companies, other names."""
+def title_funding(t: Tables, title_id: int) -> DataFrame:
+    """The awards of one title with who got them, in the order of stages."""
     a = t["award"].filter(F.col("title_id") == title_id).join(t["allocations"].select("row", "company", "writer", "producer"), "row", "left")
     stages = ["handrit", "throun", "framleidsla", "eftirvinnsla", "annad"]
     who = F.coalesce("company", "writer", "producer", F.lit("—"))
+    return a.select("year", "family", "amount", who.alias("recipient")).orderBy("year", L.rank_order("family", stages))
+
+
+def production_profile(t: Tables, title_id: int) -> dict[str, DataFrame]:
+    """One title: its funding, credits by name, companies, other names."""
     return {
         "title": t["title"].filter(F.col("id") == title_id),
-        "funding": a.select("year", "family", "amount", who.alias("recipient")).orderBy("year", L.rank_order("family", stages)),
+        "funding": title_funding(t, title_id),
         "credits": t["title_credit"].filter(F.col("title_id") == title_id).join(t["person"].select(F.col("id").alias("person_id"), "name"), "person_id").select("role", "name").orderBy("role", "name"),
         "companies": t["title_company"].filter(F.col("title_id") == title_id).join(t["company"].select(F.col("id").alias("company_id"), "name"), "company_id").select("name").orderBy("name"),
         "aliases": t["title_alias"].filter(F.col("title_id") == title_id).select("alias", "method").distinct(),
