@@ -146,6 +146,7 @@ def test_spellings_are_cleaned_once(spark):
     ("a9_people", {"person"}),
     ("q13_overview", {"title", "person", "company"}),
     ("q12_profile", {"award"}),
+    ("q14_guarded_sql", {"award", "title"}),
 ])
 def test_surfaces_compile_the_tables_they_read(spark, sf_dir, monkeypatch, name, built):
     """A query costs by the tables of the base that it reads: those and the ledger are compiled and written, no others."""

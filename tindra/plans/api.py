@@ -197,8 +197,9 @@ def select_only(sql: str) -> str:
     return one
 
 
-def _insist_on_query(spark: SparkSession, sql: str, known: set[str]) -> None:
-    """Look at the parsed plan: no commands anywhere, and no relation but those known and the statement's own CTEs."""
+def _insist_on_query(spark: SparkSession, sql: str, known: set[str]) -> set[str]:
+    """Look at the parsed plan: no commands anywhere, and no relation but those known and the statement's own CTEs. Returns the
+    names of the known ones that it reads."""
     todo, own, asked = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)], set(), []
     while todo:
         node = todo.pop()
@@ -224,6 +225,7 @@ def _insist_on_query(spark: SparkSession, sql: str, known: set[str]) -> None:
     for parts in asked:
         if len(parts) != 1 or parts[0] not in known | own:
             raise NotReadOnly(f"{'.'.join(parts)} isn't one of the tables")
+    return {parts[0] for parts in asked} & known
 
 
 def _insist_on_functions(node) -> None:
@@ -252,11 +254,12 @@ def _subqueries(node) -> list:
 
 
 def run_sql(spark: SparkSession, t: Tables, sql: str) -> DataFrame:
-    """A guarded ad-hoc query over temporary views of all tables: one query, which reads nothing else."""
+    """A guarded ad-hoc query over temporary views of the tables, those that it names: one query, which reads nothing else."""
     one = select_only(sql)
-    _insist_on_query(spark, one, {n.lower() for n in t})
-    for name, df in t.items():
-        df.createOrReplaceTempView(name)
+    asked = _insist_on_query(spark, one, {n.lower() for n in t})
+    for name in t:
+        if name.lower() in asked:
+            t[name].createOrReplaceTempView(name)
     return spark.sql(one)
 
 
