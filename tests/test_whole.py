@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from tindra.plans import base as knowledge
 from tindra.plans import registry
 from tindra.sources import tables
 
+from . import fixtures
 from .test_operators import base, rows  # noqa: F401
+from .test_queries import plain
 
 
 def run(spark, sf_dir, name):
@@ -156,6 +159,43 @@ def test_surfaces_compile_the_tables_they_read(spark, sf_dir, monkeypatch, name,
     assert not run(spark, sf_dir, name).isEmpty() and sorted(wrote) == sorted({"allocations"} | built)
 
 
+def test_a_merged_ledger_gives_the_spine_of_its_rows(spark):
+    """Equal rows of a ledger meet once, in one pass: all tables but awards are those that the rows give."""
+    led = fixtures._ledger(spark)
+    more = [led.withColumns({"row": F.col("row") + 10 * i, "year": F.col("year") + i % 2, "amount_isk": F.when(F.col("row") % 4 != i, F.col("amount_isk") + i), "company": F.when(F.lit(i != 2), F.col("company"))}) for i in range(3)]
+    led = more[0].unionByName(more[1]).unionByName(more[2])
+    prods = spark.createDataFrame([(1, "Hross í oss", 2013, "film", "Benedikt Erlingsson", "s1"), (2, "Hross í oss", 2013, "film", "Benedikt Erlingsson", "s1")], "row long, title string, year int, kind string, director string, source string")
+    firms = spark.createDataFrame([(1, "Hrossabrestur ehf.", "production"), (2, "Saga", "production")], "row long, name string, type string")
+    none = spark.createDataFrame([], "src string, dst string")
+    closed = {"company": none, "person": none, "title": none}
+    whole = spine.build(prods, firms, led, closed)
+    merged = spine.merged_ledger(led, *spine.GRAINS)
+    assert rows(merged.filter("grain = 'company' and company = 'Saga film'"), "year", "unpaid", "row", "n_awards", "amount", "amount_isk") == [(2021, True, 4, 1, None, None), (2022, False, 14, 1, 8, 8)]
+    assert rows(merged.groupBy("grain").agg(F.sum("n_awards").alias("n"))) == sorted((g, 12) for g in spine.GRAINS)
+    part = spine.Spine(prods, firms, spine.clean_ledger(merged), closed)
+    for name in set(part) - {"award"}:
+        assert part[name].dtypes == whole[name].dtypes and rows(part[name], *whole[name].columns) == rows(whole[name]), name
+    with pytest.raises(ValueError):
+        part["award"]
+
+
+@pytest.mark.parametrize("name", ["e5_title_aliases"])
+def test_the_ledger_is_merged_before_it_is_written(spark, sf_dir, tmp_path, monkeypatch, name):
+    """Twenty orders for each: what a query writes of the ledger doesn't grow with them, and its result is that of its SQL."""
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "part", "supplier")}
+    read["orders"] = read["orders"].crossJoin(spark.range(20)).withColumn("o_orderkey", F.col("o_orderkey") + 600000 * F.col("id")).drop("id")
+    duck = duckdb.connect()
+    for t, df in read.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    monkeypatch.setattr(knowledge, "_BUILT", {})
+    df = run(spark, str(tmp_path), name)
+    want = duck.execute(f"SELECT {', '.join(df.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    assert sorted([tuple(map(plain, r)) for r in df.collect()], key=str) == sorted([tuple(map(plain, r)) for r in want], key=str)
+    (built,) = knowledge._BUILT.values()
+    assert 2 * spark.read.parquet(f"{built._folder}/allocations.parquet").count() < read["orders"].count()
+
+
 def test_records_without_a_key_do_not_meet_on_it(spark):
     """Each record is looked up once, by its key or by its norm; a null key is no key to join on."""
     r = spark.createDataFrame([(1, "k1", "anna"), (2, None, "anna"), (3, "k1", "b"), (4, None, "b"), (5, None, None), (6, "k2", "b"), (7, None, "b")], "ord int, key string, norm string")

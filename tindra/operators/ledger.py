@@ -1,6 +1,7 @@
 """Ledger analytics: filters, rollups, rankings and flows over award rows.
 
-An award row has year, family, format, company and amount. All functions take a frame with those columns.
+An award row has year, family, format, company and amount. All functions take a frame with those columns. In the sums `by` and `totals`
+a row may stand for several awards, n_awards, and have their amount (spine.merged_ledger).
 """
 
 from __future__ import annotations
@@ -35,12 +36,27 @@ def having(family: str = "", year: int = 0, company: str = "") -> Column:
     return all_of(*out)
 
 
+def weight(df: DataFrame) -> list[str]:
+    """The column that says how many awards a row stands for, if there is one."""
+    return ["n_awards"] if "n_awards" in df.columns else []
+
+
+def awards(df: DataFrame) -> Column:
+    """The number of awards."""
+    return (F.coalesce(F.sum("n_awards"), F.lit(0)) if weight(df) else F.count(F.lit(1))).alias("awards")
+
+
+def total(df: DataFrame) -> Column:
+    """Their exact sum: amounts of merged rows have more digits."""
+    return F.sum(F.col("amount").cast("decimal(28,2)" if weight(df) else "decimal(18,2)")).alias("total")
+
+
 def by(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("awards"), money_sum("amount").alias("total"))
+    return df.groupBy(*keys).agg(awards(df), total(df).cast("double").alias("total"))
 
 
 def totals(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("awards"), money_sum("amount").alias("total"))
+    return df.agg(awards(df), total(df).cast("double").alias("total"))
 
 
 def funding_stats(df: DataFrame, family: str = "", year: int = 0, company: str = "") -> dict[str, DataFrame]:

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources.scratch import keep
 from . import entities as E
+from . import ledger as L
 from .numbering import numbered
 
 # Fixed values.
@@ -24,6 +25,11 @@ ROLES = ("director", "writer", "producer")
 NAMES = ("company", "applicant", *ROLES)
 FITTING = {"film": "movie,tvMovie,video", "documentary": "movie,tvMovie,video", "short": "short,tvShort", "series": "tvSeries,tvMiniSeries"}
 NEAR = {"film": 1, "documentary": 1, "short": 1, "series": 2}
+# What tells rows of a merged ledger apart, by what they are merged for.
+GRAINS = {
+    "title": ("project_title", "family", "year", "format_track", "source_id"), "company": ("company", "family", "year", "unpaid"), "pair": ("project_title", "company"),
+    **{role: ("project_title", role) for role in ROLES},
+}
 
 
 def with_ids(df: DataFrame, *order: str) -> DataFrame:
@@ -31,17 +37,34 @@ def with_ids(df: DataFrame, *order: str) -> DataFrame:
     return numbered(df, *order)
 
 
+def merged_ledger(ledger: DataFrame, *grains: str) -> DataFrame:
+    """The ledger in one pass as rows of each grain: (grain, the columns of the grains, null where a grain has none, row, n_awards,
+    amount, amount_isk): the smallest row, how many awards it stands for, and sums of what was paid or else promised, and of what was
+    paid (unpaid, in the grain company, tells apart those without). Sums have the type of the amounts, so these are whole or decimal."""
+    names = list(dict.fromkeys(c for g in grains for c in GRAINS[g]))
+    rows = ledger.select("row", *[F.col("amount_isk").isNull().alias(c) if c == "unpaid" else c for c in names], "amount_isk", X.truthy("amount_isk", "commitment_isk").alias("amount"))
+    without = {g: sum(1 << i for i, c in enumerate(reversed(names)) if c not in GRAINS[g]) for g in grains}  # a bit a column, the first highest
+    grain = F.coalesce(*[F.when(F.grouping_id() == bits, g) for g, bits in without.items()])
+    sums = [F.min("row").alias("row"), F.count(F.lit(1)).alias("n_awards"), F.sum("amount").alias("amount"), F.sum("amount_isk").alias("amount_isk")]
+    return rows.groupingSets([list(GRAINS[g]) for g in grains], *names).agg(grain.alias("grain"), *sums)
+
+
 def clean_ledger(ledger: DataFrame) -> DataFrame:
     """Names and companies without grant labels, cnorm, the company's norm; titles split from their former names. A spelling is
-    cleaned once, however many rows have it: the distinct ones are written, and rows look theirs up."""
-    spellings = ledger.select(F.explode(F.array(*NAMES)).alias("name")).filter("name is not null").distinct()
-    names = keep(ledger.sparkSession, spellings.withColumn("clean", X.clean_entity("name")).withColumn("cnorm", F.when(F.col("clean").isNotNull(), X.company_norm("clean"))), "names")
-    titles = ledger.select(F.coalesce("project_title", F.lit("")).alias("_title")).distinct().withColumn("t", X.clean_title("_title"))
-    titles = keep(ledger.sparkSession, titles.select("_title", "t.title", "t.former").withColumn("norm", X.name_norm("title")), "titles")
-    out = ledger.withColumn("_title", F.coalesce("project_title", F.lit(""))).join(titles, "_title", "left")
-    for name in NAMES:
+    cleaned once, however many rows have it: the distinct ones are written, and rows look theirs up. A merged ledger has a part of
+    these columns."""
+    of = [c for c in NAMES if c in ledger.columns]
+    out, more = ledger, ["cnorm"] * ("company" in of)
+    if "project_title" in ledger.columns:
+        titles = ledger.select(F.coalesce("project_title", F.lit("")).alias("_title")).distinct().withColumn("t", X.clean_title("_title"))
+        titles = keep(ledger.sparkSession, titles.select("_title", "t.title", "t.former").withColumn("norm", X.name_norm("title")), "titles")
+        out, more = out.withColumn("_title", F.coalesce("project_title", F.lit(""))).join(titles, "_title", "left"), ["title", "former", "norm", *more]
+    if of:
+        spellings = ledger.select(F.explode(F.array(*of)).alias("name")).filter("name is not null").distinct()
+        names = keep(ledger.sparkSession, spellings.withColumn("clean", X.clean_entity("name")).withColumn("cnorm", F.when(F.col("clean").isNotNull(), X.company_norm("clean"))), "names")
+    for name in of:
         out = out.join(names.select(F.col("name").alias(name), F.col("clean").alias(f"_{name}"), *[F.col("cnorm")] * (name == "company")), name, "left")
-    return out.select(*[F.col(f"_{c}").alias(c) if c in NAMES else c for c in ledger.columns], "title", "former", "norm", "cnorm")
+    return out.select(*[F.col(f"_{c}").alias(c) if c in of else c for c in ledger.columns], *more)
 
 
 def manual_merges(closed: DataFrame, entities: DataFrame) -> DataFrame:
@@ -110,6 +133,11 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy([c for c in rows.columns if c != "row"]).agg(F.min("row").alias("row"))
 
 
+def amount(led: DataFrame) -> Column:
+    """What was paid, else promised; the rows of a merged ledger have it."""
+    return F.col("amount") if "amount" in led.columns else X.truthy("amount_isk", "commitment_isk").alias("amount")
+
+
 def company_entities(registry: DataFrame, ledger: DataFrame, closed: DataFrame) -> dict[str, DataFrame]:
     """Companies: the registry first, then names of the ledger (with norms); and an alias row per ledger name, resolved by equal
     norm or left unresolved beside the registry firm it contains or is contained in."""
@@ -140,10 +168,11 @@ def title_entities(productions: DataFrame, ledger: DataFrame, closed: DataFrame,
     own = merged(led.filter((F.col("norm") != "") & ~((F.coalesce("family", F.lit("")) == "annad") & X.is_support("project_title"))).select("row", "title", "norm", "year", "format_track", "source_id"))
     own = own.select(F.lit(1).alias("src"), "row", "title", "norm", F.col("year"), X.relabel("format_track", KINDS).alias("kind"), F.col("source_id").alias("source"), F.lit(None).cast("string").alias("tconst"))
     named = with_ids(first_of(cat.unionByName(own).filter("norm != ''"), "norm", "src", "row"), "src", "row")
-    funded = E.funding_matches(named.filter("src = 0").select(F.col("id").alias("l"), F.col("norm").alias("ln"), "year"), led.filter("length(norm) >= 3").select(F.col("row").alias("r"), F.col("norm").alias("rn"), F.col("year").alias("ryear"), X.truthy("amount_isk", "commitment_isk").alias("amount")))
+    paid = led.filter("length(norm) >= 3").select(F.col("row").alias("r"), F.col("norm").alias("rn"), F.col("year").alias("ryear"), amount(led), *L.weight(led))
+    funded = E.funding_matches(named.filter("src = 0").select(F.col("id").alias("l"), F.col("norm").alias("ln"), "year"), paid)
     titles = named.join(funded.drop("year").withColumnRenamed("l", "id"), "id", "left")
     known = keep(ledger.sparkSession, named.select("id", "norm"), "known")
-    awards = led.join(known, "norm").select(F.col("id").alias("title_id"), "row", "year", "family", X.truthy("amount_isk", "commitment_isk").alias("amount"))
+    awards = led.join(known, "norm").select(F.col("id").alias("title_id"), "row", "year", "family", amount(led))
     names = led.select("norm", F.col("title").alias("alias"), F.lit("self").alias("method")).unionByName(led.select("norm", F.explode("former").alias("alias"), F.lit("former_title").alias("method")))
     aliases = names.distinct().join(known, "norm").select("alias", F.col("id").alias("title_id"), "method").distinct()
     return {"title": titles, "award": awards, "alias": aliases, "known": known}
@@ -173,14 +202,18 @@ def company_edges(ledger: DataFrame, titles: DataFrame, firms: DataFrame, closed
 
 class Spine(Mapping):
     """The spine tables of a cleaned ledger, each planned when it is first asked for, with what it needs of the others and no more.
-    The ledger is read several times, so callers write it first."""
+    The ledger is read several times, so callers write it first. It has all rows, or those of the grains that the tables asked for
+    need; award wants all rows, since awards are rows."""
 
     PARTS = {"company": "_firms", "company_alias": "_firms", "title": "_titles", "award": "_titles", "title_alias": "_titles", "person": "_people", "title_credit": "_people", "person_alias": "_people", "title_company": "_edges"}
+    READS = {"_firms": ("company",), "_titles": ("title",), "_people": ("title", *ROLES), "_edges": ("title", "company", "pair")}
 
     def __init__(self, productions: DataFrame, registry: DataFrame, led: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None):
-        self._productions, self._registry, self._led, self._closed, self._links = merged(productions), registry, led, closed, links
+        self._all, self._registry, self._led, self._closed, self._links = productions, registry, led, closed, links
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name == "award" and "grain" in self._led.columns:
+            raise ValueError("awards are rows: they want the ledger itself, not a merged one")
         return getattr(self, self.PARTS[name])[name]
 
     def __iter__(self):
@@ -189,26 +222,34 @@ class Spine(Mapping):
     def __len__(self) -> int:
         return len(self.PARTS)
 
+    def _of(self, *grains: str) -> DataFrame:
+        return self._led.filter(F.col("grain").isin(*grains)) if "grain" in self._led.columns else self._led
+
+    @cached_property
+    def _productions(self) -> DataFrame:
+        return keep(self._all.sparkSession, merged(self._all), "productions")
+
     @cached_property
     def _firms(self) -> dict[str, DataFrame]:
-        firms = company_entities(self._registry, self._led, self._closed["company"])
-        yearly = self._led.filter("company is not null").groupBy(F.col("cnorm").alias("norm"), "year").agg(F.count(F.lit(1)).alias("awards"), F.sum(X.truthy("amount_isk", "commitment_isk")).alias("total"))
+        led = self._of("company")
+        firms = company_entities(self._registry, led, self._closed["company"])
+        yearly = led.filter("company is not null").groupBy(F.col("cnorm").alias("norm"), "year").agg(L.awards(led), F.sum(amount(led)).alias("total"))
         money = yearly.groupBy("norm").agg(F.sum("awards").alias("awards"), F.sum("total").alias("total"), F.sort_array(F.collect_set("year")).alias("years"))
         company = firms["company"].join(money, "norm", "left").withColumn("awards", F.coalesce("awards", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0)))
         return {"company": company, "company_alias": firms["alias"], "known": firms["company"]}
 
     @cached_property
     def _titles(self) -> dict[str, DataFrame]:
-        titles = title_entities(self._productions, self._led, self._closed["title"], self._links)
+        titles = title_entities(self._productions, self._of("title"), self._closed["title"], self._links)
         return {"title": titles["title"], "award": titles["award"], "title_alias": titles["alias"], "known": titles["known"]}
 
     @cached_property
     def _people(self) -> dict[str, DataFrame]:
-        return credit_edges(self._productions, self._led, self._titles["known"], self._closed["person"])
+        return credit_edges(self._productions, self._of(*ROLES), self._titles["known"], self._closed["person"])
 
     @cached_property
     def _edges(self) -> dict[str, DataFrame]:
-        return {"title_company": company_edges(self._led, self._titles["known"], self._firms["known"], self._closed["company"])}
+        return {"title_company": company_edges(self._of("pair"), self._titles["known"], self._firms["known"], self._closed["company"])}
 
 
 def build(productions: DataFrame, registry: DataFrame, ledger: DataFrame, closed: dict[str, DataFrame], links: DataFrame | None = None) -> Spine:
