@@ -179,7 +179,7 @@ def test_a_merged_ledger_gives_the_spine_of_its_rows(spark):
         part["award"]
 
 
-@pytest.mark.parametrize("name", ["e5_title_aliases", "q4_funding_stats", "q9_productions", "a9_people"])
+@pytest.mark.parametrize("name", ["e5_title_aliases", "q4_funding_stats", "q9_productions", "a9_people", "q13_overview"])
 def test_the_ledger_is_merged_before_it_is_written(spark, sf_dir, tmp_path, monkeypatch, name):
     """Twenty orders for each: what a query writes of the ledger doesn't grow with them, and its result is that of its SQL."""
     read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "part", "supplier")}

@@ -131,7 +131,7 @@ def browse(t: Tables, words: str = "", kinds: list[str] | None = None) -> DataFr
 
 def overview(t: Tables) -> DataFrame:
     """(metric, value) of the first page: awards, their total, titles, people, companies."""
-    a = t["allocations"].agg(F.count(F.lit(1)).cast("double").alias("awards"), F.coalesce(F.sum("amount_isk"), F.lit(0)).cast("double").alias("total")).unpivot([], ["awards", "total"], "metric", "value")
+    a = t["allocations"].agg(L.awards(t["allocations"]).cast("double").alias("awards"), F.coalesce(F.sum("amount_isk"), F.lit(0)).cast("double").alias("total")).unpivot([], ["awards", "total"], "metric", "value")
     for metric, name in (("titles", "title"), ("people", "person"), ("companies", "company")):
         a = a.unionByName(t[name].agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(metric).alias("metric"), "value"))
     return a
