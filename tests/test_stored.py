@@ -58,6 +58,42 @@ def test_only_a_part_is_read(spark, tmp_path):
     assert seen.opened < 0.5 * seen.postings
 
 
+def shuffled(spark, run):
+    """Records that an action shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(n for s, n in stages().items() if s not in before)
+
+
+def test_unstored_shuffles_no_postings(spark):
+    """Neither postings, nor questions x texts, nor texts: the texts' ids and each task's best."""
+    words = [f"w{i}" for i in range(120)]
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=60))) for i in range(4000)], "id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.sample(words, 60))) for q in range(3)], "q int, text string")
+    assert shuffled(spark, lambda: R.hybrid(docs, asked).collect()) < 30_000
+
+
+def test_bm25_in_tasks(spark, monkeypatch):
+    """The same scores as by joins, also of ids that rows share or lack, by pieces, and of terms that one or all questions have."""
+    docs, asked = corpus(spark, 300, kind="long")
+    odd = spark.createDataFrame([(5, "orð0 orð1 orð299"), (5, "orð0"), (None, "orð0 orð7"), (None, None), (999, None)], "id long, text string")
+    asked = asked.unionByName(spark.createDataFrame([(100 + q, "orð0 orð1") for q in range(9)], "q int, text string"))
+    for d in (docs, docs.unionByName(odd)):
+        want = rows(R.ranked(R.bm25(R.index(d), asked), 20), "q", "id", "rank")
+        assert rows(R.ranked(R.sparse_best(d, asked, 20), 20), "q", "id", "rank") == want
+    monkeypatch.setattr(fp, "HITS", 3)
+    monkeypatch.setattr(fp, "SLICE", 7)
+    assert rows(R.ranked(R.sparse_best(d, asked, 20), 20), "q", "id", "rank") == want
+    assert R.sparse_best(d, asked.limit(0), 20).count() == 0 and R.sparse_best(d.limit(0), asked, 20).count() == 0
+
+
 def test_search(spark, tmp_path):
     docs, _ = corpus(spark, 50)
     ix = stored(docs, tmp_path)

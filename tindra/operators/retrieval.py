@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.python import best_by_hash
+from ..functions.python import best_by_hash, best_by_terms, hashed_rows, posted
 from ..sources.scratch import keep
 from .blockmax import best
 
@@ -102,6 +102,41 @@ def dense_best(df: DataFrame, queries: DataFrame, depth: int, key: str = "id", t
     return best_by_hash(df.select(F.col(key).alias("id"), X.tokens(text).alias("t")), hashed(queries, "q", "text"), depth, DIM, keep)
 
 
+def apart(toks: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (id, ..) whose id is their own, and those that share one or have none (None where there are none)."""
+    shared = keep(toks.sparkSession, toks.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("_shared")), "shared")
+    if shared.isEmpty():
+        return toks, None
+    same = F.col("id").eqNullSafe(F.col("_shared"))
+    return toks.join(shared, same, "left_anti"), toks.join(shared, same, "left_semi")
+
+
+def sparse_best(df: DataFrame, queries: DataFrame, depth: int, key: str = "id", text: str = "text") -> DataFrame:
+    """(q, id, score): the `depth` best texts of each question by BM25, and more; the caller ranks. Questions' terms go to every
+    row, which is scored there, so neither postings nor questions x texts are shuffled; rows that share an id are summed up as `bm25`
+    does it."""
+    spark = df.sparkSession
+    toks = df.select(F.col(key).alias("id"), X.tokens(text).alias("t"))
+    whole = toks.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("mean")).first()
+    asked = keep(spark, asked_terms(queries), "asked")
+    only = asked.select("term").distinct()
+    own, shared = apart(toks)
+    seen = own.select(F.explode(F.array_distinct("t")).alias("term")).join(only, "term", "left_semi")
+    if shared is not None:
+        postings = shared.select("id", F.explode("t").alias("term")).join(only, "term", "left_semi").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+        seen = seen.unionByName(postings.select("term"))
+    idf = F.log(1 + (F.lit(float(whole.N)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))
+    asked = keep(spark, asked.join(known, "term").select("q", "term", "idf"), "asked")
+    mean = float(whole.mean or 1)
+    out = best_by_terms(own, asked.select(F.col("q").alias("id"), "term", "idf"), depth, mean, K1, B, keep)
+    if shared is not None:
+        lengths = shared.select("id", F.size("t").alias("len"))
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
+        out = out.unionByName(asked.join(postings, "term").join(lengths, "id").groupBy("q", "id").agg(F.sum(part).alias("score")).select("q", "id", "score"))
+    return out
+
+
 def with_similarity(df: DataFrame, a: str, b: str, name: str, dim: int = DIM) -> DataFrame:
     """df with the cosine of two texts' hashed term counts. Buckets are columns of their own, made once a row."""
     for col in (a, b):
@@ -118,8 +153,8 @@ def hybrid(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "id", text:
     """(q, id, rank, rrf, score): fused ranks; score is the dense similarity, whatever the rank came from. It is worked out anew
     for the few rows that are left, so neither list is made twice."""
     d = dense_best(df, queries, DEPTH, key, text)
-    only = asked_terms(queries).select("term")
-    fused = fuse([ranked(d, DEPTH), ranked(bm25(index(df, key, text, only), queries), DEPTH)], k)
+    # k rows a question, written, so the plan knows how few they are and doesn't shuffle the texts for them
+    fused = keep(df.sparkSession, fuse([ranked(d, DEPTH), ranked(sparse_best(df, queries, DEPTH, key, text), DEPTH)], k), "fused")
     rows = fused.join(df.select(F.col(key).alias("id"), F.col(text).alias("_text")), "id").join(queries.select("q", F.col("text").alias("_asked")), "q")
     return with_similarity(rows, "_text", "_asked", "_s").select("q", "id", "rank", "rrf", F.round("_s", 4).alias("score"))
 
