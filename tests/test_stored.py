@@ -80,6 +80,25 @@ def test_unstored_shuffles_no_postings(spark):
     assert shuffled(spark, lambda: R.hybrid(docs, asked).collect()) < 30_000
 
 
+def test_store_shuffles_lists(spark, tmp_path):
+    """Building an index shuffles ids, finished posting lists and counts of terms, neither single postings nor entries of vectors."""
+    docs, _ = corpus(spark, 2000)
+    assert shuffled(spark, lambda: R.store(docs, f"{tmp_path}/ix")) < 6000
+
+
+def test_stored_odd_ids(spark, tmp_path, monkeypatch):
+    """Rows that share an id are one text in postings and vectors; shards end at a number of words, too."""
+    docs, asked = corpus(spark, 300, kind="long")
+    docs = docs.unionByName(spark.createDataFrame([(5000, "orð0 orð1 orð299"), (5000, "orð2 orð0 orð3"), (999, None)], "id long, text string"))
+    monkeypatch.setattr(fp, "WORDS", 50)
+    ix = stored(docs, tmp_path)
+    assert ix["postings"].select("shard").distinct().count() > 20
+    assert rows(R.ranked(R.sparse_stored(ix, asked, 7), 7), "q", "id", "rank") == rows(R.ranked(R.bm25(R.index(docs), asked), 7), "q", "id", "rank")
+    want = {(r.id, r.bucket): round(r.weight, 9) for r in R.hashed(docs).collect()}
+    got = ix["vectors"].select("id", F.explode(F.arrays_zip("bucket", "weight")).alias("x")).select("id", "x.*").collect()
+    assert {(r.id, r.bucket): round(r.weight, 9) for r in got} == want and len(got) == len(want)
+
+
 def test_bm25_in_tasks(spark, monkeypatch):
     """The same scores as by joins, also of ids that rows share or lack, by pieces, and of terms that one or all questions have."""
     docs, asked = corpus(spark, 300, kind="long")

@@ -173,8 +173,10 @@ def search(ix: dict[str, DataFrame], query: str, k: int = 5) -> DataFrame:
 
 #: Embedders by name: frame, key, text -> (id, bucket, weight). Others may be added.
 EMBEDDERS = {"hash": hashed}
+#: Those whose vector of a text needs no other text: rows (id, t array of terms) -> (id, bucket array, weight array), unshuffled.
+ROWWISE = {"hash": lambda rows: hashed_rows(rows, DIM)}
 
-# Buckets of terms, documents in a shard on average, postings in a block, and files of a bucket at most.
+# Buckets of terms, documents in a shard at most, postings in a block, and files of a bucket at most.
 BUCKETS, SHARD, RUN, SPLIT = 64, 8192, 64, 16
 
 
@@ -182,36 +184,54 @@ def store(df: DataFrame, folder: str, backend: str = "hash", key: str = "id", te
     """Write the index of a corpus: postings and terms in folders by the term's hash, sorted by term; vectors; texts; and one row
     of what the whole corpus has.
 
-    A posting row is a (term, shard): ids in order, what each multiplies the idf with, and the largest of every RUN of them. Shards
-    are hashes of ids, so no term gathers more than about `shard` postings in a row.
+    A posting row is a (term, shard): ids in order, what each multiplies the idf with, and the largest of every RUN of them. A shard
+    is at most `shard` rows of one task, so what is shuffled is finished lists, not single postings; rows that share an id are gathered first.
     """
     spark = df.sparkSession
     ids = df.select(F.col(key).alias("id"), X.tokens(text).alias("t"))
     whole = ids.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("t")).alias("mean")).first()
-    shards = max(1, -(-whole.N // shard))
-    toks = ids.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(whole.mean or 1))))
-    rows = toks.select("term", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.struct("id", part.alias("part")).alias("p"))
-    rows = rows.groupBy("term", "shard").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / RUN).cast("int")), lambda i: F.array_max(F.transform(F.slice("p", i * RUN + 1, RUN), lambda x: x["part"])))
-    rows = rows.select(_bucket("term", buckets).alias("bucket"), "term", "shard", F.col("p.id").alias("ids"), F.col("p.part").alias("parts"), runs.alias("tops"))
-    rows = rows.repartition("bucket", F.pmod("shard", F.lit(SPLIT))).sortWithinPartitions("bucket", "term", "shard")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings.parquet")
+    mean = float(whole.mean or 1)
+    own, shared = apart(ids)
+    rows = posted(own, mean, K1, B, shard, RUN)
+    if shared is not None:
+        rows = rows.unionByName(_gathered(shared, mean, max(1, -(-whole.N // shard))))
+    rows = rows.select(_bucket("term", buckets).alias("bucket"), "term", "shard", "ids", "parts", "tops")
+    rows = rows.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(SPLIT))).sortWithinPartitions("bucket", "term", "shard")
+    packed(rows).partitionBy("bucket").parquet(f"{folder}/postings.parquet")
     kept = spark.read.schema(rows.schema).parquet(f"{folder}/postings.parquet")
     df_ = kept.groupBy("bucket", "term").agg(F.sum(F.size("ids")).alias("df"))
     idf = F.log(1 + (F.lit(float(whole.N)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms_ = df_.withColumn("idf", idf)
-    terms_.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/terms.parquet")
-    v = EMBEDDERS[backend](df, key, text).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("v"))  # DIM entries at most
-    vectors = v.select("id", F.col("v.bucket").alias("bucket"), F.col("v.weight").alias("weight"))
-    vectors.write.mode("overwrite").parquet(f"{folder}/vectors.parquet")
+    packed(terms_.repartition("bucket").sortWithinPartitions("bucket", "term")).partitionBy("bucket").parquet(f"{folder}/terms.parquet")
+    vectors = ROWWISE[backend](own) if backend in ROWWISE else None
+    if vectors is None or shared is not None:
+        some = df if vectors is None else df.join(shared.select(F.col("id").alias("_shared")).distinct(), F.col(key).eqNullSafe(F.col("_shared")), "left_semi")
+        v = EMBEDDERS[backend](some, key, text).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("v"))  # DIM entries at most
+        v = v.select("id", F.col("v.bucket").alias("bucket"), F.col("v.weight").alias("weight"))
+        vectors = v if vectors is None else vectors.unionByName(v)
+    packed(vectors).parquet(f"{folder}/vectors.parquet")
     extra = [F.col("metadata")] if "metadata" in df.columns else [F.lit(None).cast("map<string,string>").alias("metadata")]
     texts = df.select(F.col(key).alias("id"), F.col(text).alias("text"), *extra)
-    texts.write.mode("overwrite").parquet(f"{folder}/texts.parquet")
+    packed(texts).parquet(f"{folder}/texts.parquet")
     schemas = F.create_map(*[F.lit(v) for name, part in (("postings", rows), ("terms", terms_), ("vectors", vectors), ("texts", texts)) for v in (name, part.schema.json())])
     spark.range(1).select(F.lit(backend).alias("backend"), F.lit(DIM).alias("dim"), F.lit(buckets).alias("buckets"), F.lit(whole.N).cast("long").alias("N"), F.lit(float(whole.mean or 0)).alias("mean"), schemas.alias("schemas")).write.mode("overwrite").json(f"{folder}/meta")
 
 
+def packed(df: DataFrame):
+    """A writer of a part of an index; most of it is read seldom, so its size comes first."""
+    return df.write.mode("overwrite").option("compression", "zstd")
+
+
+def _gathered(toks: DataFrame, mean: float, shards: int) -> DataFrame:
+    """Posting lists, as `posted` makes them, of rows (id, t) that share ids: gathered by id, in shards by the id's hash (below 0)."""
+    n = toks.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
+    rows = n.select("term", (-1 - F.pmod(F.xxhash64("id"), F.lit(shards))).alias("shard"), F.struct("id", part.alias("part")).alias("p"))
+    rows = rows.groupBy("term", "shard").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / RUN).cast("int")), lambda i: F.array_max(F.transform(F.slice("p", i * RUN + 1, RUN), lambda x: x["part"])))
+    return rows.select("term", "shard", F.col("p.id").alias("ids"), F.col("p.part").alias("parts"), runs.alias("tops"))
+
+
 def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -291,7 +311,7 @@ def hybrid_stored(ix: dict[str, DataFrame], queries: DataFrame, k: int = 5) -> D
     """(q, id, rank, rrf, score) as `hybrid` gives it, from a stored index."""
     asked = hashed(queries, "q", "text")
     d = ranked(best_by_hash(ix["vectors"], asked, DEPTH, DIM, keep, stored=True), DEPTH)
-    fused = fuse([d, ranked(sparse_stored(ix, queries, DEPTH), DEPTH)], k)
+    fused = keep(queries.sparkSession, fuse([d, ranked(sparse_stored(ix, queries, DEPTH), DEPTH)], k), "fused")  # few rows, so vectors aren't shuffled
     few = fused.join(ix["vectors"], "id").join(asked.groupBy(F.col("id").alias("q")).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("weight").alias("w")))).alias("m")), "q")
     dot = F.aggregate(F.zip_with("bucket", "weight", lambda b, w: w * F.coalesce(F.try_element_at("m", b), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
     return few.select("q", "id", "rank", "rrf", F.round(dot, 4).alias("score"))
