@@ -130,3 +130,30 @@ def test_rarest_gram(spark):
     met = chosen.join(long.withColumn("g", F.explode(entities.grams("rn"))), "g").count()
     first = short.withColumn("g", F.substring("ln", 1, 5)).join(long.withColumn("g", F.explode(entities.grams("rn"))), "g").count()
     assert chosen.filter("l = 999").count() == 0 and met <= 300 * 11 and met < 0.3 * first
+
+
+def test_dedupe_writes_no_pairs_of_a_prefix(spark):
+    """Pairs of one prefix that can't reach the threshold are counted, neither written nor shuffled."""
+    from .test_stored import shuffled
+
+    rng = random.Random(6)
+    e = spark.createDataFrame([(i, "abcd" + "".join(rng.choices("efghijklmnop", k=6))) for i in range(1500)], "id long, name_fold string")
+    w = spark.createDataFrame([(i, i // 2 if i < 40 else i) for i in range(1500)], "id long, work long")
+    assert shuffled(spark, lambda: entities.dedupe(e, w, sample=500).collect()) < 200_000
+
+
+def test_prefix_pairs(spark):
+    """As many as compare makes of them, also where ids repeat under other names and meet in several prefixes."""
+    rng = random.Random(7)
+    e = spark.createDataFrame([(rng.randint(0, 60), rng.choice(["anna", "bera", "cara"]) + rng.choice("xyz")) for _ in range(90)] + [(3, None), (70, None)], "id long, name_fold string")
+    w = spark.createDataFrame([(i, i % 25) for i in range(61)] + [(i, 100 + i % 23) for i in range(61)] + [(3, None)], "id long, work long")
+    pairs = entities.by_prefix(e).distinct()
+    want = entities.compare(pairs, e, w, exact=False).filter("a is not null")
+    assert entities.prefix_pairs(e, most=8) == want.count()
+    shared = entities.common_works(w)
+    some = entities.compare(entities.near(shared, e), e, None, exact=False)
+    kinds = lambda df: sorted(tuple(r) for r in df.select("a", "b", "shared", "name_level", "work_level").collect())
+    every = entities.compare(pairs.unionByName(entities.by_works(w)).distinct(), e, w, exact=False)
+    assert kinds(some) == kinds(every.filter("shared > 0"))
+    alone = entities.compare(entities.prefix_only(e, shared, most=8, likely=False), e, None, exact=False)
+    assert kinds(alone) == kinds(every.filter("shared = 0"))
