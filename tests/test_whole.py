@@ -202,3 +202,17 @@ def test_records_without_a_key_do_not_meet_on_it(spark):
     got = entities.strong_key_upsert(r)
     assert rows(got) == [(1, 1), (2, 1), (3, 1), (4, 3), (6, 3), (7, 3)]
     assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_whole_texts_list_folders(spark, tmp_path):
+    """Files of a pattern are found by their folders: as many paths as folders, and neither deeper files, others nor those beside."""
+    from tindra.sources import tables
+
+    for name in ("a/x.txt", "a/y.txt", "a/z.html", "a/deep/v.txt", "b/x.txt", "beside.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert sorted(tables.folders(spark, f"{tmp_path}/*")) == [f"file:{tmp_path}/{x}" for x in "ab"]
+    got = tables.whole_texts(spark, f"{tmp_path}/*/*.txt")
+    assert sorted((r.name, r.text) for r in got.collect()) == [("x", "a/x.txt"), ("x", "b/x.txt"), ("y", "a/y.txt")]
+    assert sorted(r.name for r in tables.whole_texts(spark, f"{tmp_path}/a/*.txt").collect()) == ["x", "y"]
+    assert [r.text for r in tables.whole_texts(spark, f"{tmp_path}/a/z.html").collect()] == ["a/z.html"]

@@ -134,10 +134,11 @@ def _files(spark, df, group: str, column: str = "value") -> str:
 
 
 def _a_file_a_row(spark, df, key: str, folders: int = 64) -> str:
-    """A text file a row, in a bounded number of folders: the writer cuts files by rows, so no row needs a folder of its own."""
+    """A text file a row, in a bounded number of folders: the writer cuts files by rows, so no row needs a folder of its own. Rows are
+    dealt by their key, a folder a task, so no task has several folders while others have none."""
     folder = new_path(spark, "files")
-    rows = df.select(F.pmod(F.xxhash64(key), F.lit(folders)).alias("folder"), "value")
-    rows.repartition(folders, "folder").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(folder)
+    rows = df.repartition(folders, key).select(F.spark_partition_id().alias("folder"), "value")
+    rows.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 

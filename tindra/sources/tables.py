@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that a path (globs too) names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return [str(x.getPath()) for x in found or [] if x.isDirectory() and not x.getPath().getName().startswith(("_", "."))]
+
+
 def curated(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One row per record of a curated collection, in file order (column ord)."""
     key, row = CURATED[name]
@@ -85,8 +94,11 @@ def entity_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
 
 
 def whole_texts(spark: SparkSession, pattern: str) -> DataFrame:
-    """(name, text): whole files with their stem."""
-    df = spark.read.text(pattern, wholetext=True)
+    """(name, text): whole files with their stem. Files that a pattern names in folders are found by listing the folders, not file by file
+    on the driver."""
+    folder, _, last = pattern.rpartition("/")
+    found = folders(spark, folder) if folder and re.fullmatch(r"[^{}\[\]\\]*[*?][^{}\[\]\\]*", last) else []
+    df = spark.read.text(found, wholetext=True, pathGlobFilter=last) if found else spark.read.text(pattern, wholetext=True)
     return df.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("name"), F.col("value").alias("text"))
 
 
